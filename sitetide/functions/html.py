@@ -50,36 +50,58 @@ def _character(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
+def _numeric(token: Column) -> Column:
+    def read(digits: Column) -> Column:
+        return F.when(
+            F.startswith(digits, F.lit("x")), F.conv(F.substring(digits, 2, 1 << 20), 16, 10)
+        ).otherwise(F.regexp_extract(digits, "^[0-9]+", 0)).cast("bigint")
+
+    body = F.regexp_extract(token, "^&#(x[0-9A-Fa-f]+|[0-9]+[0-9A-Fa-f]*);$", 1)
+    return let(body, lambda b: F.when(F.length(b) > 0, _character(read(b))).otherwise(token))
+
+
 def _decode_token(token: Column) -> Column:
-    hex_digits = F.regexp_extract(token, "^&#x([0-9A-Fa-f]+);$", 1)
-    digits = F.regexp_extract(token, "^&#([0-9]+)[0-9A-Fa-f]*;$", 1)
-    name = F.lower(F.regexp_extract(token, "^&([A-Za-z]+);$", 1))
-    number = F.coalesce(
-        F.when(F.length(hex_digits) > 0, F.conv(hex_digits, 16, 10)).cast("bigint"),
-        F.when(F.length(digits) > 0, digits).cast("bigint"),
-    )
-    decoded = F.when(number.isNotNull(), _character(number))
-    for entity, text in NAMED_ENTITIES.items():
-        decoded = decoded.when(name == entity, F.lit(text))
-    return decoded.otherwise(token)
+    whole = F.startswith(token, F.lit("&")) & F.endswith(token, F.lit(";"))
+
+    def named(lowered: Column) -> Column:
+        out = F.when(F.startswith(lowered, F.lit("&#")), _numeric(token))
+        for entity, text in NAMED_ENTITIES.items():
+            out = out.when(lowered == f"&{entity};", F.lit(text))
+        return out.otherwise(token)
+
+    return F.when(whole, let(F.lower(token), named)).otherwise(token)
 
 
 def decode_entities(col: Column | str) -> Column:
-    """One pass over all references; null when one of them has no character."""
+    """One pass over all references; null when one of them has no character.
+
+    Text with lower-case named references only takes plain replacements: none of their results can
+    form a new reference as long as the ampersand comes last. Other text is cut at the reference borders.
+    """
     text = as_col(col)
     decoded = F.array_join(F.transform(F.split(text, "(?=&)|(?<=;)", -1), _decode_token), "")
+    simple = text
+    for entity in [e for e in NAMED_ENTITIES if e != "amp"] + ["amp"]:
+        simple = F.replace(simple, F.lit(f"&{entity};"), F.lit(NAMED_ENTITIES[entity]))
     return (
-        F.when(~text.rlike("(?i)&(?:#x?[0-9a-f]+|[a-z]+);"), text)
+        F.when(~F.contains(text, F.lit("&")), text)
+        .when(~text.rlike("&(?:#|[A-Z]|[a-z]+[A-Z])"), simple)
         .when(~has_bad_reference(text), decoded)
     )
 
 
+def _decoded(raw: Column) -> Column:
+    """Decoded text, null when blank; ``raw`` and the decoding are evaluated once even inside lambdas."""
+    decoded = F.transform(F.array(raw), decode_entities)
+    return F.get(F.filter(decoded, lambda v: F.length(v) > 0), F.lit(0))
+
+
 def strip_tags(col: Column | str) -> Column:
     return F.regexp_replace(as_col(col), "<[^>]+>", " ")
 
 
 def normalize_text(col: Column | str) -> Column:
-    return collapse_ws(decode_entities(col))
+    return collapse_ws(let(as_col(col), decode_entities))
 
 
 def raw_tag_text(html: Column | str, tag: str) -> Column:
@@ -112,7 +134,7 @@ def raw_attribute(tag: Column | str, name: str) -> Column:
 
 
 def attribute(tag: Column | str, name: str) -> Column:
-    return blank_to_null(decode_entities(raw_attribute(tag, name)))
+    return _decoded(raw_attribute(tag, name))
 
 
 def _tags(html: Column | str, tag: str) -> Column:
@@ -209,10 +231,10 @@ def extract_seo(
 
     def first_meta(name: str) -> Column:
         return F.get(
-            F.filter(F.col("_metas"), lambda m: F.lower(blank_to_null(decode_entities(m["name"]))) == name), F.lit(0))
+            F.filter(F.col("_metas"), lambda m: F.lower(_decoded(m["name"])) == name), F.lit(0))
 
     def is_canonical(link: Column) -> Column:
-        tokens = F.split(F.lower(decode_entities(link["rel"])), f"[{WHITESPACE}]+", -1)
+        tokens = F.split(F.lower(_decoded(link["rel"])), f"[{WHITESPACE}]+", -1)
         return F.coalesce(F.array_contains(tokens, "canonical"), F.lit(False))
 
     picked = found.withColumns(
@@ -221,7 +243,7 @@ def extract_seo(
             "_robots": first_meta("robots")["content"],
             "_canonical": F.get(F.filter(F.col("_links"), is_canonical), F.lit(0))["href"],
         }
-    )
+    ).withColumn("_href", _decoded(F.col("_canonical")))
 
     def any_bad(texts: Column) -> Column:
         return F.exists(texts, has_bad_reference)
@@ -235,24 +257,22 @@ def extract_seo(
         | any_bad(F.transform(F.col("_links"), lambda m: m["rel"]))
         | has_bad_reference("_text")
     )
-    href = blank_to_null(decode_entities("_canonical"))
     cleaned = picked.withColumns(
         {
             "title": F.get(_tidy(F.col("_titles")), F.lit(0)),
             "h1": F.get(_tidy(F.col("_h1s")), F.lit(0)),
             "h2": array_top(_tidy(F.col("_h2s")), H2_STORED),
-            "meta_description": blank_to_null(decode_entities("_description")),
-            "robots_meta": blank_to_null(decode_entities("_robots")),
-            "canonical_url": F.when(href.isNotNull(), resolve_url(href, url)),
+            "meta_description": _decoded(F.col("_description")),
+            "robots_meta": _decoded(F.col("_robots")),
+            "canonical_url": F.when(F.col("_href").isNotNull(), resolve_url("_href", url)),
             "content_excerpt": blank_to_null(clip(normalize_text("_text"), max_chars)),
-            "_has_href": href.isNotNull(),
             "_bad": bad_reference,
         }
     )
     error = F.when(F.col("_bad"), F.lit(ERROR_ENTITY)).when(
-        F.col("_has_href") & F.col("canonical_url").isNull(), F.lit(ERROR_URL))
+        F.col("_href").isNotNull() & F.col("canonical_url").isNull(), F.lit(ERROR_URL))
     scratch = ["_titles", "_h1s", "_h2s", "_metas", "_links", "_text", "_description", "_robots", "_canonical",
-               "_has_href", "_bad"]
+               "_href", "_bad"]
     return cleaned.withColumn("seo_error", error).drop(*scratch)
 
 

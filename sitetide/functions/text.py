@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 # The code points a browser regular expression counts as white space.
 WHITESPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
+# The same set beyond ASCII, one by one.
+WIDE_SPACES = "".join(
+    chr(c) for c in [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+
 EXCERPT_CHARS = 8_000
 RAW_RESPONSE_CHARS = 4_000
 ERROR_SUMMARY_CHARS = 4_000
@@ -25,12 +29,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def apply_sql(value: Column, body: str) -> Column:
+    """``let`` with the body given as SQL lambda text: one parsed expression instead of many small ones."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), F.lit(0))
+
+
 def trim_ws(col: Column | str) -> Column:
     return F.regexp_replace(as_col(col), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
 
 
 def collapse_ws(col: Column | str) -> Column:
-    return trim_ws(F.regexp_replace(as_col(col), f"[{WHITESPACE}]+", " "))
+    """Runs of white space become one space, none at the ends.
+
+    The rare wide code points are mapped to spaces first, so the regular expression is a plain ASCII one.
+    """
+    narrow = F.translate(as_col(col), WIDE_SPACES, " " * len(WIDE_SPACES))
+    return F.trim(F.regexp_replace(narrow, r"[ \t-\r]+", " "))
 
 
 def blank_to_null(col: Column | str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitetide.functions.text import as_col, let
+from sitetide.functions.text import apply_sql, as_col, let, sql_let, sql_text
 
 # Query keys that only carry campaign tracking.
 TRACKING_PREFIX = "utm_"
@@ -24,6 +24,13 @@ REASON_LOCALHOST = "Localhost targets are not allowed"
 REASON_PRIVATE_IP = "Private, loopback, or metadata IP targets are not allowed"
 
 _URL = r"(?is)^(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+# URLs that need no canonicalization: lower-case named host, no port or login, safe path without dot segments.
+_PLAIN_HEAD = r"^(?!.*(?:/\.|%2[eE]))(https?)://((?:[a-z0-9\-]+\.)+[a-z][a-z0-9\-]*)"
+_PLAIN = _PLAIN_HEAD + r"(/[A-Za-z0-9*\-._~%!$&'()+,/:;=@|\[\]]*)?(\?[^#\x00-\x20]*)?(#[^\x00-\x20]*)?$"
+_PLAIN_SERIALIZED = (
+    _PLAIN_HEAD + r"/[A-Za-z0-9*\-._~%!$&'()+,/:;=@|\[\]]*(?:\?[A-Za-z0-9*\-._~%!$&()+,/:;=?@|\[\]]*)?"
+    r"(?:#[A-Za-z0-9*\-._~%!$&'()+,/:;=?@|\[\]]*)?$"
+)
 _AUTHORITY = r"(?s)^(?:(.*)@)?(\[[^\]]*\]|[^:@\[\]]*)(?::([0-9]*))?$"
 _FORBIDDEN_HOST = r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7F]"
 _DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
@@ -36,174 +43,188 @@ _FRAGMENT_KEEPS = "!#$&'()+,/:;=?@[]\\^{|}~"
 _USERINFO_KEEPS = "!$&'()+,~"
 
 
-def _clean(col: Column) -> Column:
-    no_breaks = F.regexp_replace(col, r"[\t\n\r]", "")
-    return F.regexp_replace(no_breaks, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+# The functions up to ``parse_http_url`` compose SQL text: the parser is one large expression that is used in
+# many places, and text is much cheaper to build than the same tree of Column objects.
 
 
-def _groups(col: Column, pattern: str, n: int) -> Column:
+def _matches(text: str, pattern: str) -> str:
+    return f"({text} rlike {sql_text(pattern)})"
+
+
+def _sub(text: str, pattern: str, replacement: str) -> str:
+    return f"regexp_replace({text}, {sql_text(pattern)}, {sql_text(replacement)})"
+
+
+def _group(text: str, pattern: str, n: int) -> str:
+    return f"regexp_extract({text}, {sql_text(pattern)}, {n})"
+
+
+def _groups(text: str, pattern: str, n: int) -> str:
     """All groups of one match as an array; a single-element array when nothing matches."""
     template = "\n".join(f"${i}" for i in range(1, n + 1))
-    return F.split(F.regexp_replace(col, pattern, template), "\n", -1)
+    return f"split({_sub(text, pattern, template)}, '\n', -1)"
 
 
-def _percent_encode(col: Column, keeps: str) -> Column:
+def _percent_encode(text: str, keeps: str) -> str:
     unsafe = "[^A-Za-z0-9*\\-._%" + "".join("\\" + ch for ch in keeps) + "]"
-    encoded = F.replace(F.url_encode(col), F.lit("+"), F.lit("%20"))
+    encoded = f"replace(url_encode({text}), '+', '%20')"
     for ch in keeps:
-        encoded = F.replace(encoded, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
-    encoded = F.replace(encoded, F.lit("%25"), F.lit("%"))
-    return F.when(col.rlike(unsafe), encoded).otherwise(col)
+        encoded = f"replace({encoded}, '%{ord(ch):02X}', {sql_text(ch)})"
+    return f"CASE WHEN {_matches(text, unsafe)} THEN replace({encoded}, '%25', '%') ELSE {text} END"
 
 
-def _percent_decode(col: Column) -> Column:
+def _percent_decode(text: str) -> str:
     """Form decoding: ``+`` is a space, stray percent signs stay."""
-    return F.url_decode(F.regexp_replace(col, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"url_decode({_sub(text, '%(?![0-9A-Fa-f]{2})', '%25')})"
+
+
+def _cleaned(text: str) -> str:
+    bare = _sub(_sub(text, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return f"CASE WHEN {_matches(text, '[' + chr(92) + 'x00-' + chr(92) + 'x20]')} THEN {bare} ELSE {text} END"
 
 
 # --- hosts ---------------------------------------------------------------------------------------
 
 
-def _ipv4_number(label: Column) -> Column:
-    def value(digits: Column, base: int) -> Column:
-        short = F.regexp_replace(digits, "^0+", "")
+def _ipv4_number(label: str) -> str:
+    def value(digits: str, base: int) -> str:
+        short = _sub(digits, "^0+", "")
         return (
-            F.when(F.length(short) == 0, F.lit(0).cast("bigint"))
-            .when(F.length(short) <= 11, F.conv(short, base, 10).cast("bigint"))
-            .otherwise(F.lit(1 << 40).cast("bigint"))
+            f"CASE WHEN length({short}) = 0 THEN 0L WHEN length({short}) <= 11 "
+            f"THEN CAST(conv({short}, {base}, 10) AS BIGINT) ELSE {1 << 40}L END"
         )
 
     return (
-        F.when(label.rlike("^0x[0-9a-f]*$"), value(F.substring(label, 3, 1 << 20), 16))
-        .when(label.rlike("^0[0-7]*$"), value(label, 8))
-        .when(label.rlike("^[1-9][0-9]*$"), value(label, 10))
+        f"CASE WHEN {_matches(label, '^0x[0-9a-f]*$')} THEN {value(f'substring({label}, 3)', 16)} "
+        f"WHEN {_matches(label, '^0[0-7]*$')} THEN {value(label, 8)} "
+        f"WHEN {_matches(label, '^[1-9][0-9]*$')} THEN {value(label, 10)} END"
     )
 
 
-def _ipv4(host: Column) -> Column:
+def _ipv4(host: str) -> str:
     """Dotted form of a numeric host (1 to 4 decimal, octal or hex parts), null when out of range."""
+    octets = ", ".join(f"CAST(pmod(shiftright(n4, {shift}), 256) AS STRING)" for shift in (24, 16, 8, 0))
+    heads = "slice(parts, 1, greatest(size(parts) - 1, 0))"
+    last = "element_at(parts, -1)"
+    room = "CAST(pow(256.0, 5 - size(parts)) AS BIGINT)"
+    number = f"aggregate({heads}, 0L, (acc, x) -> acc * 256 + x) * {room} + {last}"
+    valid = (
+        f"size(parts) <= 4 AND NOT exists(parts, x -> x IS NULL) AND NOT exists({heads}, x -> x > 255) AND {last} < {room}"
+    )
+    dotted = sql_let(number, "n4", f"concat_ws('.', {octets})")
+    labels = f"split({_sub(host, '[.]$', '')}, '[.]')"
+    return sql_let(
+        f"transform({labels}, label -> {_ipv4_number('label')})", "parts", f"CASE WHEN {valid} THEN {dotted} END")
 
-    def render(n: Column) -> Column:
-        octets = [F.pmod(F.shiftright(n, shift), F.lit(256)).cast("string") for shift in (24, 16, 8, 0)]
-        return F.concat_ws(".", *octets)
-
-    def combine(parts: Column) -> Column:
-        count = F.size(parts)
-        last = F.element_at(parts, -1)
-        heads = F.slice(parts, 1, F.greatest(count - 1, F.lit(0)))
-        room = F.pow(F.lit(256.0), F.lit(5) - count).cast("bigint")
-        high = F.aggregate(heads, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x)
-        ok = (
-            (count <= 4)
-            & ~F.exists(parts, lambda x: x.isNull())
-            & ~F.exists(heads, lambda x: x > 255)
-            & (last < room)
-        )
-        return F.when(ok, render(high * room + last))
 
-    return let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), _ipv4_number), combine)
+_V4_TAIL = r"^(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+_V6_SHAPE = r"^(?!.*:::)(?!.*::.*::)(?!:[^:])(?!.*[^:]:$)(?:[0-9a-f]{1,4}|::?)*$"
 
 
-def _ipv6(text: Column) -> Column:
+def _ipv6(text: str) -> str:
     """Compressed form of an IPv6 literal without brackets; null when it is not one."""
-    tail = F.regexp_extract(text, r"^(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", 1)
-
-    def quad(group: int) -> Column:
-        digits = F.regexp_extract(text, r"^(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", group)
-        return F.when(F.length(digits) > 0, digits.cast("int"))
-
-    def word(high: Column, low: Column) -> Column:
-        return F.lower(F.hex(high * 256 + low))
-
-    in_range = (quad(2) <= 255) & (quad(3) <= 255) & (quad(4) <= 255) & (quad(5) <= 255)
-    dotted = F.when(in_range, F.concat(tail, word(quad(2), quad(3)), F.lit(":"), word(quad(4), quad(5))))
-    plain = F.when(F.length(tail) > 0, dotted).otherwise(text)
-
-    def groups(part: Column) -> Column:
-        return F.when(F.length(part) == 0, F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-
-    def expand(halves: Column) -> Column:
-        left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-        missing = F.lit(8) - F.size(left) - F.size(right)
-        filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-        return F.when(
-            ((F.size(halves) == 2) & (missing >= 1)) | ((F.size(halves) == 1) & (missing == 0)),
-            F.array_join(F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":"),
-        )
-
-    def compress(full: Column) -> Column:
-        out = full
-        for run in range(2, 9):
-            pattern = r"^(.*?)(?:^|:)0(?::0){%d}(?:$|:)(.*)$" % (run - 1)
-            out = F.when(full.rlike(pattern), F.regexp_replace(full, pattern, "$1::$2")).otherwise(out)
-        return out
-
-    valid = plain.rlike(r"^(?:[0-9a-f]{1,4}|::?)*$") & plain.rlike(r"^(?!.*:::)(?!.*::.*::)(?!:[^:])(?!.*[^:]:$)")
-    return F.when(valid, let(let(F.split(plain, "::", -1), expand), compress))
-
-
-def _canonical_host(raw: Column) -> Column:
-    def ascii_form(host: Column) -> Column:
-        return F.when(host.rlike(r"[^\x00-\x7F]"), F.lower(F.try_reflect(
-            F.lit("java.net.IDN"), F.lit("toASCII"), host))).otherwise(F.lower(host))
-
-    def check(host: Column) -> Column:
-        return (
-            F.when((F.length(host) == 0) | host.rlike(_FORBIDDEN_HOST), F.lit(None).cast("string"))
-            .when(host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"), _ipv4(host))
-            .otherwise(host)
-        )
-
-    decoded = F.when(F.contains(raw, F.lit("%")), _percent_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
-    domain = let(ascii_form(decoded), check)
-    literal = F.concat(F.lit("["), _ipv6(F.lower(F.regexp_extract(raw, r"^\[(.*)\]$", 1))), F.lit("]"))
-    return F.when(F.startswith(raw, F.lit("[")), literal).otherwise(domain)
+    quads = ", ".join(f"CAST({_group('v6', _V4_TAIL, i)} AS INT)" for i in range(2, 6))
+    words = "lower(hex(q[0] * 256 + q[1])), ':', lower(hex(q[2] * 256 + q[3]))"
+    dotted = sql_let(
+        f"array({quads})", "q",
+        f"CASE WHEN array_max(q) <= 255 THEN concat({_group('v6', _V4_TAIL, 1)}, {words}) END")
+    plain = sql_let(text, "v6", f"CASE WHEN {_matches('v6', _V4_TAIL)} THEN {dotted} ELSE v6 END")
+
+    def groups(part: str) -> str:
+        return f"CASE WHEN length({part}) = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE split({part}, ':') END"
+
+    missing = "(8 - size(lr.l) - size(lr.r))"
+    filled = f"concat(lr.l, array_repeat('0', greatest({missing}, 0)), lr.r)"
+    joined = f"array_join(transform({filled}, g -> {_sub('g', '^0+(?=.)', '')}), ':')"
+    full = sql_let(
+        f"named_struct('n', size(halves), 'l', {groups('halves[0]')}, 'r', {groups(chr(39) * 2)})", "lr",
+        f"CASE WHEN lr.n = 1 AND {missing} = 0 THEN {joined} END")
+    halved = sql_let(
+        f"named_struct('l', {groups('halves[0]')}, 'r', {groups('halves[1]')})", "lr",
+        f"CASE WHEN {missing} >= 1 THEN {joined} END")
+    expanded = sql_let("split(six, '::', -1)", "halves", f"CASE WHEN size(halves) = 2 THEN {halved} ELSE {full} END")
+    compressed = "CASE"
+    for run in range(8, 1, -1):
+        zeros = r"^(.*?)(?:^|:)0(?::0){%d}(?:$|:)(.*)$" % (run - 1)
+        compressed += f" WHEN {_matches('whole', zeros)} THEN {_sub('whole', zeros, '$1::$2')}"
+    compressed += " ELSE whole END"
+    return sql_let(plain, "six", f"CASE WHEN {_matches('six', _V6_SHAPE)} THEN {sql_let(expanded, 'whole', compressed)} END")
+
+
+def _canonical_host(raw: str) -> str:
+    decoded = f"CASE WHEN contains({raw}, '%') THEN {_percent_decode(f'replace({raw}, {sql_text(chr(43))}, {sql_text(chr(37) + str(2) + chr(66))})')} ELSE {raw} END"
+    ascii_form = (
+        f"CASE WHEN {_matches('named', '[^ -~]')} THEN lower(try_reflect('java.net.IDN', 'toASCII', named)) ELSE lower(named) END"
+    )
+    checked = (
+        f"CASE WHEN length(host) = 0 OR {_matches('host', _FORBIDDEN_HOST)} THEN NULL "
+        f"WHEN {_matches('host', '(?:^|[.])(?:[0-9]+|0x[0-9a-f]*)[.]?$')} THEN {_ipv4('host')} ELSE host END"
+    )
+    domain = sql_let(sql_let(decoded, "named", ascii_form), "host", checked)
+    literal = f"concat('[', {_ipv6('lower(' + _group(raw, '^.(.*).$', 1) + ')')}, ']')"
+    return f"CASE WHEN startswith({raw}, '[') THEN {literal} ELSE {domain} END"
 
 
 # --- whole URLs ----------------------------------------------------------------------------------
 
 
-def _fold_dots(path: Column) -> Column:
+def _fold_dots(path: str) -> str:
     """Resolve ``.`` and ``..`` segments of a path that starts with a slash."""
-
-    def step(done: Column, segment: Column) -> Column:
-        plain = F.replace(F.lower(segment), F.lit("%2e"), F.lit("."))
-        return (
-            F.when(plain == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-            .when(plain == ".", done)
-            .otherwise(F.array_append(done, segment))
-        )
-
-    closed = F.regexp_replace(path, r"(?i)(/(?:\.|%2e){1,2})$", "$1/")
-    segments = F.split(F.substring(closed, 2, 1 << 30), "/", -1)
-    folded = F.aggregate(segments, F.array().cast("array<string>"), step)
-    return F.when(path.rlike(_DOT_SEGMENT), F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(path)
+    closed = _sub(path, r"(?i)(/(?:\.|%2e){1,2})$", "$1/")
+    plain = "replace(lower(segment), '%2e', '.')"
+    step = (
+        f"(done, segment) -> CASE WHEN {plain} = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) "
+        f"WHEN {plain} = '.' THEN done ELSE array_append(done, segment) END"
+    )
+    folded = f"aggregate(split(substring({closed}, 2), '/', -1), CAST(array() AS ARRAY<STRING>), {step})"
+    return f"CASE WHEN {_matches(path, _DOT_SEGMENT)} THEN concat('/', array_join({folded}, '/')) ELSE {path} END"
 
 
-def _canonical_path(raw: Column) -> Column:
-    slashed = F.replace(raw, F.lit("\\"), F.lit("/"))
-    rooted = F.when(F.length(slashed) == 0, F.lit("/")).otherwise(slashed)
-    return _fold_dots(_percent_encode(rooted, _PATH_KEEPS))
+def _canonical_path(raw: str) -> str:
+    slashed = f"replace({raw}, {sql_text(chr(92))}, '/')"
+    rooted = f"CASE WHEN length({raw}) = 0 THEN '/' ELSE {slashed} END"
+    return sql_let(sql_let(rooted, "rooted", _percent_encode("rooted", _PATH_KEEPS)), "path", _fold_dots("path"))
 
 
-def _port(scheme: Column, raw: Column) -> Column:
+def _port(scheme: str, raw: str) -> str:
     """Port text, '' for none or the default one, null when it is not a port."""
-    digits = F.regexp_replace(raw, "^0+(?=.)", "")
-    default = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
-    return (
-        F.when((F.length(digits) == 0) | (digits == default), F.lit(""))
-        .when((F.length(digits) <= 5) & (F.when(F.length(digits) <= 5, digits).cast("int") <= 65535), digits)
+    default = f"CASE WHEN {scheme} = 'http' THEN '80' ELSE '443' END"
+    return sql_let(
+        _sub(raw, "^0+(?=.)", ""), "digits",
+        f"CASE WHEN length(digits) = 0 OR digits = {default} THEN '' "
+        f"WHEN length(digits) <= 5 AND try_cast(digits AS INT) <= 65535 THEN digits END")
+
+
+def _userinfo(raw: str) -> str:
+    user = _percent_encode(_group(raw, "(?s)^([^:]*)", 1), _USERINFO_KEEPS)
+    password = _percent_encode(_group(raw, "(?s)^[^:]*:(.*)$", 1), _USERINFO_KEEPS)
+    both = sql_let(
+        f"named_struct('u', {user}, 'p', {password})", "login",
+        "CASE WHEN length(login.p) = 0 THEN login.u ELSE concat(login.u, ':', login.p) END")
+    return f"CASE WHEN length({raw}) = 0 THEN '' ELSE {both} END"
+
+
+def _parser() -> str:
+    parsed = (
+        f"named_struct('scheme', scheme, 'userinfo', {_userinfo('auth[0]')}, 'host', {_canonical_host('auth[1]')}, "
+        f"'port', {_port('scheme', 'auth[2]')}, 'path', {_canonical_path('found[2]')}, 'query', found[3], 'fragment', found[4])"
+    )
+    split_up = sql_let(
+        "lower(found[0])", "scheme",
+        sql_let(_groups("found[1]", _AUTHORITY, 3), "auth", f"CASE WHEN size(auth) = 3 THEN {parsed} END"))
+    whole = sql_let(
+        _groups("cleaned", _URL, 5), "found",
+        f"CASE WHEN size(found) = 5 THEN {sql_let(split_up, 'url', 'CASE WHEN url.host IS NOT NULL AND url.port IS NOT NULL THEN url END')} END")
+    plain = (
+        "named_struct('scheme', plain[0], 'userinfo', '', 'host', plain[1], 'port', '', "
+        "'path', CASE WHEN plain[2] = '' THEN '/' ELSE plain[2] END, 'query', plain[3], 'fragment', plain[4])"
     )
+    slow = sql_let(_cleaned("raw"), "cleaned", whole)
+    fast = sql_let(_groups("raw", _PLAIN, 5), "plain", f"CASE WHEN size(plain) = 5 THEN {plain} ELSE {slow} END")
+    return f"raw -> CASE WHEN contains(raw, '\n') THEN {slow} ELSE {fast} END"
 
 
-def _userinfo(raw: Column) -> Column:
-    user = _percent_encode(F.regexp_extract(raw, "(?s)^([^:]*)", 1), _USERINFO_KEEPS)
-    password = _percent_encode(F.regexp_extract(raw, "(?s)^[^:]*:(.*)$", 1), _USERINFO_KEEPS)
-    return (
-        F.when(F.length(raw) == 0, F.lit(""))
-        .when(F.length(password) == 0, user)
-        .otherwise(F.concat(user, F.lit(":"), password))
-    )
+_PARSER = _parser()
 
 
 def parse_http_url(col: Column | str) -> Column:
@@ -211,38 +232,13 @@ def parse_http_url(col: Column | str) -> Column:
 
     ``query`` and ``fragment`` keep their ``?`` / ``#`` and are '' when absent.
     """
+    return apply_sql(as_col(col), _PARSER)
 
-    def assemble(parts: Column) -> Column:
-        scheme = F.lower(F.get(parts, F.lit(0)))
-
-        def build(authority: Column) -> Column:
-            host = _canonical_host(F.get(authority, F.lit(1)))
-            port = _port(scheme, F.get(authority, F.lit(2)))
-            parsed = F.struct(
-                scheme.alias("scheme"),
-                _userinfo(F.get(authority, F.lit(0))).alias("userinfo"),
-                host.alias("host"),
-                port.alias("port"),
-                _canonical_path(F.get(parts, F.lit(2))).alias("path"),
-                F.get(parts, F.lit(3)).alias("query"),
-                F.get(parts, F.lit(4)).alias("fragment"),
-            )
-            return F.when(F.size(authority) == 3, parsed)
-
-        return F.when(F.size(parts) == 5, let(_groups(F.get(parts, F.lit(1)), _AUTHORITY, 3), build))
-
-    parsed = let(_groups(_clean(as_col(col)), _URL, 5), assemble)
-    return let(parsed, lambda p: F.when(p["host"].isNotNull() & p["port"].isNotNull(), p))
-
-
-def _origin(parts: Column) -> Column:
-    return F.concat(
-        parts["scheme"],
-        F.lit("://"),
-        F.when(F.length(parts["userinfo"]) > 0, F.concat(parts["userinfo"], F.lit("@"))).otherwise(F.lit("")),
-        parts["host"],
-        F.when(F.length(parts["port"]) > 0, F.concat(F.lit(":"), parts["port"])).otherwise(F.lit("")),
-    )
+
+_ORIGIN = (
+    "concat(p.scheme, '://', CASE WHEN length(p.userinfo) > 0 THEN concat(p.userinfo, '@') ELSE '' END, p.host, "
+    "CASE WHEN length(p.port) > 0 THEN concat(':', p.port) ELSE '' END)"
+)
 
 
 def normalize_path(path: Column | str) -> Column:
@@ -255,10 +251,12 @@ def query_params(query: Column | str) -> Column:
     """Decoded (key, value) structs of a query string in their original order."""
 
     def pair(item: Column) -> Column:
+        def decoded(pattern: str) -> Column:
+            raw = F.regexp_extract(item, pattern, 1)
+            return F.url_decode(F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25"))
+
         return F.struct(
-            _percent_decode(F.regexp_extract(item, "(?s)^([^=]*)", 1)).alias("key"),
-            _percent_decode(F.regexp_extract(item, "(?s)^[^=]*=(.*)$", 1)).alias("value"),
-        )
+            decoded("(?s)^([^=]*)").alias("key"), decoded("(?s)^[^=]*=(.*)$").alias("value"))
 
     items = F.split(F.regexp_replace(as_col(query), r"^\?", ""), "&", -1)
     return F.transform(F.filter(items, lambda item: F.length(item) > 0), pair)
@@ -293,65 +291,100 @@ def encode_params(params: Column | str) -> Column:
     return F.array_join(pairs, "&")
 
 
+def _normalizer() -> str:
+    """The normalization of a parsed URL ``p`` as SQL text, with the same steps as the functions above."""
+    item = "CAST(item AS STRING)"
+    decoded = [
+        _percent_decode(_group(item, pattern, 1)) for pattern in ("(?s)^([^=]*)", "(?s)^[^=]*=(.*)$")
+    ]
+    params = (
+        f"transform(filter(split(substring(p.query, 2), '&', -1), item -> length(item) > 0), "
+        f"item -> named_struct('key', {decoded[0]}, 'value', {decoded[1]}))"
+    )
+    keys = ", ".join(sql_text(k) for k in TRACKING_KEYS)
+    kept = f"filter({params}, kv -> NOT (startswith(lower(kv.key), {sql_text(TRACKING_PREFIX)}) OR lower(kv.key) IN ({keys})))"
+    ranked = (
+        "transform(kept, (kv, i) -> named_struct('k', collate(kv.key, 'UNICODE'), 'v', collate(kv.value, 'UNICODE'), "
+        "'i', i, 'key', kv.key, 'value', kv.value))"
+    )
+
+    def encoded(source: str) -> str:
+        return f"array_join(transform({source}, e -> concat(url_encode(e.key), '=', url_encode(e.value))), '&')"
+
+    query = (
+        f"CASE WHEN size(kept) = 0 THEN '' WHEN size(kept) = 1 THEN concat('?', {encoded('kept')}) "
+        f"ELSE concat('?', {encoded(f'array_sort({ranked})')}) END"
+    )
+    suffix = f"CASE WHEN length(p.query) <= 1 THEN '' ELSE {sql_let(kept, 'kept', query)} END"
+    path = sql_let(
+        f"CASE WHEN contains(p.path, '//') THEN {_sub('p.path', '/{2,}', '/')} ELSE p.path END", "path",
+        f"CASE WHEN path = '/' OR NOT endswith(path, '/') THEN path ELSE {_sub('path', '/+$', '')} END")
+    return f"p -> concat({_ORIGIN}, {path}, {suffix})"
+
+
+_NORMALIZER = _normalizer()
+
+
 def normalize_parts(parts: Column) -> Column:
     """Comparable form of a parsed URL: no fragment, no tracking, sorted parameters."""
-    query = let(strip_tracking(query_params(parts["query"])), lambda p: encode_params(sort_params(p)))
-    suffix = F.when(F.length(parts["query"]) <= 1, F.lit("")).otherwise(
-        let(query, lambda q: F.when(F.length(q) > 0, F.concat(F.lit("?"), q)).otherwise(q))
-    )
-    return F.concat(_origin(parts), normalize_path(parts["path"]), suffix)
+    return apply_sql(parts, _NORMALIZER)
 
 
 def normalize_url(col: Column | str) -> Column:
-    return let(parse_http_url(col), normalize_parts)
+    return normalize_parts(parse_http_url(col))
 
 
 def safe_normalize(col: Column | str) -> Column:
     return F.coalesce(normalize_url(col), as_col(col))
 
 
+def _serializer() -> str:
+    query = _percent_encode("p.query", _QUERY_KEEPS)
+    fragment = _percent_encode("p.fragment", _FRAGMENT_KEEPS)
+    return (
+        f"p -> concat({_ORIGIN}, p.path, CASE WHEN length(p.query) <= 1 THEN p.query ELSE {query} END, "
+        f"CASE WHEN length(p.fragment) <= 1 THEN p.fragment ELSE {fragment} END)"
+    )
+
+
+_SERIALIZER = _serializer()
+
+
 def canonical_url(col: Column | str) -> Column:
     """Serialized form of an absolute http(s) URL, keeping query order and fragment."""
+    raw = as_col(col)
+    return F.when(raw.rlike(_PLAIN_SERIALIZED), raw).otherwise(apply_sql(parse_http_url(raw), _SERIALIZER))
+
+
+def _joiner() -> str:
+    """Absolute text for reference ``s.ref`` seen from the parsed base ``s.base``."""
+    origin = sql_let("s.base", "p", _ORIGIN)
+    same_scheme = f"(lower(ref0) rlike concat('(?s)^', s.base.scheme, ':(?!/|{chr(92) * 4}).*$'))"
+    bare = sql_let(_cleaned("s.ref"), "ref0", f"CASE WHEN {same_scheme} THEN {_sub('ref0', _SCHEME, '')} ELSE ref0 END")
+    joined = (
+        f"CASE WHEN {_matches('r', _SCHEME)} THEN r "
+        f"WHEN {_matches('r', r'^[/\\]{2}')} THEN concat(s.base.scheme, ':', r) "
+        f"WHEN {_matches('r', r'^[/\\]')} THEN concat({origin}, r) "
+        f"WHEN length(r) = 0 THEN concat({origin}, s.base.path, s.base.query) "
+        f"WHEN startswith(r, '?') THEN concat({origin}, s.base.path, r) "
+        f"WHEN startswith(r, '#') THEN concat({origin}, s.base.path, s.base.query, r) "
+        f"ELSE concat({origin}, {_sub('s.base.path', '[^/]*$', '')}, r) END"
+    )
+    return f"s -> CASE WHEN s.base IS NOT NULL THEN {sql_let(bare, 'r', joined)} END"
 
-    def serialize(parts: Column) -> Column:
-        query = F.when(F.length(parts["query"]) <= 1, parts["query"]).otherwise(
-            _percent_encode(parts["query"], _QUERY_KEEPS))
-        fragment = F.when(F.length(parts["fragment"]) <= 1, parts["fragment"]).otherwise(
-            _percent_encode(parts["fragment"], _FRAGMENT_KEEPS))
-        return F.concat(_origin(parts), parts["path"], query, fragment)
 
-    return let(parse_http_url(col), serialize)
+_JOINER = _joiner()
 
 
 def resolve_url(href: Column | str, base: Column | str) -> Column:
     """Absolute form of ``href`` seen from ``base``; null when either cannot be parsed."""
+    both = F.struct(parse_http_url(base).alias("base"), as_col(href).alias("ref"))
 
-    def against(parts: Column, ref: Column) -> Column:
-        same_scheme = F.concat(F.lit("(?is)^"), parts["scheme"], F.lit(r":(?![/\\]).*$"))
-        relative = F.when(F.rlike(ref, same_scheme), F.regexp_replace(ref, _SCHEME, "")).otherwise(ref)
-
-        def absolute(rest: Column) -> Column:
-            origin, path, query = _origin(parts), parts["path"], parts["query"]
-            directory = F.regexp_replace(path, "[^/]*$", "")
-            return (
-                F.when(rest.rlike(_SCHEME), rest)
-                .when(rest.rlike(r"^[/\\]{2}"), F.concat(parts["scheme"], F.lit(":"), rest))
-                .when(rest.rlike(r"^[/\\]"), F.concat(origin, rest))
-                .when(F.length(rest) == 0, F.concat(origin, path, query))
-                .when(F.startswith(rest, F.lit("?")), F.concat(origin, path, rest))
-                .when(F.startswith(rest, F.lit("#")), F.concat(origin, path, query, rest))
-                .otherwise(F.concat(origin, directory, rest))
-            )
-
-        def finish(target: Column) -> Column:
-            other = target.rlike(_SCHEME) & ~target.rlike("(?i)^https?:")
-            return F.when(other, target).otherwise(canonical_url(target))
+    def finish(target: Column) -> Column:
+        other = target.rlike(_SCHEME) & ~target.rlike("(?i)^https?:")
+        return F.when(other, target).otherwise(canonical_url(target))
 
-        return let(let(relative, absolute), finish)
-
-    ref = _clean(as_col(href))
-    return let(F.struct(parse_http_url(base).alias("base"), ref.alias("ref")),
-               lambda s: F.when(s["base"].isNotNull(), against(s["base"], s["ref"])))
+    return let(apply_sql(both, _JOINER), finish)
 
 
 # --- domains and the outbound guard --------------------------------------------------------------
@@ -400,10 +433,13 @@ def is_blocked_ip(host: Column | str) -> Column:
     return F.when(value.rlike(quad), v4).otherwise(v6)
 
 
+def outside_reason(host: Column, domain: Column | str) -> Column:
+    return F.concat(F.lit("Outbound host "), host, F.lit(" is outside competitor domain "), as_col(domain))
+
+
 def guard_parts(parts: Column, raw: Column, domain: Column | str) -> Column:
     """Reason to refuse a parsed URL, null when it may be requested."""
     host = parts["host"]
-    outside = F.concat(F.lit("Outbound host "), host, F.lit(" is outside competitor domain "), as_col(domain))
     return (
         F.when(parts.isNull() & raw.rlike(_SCHEME) & ~raw.rlike("(?i)^https?:"), F.lit(REASON_SCHEME))
         .when(parts.isNull(), F.lit(REASON_INVALID))
@@ -411,7 +447,7 @@ def guard_parts(parts: Column, raw: Column, domain: Column | str) -> Column:
         .when(host.isin("localhost", "localhost.localdomain") | F.endswith(host, F.lit(".localhost")),
               F.lit(REASON_LOCALHOST))
         .when(is_blocked_ip(host), F.lit(REASON_PRIVATE_IP))
-        .when(~host_within(host, domain), outside)
+        .when(~host_within(host, domain), outside_reason(host, domain))
     )
 
 

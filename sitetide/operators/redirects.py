@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import let
-from sitetide.functions.urls import canonical_url, guard_parts, parse_http_url, resolve_url
+from sitetide.functions.urls import (
+    canonical_url,
+    guard_parts,
+    host_within,
+    outside_reason,
+    parse_http_url,
+    resolve_url,
+)
+from sitetide.session import cut_lineage
 
 # Statuses that carry a location to follow.
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
@@ -16,10 +24,30 @@ REFUSED_CODE = "OUTBOUND_REFUSED"
 NOT_LANDED_CODE = "NOT_LANDED"
 
 
-def _refusal(url: str, domain: str):
+def _refusal(url: str, domain: str) -> Column:
     return let(parse_http_url(url), lambda p: guard_parts(p, F.col(url), domain))
 
 
+def redirect_steps(responses: DataFrame) -> DataFrame:
+    """One row per redirecting response: where it leads and whether that target may ever be requested.
+
+    Resolution and the domain-independent part of the guard are settled here, once per response, so a hop
+    only compares a host with a domain.
+    """
+    moving = responses.filter(F.col("status").isin(REDIRECT_STATUSES) & (F.length("location") > 0)).select(
+        canonical_url("url").alias("_key"), F.col("status").alias("_hop_status"), "location")
+    resolved = moving.withColumn("_next", resolve_url("location", "_key"))
+    checked = resolved.withColumn(
+        "_target",
+        let(parse_http_url("_next"), lambda p: F.struct(
+            guard_parts(p, F.coalesce("_next", F.lit("")), p["host"]).alias("reason"), p["host"].alias("host"))),
+    )
+    return checked.select(
+        "_key", "_hop_status", "_next", F.col("_target.reason").alias("_never"), F.col("_target.host").alias("_host"),
+        F.lit(True).alias("_moves"),
+    ).dropDuplicates(["_key"])
+
+
 def resolve_redirects(
     requests: DataFrame,
     responses: DataFrame,
@@ -30,17 +58,12 @@ def resolve_redirects(
 
     Adds ``final_url``, ``redirect_chain``, ``error_code``, ``error`` and, from the last response,
     ``status``, ``content_type``, ``content_length`` and ``body``. A chain that fails keeps its request URL
-    and an empty chain. Hops join only the slim set of redirecting responses (no bodies); the landed
-    table itself is joined once, at the end. Requests already at rest get a key of their own, so they
+    and an empty chain. Hops join only the slim set of redirecting responses (no bodies, written once
+    because every hop reads it); the landed table itself is joined once, at the end. Requests already at rest get a key of their own, so they
     spread over all partitions and find no partner.
     """
     keys = keys or [c for c in requests.columns if c not in ("url", "domain")]
-    hops = (
-        responses.filter(F.col("status").isin(REDIRECT_STATUSES) & (F.length("location") > 0))
-        .select(canonical_url("url").alias("_key"), F.col("status").alias("_hop_status"),
-                F.col("location").alias("_location"))
-        .dropDuplicates(["_key"])
-    )
+    hops = cut_lineage(redirect_steps(responses))
     state = requests.select(
         *keys,
         "url",
@@ -54,27 +77,29 @@ def resolve_redirects(
     resting = F.concat(F.lit("-"), F.xxhash64("url", *keys).cast("string"))
     for hop in range(max_redirects + 1):
         state = state.withColumn("_key", F.when(F.col("_rest"), resting).otherwise(F.col("_current")))
-        joined = state.join(hops, "_key", "left").withColumn("_moves", F.col("_location").isNotNull())
+        joined = state.join(hops, "_key", "left")
+        moves = F.coalesce("_moves", F.lit(False))
         if hop == max_redirects:
             state = joined.withColumns(
                 {
                     "_limit_status": F.col("_hop_status"),
-                    "error": F.when(F.col("_moves"), F.lit(f"More than {max_redirects} redirects")).otherwise(
-                        F.col("error")),
+                    "error": F.when(moves, F.lit(f"More than {max_redirects} redirects")).otherwise(F.col("error")),
                 }
             )
         else:
-            joined = joined.withColumn("_next", F.when(F.col("_moves"), resolve_url("_location", "_current")))
-            refused = F.when(F.col("_moves"), F.coalesce(_refusal("_next", "domain"), F.lit("")))
-            joined = joined.withColumn("_refused", refused)
-            goes_on = F.col("_refused") == ""
-            state = joined.withColumns(
+            refused = F.coalesce(
+                F.col("_never"),
+                F.when(~host_within(F.col("_host"), "domain"), outside_reason(F.col("_host"), "domain")))
+            goes_on = F.col("_goes_on")
+            state = joined.withColumn("_refused", F.when(moves, refused)).withColumn(
+                "_goes_on", moves & F.col("_refused").isNull()
+            ).withColumns(
                 {
                     "redirect_chain": F.when(goes_on, F.array_append("redirect_chain", F.col("_next"))).otherwise(
                         F.col("redirect_chain")),
                     "_current": F.when(goes_on, F.col("_next")).otherwise(F.col("_current")),
-                    "error": F.when(F.length("_refused") > 0, F.col("_refused")).otherwise(F.col("error")),
-                    "_rest": ~F.coalesce(goes_on, F.lit(False)),
+                    "error": F.coalesce("_refused", "error"),
+                    "_rest": ~goes_on,
                 }
             )
         state = state.select(*keys, "url", "domain", "_current", "redirect_chain", "_limit_status", "error", "_rest")
@@ -101,12 +126,13 @@ def resolve_redirects(
     )
     out = settled.join(last, "_key", "left")
     missing = F.col("_chain_error").isNull() & F.col("_landed").isNull()
+    settles = ~missing
     return out.select(
         *keys,
         "url",
         "domain",
-        "final_url",
-        "redirect_chain",
+        F.when(settles, F.col("final_url")).otherwise(F.col("url")).alias("final_url"),
+        F.when(settles, F.col("redirect_chain")).otherwise(F.array().cast("array<string>")).alias("redirect_chain"),
         F.coalesce("_limit_status", "status").alias("status"),
         "content_type",
         "content_length",
