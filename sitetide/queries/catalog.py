@@ -1,4 +1,10 @@
 """All registered queries."""
 
-from sitetide.queries import html_queries, url_queries  # noqa: F401
+from sitetide.queries import (  # noqa: F401
+    html_queries,
+    lifecycle_queries,
+    page_queries,
+    sitemap_queries,
+    url_queries,
+)
 from sitetide.queries.registry import ORACLES, QUERIES  # noqa: F401

@@ -275,7 +275,7 @@ def page_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_ANALYSES_SQL = """
   page_analyses AS (
     SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS page_id,
-      CASE WHEN event_type = 'purchase' THEN 'success' ELSE 'failed' END AS status, ts AS at,
+      CASE WHEN event_type = 'purchase' THEN 'success' ELSE 'failed' END AS status, ts AS happened,
       CASE WHEN event_type = 'purchase' THEN ['product', 'blog', 'guide'][event_id % 3 + 1] END AS page_type,
       CASE WHEN event_type = 'purchase' THEN 'Keyword ' || CAST(event_id % 50 AS VARCHAR) END AS primary_keyword,
       CASE WHEN event_type = 'purchase' THEN ['commercial', 'informational'][event_id % 2 + 1] END AS search_intent
@@ -283,7 +283,7 @@ PAGE_ANALYSES_SQL = """
   ),
   latest AS (
     SELECT * FROM page_analyses QUALIFY row_number() OVER (
-      PARTITION BY page_id ORDER BY CASE WHEN status = 'success' THEN 0 ELSE 1 END, at DESC, id DESC) = 1
+      PARTITION BY page_id ORDER BY CASE WHEN status = 'success' THEN 0 ELSE 1 END, happened DESC, id DESC) = 1
   )"""
 
 

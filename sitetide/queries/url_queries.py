@@ -64,7 +64,7 @@ WITH {I.VARIANTS_SQL}
 SELECT page_id, variant,
   len(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> ''))::BIGINT AS params,
   array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'),
-    x -> x <> '' and not regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|msclkid)(=|$)')), '&') AS kept
+    lambda x: x <> '' and not regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|msclkid)(=|$)')), '&') AS kept
 FROM v""")
 def strip_tracking(spark, sf):
     params = U.query_params(F.regexp_extract("url", r"\?([^#]*)", 1))
