@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitetide.operators import diff as D
@@ -9,6 +11,8 @@ from sitetide.operators import lifecycle as L
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 from sitetide.schemas import conform, empty_table
+from sitetide.session import shared_dir
+from sitetide.streaming.lifecycle_stream import SCAN_SCHEMA, read_lifecycle_state, start_lifecycle_stream
 
 WITH_DIFF = f"WITH {I.state_pages_sql()}, {I.CURRENT_SQL}, {I.SCANS_SQL}, {I.DIFF_SQL}"
 
@@ -201,9 +205,10 @@ def history(spark, sf):
 
 
 # Row-by-row expansion of the same rules: every URL against every scan after its first complete sighting.
-HISTORY_SQL = """
-WITH RECURSIVE sightings AS (SELECT DISTINCT event_type AS c, CAST(user_id AS VARCHAR) AS u, CAST(day(ts) AS BIGINT) AS s FROM events),
-scan AS (SELECT DISTINCT c, s, s % 4 <> 0 AS complete FROM sightings),
+def history_sql(scan: str, complete: str) -> str:
+    return f"""
+WITH RECURSIVE sightings AS (SELECT DISTINCT event_type AS c, CAST(user_id AS VARCHAR) AS u, CAST({scan} AS BIGINT) AS s FROM events),
+scan AS (SELECT DISTINCT c, s, {complete} AS complete FROM sightings),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY s) AS n FROM scan),
 base AS (SELECT c, min(s) FILTER (complete) AS b FROM scan GROUP BY 1),
 urls AS (SELECT DISTINCT c, u FROM sightings),
@@ -229,6 +234,9 @@ walk AS (
 """
 
 
+HISTORY_SQL = history_sql("day(ts)", "s % 4 <> 0")
+
+
 @query("lifecycle_replay", f"""{HISTORY_SQL}
 SELECT c AS competitor_id, u AS url, status AS lifecycle_status, CAST(streak AS BIGINT) AS missing_streak, first_seen AS first_seen_scan, last_seen AS last_seen_scan
 FROM walk w WHERE status IS NOT NULL AND n = (SELECT max(n) FROM numbered m WHERE m.c = w.c)""")
@@ -240,3 +248,28 @@ def lifecycle_replay(spark, sf):
 SELECT c AS competitor_id, u AS url, s AS scan_no, event AS event_type FROM walk WHERE event IS NOT NULL""")
 def replay_events(spark, sf):
     return L.lifecycle_replay(*history(spark, sf)).events
+
+
+STREAM_SQL = history_sql("(day(ts) - 1) // 6", "s % 4 <> 1")
+
+
+@query("stream_lifecycle", f"""{STREAM_SQL}
+SELECT c AS competitor_id, u AS url, status AS lifecycle_status, CAST(streak AS BIGINT) AS missing_streak
+FROM walk w WHERE status IS NOT NULL AND n = (SELECT max(n) FROM numbered m WHERE m.c = w.c)""")
+def stream_lifecycle(spark, sf):
+    """Six-day scans of the event history, landed as files and applied by the stream."""
+    number = F.expr("(dayofmonth(ts) - 1) DIV 6")
+    events = I.read(spark, sf, "events").select(
+        F.col("event_type").alias("competitor_id"), F.col("user_id").cast("string").alias("url"), number.alias("scan_no")).distinct()
+    none = F.lit(None).cast("string")
+    rows = events.select(
+        F.concat("competitor_id", F.lit("-"), F.col("scan_no").cast("string")).alias("scan_run_id"), "competitor_id",
+        F.timestamp_seconds(F.lit(1704067200) + F.col("scan_no") * 86400).alias("scanned_at"), (F.col("scan_no") % 4 != 1).alias("is_complete"),
+        "url", F.col("url").alias("normalized_url"), none.alias("lastmod"), none.alias("source_url"))
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/landed")
+    source = spark.readStream.schema(SCAN_SCHEMA).parquet(f"{root}/landed")
+    start_lifecycle_stream(source, f"{root}/state", f"{root}/progress").awaitTermination()
+    pages = read_lifecycle_state(spark, f"{root}/state")["pages"]
+    return pages.select(
+        "competitor_id", F.col("normalized_url").alias("url"), "lifecycle_status", F.col("missing_streak").cast("bigint").alias("missing_streak"))

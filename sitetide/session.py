@@ -25,15 +25,19 @@ def build_session(app_name: str = "sitetide", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors can reach: the configured checkpoint folder, a scratch one only when unset."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    return configured or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="run-")
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files every executor can reach.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
     unset (tests, local runs) a scratch folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=eager)
