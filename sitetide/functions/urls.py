@@ -220,8 +220,8 @@ def _parser() -> str:
         "'path', CASE WHEN plain[2] = '' THEN '/' ELSE plain[2] END, 'query', plain[3], 'fragment', plain[4])"
     )
     slow = sql_let(_cleaned("raw"), "cleaned", whole)
-    fast = sql_let(_groups("raw", _PLAIN, 5), "plain", f"CASE WHEN size(plain) = 5 THEN {plain} ELSE {slow} END")
-    return f"raw -> CASE WHEN contains(raw, '\n') THEN {slow} ELSE {fast} END"
+    fits = "size(plain) = 5 AND NOT contains(raw, '\\n')"
+    return "raw -> " + sql_let(_groups("raw", _PLAIN, 5), "plain", f"CASE WHEN {fits} THEN {plain} ELSE {slow} END")
 
 
 _PARSER = _parser()

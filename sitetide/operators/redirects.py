@@ -75,7 +75,8 @@ def resolve_redirects(
         F.lit(False).alias("_rest"),
     ).withColumn("_rest", F.col("error").isNotNull())
     resting = F.concat(F.lit("-"), F.xxhash64("url", *keys).cast("string"))
-    for hop in range(max_redirects + 1):
+    rounds = 0 if hops.isEmpty() else max_redirects + 1
+    for hop in range(rounds):
         state = state.withColumn("_key", F.when(F.col("_rest"), resting).otherwise(F.col("_current")))
         joined = state.join(hops, "_key", "left")
         moves = F.coalesce("_moves", F.lit(False))
