@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitetide.functions.text import make_id, trim_ws
 from sitetide.functions.urls import normalize_domain, normalize_url
+from sitetide.operators.joins import join_dimension
 from sitetide.operators.merge import merge_by_key, take
 from sitetide.operators.windows import first_wins
 from sitetide.schemas import conform
@@ -160,7 +161,7 @@ def soft_delete(state: State, ids: DataFrame, as_of: Column) -> Change:
     marks = gone.select(F.col("id").alias("competitor_id"), F.lit(True).alias("_gone"))
 
     def marked(name: str, hit: Column, values: dict[str, Column]) -> DataFrame:
-        rows = state[name].join(marks, "competitor_id", "left")
+        rows = join_dimension(state[name], marks, ["competitor_id"], ["id"], "left")
         return rows.withColumns(
             {c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).select(*state[name].columns)
 

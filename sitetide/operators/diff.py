@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitetide.operators.joins import join_dimension
+
 KEY = ["competitor_id", "normalized_url"]
 
 NEW = "new"
@@ -37,12 +39,13 @@ def classify_scan(current: DataFrame, pages: DataFrame, scans: DataFrame) -> Dat
     current: competitor_id, normalized_url, url, lastmod, source_url, one row per key.
     scans: competitor_id, scan_run_id, is_complete, one row per competitor being scanned.
     One full outer join on (competitor_id, normalized_url): the URL in the key spreads even a site that
-    holds a large share of all pages.
+    holds a large share of all pages, and the scan row is joined with salted keys.
     """
     entries = current.select(*KEY, F.struct("url", "lastmod", "source_url").alias("entry"))
     known = pages.select(*KEY, F.struct(*pages.columns).alias("page"))
     runs = scans.select("competitor_id", F.struct("scan_run_id", "is_complete").alias("scan"))
-    joined = entries.join(known, KEY, "full_outer").join(runs, "competitor_id", "left")
+    joined = join_dimension(
+        entries.join(known, KEY, "full_outer"), runs, ["competitor_id"], ["normalized_url"], "left")
     deleted = F.col("page.deleted_at").isNotNull() if "deleted_at" in pages.columns else F.lit(False)
     kind = change_type(
         F.col("entry").isNotNull(),

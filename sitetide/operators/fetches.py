@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitetide.functions.html import SEO_FIELDS, blank_seo, extract_seo
 from sitetide.functions.jsons import safe_json
 from sitetide.functions.text import EXCERPT_CHARS, clip, make_id
+from sitetide.operators.joins import join_dimension
 from sitetide.operators.lifecycle import append_events, new_events
 from sitetide.operators.merge import merge_by_key, take
 from sitetide.operators.redirects import LIMIT_CODE
@@ -150,7 +151,8 @@ def fetch_targets(ids: DataFrame, pages: DataFrame, competitors: DataFrame) -> D
     """(page_id, competitor_id, url, domain) of the pages to fetch."""
     wanted = pages.select(F.col("id").alias("page_id"), "competitor_id", F.col("current_url").alias("url")).join(
         ids.select("page_id"), "page_id", "left_semi")
-    return wanted.join(competitors.select(F.col("id").alias("competitor_id"), "domain"), "competitor_id")
+    domains = competitors.select(F.col("id").alias("competitor_id"), "domain")
+    return join_dimension(wanted, domains, ["competitor_id"], ["page_id"])
 
 
 def save_fetches(state: dict[str, DataFrame], results: DataFrame, as_of: Column) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from sitetide.functions.jsons import safe_json
 from sitetide.functions.text import make_id
 from sitetide.functions.urls import safe_normalize
 from sitetide.operators import diff as D
+from sitetide.operators.joins import join_dimension
 from sitetide.operators.merge import insert_or_ignore, merge_by_key, take
 from sitetide.schemas import TABLES, conform
 
@@ -101,7 +102,8 @@ def establish_baseline(state: State, entries: DataFrame, scans: DataFrame, as_of
     entries: competitor_id, normalized_url, url, lastmod, source_url; scans: competitor_id, scan_run_id.
     Existing pages and existing ``baseline_added`` events are left alone, so a retry changes nothing.
     """
-    rows = entries.join(scans.select("competitor_id", "scan_run_id"), "competitor_id")
+    rows = join_dimension(
+        entries, scans.select("competitor_id", "scan_run_id"), ["competitor_id"], ["normalized_url"])
     pages = insert_or_ignore(state["pages"], new_page_rows(rows, "baseline", as_of), D.KEY)
     listed = rows.select(*D.KEY, "scan_run_id", "lastmod", "source_url").join(
         pages.select(*D.KEY, F.col("id").alias("page_id")), D.KEY)
@@ -226,7 +228,8 @@ def lifecycle_replay(scans: DataFrame, sightings: DataFrame, bucket: Column | No
 
     scans: competitor_id, scan_no (ordered), is_complete. sightings: competitor_id, url, scan_no.
     Works on sightings only: every scan knows how many complete scans came up to it, so the absences
-    between two sightings are a difference of two counts and absent (URL, scan) pairs never become rows.
+    between two sightings are a difference of two counts and absent (URL, scan) pairs never become rows. A
+    (competitor, URL) window holds at most one row per scan; scans that list very many URLs are salted.
     """
     bucket = F.floor(F.col("scan_no") / 512) if bucket is None else bucket
     counted = running_count(
@@ -236,9 +239,9 @@ def lifecycle_replay(scans: DataFrame, sightings: DataFrame, bucket: Column | No
 
     history = Window.partitionBy("competitor_id", "url").orderBy("scan_no")
     so_far = history.rowsBetween(Window.unboundedPreceding, 0)
+    distinct = sightings.select("competitor_id", "url", "scan_no").distinct()
     seen = (
-        sightings.select("competitor_id", "url", "scan_no").distinct()
-        .join(counted, ["competitor_id", "scan_no"])
+        join_dimension(distinct, counted, ["competitor_id", "scan_no"], ["url"])
         .withColumn("_started", F.max("is_complete").over(so_far))
         .filter("_started")
         .withColumns(
@@ -250,8 +253,8 @@ def lifecycle_replay(scans: DataFrame, sightings: DataFrame, bucket: Column | No
                 "_first_scan": F.first("scan_no").over(so_far),
             }
         )
-        .join(totals, "competitor_id")
     )
+    seen = join_dimension(seen, totals, ["competitor_id"], ["url"])
     absences = F.col("done") - F.col("is_complete").cast("bigint") - F.col("_previous")
     status = (
         F.when(F.col("_previous").isNull() & (F.col("done") == 1), F.lit("baseline"))
@@ -279,7 +282,8 @@ def lifecycle_replay(scans: DataFrame, sightings: DataFrame, bucket: Column | No
     confirmed = (
         seen.filter(gap >= D.CONFIRM_AFTER)
         .select("competitor_id", "url", (F.col("done") + D.CONFIRM_AFTER).alias("done"))
-        .join(counted.filter("is_complete").select("competitor_id", "done", "scan_no"), ["competitor_id", "done"])
-        .select("competitor_id", "url", "scan_no", F.lit("missing_confirmed").alias("event_type"))
     )
+    complete = counted.filter("is_complete").select("competitor_id", "done", "scan_no")
+    confirmed = join_dimension(confirmed, complete, ["competitor_id", "done"], ["url"]).select(
+        "competitor_id", "url", "scan_no", F.lit("missing_confirmed").alias("event_type"))
     return Replay(state, sighted.unionByName(confirmed))

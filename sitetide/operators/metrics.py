@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sitetide.functions.times import RECENT_WINDOW, ago, shanghai_day_start, utc_day_start
 
+from sitetide.operators.joins import join_dimension
+
 
 def metrics_events(events: DataFrame, as_of: Column) -> DataFrame:
     """New pages by ``discovered`` events: since the business day began, since seven days."""
@@ -19,7 +21,7 @@ def metrics_events(events: DataFrame, as_of: Column) -> DataFrame:
 def active_pages(pages: DataFrame, competitors: DataFrame) -> DataFrame:
     """Non-deleted pages of non-deleted competitors."""
     active = competitors.filter("deleted_at IS NULL").select(F.col("id").alias("competitor_id"))
-    return pages.filter("deleted_at IS NULL").join(active, "competitor_id", "left_semi")
+    return join_dimension(pages.filter("deleted_at IS NULL"), active, ["competitor_id"], ["id"], "left_semi")
 
 
 def metrics_status(pages: DataFrame, competitors: DataFrame, as_of: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitetide.functions.text import contains_pattern, effective
 from sitetide.functions.times import moment
+from sitetide.operators.joins import join_dimension
 from sitetide.operators.reviews import review_defaults
 from sitetide.operators.windows import latest_analysis, timeline
 
@@ -59,8 +60,8 @@ def page_list(
         review.select(F.col("page_id").alias("id"), "review_status", "is_viewed", "is_worth_following",
                       "manual_page_type", "manual_primary_keyword", "manual_search_intent"), "id", "left")
     rows = with_latest_analysis(rows, analyses, ["status", "page_type", "primary_keyword", "search_intent"])
-    rows = rows.join(
-        competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name")), "competitor_id")
+    names = competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name"))
+    rows = join_dimension(rows, names, ["competitor_id"], ["id"])
     return review_defaults(
         rows.withColumns(
             {
@@ -153,9 +154,8 @@ def page_detail(state: dict[str, DataFrame], page_id: str | None = None) -> tupl
     rows = pages.join(block(state["page_seo_data"], DETAIL_SEO, "seo"), "id", "left")
     rows = with_latest_analysis(rows, of_page(state["page_analyses"], "page_id"), DETAIL_ANALYSIS)
     rows = rows.join(block(state["page_review"], DETAIL_REVIEW, "review"), "id", "left")
-    rows = rows.join(
-        state["competitors"].select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name")),
-        "competitor_id")
+    names = state["competitors"].select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name"))
+    rows = join_dimension(rows, names, ["competitor_id"], ["id"])
 
     def filled(block_name: str, names: list[str]) -> Column:
         defaults = {"review_status": F.lit("unreviewed"), "is_viewed": F.lit(False), "is_worth_following": F.lit(False)}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import make_id
 from sitetide.functions.urls import normalize_url
-from sitetide.operators.lifecycle import attach_source_id
+from sitetide.operators.joins import join_dimension
+from sitetide.operators.lifecycle import attach_source_id, running_count
 from sitetide.operators.merge import insert_or_ignore
 from sitetide.operators.windows import first_wins
 from sitetide.schemas import conform
@@ -30,9 +31,15 @@ def manual_urls(sources: DataFrame) -> DataFrame:
 
 
 def seed_order(sources: DataFrame) -> DataFrame:
-    """Enabled sources with their 0-based traversal position (source type, creation time)."""
-    window = Window.partitionBy("competitor_id").orderBy("source_type", "created_at", "id")
-    return enabled(sources).withColumn("seed_order", F.row_number().over(window) - 1)
+    """Enabled sources with their 0-based traversal position (source type, creation time, id).
+
+    Positions are counted per day of creation and added up, so a site with very many sources is not sorted
+    in one task.
+    """
+    ordered = enabled(sources).withColumn("_order", F.struct("source_type", "created_at", "id"))
+    day = F.struct("source_type", F.date_trunc("day", "created_at"))
+    ranked = running_count(ordered, ["competitor_id"], "_order", F.lit(True), day, "_rank")
+    return ranked.withColumn("seed_order", F.col("_rank") - 1).drop("_order", "_rank")
 
 
 def sources_of_scan(scans: DataFrame, sources: DataFrame) -> DataFrame:
@@ -87,7 +94,7 @@ def add_root_sources(sources: DataFrame, roots: DataFrame, as_of: Column) -> Dat
 
 def record_processed(processed: DataFrame, sources: DataFrame, scans: DataFrame, as_of: Column) -> DataFrame:
     """Sitemap log rows of the processed documents; ``scans`` gives scan_run_id per competitor."""
-    rows = processed.join(scans.select("competitor_id", "scan_run_id"), "competitor_id")
+    rows = join_dimension(processed, scans.select("competitor_id", "scan_run_id"), ["competitor_id"], ["path"])
     rows = attach_source_id(rows, sources, url="url", explicit="source_id")
     return conform(
         rows.select(

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sitetide.functions.text import content_hash
 from sitetide.functions.urls import inspect_url, normalize_url
+from sitetide.operators.joins import join_dimension
 from sitetide.operators.redirects import LIMIT_CODE
 from sitetide.operators.windows import first_entry, first_wins, top_rows
 from sitetide.session import cut_lineage
@@ -255,7 +256,7 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, limits: Limits = Limits()
         visited.select("competitor_id", "path", F.lit(True).alias("_first")), ["competitor_id", "path"], "left")
     last = visited.filter(F.col("visit") == limits.max_sitemaps).select(
         "competitor_id", F.col("path").alias("_last_path"))
-    encounters = encounters.join(last, "competitor_id", "left")
+    encounters = join_dimension(encounters, last, ["competitor_id"], ["path"], "left")
 
     too_deep = depth_of(F.col("path")) > limits.max_depth
     too_many = F.coalesce(F.col("path") > F.col("_last_path"), F.lit(False))
