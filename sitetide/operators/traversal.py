@@ -188,10 +188,10 @@ def _capped_entries(found: DataFrame, visits: DataFrame, max_urls: int) -> tuple
     """Apply the URL cap: (entries kept, per-document counts and whether the cap stopped it).
 
     Whole documents are decided from their counts; positions are only ranked inside the one document
-    per competitor in which the cap falls.
+    per competitor in which the cap falls. The distinct entries are written once and read by each step.
     """
     doc = ["competitor_id", "path"]
-    entries = first_entry(found)
+    entries = cut_lineage(first_entry(found))
     added = entries.groupBy(*doc).agg(F.count(F.lit(1)).alias("added"))
     before = Window.partitionBy("competitor_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
@@ -202,18 +202,21 @@ def _capped_entries(found: DataFrame, visits: DataFrame, max_urls: int) -> tuple
         .withColumn("room", F.greatest(F.lit(max_urls) - F.col("before"), F.lit(0)))
     )
     straddling = counts.filter((F.col("room") > 0) & (F.col("added") >= F.col("room"))).select(*doc, "room")
-    whole = entries.join(counts.filter(F.col("added") < F.col("room")).select(*doc), doc, "left_semi")
-    cut = (
-        entries.join(straddling, doc)
+    full_at = (
+        entries.select(*doc, "position")
+        .join(straddling, doc)
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*doc).orderBy("position")))
-        .filter(F.col("_rn") <= F.col("room"))
+        .filter(F.col("_rn") == F.col("room"))
+        .select(*doc, F.col("position").alias("full_at"))
     )
-    full_at = cut.filter(F.col("_rn") == F.col("room")).select(*doc, F.col("position").alias("full_at"))
-    counts = counts.join(full_at, doc, "left")
     over = F.when(F.col("room") == 0, F.col("node_count") > 0).otherwise(
         F.coalesce(F.col("node_count") - 1 > F.col("full_at"), F.lit(False)))
-    counts = counts.select(*doc, F.least("added", "room").alias("added"), over.alias("over_cap"))
-    return whole.unionByName(cut.drop("room", "_rn")), counts
+    counts = cut_lineage(
+        counts.join(full_at, doc, "left").select(
+            *doc, F.least("added", "room").alias("added"), "room", "full_at", over.alias("over_cap")))
+    kept = entries.join(counts.select(*doc, "room", "full_at"), doc).filter(
+        (F.col("room") > 0) & (F.col("full_at").isNull() | (F.col("position") <= F.col("full_at"))))
+    return kept.drop("room", "full_at"), counts.drop("room", "full_at")
 
 
 def expand_sitemaps(seeds: DataFrame, docs: DataFrame, limits: Limits = Limits()) -> Expansion:

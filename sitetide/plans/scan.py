@@ -138,7 +138,7 @@ def run_scans(
         scans.select("competitor_id", "domain"), "competitor_id")
     docs = resolve_redirects(sitemap_requests, landed["sitemaps"]).withColumnRenamed("error_code", "error_source")
     expansion = expand_sitemaps(seeds, docs, limits)
-    visits, entries = cut_lineage(expansion.visits), cut_lineage(expansion.entries)
+    visits, entries = cut_lineage(expansion.visits), expansion.entries
     sources = cut_lineage(add_child_sources(sources, expansion.children, as_of))
 
     scans = scans.join(scan_complete(visits, ["competitor_id"]), "competitor_id")
