@@ -43,9 +43,10 @@ def seed_order(sources: DataFrame) -> DataFrame:
 
 
 def sources_of_scan(scans: DataFrame, sources: DataFrame) -> DataFrame:
-    """Sources of the competitor each scan belongs to."""
+    """Sources of the competitor each scan belongs to; ``scans`` holds one scan per competitor."""
     runs = scans.select(F.col("id").alias("scan_run_id"), "competitor_id")
-    return runs.join(sources.select("competitor_id", F.col("id").alias("source_id"), "normalized_url"), "competitor_id")
+    listed = sources.select("competitor_id", F.col("id").alias("source_id"), "normalized_url")
+    return join_dimension(listed, runs, ["competitor_id"], ["source_id"])
 
 
 def attach_parent(children: DataFrame, sources: DataFrame) -> DataFrame:

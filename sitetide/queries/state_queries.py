@@ -8,6 +8,10 @@ from sitetide.operators import competitors as C
 from sitetide.operators import quality as Q
 from sitetide.operators import reviews as R
 from sitetide.operators import scans as S
+from sitetide.operators.fetches import fetch_targets
+from sitetide.operators.lifecycle import append_events, without_event
+from sitetide.operators.sitemap_sources import manual_urls
+from sitetide.operators.sitemap_sources import sources_of_scan as sources_for
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 from sitetide.schemas import conform, empty_table
@@ -365,3 +369,68 @@ def sitemap_hosts(spark, sf):
     other = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://sub."), I.host(), F.lit("/s.xml"))).otherwise(F.lit("https://example.edu/"))
     rows = I.read(spark, sf, "pages").select("page_id", I.host().alias("domain"), F.array("url", other).alias("sitemap_urls"))
     return Q.check_sitemap_hosts(rows).select("page_id", "ok")
+
+
+@query("sources_of_scan", """
+WITH newest AS (SELECT o_orderkey, o_custkey FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1)
+SELECT CAST(r.o_orderkey AS VARCHAR) AS scan_run_id, CAST(s.o_orderkey AS VARCHAR) AS source_id FROM orders s JOIN newest r ON s.o_custkey = r.o_custkey""")
+def sources_of_scan(spark, sf):
+    newest = S.latest_scans(scan_runs(spark, sf))
+    return sources_for(newest, supplier_sources(spark, sf)).select("scan_run_id", "source_id")
+
+
+@query("manual_urls", """
+SELECT CAST(o_custkey AS VARCHAR) AS competitor_id, 'https://c' || o_custkey || '.example.com/s' || o_orderkey || '.xml' AS url FROM orders WHERE o_orderkey % 2 = 0""")
+def manual_sitemaps(spark, sf):
+    return manual_urls(supplier_sources(spark, sf)).select("competitor_id", "url")
+
+
+@query("fetch_targets", """
+SELECT CAST(o_orderkey AS VARCHAR) AS page_id, CAST(o_custkey AS VARCHAR) AS competitor_id, 'u' AS url, 'c' || o_custkey || '.example.com' AS domain
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_custkey IN (SELECT c_custkey FROM customer)""")
+def targets(spark, sf):
+    ids = I.read(spark, sf, "lineitem").filter(F.col("l_quantity") > 45).select(F.col("l_orderkey").cast("string").alias("page_id"))
+    state = customer_state(spark, sf)
+    return fetch_targets(ids, state["pages"], state["competitors"])
+
+
+@query("pages_without_event", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS page_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50)""")
+def pages_without_event(spark, sf):
+    kind = F.when((F.col("event_type") == "purchase") & (F.col("value") > 50), F.lit("baseline_added")).otherwise(F.col("event_type"))
+    log = I.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("page_id"), kind.alias("event_type"))
+    return without_event(log.select("page_id").distinct(), log, "baseline_added")
+
+
+@query("event_log", """
+SELECT event_type, count(*) AS events FROM (SELECT event_type FROM events WHERE event_type <> 'click'
+  UNION ALL SELECT 'click_' || event_type FROM events WHERE event_type = 'click') GROUP BY 1""")
+def event_log(spark, sf):
+    log = I.page_events(spark, sf).withColumn(
+        "event_type", F.when(F.col("event_type") == "discovered", F.lit("signup")).otherwise(F.col("event_type")))
+    clicks = log.filter(F.col("event_type") == "click").withColumn("event_type", F.lit("click_click"))
+    both = append_events(log.filter(F.col("event_type") != "click"), clicks)
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("pipeline_count_write", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 4 = 0 THEN 3 ELSE 0 END::BIGINT AS fetch_success_count FROM orders""")
+def pipeline_count_write(spark, sf):
+    runs = scan_runs(spark, sf)
+    counters = runs.filter(F.col("id").cast("bigint") % 4 == 0).select(
+        F.col("id").alias("scan_run_id"), F.lit(3).cast("bigint").alias("fetch_success_count"))
+    return S.write_pipeline_counts(runs, counters).select("id", "fetch_success_count")
+
+
+@query("fail_scans", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'running' WHEN o_orderstatus = 'O' THEN 'success' ELSE 'partial_success' END AS status,
+  CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_orderkey % 1000 END AS total_url_count,
+  CASE WHEN o_orderkey % 12 = 0 THEN 'Unknown scan error' WHEN o_orderkey % 6 = 0 THEN 'broken' WHEN o_orderkey % 10 = 0 THEN 'kept' END AS error_summary FROM orders""")
+def fail_scans(spark, sf):
+    runs = scan_runs(spark, sf)
+    key = F.col("id").cast("bigint")
+    failures = runs.filter(key % 6 == 0).select(
+        F.col("id").alias("scan_run_id"), "competitor_id", F.when(key % 12 != 0, F.lit("broken")).alias("message"))
+    after, _ = S.fail_scans(runs, customers(spark, sf).limit(0), failures, now())
+    return after.select("id", "status", "total_url_count", "error_summary")
