@@ -21,7 +21,7 @@ def read_state(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str
 def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Landed responses: Parquet/ORC/JSON with the landed schema, or ``text`` for one body per file."""
     if fmt == "text":
-        return spark.read.option("wholetext", True).text(path).select(
+        return spark.read.text(path, wholetext=True).select(
             F.lit(None).cast("string").alias("competitor_id"),
             F.input_file_name().alias("url"),
             F.lit(200).alias("status"),
