@@ -27,6 +27,7 @@ from sitetide.sources.tables import size_error
 
 H2_SENT = 20
 RESPONSE_MAX_BYTES = 256_000
+# Messages stored with failed or skipped analyses.
 NO_CONTENT = "OpenRouter response did not contain message content"
 BAD_JSON = "Invalid JSON"
 NOT_CONFIGURED = "OPENROUTER_API_KEY is not configured"
