@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +28,38 @@ def build_session(app_name: str = "sitetide", master: str | None = None, **conf:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the configured checkpoint folder, a scratch one only when unset."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    return configured or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="run-")
+    """Folder all executors can reach: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose driver is its one executor (tests, local runs) may leave it unset; it gets a scratch folder.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
+    if configured:
+        return configured
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_sitetide_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._sitetide_shipped = True
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files every executor can reach.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, local runs) a scratch folder is used.
+    See ``shared_dir`` for the folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
