@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import chat_format, exact_dedup, mixing, sharding
+from sitetide.llm import chat_format, exact_dedup, mixing, sharding, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,3 +156,21 @@ c AS (
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
 """
+
+
+# --- 7: BPE encoding and decoding ------------------------------------------------------------------------
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = trie_bpe.encode_documents(docs, tokenizer_path()).drop("text")
+    decoded = trie_bpe.decode_documents(encoded, tokenizer_path())
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
