@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import chat_format, exact_dedup, mixing, sharding, trie_bpe
+from sitetide.llm import chat_format, exact_dedup, mixing, quality_rff, sharding, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,3 +174,24 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# --- 9: quality ------------------------------------------------------------------------------------------
+
+#: Documents with a smaller score are predicted to be of low quality.
+QUALITY_THRESHOLD = 0.7
+HELD_OUT_PART = 2
+
+
+def id_part(parts: int) -> Column:
+    """The part of a document in the contracts' splits: crc32 of the id as text, modulo the number of parts."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(id_part(4) == HELD_OUT_PART, F.lit(False))
+    model = quality_rff.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    scored = quality_rff.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))

@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -55,7 +56,6 @@ class Encoder:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in setup["added_tokens"]):
             raise ValueError("added tokens must be matched in the raw text as they are")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE)).findall
-        self.white = regex.compile(f"[{WHITE}]+").sub
         self.added = {t["content"]: t["id"] for t in setup["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
@@ -76,7 +76,7 @@ class Encoder:
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.size: dict[int, int] = {}
-        self.ends: dict = {}  # tokens by their symbols from the last to the first; under "" the token
+        self.tokens: dict[str, int] = {}
         for token in sorted(vocab, key=lambda t: parts.get(vocab[t], (0, 0, -1))[2]):
             i = vocab[token]
             if all(c in codes for c in token.removesuffix(suffix)) and token != suffix:
@@ -94,13 +94,14 @@ class Encoder:
                     del self.right[i], self.left[i]
                     continue
                 self.size[i] = len(form)
-                node = self.ends
-                for c in reversed(form):
-                    node = node.setdefault(c, {})
-                node[""] = i
+                self.tokens[form] = i
+        self.beginnings = {form[:n] for form in self.tokens for n in range(1, len(form) + 1)}
+        self.span = max(self.names) + 1
+        self._forms, self._states, self._steps, self._found = [""], {"": 0}, [{}], [[]]
         self._pairs: dict[int, bool] = {}
-        self._young: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self._alone = {i: (i,) for i in self.added.values()}
+        self._young: dict = dict(self._alone)
+        self._old: dict = {}
 
     def _joins(self, a: int, b: int, rank: int) -> bool:
         """Whether a and b side by side are built and then merged by the merge of this rank, and nothing crosses before."""
@@ -118,7 +119,7 @@ class Encoder:
         return False
 
     def _follows(self, a: int, b: int) -> bool:
-        key = a << 32 | b
+        key = a * self.span + b
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) > 2_000_000:
@@ -126,38 +127,54 @@ class Encoder:
             known = self._pairs[key] = not self._crossed(self.right[a], self.left[b])
         return known
 
+    def _step(self, state: int, symbol: str) -> int:
+        """The state after one more symbol. A state is the longest end of a prefix with which a token begins."""
+        form = self._forms[state] + symbol
+        while form and form not in self.beginnings:
+            form = form[1:]
+        to = self._states.get(form)
+        if to is None:
+            to = self._states[form] = len(self._forms)
+            self._forms.append(form)
+            self._steps.append({})
+            ends = (form[i:] for i in range(len(form)))
+            self._found.append([(self.tokens[e], len(e)) for e in ends if e in self.tokens])
+        self._steps[state][symbol] = to
+        return to
+
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of distinct words. Sorted, they are the leaves of their trie in depth-first order; the stack holds the
-        last tokens of all prefixes of the current word, and a word keeps those that it shares with the one before."""
+        """Token ids of distinct words. Sorted, they are the leaves of their trie in depth-first order; the stacks hold the
+        last tokens and states of all prefixes of the current word, and a word keeps those it shares with the one before."""
         forms = []
         for word in words:
             b = word.encode()
             forms.append((b[:-1].decode("latin-1") + chr(b[-1] + 256), word))
         forms.sort()
-        out, before, last = {}, "", [-1]
-        ends, size, pairs, follows = self.ends, self.size, self._pairs, self._follows
+        out, before, last, path = {}, "", [-1], [0]
+        steps, found, size, pairs, follows, span = self._steps, self._found, self.size, self._pairs, self._follows, self.span
         for form, word in forms:
-            shared, most = 0, min(len(form), len(before))
-            while shared < most and form[shared] == before[shared]:
+            shared = 0
+            for x, y in zip(form, before):
+                if x != y:
+                    break
                 shared += 1
-            del last[shared + 1:]
-            for at in range(shared, len(form)):
-                node, found, back = ends, [], at
-                while back >= 0 and (node := node.get(form[back])) is not None:
-                    token = node.get("")
-                    if token is not None:
-                        found.append(token)
-                    back -= 1
-                for token in reversed(found):
-                    prior = last[at + 1 - size[token]]
+            del last[shared + 1:], path[shared + 1:]
+            state, at = path[-1], shared
+            for symbol in form[shared:]:
+                at += 1
+                to = steps[state].get(symbol)
+                state = self._step(state, symbol) if to is None else to
+                for token, length in found[state]:
+                    prior = last[at - length]
                     if prior < 0:
                         break
-                    known = pairs.get(prior << 32 | token)
+                    known = pairs.get(prior * span + token)
                     if known if known is not None else follows(prior, token):
                         break
                 else:
                     raise ValueError(f"a symbol of {word!r} is not in the vocabulary")
                 last.append(token)
+                path.append(state)
             ids, at = [], len(form)
             while at:
                 token = last[at]
@@ -169,9 +186,9 @@ class Encoder:
         return out
 
     def normalize(self, text: str) -> str:
-        """NFC, runs of white space as one space, lower case. Texts with rarer cases go through the tokenizer library's own rules."""
+        """NFC and lower case; white space may stay, as no word holds any. Rarer cases go through the tokenizer library's own rules."""
         if unicodedata.is_normalized("NFC", text) and "Σ" not in text:
-            return self.white(" ", text).lower()
+            return text.lower()
         if self._normalize is None:
             from tokenizers import Tokenizer
 
@@ -198,21 +215,14 @@ class Encoder:
         for text in texts:
             codes += map(index.__getitem__, self.pieces(text))
             counts.append(len(codes))
-        young, old, known, new = self._young, self._old, {}, []
-        for word in index:
-            if isinstance(word, int):
-                known[word] = (word,)
-            elif (ids := young.get(word) or old.get(word)) is not None:
-                known[word] = ids
-            else:
-                new.append(word)
-        made = self.encode_words(new)
-        known |= made
-        young |= {w: known[w] for w in index if not isinstance(w, int)}
+        young, old = self._young, self._old
+        young |= {w: old[w] for w in index if w in old}
+        young |= self.encode_words([w for w in index if w not in young])
+        known = [young[w] for w in index]
         if len(young) > REMEMBERED // 2:
-            self._old, self._young = young, {}
-        lengths = np.fromiter((len(known[w]) for w in index), np.int64, len(index))
-        flat = np.fromiter((i for w in index for i in known[w]), np.int32, int(lengths.sum()))
+            self._old, self._young = young, dict(self._alone)
+        lengths = np.fromiter(map(len, known), np.int64, len(known))
+        flat = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
         first = np.cumsum(lengths) - lengths
         code = np.asarray(codes, dtype=np.int64)
         each = lengths[code]
