@@ -29,7 +29,7 @@ from sitetide.session import ship_package
 #: Fixed value: the white space of the Unicode standard, which the configuration's patterns mean by \s.
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: Words whose encodings a worker remembers; the oldest half is forgotten beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that are handled at once.
 SLICE = 1 << 21
 NEVER = 1 << 60
@@ -42,6 +42,15 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_names(setup: dict) -> dict[int, str]:
+    return {i: t for t, i in setup["model"]["vocab"].items()} | {t["id"]: t["content"] for t in setup["added_tokens"]}
+
+
+def decode(names: dict[int, str], ids: np.ndarray) -> str:
+    """Tokens joined by spaces; ids outside the vocabulary are left out."""
+    return " ".join([t for t in map(names.get, ids.tolist()) if t is not None])
+
+
 class Encoder:
     """Tokens, their compatible neighbours and the walk. Symbols are bytes as characters 0 to 255, 256 more at a word's end."""
 
@@ -58,7 +67,7 @@ class Encoder:
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE)).findall
         self.added = {t["content"]: t["id"] for t in setup["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
-        self.names: dict[int, str] = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
+        self.names = token_names(setup)
         self._normalize: Callable[[str], str] | None = None
 
         codes = byte_characters()
@@ -231,8 +240,7 @@ class Encoder:
         return ids, starts[np.asarray(counts)]
 
     def decode(self, ids: np.ndarray) -> str:
-        """Tokens joined by spaces; ids outside the vocabulary are left out."""
-        return " ".join([t for i in ids.tolist() if (t := self.names.get(i)) is not None])
+        return decode(self.names, ids)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -246,8 +254,9 @@ def encoder(config: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """The columns of ``docs`` and ``ids``, the token ids of the whole text. ``tokenizer``: path of the configuration on the driver.
+    With ``decoded``, a column of that name has what the ids decode to, as decode_documents makes it, by the same workers.
 
     Null and empty texts have no ids; repeated rows and nulls elsewhere pass through; a column named like ``ids`` is replaced;
     an empty table stays empty. Narrow: no shuffle. The configuration (some MB) is broadcast; a worker's memory is bounded by
@@ -255,9 +264,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *[decoded] * (decoded is not None))
     config = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    added += [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(config.value)
@@ -268,7 +279,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
                 flat, at = coder.encode([x or "" for x in texts.slice(a, b - a).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+                more = [pa.array([coder.decode(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -282,13 +294,13 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids", decod
     schema = T.StructType([*encoded.schema.fields, T.StructField(decoded, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(config.value)
+        names = token_names(json.loads(config.value))
         for batch in batches:
             starts = np.concatenate([[0], np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
             for a, b in batch_slices(starts, SLICE // 4):
                 part = batch.slice(a, b - a)
                 lists = part.column(ids)
-                texts = [coder.decode(lists[i].values.to_numpy()) if lists[i].is_valid else "" for i in range(len(part))]
+                texts = [decode(names, lists[i].values.to_numpy()) if lists[i].is_valid else "" for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, decoded])
 
     return encoded.mapInArrow(run, schema)
