@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import chat_format, exact_dedup, mixing, quality_rff, sharding, trie_bpe
+from sitetide.llm import bloom_lm, chat_format, exact_dedup, mixing, quality_rff, sharding, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -168,8 +168,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = trie_bpe.encode_documents(docs, tokenizer_path()).drop("text")
-    decoded = trie_bpe.decode_documents(encoded, tokenizer_path())
+    decoded = trie_bpe.encode_documents(docs, tokenizer_path(), decoded="decoded").drop("text")
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
@@ -195,3 +194,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_rff.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
     scored = quality_rff.score_documents(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+# --- 5: language-model scores ----------------------------------------------------------------------------
+
+LM_HELD_OUT_PART = 1
+
+
+@query
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(id_part(5) == LM_HELD_OUT_PART, F.lit(False))
+    scored = bloom_lm.score_documents(read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
