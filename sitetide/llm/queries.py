@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import bloom_lm, chat_format, exact_dedup, mixing, quality_rff, sharding, trie_bpe
+from sitetide.llm import bloom_lm, chat_format, exact_dedup, mixing, quality_rff, sharding, tensor_minhash, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -206,3 +206,11 @@ def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(id_part(5) == LM_HELD_OUT_PART, F.lit(False))
     scored = bloom_lm.score_documents(read(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# --- 4: near duplicates ----------------------------------------------------------------------------------
+
+
+@query
+def op4_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(read(spark, sf_dir, "documents"))
