@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import bloom_lm, chat_format, exact_dedup, mixing, quality_rff, sharding, tensor_minhash, trie_bpe
+from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, mixing, quality_rff, sharding, tensor_minhash, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,3 +214,26 @@ def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor_minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+# --- 3: exact top-k --------------------------------------------------------------------------------------
+
+
+@query
+def op3_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return bitsliced_topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+ORACLES["op3_bitsliced_topk"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
