@@ -35,18 +35,19 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def running_offsets(counts: DataFrame, key: str, count: str, offset: str, block: int = 4096) -> DataFrame:
-    """(key, offset): the sum of ``count`` over all smaller keys, for whole-number keys without repeats.
+def running_offsets(counts: DataFrame, key: str, count: str, offset: str, by: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """(by, key, offset): the sum of ``count`` over all smaller keys of the same ``by``; whole-number keys without repeats.
 
     Two levels: sums of key blocks first, so that no task orders more than ``block`` keys or one row per block.
     """
     part = F.floor(F.col(key) / block)
-    blocks = counts.groupBy(part.alias("_block")).agg(F.sum(count).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(*by, part.alias("_block")).agg(F.sum(count).alias("_sum"))
+    over = Window.partitionBy(*by) if by else Window
+    before = F.coalesce(F.sum("_sum").over(over.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = Window.partitionBy(*by, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("_block", part).withColumn("_inner", F.coalesce(F.sum(count).over(within), F.lit(0)))
-    return inner.join(blocks.select("_block", before.alias("_before")), "_block").select(
-        key, (F.col("_before") + F.col("_inner")).cast("long").alias(offset))
+    return inner.join(blocks.select(*by, "_block", before.alias("_before")), [*by, "_block"]).select(
+        *by, key, (F.col("_before") + F.col("_inner")).cast("long").alias(offset))
 
 
 def lookup(df: DataFrame, rows: int) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, mixing, quality_rff, sharding, tensor_minhash, trie_bpe
+from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, mixing, quality_rff, separator_scan, sharding, tensor_minhash, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -237,3 +237,17 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
+
+
+# --- 6: token counts -------------------------------------------------------------------------------------
+
+#: The end-of-document id of byte_bpe_50k, which its rank file leaves free.
+END_OF_DOCUMENT = 50256
+
+
+@query
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    blocks, which = separator_scan.write_token_files(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    counts = separator_scan.document_counts(blocks, END_OF_DOCUMENT)
+    return counts.join(which, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "first_token", "n_tokens", "closed")
