@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, text: str = "te
 
     Documents are linked if the shared shingles are ``threshold`` hundredths of all their shingles or more. Null and empty
     texts have no shingles and are linked with nothing. Rows that share a doc_id are one document, linked where any of its
-    texts is (a repeated id's empty text stays by itself); rows with a null doc_id are documents of their own, never kept and in
+    texts is (a repeated id's empty text stays by itself); rows with a null doc_id are documents of their own, kept and in
     no component (null). Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, text: str = "te
     by_rep = _labelled(classed.select("doc_id", "n_shingles", "rep"), labels, "rep")
     empty = sketched.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     rows = by_rep.select("doc_id", "n_shingles", "component").union(empty)
-    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
     return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
@@ -274,3 +274,9 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     known = labels.withColumnRenamed("node", column)
     label: Column = F.coalesce("_component", column)
     return rows.drop("component").join(known.withColumnRenamed("component", "_component"), column, "left").withColumn("component", label).drop("_component")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without the documents that have a smaller doc_id in their component."""
+    dropped = near_duplicates(docs, threshold).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
