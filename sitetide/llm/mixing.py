@@ -54,6 +54,16 @@ def poisson_table(mean: float) -> list[int]:
             return out
 
 
+def _drawn(bounds: Column, seed: int, part: Column) -> Column:
+    at = hashed(seed, F.col("doc_id"), part)
+    return F.size(F.filter(bounds, lambda bound: bound <= at)).cast("long")
+
+
+def _drawn_in_parts(bounds: Column, seed: int, parts: int) -> Column:
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    return F.aggregate(every, F.lit(0).cast("long"), lambda total, part: total + _drawn(bounds, seed, part))
+
+
 def copies(rates: dict[str | None, float], weights: dict[str, float], seed: int) -> Column:
     """How often a document occurs in the output: an inverted Poisson distribution at a hash of seed and doc_id."""
     count = F.lit(0).cast("long")
@@ -63,12 +73,7 @@ def copies(rates: dict[str | None, float], weights: dict[str, float], seed: int)
         parts = max(1, math.ceil(rate / LARGEST_MEAN))
         bounds = F.array(*[F.lit(b) for b in poisson_table(rate / parts)])
 
-        def drawn(part: Column, bounds: Column = bounds) -> Column:
-            at = hashed(seed, F.col("doc_id"), part)
-            return F.size(F.filter(bounds, lambda bound: bound <= at)).cast("long")
-
-        own = drawn(F.lit(0)) if parts == 1 else F.aggregate(
-            F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0).cast("long"), lambda sum_, part, drawn=drawn: sum_ + drawn(part))
+        own = _drawn(bounds, seed, F.lit(0)) if parts == 1 else _drawn_in_parts(bounds, seed, parts)
         is_source = _pool(weights).isNull() if source is OTHERS else F.col("source") == source
         count = F.when(is_source, own).otherwise(count)
     return count
