@@ -6,8 +6,8 @@ misses all tables with a probability of about 2 * (1 - s ** HASHES) ** SIDE: 5e-
 
 Documents with equal shingle sets are one class and take part once. Pair after pair of a bucket would be quadratic, so links are
 found in steps that stay exact: all members are compared with one leader; what that leaves in different components is
-compared with a second leader; the rest, bucket by bucket, in blocks of bounded size. Pairs that are already connected need
-no comparison, as components don't change by it.
+compared with a second leader; the rest, in the buckets of one collection alone, in blocks of bounded size. Pairs that are
+already connected need no comparison, as components don't change by it.
 """
 
 from __future__ import annotations
@@ -122,6 +122,16 @@ def shared(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(kept, "key")
 
 
+def one_side(reps: DataFrame, rest: DataFrame) -> DataFrame:
+    """(key, rep, component) of the buckets that the first collection alone makes for the documents in ``rest``.
+
+    Whatever shares a table's bucket shares its sub-signature of the first collection: these SIDE tables hold all pairs that
+    are left in SIDE * SIDE, in far fewer rows."""
+    left = rest.select("rep", "component").distinct()
+    single = reps.join(left, "rep").select("rep", "component", F.posexplode("subs").alias("place", "sub")).filter(F.col("place") < SIDE)
+    return shared(single.select(F.xxhash64("place", "sub").alias("key"), "rep", "component"), "component")
+
+
 def similar(shared_: np.ndarray | int, n_a: np.ndarray | int, n_b: np.ndarray | int, threshold: int) -> np.ndarray | bool:
     return 100 * shared_ >= threshold * (n_a + n_b - shared_)
 
@@ -237,7 +247,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, text: str = "te
     several = classed.groupBy(F.col("doc_id").alias("key")).agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key")
     found = [classed.select(F.col("doc_id").alias("key"), "rep").join(several, "key").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()]
 
-    buckets = staged(tensor_buckets(classed.filter(F.col("subs").isNotNull()).select("rep", "subs")))
+    reps = classed.filter(F.col("subs").isNotNull()).select("rep", "subs").distinct()
+    buckets = staged(tensor_buckets(reps))
     wanted = buckets.select("rep").distinct()
     texts = staged(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"))
     rest = buckets.withColumn("component", F.col("rep"))
@@ -253,7 +264,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, text: str = "te
         if rest.isEmpty():
             break
     else:
-        found.append(staged(block_links(rest, texts, threshold)))
+        found.append(staged(block_links(staged(one_side(reps, rest)), texts, threshold)))
         labels = components(_union(found))
     by_rep = _labelled(classed.select("doc_id", "n_shingles", "rep"), labels, "rep")
     empty = sketched.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
