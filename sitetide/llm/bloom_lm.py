@@ -29,8 +29,8 @@ from sitetide.session import ship_package
 #: Stand for the end of a text, a token of its own, and for what precedes its first token.
 END, START = np.uint64(0x51ED270B9F2C4D17), np.uint64(0xA3C59AC2F0136D89)
 PROBES = 3
-#: Bytes of text in a block, and tokens for which there is one more hash range.
-BLOCK, RANGE_TOKENS = 16 << 20, 1 << 20
+#: Bytes of hashes in a block, and tokens for which there is one more hash range.
+BLOCK, RANGE_TOKENS = 8 << 20, 1 << 20
 FINGERPRINT = np.uint64((1 << 40) - 1)
 
 
