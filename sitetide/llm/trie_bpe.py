@@ -27,7 +27,7 @@ from sitetide.llm.common import batch_slices
 from sitetide.session import ship_package
 
 #: Fixed value: the white space of the Unicode standard, which the configuration's patterns mean by \s.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words whose encodings a worker remembers; the oldest half is forgotten beyond that.
 REMEMBERED = 200_000
 #: Bytes of text that are handled at once.

@@ -28,7 +28,7 @@ def documents(spark, rows):
 #: Nulls, empty and very long texts, ties, repeated rows and ids, white space of all kinds.
 ODD_ROWS = [
     (1, PROSE), (2, PROSE.replace(" ", "\t\n ")), (3, PROSE.replace("sheep", "cows")), (4, None), (5, ""), (6, " \t\n"), (7, "two words"),
-    (8, "Two words"), (8, "Two words"), (9, LONG), (10, LONG + " end"), (11, "Äß İ ΣΣ é \U0001F600"), (12, "<|endoftext|>x</w>", None),
+    (8, "Two words"), (8, "Two words"), (9, LONG), (10, LONG + " end"), (11, "Äß İ ΣΣ é \U0001F600"), (12, "<|endoftext|>x</w>", None),
     (None, PROSE), (None, None, None), (13, "a a a a a a a a"), (14, "\x00\x1c\x85!"), (2, PROSE), (20, "### User: </turn> \\e", "src9"),
 ]
 
