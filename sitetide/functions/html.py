@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -229,9 +231,16 @@ def extract_seo(
         }
     )
 
+    def is_meta(name: str) -> Callable[[Column], Column]:
+        return lambda m: F.coalesce(F.lower(_decoded(m["name"])) == name, F.lit(False))
+
     def first_meta(name: str) -> Column:
-        return F.get(
-            F.filter(F.col("_metas"), lambda m: F.lower(_decoded(m["name"])) == name), F.lit(0))
+        return F.get(F.filter(F.col("_metas"), is_meta(name)), F.lit(0))
+
+    def up_to_first(texts: Column, found: Column) -> Column:
+        """The texts that a search from the front reads: up to the first one found, all if there is none."""
+        at = F.coalesce(F.array_position(found, True), F.lit(0))
+        return F.slice(texts, F.lit(1), F.when(at == 0, F.size(texts)).otherwise(at).cast("int"))
 
     def is_canonical(link: Column) -> Column:
         tokens = F.split(F.lower(_decoded(link["rel"])), f"[{WHITESPACE}]+", -1)
@@ -253,8 +262,9 @@ def extract_seo(
         | F.coalesce(has_bad_reference("_description"), F.lit(False))
         | F.coalesce(has_bad_reference("_robots"), F.lit(False))
         | F.coalesce(has_bad_reference("_canonical"), F.lit(False))
-        | any_bad(F.transform(F.col("_metas"), lambda m: m["name"]))
-        | any_bad(F.transform(F.col("_links"), lambda m: m["rel"]))
+        | any_bad(up_to_first(F.transform("_metas", lambda m: m["name"]), F.transform("_metas", is_meta("description"))))
+        | any_bad(up_to_first(F.transform("_metas", lambda m: m["name"]), F.transform("_metas", is_meta("robots"))))
+        | any_bad(up_to_first(F.transform("_links", lambda m: m["rel"]), F.transform("_links", is_canonical)))
         | has_bad_reference("_text")
     )
     cleaned = picked.withColumns(

@@ -30,6 +30,7 @@ RESPONSE_MAX_BYTES = 256_000
 # Messages stored with failed or skipped analyses.
 NO_CONTENT = "OpenRouter response did not contain message content"
 BAD_JSON = "Invalid JSON"
+BAD_RESPONSE = "Response does not have the expected types"
 NOT_CONFIGURED = "OPENROUTER_API_KEY is not configured"
 
 # The closed sets of the result schema.
@@ -71,9 +72,32 @@ def analysis_input(pages: DataFrame, seo: DataFrame, retry_number: int = 0) -> D
     return left.join(right, "page_id").select("page_id", payload.alias("payload"))
 
 
-def analysis_content(body: Column | str, http_status: Column | str, max_bytes: int = RESPONSE_MAX_BYTES) -> Column:
+def analysis_content(body: Column | str, http_status: Column | str, max_bytes: int | None = None) -> Column:
     """struct(content, error): the message text of a chat response, or why there is none."""
     raw, status = as_col(body), as_col(http_status)
+    too_long = F.coalesce(F.octet_length(raw) > max_bytes, F.lit(False)) if max_bytes is not None else F.lit(False)
+
+    def is_absent_or(value: Column, kind: str) -> Column:
+        return value.isNull() | F.startswith(F.schema_of_variant(value), F.lit(kind))
+
+    def refused(doc: Column) -> Column:
+        """Types that the response schema does not allow: objects and lists where they belong, texts as strings."""
+        def broken_choice(choice: Column) -> Column:
+            content = F.try_variant_get(choice, "$.message.content", "variant")
+            kind = F.schema_of_variant(content)
+            parts = F.try_variant_get(content, "$", "array<variant>")
+            bad_part = F.exists(parts, lambda p: ~F.startswith(F.schema_of_variant(p), F.lit("OBJECT")) | ~is_absent_or(
+                F.try_variant_get(p, "$.text", "variant"), "STRING"))
+            fits = content.isNull() | (kind == "STRING") | (F.startswith(kind, F.lit("ARRAY")) & ~F.coalesce(bad_part, F.lit(False)))
+            return (~F.startswith(F.schema_of_variant(choice), F.lit("OBJECT"))
+                    | ~is_absent_or(F.try_variant_get(choice, "$.message", "variant"), "OBJECT") | ~fits)
+
+        choices = F.try_variant_get(doc, "$.choices", "variant")
+        failure = F.try_variant_get(doc, "$.error", "variant")
+        return (
+            ~F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")) | ~is_absent_or(choices, "ARRAY") | ~is_absent_or(failure, "OBJECT")
+            | ~is_absent_or(F.try_variant_get(failure, "$.message", "variant"), "STRING")
+            | F.coalesce(F.exists(F.try_variant_get(choices, "$", "array<variant>"), broken_choice), F.lit(False)))
 
     def read(doc: Column) -> Column:
         message = F.try_variant_get(doc, "$.choices[0].message.content", "variant")
@@ -88,8 +112,9 @@ def analysis_content(body: Column | str, http_status: Column | str, max_bytes: i
         content = blank_to_null(trim_ws(text))
         http_error = ~F.coalesce(status.between(200, 299), F.lit(False))
         error = (
-            F.when(F.octet_length(raw) > max_bytes, F.lit(size_error(max_bytes)))
+            F.when(too_long, F.lit(size_error(max_bytes)))
             .when(doc.isNull(), F.lit(BAD_JSON))
+            .when(F.coalesce(refused(doc), F.lit(False)), F.lit(BAD_RESPONSE))
             .when(http_error, F.coalesce(
                 F.try_variant_get(doc, "$.error.message", "string"),
                 F.concat(F.lit("OpenRouter returned HTTP "), status.cast("string"))))
@@ -97,7 +122,7 @@ def analysis_content(body: Column | str, http_status: Column | str, max_bytes: i
         )
         return F.struct(F.when(error.isNull(), content).alias("content"), error.alias("error"))
 
-    return let(F.try_parse_json(F.when(F.octet_length(raw) <= max_bytes, raw)), read)
+    return let(F.try_parse_json(F.when(~too_long, raw)), read)
 
 
 def validate_analysis(content: Column | str) -> Column:
@@ -248,49 +273,60 @@ def pipeline_counters(fetches: DataFrame, analyses: DataFrame) -> DataFrame:
         "analysis_failed_count", F.col("fetch_success_count") - F.col("analysis_success_count"))
 
 
-Provider = Callable[[str], str]
+#: From payloads (page_id, payload) to landed responses (page_id, http_status, body).
+Provider = Callable[[DataFrame], DataFrame]
 
 
-def analyze(inputs: DataFrame, provider: Provider) -> DataFrame:
-    """Run an analyzer (payload JSON to chat-response JSON) over the payloads, batch by batch.
+def batched(ask: Callable[[pd.Series], pd.Series]) -> Provider:
+    """A provider from a function over Arrow batches: payload JSON texts to chat-response JSON texts.
 
-    Returns landed responses (page_id, http_status, body); an exception becomes an error response.
+    What a batch raises becomes an error response for each of its rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
+    def provider(inputs: DataFrame) -> DataFrame:
+        @F.pandas_udf("http_status int, body string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            import json
 
-        for batch in batches:
-            statuses, bodies = [], []
-            for payload in batch["payload"]:
+            for payloads in batches:
                 try:
-                    bodies.append(provider(payload))
-                    statuses.append(200)
+                    yield pd.DataFrame({"http_status": 200, "body": ask(payloads).to_numpy()})
                 except Exception as error:
-                    bodies.append(json.dumps({"error": {"message": str(error)}}))
-                    statuses.append(500)
-            yield pd.DataFrame({"page_id": batch["page_id"], "http_status": statuses, "body": bodies})
-
-    return inputs.select("page_id", "payload").mapInPandas(run, "page_id string, http_status int, body string")
-
-
-def rule_provider(payload: str) -> str:
-    """Deterministic analyzer without network: page type from the URL, keyword from the first heading."""
-    import json
-
-    page = json.loads(payload)
-    path = page["url"].lower()
-    page_type = next((t for t in ("product", "blog", "guide", "solution") if f"/{t}" in path), "other")
-    heading = next((page[k].strip() for k in ("h1", "title", "url") if (page.get(k) or "").strip()), "page")[:200]
-    result = {
-        "pageType": page_type,
-        "primaryTopic": heading,
-        "primaryKeyword": heading.lower(),
-        "secondaryKeywords": [h[:200] for h in page["h2"][:15] if h],
-        "searchIntent": "commercial" if page_type == "product" else "informational",
-        "productLine": None,
-        "summary": (page.get("metaDescription") or heading)[:1000],
-        "reasoningEvidence": [heading],
-        "confidence": 0.5,
-    }
-    return json.dumps({"choices": [{"message": {"content": json.dumps(result)}}]})
+                    body = json.dumps({"error": {"message": str(error)}})
+                    yield pd.DataFrame({"http_status": [500] * len(payloads), "body": [body] * len(payloads)})
+
+        return inputs.select("page_id", run("payload").alias("r")).select("page_id", "r.http_status", "r.body")
+
+    return provider
+
+
+def analyze(inputs: DataFrame, provider: Provider) -> DataFrame:
+    """Landed responses (page_id, http_status, body) of an analyzer to the payloads."""
+    return provider(inputs.select("page_id", "payload"))
+
+
+# Page types whose name in a URL path decides, in this order.
+RULED_TYPES = ["product", "blog", "guide", "solution"]
+
+
+def rule_provider(inputs: DataFrame) -> DataFrame:
+    """Deterministic analyzer without network, in column expressions: page type from the URL, keyword from the first heading."""
+    page = F.from_json("payload", "url string, title string, metaDescription string, h1 string, h2 array<string>")
+    path = F.lower("p.url")
+    kind = F.coalesce(*[F.when(F.contains(path, F.lit(f"/{t}")), F.lit(t)) for t in RULED_TYPES], F.lit("other"))
+    heading = F.substring(F.coalesce(*[blank_to_null(trim_ws(F.col(f"p.{k}"))) for k in ("h1", "title", "url")], F.lit("page")), 1, 200)
+    named = F.filter(F.slice("p.h2", 1, 15), lambda h: F.length(h) > 0)
+    read = inputs.withColumn("p", page).withColumns({"_kind": kind, "_heading": heading})
+    result = safe_json(
+        pageType=F.col("_kind"),
+        primaryTopic=F.col("_heading"),
+        primaryKeyword=F.lower("_heading"),
+        secondaryKeywords=F.transform(named, lambda h: F.substring(h, 1, 200)),
+        searchIntent=F.when(F.col("_kind") == "product", F.lit("commercial")).otherwise(F.lit("informational")),
+        productLine=F.lit(None).cast("string"),
+        summary=F.substring(F.coalesce(F.when(F.length("p.metaDescription") > 0, F.col("p.metaDescription")), F.col("_heading")), 1, 1000),
+        reasoningEvidence=F.array("_heading"),
+        confidence=F.lit(0.5),
+    )
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(result.alias("content")).alias("message"))).alias("choices")))
+    return read.select("page_id", F.lit(200).alias("http_status"), body.alias("body"))

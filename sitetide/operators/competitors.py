@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import make_id, trim_ws
@@ -84,11 +84,11 @@ def create_competitors(state: State, new: DataFrame, as_of: Column) -> Change:
     valid = asked.filter(F.col("domain").isNotNull())
     taken = not_deleted(state["competitors"]).select("domain")
     free = valid.join(taken, "domain", "left_anti")
-    winners = first_wins(free, ["domain"], [F.col("name").asc(), F.col("asked_domain").asc()])
-    losers = valid.join(
-        winners.select("domain", F.col("name").alias("_name"), F.col("asked_domain").alias("_asked")), "domain", "left"
-    ).filter(F.col("_name").isNull() | (F.col("name") != F.col("_name")) | (F.col("asked_domain") != F.col("_asked")))
-    rejects = losers.drop("_name", "_asked").withColumn("code", F.lit(CONFLICT)).unionByName(invalid)
+    asks = Window.partitionBy("domain").orderBy("name", "asked_domain", "sitemap_urls")
+    numbered = free.withColumn("_ask", F.row_number().over(asks))
+    winners = numbered.filter("_ask = 1").drop("_ask")
+    losers = numbered.filter("_ask > 1").drop("_ask").unionByName(valid.join(taken, "domain", "left_semi"))
+    rejects = losers.withColumn("code", F.lit(CONFLICT)).unionByName(invalid)
     rows = conform(
         winners.select(
             "id", "name", "domain", F.lit(True).alias("is_enabled"), F.lit(False).alias("baseline_established"),

@@ -15,18 +15,22 @@ from sitetide.operators.redirects import LIMIT_CODE
 from sitetide.schemas import conform
 from sitetide.sources.tables import size_error, too_large
 
+# Fixed value: the page size that a live crawler accepts.
 PAGE_MAX_BYTES = 1_500_000
 TIMEOUT_ERRORS = ["RESPONSE_BODY_TIMEOUT", "AbortError", "TimeoutError"]
+# Fixed value: the error that can only follow an accepted status and content type.
+BODY_TIMEOUT = "RESPONSE_BODY_TIMEOUT"
 
 
-def fetch_outcome(responses: DataFrame, max_bytes: int = PAGE_MAX_BYTES) -> DataFrame:
+def fetch_outcome(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Append ``fetch_status``, ``code``, ``message`` and ``http_status``.
 
     Expects status, content_type, content_length, body, error, error_code (from ``resolve_redirects``,
-    or null). Order of the checks: transport and redirects, HTTP status, content type, size.
+    or null). Order of the checks: transport and redirects, HTTP status, content type, reading the body, size.
     """
     status, kind = F.col("status"), F.col("content_type")
-    transport = F.col("error").isNotNull()
+    reading = F.coalesce(F.coalesce("error_code", "error") == BODY_TIMEOUT, F.lit(False))
+    transport = F.col("error").isNotNull() & ~reading
     http_error = ~F.coalesce(status.between(200, 299), F.lit(False))
     unsupported = ~F.coalesce(F.contains(F.lower(kind), F.lit("text/html")), F.lit(False))
     large = too_large("body", "content_length", max_bytes)
@@ -36,6 +40,7 @@ def fetch_outcome(responses: DataFrame, max_bytes: int = PAGE_MAX_BYTES) -> Data
         .when(transport, F.lit("PAGE_FETCH_FAILED"))
         .when(http_error, F.lit("PAGE_HTTP_ERROR"))
         .when(unsupported, F.lit("PAGE_UNSUPPORTED_CONTENT_TYPE"))
+        .when(reading, F.lit("PAGE_FETCH_TIMEOUT"))
         .when(large, F.lit("PAGE_RESPONSE_TOO_LARGE"))
     )
     message = (
@@ -43,6 +48,7 @@ def fetch_outcome(responses: DataFrame, max_bytes: int = PAGE_MAX_BYTES) -> Data
         .when(http_error, F.concat(F.lit("HTTP "), F.coalesce(status.cast("string"), F.lit("0"))))
         .when(unsupported & (F.length(kind) > 0), F.concat(F.lit("Unsupported content type: "), kind))
         .when(unsupported, F.lit("Missing content type"))
+        .when(reading, F.col("error"))
         .when(large, F.lit(size_error(max_bytes)))
     )
     return responses.withColumns({"code": code, "message": message}).withColumns(
@@ -60,7 +66,7 @@ def fetch_outcome(responses: DataFrame, max_bytes: int = PAGE_MAX_BYTES) -> Data
 
 
 def fetch_results(
-    fetched: DataFrame, max_bytes: int = PAGE_MAX_BYTES, max_excerpt_chars: int = EXCERPT_CHARS
+    fetched: DataFrame, max_bytes: int | None = None, max_excerpt_chars: int = EXCERPT_CHARS
 ) -> DataFrame:
     """Full result rows: outcome, SEO fields on success, blanks otherwise.
 

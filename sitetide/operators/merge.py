@@ -1,17 +1,28 @@
 """Keyed merge of a snapshot with a set of changes.
 
-Parquet has no in-place update, so a merge is one full outer join on the key and a rule per column; the
-caller writes the result as a new snapshot.
+Parquet has no in-place update; the caller writes the result as a new snapshot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Rule = Callable[[Column, Column], Column]
+
+class Side:
+    """The columns of one side of a merge by name; null where a side has no row."""
+
+    def __init__(self, prefix: str | None) -> None:
+        self.prefix = prefix
+
+    def __getitem__(self, name: str) -> Column:
+        return F.lit(None) if self.prefix is None else F.col(f"`{self.prefix}{name}`")
+
+
+Rule = Callable[[Any, Any], Column]
 
 
 def merge_by_key(
@@ -26,23 +37,33 @@ def merge_by_key(
 
     ``matched`` and ``inserted`` map a column to ``rule(old, change)``. Without a rule a matched row keeps
     its old value and an inserted row takes the change's column of that name, or null.
+
+    Rows of the target are updated by a left join with the changes, which Spark can broadcast when they are few; new keys
+    are the changes that an anti join with the target's keys leaves. Columns stay plain, so unused ones are never read.
     """
     matched, inserted = matched or {}, inserted or {}
-    old = target.select(*keys, F.struct(*target.columns).alias("_old"))
-    new = changes.select(*keys, F.struct(*changes.columns).alias("_new"))
-    joined = old.join(new, keys, "full_outer" if insert else "left")
-    o, n = F.col("_old"), F.col("_new")
+    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in changes.columns], F.lit(True).alias("_changed"))
+    old_side, new_side = Side(""), Side("_new_")
+
+    def updated(name: str) -> Column:
+        if name in keys or name not in matched:
+            return F.col(name)
+        rule = matched[name](old_side, new_side).cast(target.schema[name].dataType)
+        return F.when(F.col("_changed"), rule).otherwise(F.col(name)).alias(name)
+
+    merged = target.join(new, keys, "left").select(*[updated(c) for c in target.columns])
+    if not insert:
+        return merged
 
-    def column(name: str) -> Column:
-        kind = target.schema[name].dataType
-        kept = o[name]
-        fresh = inserted[name](o, n) if name in inserted else (n[name] if name in changes.columns else F.lit(None))
-        updated = matched[name](o, n) if name in matched else kept
-        return (
-            F.when(n.isNull(), kept).when(o.isNull(), fresh.cast(kind)).otherwise(updated.cast(kind)).alias(name)
-        )
+    def fresh(name: str) -> Column:
+        if name in keys:
+            return F.col(name)
+        given = F.col(f"`_new_{name}`") if name in changes.columns else F.lit(None)
+        value = inserted[name](Side(None), new_side) if name in inserted else given
+        return value.cast(target.schema[name].dataType).alias(name)
 
-    return joined.select(*[F.col(c).alias(c) if c in keys else column(c) for c in target.columns])
+    added = new.join(target.select(*keys), keys, "left_anti").select(*[fresh(c) for c in target.columns])
+    return merged.unionByName(added)
 
 
 def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +74,3 @@ def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> Dat
 
 def take(name: str) -> Rule:
     return lambda old, new: new[name]
-
-
-def keep_if_null(name: str) -> Rule:
-    return lambda old, new: F.coalesce(new[name], old[name])

@@ -116,10 +116,6 @@ def count_pages(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-def cap(rows: DataFrame, n: int) -> DataFrame:
-    return rows.orderBy(*list_order()).limit(n)
-
-
 DETAIL_SEO = [
     "http_status", "final_url", "redirect_chain", "content_type", "title", "meta_description", "h1", "h2",
     "canonical_url", "robots_meta", "page_language", "content_excerpt", "fetch_status", "fetch_error", "fetched_at",

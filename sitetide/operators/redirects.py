@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import let
@@ -29,13 +29,15 @@ def _refusal(url: str, domain: str) -> Column:
 
 
 def redirect_steps(responses: DataFrame) -> DataFrame:
-    """One row per redirecting response: where it leads and whether that target may ever be requested.
+    """One row per URL (and owner) whose newest response redirects: where it leads and whether that target may ever be requested.
 
     Resolution and the domain-independent part of the guard are settled here, once per response, so a hop
     only compares a host with a domain.
     """
-    moving = responses.filter(F.col("status").isin(REDIRECT_STATUSES) & (F.length("location") > 0)).select(
-        canonical_url("url").alias("_key"), F.col("status").alias("_hop_status"), "location")
+    slim = responses.select("_owner", canonical_url("url").alias("_key"), "status", "location", *[c for c in ("landed_at",) if c in responses.columns])
+    moving = latest_responses(slim.filter(F.col("_key").isNotNull()), ["_owner", "_key"]).filter(
+        F.col("status").isin(REDIRECT_STATUSES) & (F.length("location") > 0)).select(
+        "_owner", "_key", F.col("status").alias("_hop_status"), "location")
     resolved = moving.withColumn("_next", resolve_url("location", "_key"))
     checked = resolved.withColumn(
         "_target",
@@ -43,9 +45,17 @@ def redirect_steps(responses: DataFrame) -> DataFrame:
             guard_parts(p, F.coalesce("_next", F.lit("")), p["host"]).alias("reason"), p["host"].alias("host"))),
     )
     return checked.select(
-        "_key", "_hop_status", "_next", F.col("_target.reason").alias("_never"), F.col("_target.host").alias("_host"),
+        "_owner", "_key", "_hop_status", "_next", F.col("_target.reason").alias("_never"), F.col("_target.host").alias("_host"),
         F.lit(True).alias("_moves"),
-    ).dropDuplicates(["_key"])
+    )
+
+
+def latest_responses(responses: DataFrame, keys: list[str]) -> DataFrame:
+    """One response per key, the one that landed last; without times or at equal ones the smallest of the other columns."""
+    landed = [F.col("landed_at").desc_nulls_last()] if "landed_at" in responses.columns else []
+    rest = [F.col(c).asc_nulls_last() for c in ("status", "location", "content_type", "content_length", "error", "body", "url") if c in responses.columns]
+    newest = Window.partitionBy(*keys).orderBy(*landed, *rest)
+    return responses.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
 def resolve_redirects(
@@ -53,19 +63,26 @@ def resolve_redirects(
     responses: DataFrame,
     max_redirects: int = MAX_REDIRECTS,
     keys: list[str] | None = None,
+    by_competitor: bool = False,
 ) -> DataFrame:
     """Follow every request (keys, url, domain) through the landed responses.
 
     Adds ``final_url``, ``redirect_chain``, ``error_code``, ``error`` and, from the last response,
     ``status``, ``content_type``, ``content_length`` and ``body``. A chain that fails keeps its request URL
     and an empty chain. Hops join only the slim set of redirecting responses (no bodies, written once
-    because every hop reads it); the landed table itself is joined once, at the end. Requests already at rest get a key of their own, so they
-    spread over all partitions and find no partner.
+    because every hop reads it); the landed table itself is joined once, at the end. Requests already at rest get a
+    key of their own, so they spread over all partitions and find no partner.
+
+    A request gets one response: the newest that landed for its URL, whoever asked for it, or with ``by_competitor`` the
+    newest of those that landed for the request's competitor. Bodies move only for URLs that a chain ends at.
     """
     keys = keys or [c for c in requests.columns if c not in ("url", "domain")]
+    owner = F.coalesce("competitor_id", F.lit("")) if by_competitor else F.lit("")
+    responses = responses.withColumn("_owner", owner)
     hops = cut_lineage(redirect_steps(responses))
     state = requests.select(
         *keys,
+        owner.alias("_owner"),
         "url",
         "domain",
         canonical_url("url").alias("_current"),
@@ -78,7 +95,7 @@ def resolve_redirects(
     rounds = 0 if hops.isEmpty() else max_redirects + 1
     for hop in range(rounds):
         state = state.withColumn("_key", F.when(F.col("_rest"), resting).otherwise(F.col("_current")))
-        joined = state.join(hops, "_key", "left")
+        joined = state.join(hops, ["_owner", "_key"], "left")
         moves = F.coalesce("_moves", F.lit(False))
         if hop == max_redirects:
             state = joined.withColumns(
@@ -103,11 +120,12 @@ def resolve_redirects(
                     "_rest": ~goes_on,
                 }
             )
-        state = state.select(*keys, "url", "domain", "_current", "redirect_chain", "_limit_status", "error", "_rest")
+        state = state.select(*keys, "_owner", "url", "domain", "_current", "redirect_chain", "_limit_status", "error", "_rest")
 
     failed = F.col("error").isNotNull()
     settled = state.select(
         *keys,
+        "_owner",
         "url",
         "domain",
         F.when(failed, F.col("url"))
@@ -119,13 +137,12 @@ def resolve_redirects(
         "_limit_status",
         F.when(failed, resting).otherwise(F.col("_current")).alias("_key"),
     )
-    last = (
-        responses.select(
-            canonical_url("url").alias("_key"), "status", "content_type", "content_length", "body",
-            F.col("error").alias("_transport"), F.lit(True).alias("_landed"))
-        .filter(F.col("_key").isNotNull())
-    )
-    out = settled.join(last, "_key", "left")
+    place = ["_owner", "_key"]
+    asked = settled.select(*place).distinct()
+    answers = responses.withColumn("_key", canonical_url("url")).filter(F.col("_key").isNotNull()).join(asked, place, "left_semi")
+    last = latest_responses(answers, place).select(
+        *place, "status", "content_type", "content_length", "body", F.col("error").alias("_transport"), F.lit(True).alias("_landed"))
+    out = settled.join(last, place, "left")
     missing = F.col("_chain_error").isNull() & F.col("_landed").isNull()
     settles = ~missing
     return out.select(

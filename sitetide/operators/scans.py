@@ -96,10 +96,6 @@ def fail_superseded(scan_runs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def failed_sitemaps(processed: DataFrame) -> DataFrame:
-    return processed.filter(F.col("status") == "failed")
-
-
 def error_summary(processed: DataFrame, keys: list[str], max_chars: int = ERROR_SUMMARY_CHARS) -> DataFrame:
     """Newline-joined error lines of the failed sitemaps in walk order, clipped.
 

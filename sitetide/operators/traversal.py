@@ -17,6 +17,7 @@ of the deepest level are over the depth limit. No competitor is ever gathered in
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,10 +39,16 @@ NOT_LANDED = "No landed response"
 
 @dataclass(frozen=True)
 class Limits:
-    max_depth: int = 5
-    max_sitemaps: int = 100
-    max_urls: int = 10_000
-    max_bytes: int = 5_000_000
+    """Bounds of a walk, each only if it is given."""
+
+    max_depth: int | None = None
+    max_sitemaps: int | None = None
+    max_urls: int | None = None
+    max_bytes: int | None = None
+
+
+# The bounds that a live crawler uses by default.
+CRAWLER_LIMITS = Limits(max_depth=5, max_sitemaps=100, max_urls=10_000, max_bytes=5_000_000)
 
 
 class Expansion(NamedTuple):
@@ -58,7 +65,7 @@ def depth_of(path: Column) -> Column:
     return (F.length(path) / STEP).cast("int") - 1
 
 
-def sitemap_outcome(docs: DataFrame, max_bytes: int) -> DataFrame:
+def sitemap_outcome(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Fetch-and-parse outcome of every landed document: ``error_code``, ``error_message``, ``http_status``.
 
     Expects the columns of ``parse_documents`` plus status, content_length, body, error, error_source.
@@ -91,7 +98,7 @@ def sitemap_outcome(docs: DataFrame, max_bytes: int) -> DataFrame:
     )
 
 
-def prepare_documents(docs: DataFrame, max_bytes: int = 5_000_000) -> DataFrame:
+def prepare_documents(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Landed documents (competitor_id, domain, url, status, content_length, body, error, error_source) to slim rows.
 
     One row per (competitor_id, document): outcome plus node list, without the body. A landed response
@@ -112,7 +119,8 @@ def prepare_documents(docs: DataFrame, max_bytes: int = 5_000_000) -> DataFrame:
         F.when(ok, F.col("doc_type")).alias("doc_type"),
         F.when(ok, F.col("nodes")).otherwise(none).alias("nodes"),
     ).filter(F.col("document").isNotNull())
-    return first_wins(slim, ["competitor_id", "document"], [F.col("landed_url").asc()])
+    return first_wins(slim, ["competitor_id", "document"], [
+        F.col("landed_url").asc(), F.col("http_status").asc(), F.col("content_hash").asc(), F.col("error_code").asc()])
 
 
 def index_edges(documents: DataFrame) -> DataFrame:
@@ -128,14 +136,17 @@ def index_edges(documents: DataFrame) -> DataFrame:
     )
 
 
-def _relax(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Smallest path per (competitor_id, document) over all chains of at most ``max_depth`` steps."""
+def _relax(seeds: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """Smallest path per (competitor_id, document) over all chains (of at most ``max_depth`` steps).
+
+    A cycle never improves a path, so it ends without a bound as well: when no path of the last length was improved.
+    """
     steps = edges.filter(F.col("child").isNotNull()).select(
         "competitor_id", F.col("parent").alias("document"), "child", ordinal(F.col("ordinal")).alias("_step"))
     smallest = F.min("path").alias("path")
     best = cut_lineage(
         seeds.filter(F.col("document").isNotNull()).groupBy("competitor_id", "document").agg(smallest))
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         frontier = best.filter(F.length("path") == level * STEP)
         reached = frontier.join(steps, ["competitor_id", "document"]).select(
             "competitor_id", F.col("child").alias("document"), F.concat("path", "_step").alias("path"))
@@ -149,7 +160,8 @@ def _dead_ends(best: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
     """Settled documents at the deepest level that have children and could still be visited."""
     deepest = (limits.max_depth + 1) * STEP
     window = Window.partitionBy("competitor_id").orderBy("path")
-    reachable = best.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limits.max_sitemaps)
+    reachable = best if limits.max_sitemaps is None else best.withColumn("_rank", F.row_number().over(window)).filter(
+        F.col("_rank") <= limits.max_sitemaps)
     parents = edges.select("competitor_id", F.col("parent").alias("document")).distinct()
     hits = reachable.filter(F.length("path") == deepest).join(parents, ["competitor_id", "document"], "left_semi")
     prefixes = hits.select(
@@ -171,6 +183,8 @@ def _dead_ends(best: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
 def first_visits(seeds: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
     """(competitor_id, document, path, visit): the documents a limited walk visits, in order."""
     open_edges = edges
+    if limits.max_depth is None:
+        return _visits(_relax(seeds, edges, None), limits)
     while True:
         best = _relax(seeds, open_edges, limits.max_depth)
         if best.filter(F.length("path") == (limits.max_depth + 1) * STEP).isEmpty():
@@ -180,11 +194,18 @@ def first_visits(seeds: DataFrame, edges: DataFrame, limits: Limits) -> DataFram
             break
         open_edges = cut_lineage(open_edges.join(
             dead_ends.withColumnRenamed("document", "parent"), ["competitor_id", "parent"], "left_anti"))
+    return _visits(best, limits)
+
+
+def _visits(best: DataFrame, limits: Limits) -> DataFrame:
+    """The documents in the order of the walk; numbered only where their number is bounded."""
+    if limits.max_sitemaps is None:
+        return best.withColumn("visit", F.lit(None).cast("int"))
     window = Window.partitionBy("competitor_id").orderBy("path")
     return best.withColumn("visit", F.row_number().over(window)).filter(F.col("visit") <= limits.max_sitemaps)
 
 
-def _capped_entries(found: DataFrame, visits: DataFrame, max_urls: int) -> tuple[DataFrame, DataFrame]:
+def _capped_entries(found: DataFrame, visits: DataFrame, max_urls: int | None) -> tuple[DataFrame, DataFrame]:
     """Apply the URL cap: (entries kept, per-document counts and whether the cap stopped it).
 
     Whole documents are decided from their counts; positions are only ranked inside the one document
@@ -193,6 +214,8 @@ def _capped_entries(found: DataFrame, visits: DataFrame, max_urls: int) -> tuple
     doc = ["competitor_id", "path"]
     entries = cut_lineage(first_entry(found))
     added = entries.groupBy(*doc).agg(F.count(F.lit(1)).alias("added"))
+    if max_urls is None:
+        return entries, added.withColumn("over_cap", F.lit(False))
     before = Window.partitionBy("competitor_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         visits.select(*doc, "node_count")
@@ -257,12 +280,13 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, limits: Limits = Limits()
     encounters = starts.withColumn("_parent_path", F.lit(None).cast("string")).unionByName(below)
     encounters = encounters.join(
         visited.select("competitor_id", "path", F.lit(True).alias("_first")), ["competitor_id", "path"], "left")
-    last = visited.filter(F.col("visit") == limits.max_sitemaps).select(
-        "competitor_id", F.col("path").alias("_last_path"))
-    encounters = join_dimension(encounters, last, ["competitor_id"], ["path"], "left")
-
-    too_deep = depth_of(F.col("path")) > limits.max_depth
-    too_many = F.coalesce(F.col("path") > F.col("_last_path"), F.lit(False))
+    too_many = F.lit(False)
+    if limits.max_sitemaps is not None:
+        last = visited.filter(F.col("visit") == limits.max_sitemaps).select(
+            "competitor_id", F.col("path").alias("_last_path"))
+        encounters = join_dimension(encounters, last, ["competitor_id"], ["path"], "left")
+        too_many = F.coalesce(F.col("path") > F.col("_last_path"), F.lit(False))
+    too_deep = F.lit(False) if limits.max_depth is None else depth_of(F.col("path")) > limits.max_depth
     encounters = encounters.withColumn(
         "_kind",
         F.when(too_deep, F.lit("depth"))

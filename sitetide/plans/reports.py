@@ -12,7 +12,6 @@ from sitetide.operators import pages as P
 from sitetide.operators.competitors import list_competitors
 from sitetide.operators.metrics import metrics_review, metrics_status
 from sitetide.operators.scans import recent_scans
-from sitetide.sources.export import EXPORT_LIMIT
 from sitetide.sources.export import export_pages as write_export
 
 State = dict[str, DataFrame]
@@ -46,7 +45,7 @@ def list_pages(state: State, page: int = 1, page_size: int = P.DEFAULT_PAGE_SIZE
     return PageList(P.paginate(rows, page, page_size), P.count_pages(rows))
 
 
-def export_pages(state: State, path: str, limit: int = EXPORT_LIMIT, **filters) -> None:
+def export_pages(state: State, path: str, limit: int | None = None, **filters) -> None:
     write_export(listed_pages(state, **filters), path, limit)
 
 

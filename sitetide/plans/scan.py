@@ -136,7 +136,7 @@ def run_scans(
         "competitor_id", "domain", F.col("id").alias("source_id"), "url", "seed_order")
     sitemap_requests = landed["sitemaps"].select("competitor_id", "url").distinct().join(
         scans.select("competitor_id", "domain"), "competitor_id")
-    docs = resolve_redirects(sitemap_requests, landed["sitemaps"]).withColumnRenamed("error_code", "error_source")
+    docs = resolve_redirects(sitemap_requests, landed["sitemaps"], by_competitor=True).withColumnRenamed("error_code", "error_source")
     expansion = expand_sitemaps(seeds, docs, limits)
     visits, entries = cut_lineage(expansion.visits), expansion.entries
     sources = cut_lineage(add_child_sources(sources, expansion.children, as_of))

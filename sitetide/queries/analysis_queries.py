@@ -41,7 +41,7 @@ def analysis_input(spark, sf):
 def landed_answers(spark, sf):
     """Chat responses built from the documents: text, parts, error, no content, broken JSON, oversized."""
     did = F.col("doc_id")
-    text = F.to_json(F.array(F.trim(F.substring("text", 1, 300))))
+    text = F.to_json(F.array(F.trim("text")))
     quoted = F.substring(text, F.lit(2), F.length(text) - 2)
     body = (
         F.when(did % 7 == 1, F.concat(F.lit('{"choices":[{"message":{"content":[{"text":'), quoted, F.lit('},{"type":"x"},{"text":"!"}]}}]}')))
@@ -56,14 +56,14 @@ def landed_answers(spark, sf):
 
 
 @query("analysis_response", f"""
-WITH t AS (SELECT doc_id, trim(substr(text, 1, 300)) AS x FROM documents),
+WITH t AS (SELECT doc_id, trim(text) AS x FROM documents),
 s AS (SELECT doc_id, regexp_replace(regexp_replace(x, '^{I.SPACES}+', ''), '{I.SPACES}+$', '') AS x,
   regexp_replace(x, '^{I.SPACES}+', '') AS l FROM t)
 SELECT doc_id, md5(CASE doc_id % 7 WHEN 0 THEN x WHEN 1 THEN l || '!' END) AS content_md5,
   CASE doc_id % 7 WHEN 2 THEN 'quota' WHEN 3 THEN '{A.NO_CONTENT}' WHEN 4 THEN 'Invalid JSON' WHEN 5 THEN 'Response exceeds 256000 bytes' WHEN 6 THEN 'OpenRouter returned HTTP 500' END AS error
 FROM s""")
 def analysis_response(spark, sf):
-    read = landed_answers(spark, sf).withColumn("r", A.analysis_content("body", "http_status"))
+    read = landed_answers(spark, sf).withColumn("r", A.analysis_content("body", "http_status", A.RESPONSE_MAX_BYTES))
     return read.select("doc_id", F.md5("r.content").alias("content_md5"), F.col("r.error").alias("error"))
 
 
@@ -72,7 +72,7 @@ def result_texts(spark, sf):
     did = F.col("doc_id")
     return I.read(spark, sf, "documents").select(did, F.when(did % 17 == 0, F.lit("{oops")).otherwise(safe_json(
         pageType=F.when(did % 3 == 0, F.lit("homepage")).otherwise(F.lit("blog")),
-        primaryTopic=F.substring("text", F.lit(1), (did % 220).cast("int")),
+        primaryTopic=F.when(did % 2 == 0, F.col("text")).otherwise(F.col("source")),
         primaryKeyword=F.lit("k"),
         secondaryKeywords=F.array_repeat(F.lit("s"), (did % 18).cast("int")),
         searchIntent=F.lit("mixed"),
@@ -85,7 +85,7 @@ def result_texts(spark, sf):
 
 @query("analysis_validate", """
 WITH r AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'json' ELSE concat_ws(',',
-  CASE WHEN doc_id % 3 = 0 THEN 'pageType' END, CASE WHEN length(substr(text, 1, doc_id % 220)) NOT BETWEEN 1 AND 200 THEN 'primaryTopic' END,
+  CASE WHEN doc_id % 3 = 0 THEN 'pageType' END, CASE WHEN length(CASE WHEN doc_id % 2 = 0 THEN text ELSE source END) NOT BETWEEN 1 AND 200 THEN 'primaryTopic' END,
   CASE WHEN doc_id % 18 > 15 THEN 'secondaryKeywords' END, CASE WHEN doc_id % 5 = 0 THEN 'summary' END,
   CASE WHEN doc_id % 10 NOT BETWEEN 1 AND 8 THEN 'reasoningEvidence' END, CASE WHEN doc_id % 12 > 10 THEN 'confidence' END) END AS violations FROM documents)
 SELECT doc_id, violations = '' AS is_valid, violations, CASE WHEN violations = '' THEN doc_id % 12 / 10.0 END::DOUBLE AS confidence FROM r""")
@@ -95,7 +95,7 @@ def analysis_validate(spark, sf):
         "doc_id", F.col("c.is_valid").alias("is_valid"), F.array_join("c.violations", ",").alias("violations"), F.col("c.result.confidence").alias("confidence"))
 
 
-VALID = "doc_id % 17 <> 0 AND doc_id % 3 <> 0 AND length(substr(text, 1, doc_id % 220)) BETWEEN 1 AND 200 AND doc_id % 18 <= 15 AND doc_id % 5 <> 0 AND doc_id % 10 BETWEEN 1 AND 8 AND doc_id % 12 <= 10"
+VALID = "doc_id % 17 <> 0 AND doc_id % 3 <> 0 AND length(CASE WHEN doc_id % 2 = 0 THEN text ELSE source END) BETWEEN 1 AND 200 AND doc_id % 18 <= 15 AND doc_id % 5 <> 0 AND doc_id % 10 BETWEEN 1 AND 8 AND doc_id % 12 <= 10"
 
 
 def _outcomes(spark, sf):

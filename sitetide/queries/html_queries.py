@@ -130,7 +130,7 @@ OUTCOME_SQL = """
 
 @query("fetch_outcome", f"WITH {OUTCOME_SQL} SELECT page_id, fetch_status, code, message, http_status FROM fetched")
 def fetch_outcome(spark, sf):
-    return P.fetch_outcome(landed_pages(spark, sf)).select(
+    return P.fetch_outcome(landed_pages(spark, sf), P.PAGE_MAX_BYTES).select(
         "page_id", "fetch_status", "code", "message", F.col("http_status").cast("bigint").alias("http_status"))
 
 
@@ -141,7 +141,7 @@ SELECT page_id, fetch_status, CASE WHEN fetch_status = 'success' THEN {TITLE_SQL
   CASE WHEN fetch_status = 'success' THEN 'Text/HTML; charset=utf-8' WHEN pid % 12 = 3 THEN 'application/pdf' END AS content_type
 FROM fetched""")
 def fetch_results(spark, sf):
-    return P.fetch_results(landed_pages(spark, sf)).select(
+    return P.fetch_results(landed_pages(spark, sf), P.PAGE_MAX_BYTES).select(
         "page_id", "fetch_status", "title", F.md5("content_excerpt").alias("excerpt_md5"),
         F.size("h2").cast("bigint").alias("h2_count"), "content_type")
 
@@ -165,7 +165,7 @@ SELECT f.page_id, f.fetch_status, f.http_status, f.message AS fetch_error,
   CASE WHEN f.fetch_status = 'success' THEN {TITLE_SQL} ELSE s.title END AS title
 FROM fetched f LEFT JOIN page_seo s USING (page_id)""")
 def fetch_upsert(spark, sf):
-    results = P.fetch_results(landed_pages(spark, sf))
+    results = P.fetch_results(landed_pages(spark, sf), P.PAGE_MAX_BYTES)
     after = P.upsert_fetch(I.page_seo(spark, sf), results, F.lit(I.AS_OF).cast("timestamp"))
     return after.select(
         "page_id", "fetch_status", F.col("http_status").cast("bigint").alias("http_status"), "fetch_error", "title")
@@ -178,7 +178,7 @@ UNION ALL SELECT page_id, 'event:redirected', '{{"finalUrl":"' || url || '","cha
 UNION ALL SELECT page_id, 'attempt:' || fetch_status, coalesce(code, '') FROM fetched""")
 def fetch_effects(spark, sf):
     as_of = F.lit(I.AS_OF).cast("timestamp")
-    results = P.fetch_results(landed_pages(spark, sf))
+    results = P.fetch_results(landed_pages(spark, sf), P.PAGE_MAX_BYTES)
     _, moved = P.apply_redirects(I.state_pages(spark, sf, every=None), results, as_of)
     events = moved.unionByName(P.failure_events(results, as_of)).select(
         "page_id", F.concat(F.lit("event:"), "event_type").alias("effect"), F.col("new_value_json").alias("detail"))
@@ -191,7 +191,7 @@ def fetch_effects(spark, sf):
 WITH {I.state_pages_sql(None)} SELECT id, current_url, CASE WHEN page_id % 12 = 9 THEN '2024-01-20 12:00:00'
   ELSE {I.stamp_sql('first_seen_at')} END AS updated_at FROM state_pages""")
 def apply_redirects(spark, sf):
-    results = P.fetch_outcome(landed_pages(spark, sf))
+    results = P.fetch_outcome(landed_pages(spark, sf), P.PAGE_MAX_BYTES)
     pages, _ = P.apply_redirects(I.state_pages(spark, sf, every=None), results, F.lit(I.AS_OF).cast("timestamp"))
     return pages.select("id", "current_url", I.stamp("updated_at").alias("updated_at"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitetide.operators import diff as D
@@ -38,11 +40,11 @@ def scan_diff_counts(spark, sf):
 
 
 @query("split_diff", f"""{WITH_DIFF}
-SELECT change_type AS part, competitor_id, normalized_url FROM diff WHERE change_type IN ('new', 'reappeared', 'confirmed_missing')""")
+SELECT change_type AS part, competitor_id, normalized_url FROM diff WHERE change_type IS NOT NULL""")
 def split_diff(spark, sf):
     parts = D.split_diff(D.scan_diff(*diff_inputs(spark, sf)))
-    rows = [parts[k].select(F.lit(k).alias("part"), *D.KEY) for k in (D.NEW, D.REAPPEARED, D.CONFIRMED_MISSING)]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    rows = [parts[k].select(F.lit(k).alias("part"), *D.KEY) for k in (D.NEW, D.PRESENT, D.REAPPEARED, D.FIRST_MISSING, D.CONFIRMED_MISSING)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("scan_counters", f"""{WITH_DIFF},

@@ -11,7 +11,7 @@ from sitetide.operators.competitors import competitor_config, count_competitors,
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 from sitetide.schemas import conform
-from sitetide.sources.export import csv_header, export_lines
+from sitetide.sources.export import EXPORT_LIMIT, csv_header, export_lines
 
 
 
@@ -164,16 +164,16 @@ def competitor_count(spark, sf):
 
 
 @query("competitor_config", """WITH site AS (SELECT page_id // 100 AS n, count(*) AS pages FROM pages GROUP BY 1),
-urls AS (SELECT page_id // 100 AS n, string_agg(url, ' ' ORDER BY page_id) AS urls FROM pages WHERE page_id % 100 < 10 AND page_id % 2 = 1 GROUP BY 1)
+urls AS (SELECT page_id // 100 AS n, string_agg(url, ' ' ORDER BY page_id) AS urls FROM pages WHERE page_id % 2 = 1 GROUP BY 1)
 SELECT 'site_' || site.n AS id, site.n % 3 <> 0 AS is_enabled, coalesce(urls.urls, '') AS manual_sitemap_urls
 FROM site LEFT JOIN urls USING (n) WHERE site.n % 5 <> 4""")
 def competitor_configuration(spark, sf):
-    """Sites of one hundred pages each, the first ten of them listed as manual sitemaps and half of those enabled."""
+    """Sites of one hundred pages each, all of them listed as manual sitemaps and half of those enabled."""
     pid, t = F.col("page_id"), F.timestamp_seconds(F.col("page_id"))
     number = F.expr("page_id DIV 100")
     site = F.concat(F.lit("site_"), number.cast("string"))
     pages = I.read(spark, sf, "pages").select("page_id", "url", site.alias("site"), number.alias("n"))
-    sources = conform(pages.filter(pid % 100 < 10).select(
+    sources = conform(pages.select(
         pid.cast("string").alias("id"), F.col("site").alias("competitor_id"), "url", F.col("url").alias("normalized_url"),
         F.lit("manual").alias("source_type"), (pid % 2 == 1).alias("is_enabled"), F.lit(False).alias("is_discovered"),
         t.alias("created_at"), t.alias("updated_at")), "sitemap_sources")
@@ -201,4 +201,4 @@ CSV_VALUES = [
 newest AS (SELECT * FROM all_pages ORDER BY first_seen_at DESC, id DESC LIMIT 5000)
 SELECT chr(65279) || '{csv_header()}' AS line UNION ALL SELECT {" || ',' || ".join(_cell(v) for v in CSV_VALUES)} FROM newest""")
 def csv_export(spark, sf):
-    return export_lines(listed(spark, sf, discovered=False)).select("line")
+    return export_lines(listed(spark, sf, discovered=False), EXPORT_LIMIT).select("line")

@@ -40,7 +40,7 @@ def landed(spark, sf):
     pages = I.spread(I.read(spark, sf, "pages")).select(
         I.host().alias("competitor_id"), F.col("url"), F.when(pid % 10 == 5, F.lit(404)).otherwise(F.lit(200)).alias("status"), none.alias("location"),
         F.lit("text/html").alias("content_type"), none.alias("content_length"), F.col("html").alias("body"), none.alias("error"))
-    return {"sitemaps": sitemaps, "pages": pages, "roots": sitemaps.limit(0)}
+    return {"sitemaps": sitemaps, "pages": pages, "roots": sitemaps.filter(F.endswith("url", F.lit("/robots.txt")))}
 
 
 def scanned(spark, sf):

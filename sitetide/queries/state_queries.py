@@ -330,7 +330,7 @@ def quality_rules(spark, sf):
 
 @query("input_rules", """
 WITH bad AS (
-  SELECT doc_id, unnest([CASE WHEN length(trim(substr(text, 1, doc_id % 130))) NOT BETWEEN 1 AND 100 THEN 'length:name' END,
+  SELECT doc_id, unnest([CASE WHEN length(trim(CASE WHEN doc_id % 2 = 0 THEN text ELSE source END)) NOT BETWEEN 1 AND 100 THEN 'length:name' END,
     CASE WHEN length(trim(lang)) NOT BETWEEN 1 AND 253 THEN 'length:domain' END, CASE WHEN doc_id % 13 > 10 THEN 'size:sitemap_urls' END,
     CASE WHEN doc_id % 6 = 0 AND doc_id % 13 > 0 THEN 'url:sitemap_urls' END]) AS rule FROM documents)
 SELECT doc_id::VARCHAR AS key, rule FROM bad WHERE rule IS NOT NULL""")
@@ -338,7 +338,7 @@ def input_rules(spark, sf):
     did = F.col("doc_id")
     url = F.when(did % 6 == 0, F.lit("not a url")).otherwise(F.lit("https://example.com/s.xml"))
     rows = I.read(spark, sf, "documents").select(
-        did, F.substring("text", F.lit(1), (did % 130).cast("int")).alias("name"), F.col("lang").alias("domain"),
+        did, F.when(did % 2 == 0, F.col("text")).otherwise(F.col("source")).alias("name"), F.col("lang").alias("domain"),
         F.array_repeat(url, (did % 13).cast("int")).alias("sitemap_urls"))
     return Q.check_inputs(rows, Q.competitor_rules(), F.col("doc_id")).select("key", "rule")
 
@@ -347,7 +347,7 @@ def input_rules(spark, sf):
 WITH bad AS (
   SELECT doc_id, unnest([CASE WHEN doc_id % 5 = 0 THEN 'enum:review_status' END, CASE WHEN length(text) > 5000 THEN 'length:notes' END,
     CASE WHEN doc_id % 30 > 20 THEN 'size:manual_secondary_keywords' END, CASE WHEN doc_id % 4 = 0 AND doc_id % 30 > 0 THEN 'length:manual_secondary_keywords' END,
-    CASE WHEN doc_id % 8 = 0 THEN 'range:page_size' END, CASE WHEN length(substr(text, 1, 600)) > 500 THEN 'length:query' END]) AS rule
+    CASE WHEN doc_id % 8 = 0 THEN 'range:page_size' END, CASE WHEN length(text) > 500 THEN 'length:query' END]) AS rule
   FROM (SELECT doc_id, rtrim(ltrim(text, chr(10) || chr(9) || ' '), chr(10) || chr(9) || ' ') AS text FROM documents))
 SELECT doc_id::VARCHAR AS key, rule FROM bad WHERE rule IS NOT NULL""")
 def input_rules_review(spark, sf):
@@ -359,7 +359,7 @@ def input_rules_review(spark, sf):
         F.lit(True).alias("is_viewed"), F.lit(False).alias("is_worth_following"), none.alias("manual_page_type"), none.alias("manual_primary_keyword"),
         F.array_repeat(F.when(did % 4 == 0, F.lit(" ")).otherwise(F.lit("k")), (did % 30).cast("int")).alias("manual_secondary_keywords"),
         none.alias("manual_search_intent"), trimmed.alias("notes"), none.alias("competitor_id"), none.alias("page_type"), none.alias("search_intent"),
-        F.concat(F.substring(trimmed, 1, 600), F.lit(" ")).alias("query"), F.lit(1).alias("page"), F.when(did % 8 == 0, 101).otherwise(20).alias("page_size"))
+        F.concat(trimmed, F.lit(" ")).alias("query"), F.lit(1).alias("page"), F.when(did % 8 == 0, 101).otherwise(20).alias("page_size"))
     filters = {k: v for k, v in Q.list_filter_rules().items() if k != "length:review_status"}
     return Q.check_inputs(rows, Q.review_rules() | filters, F.col("doc_id")).select("key", "rule")
 
@@ -432,5 +432,5 @@ def fail_scans(spark, sf):
     key = F.col("id").cast("bigint")
     failures = runs.filter(key % 6 == 0).select(
         F.col("id").alias("scan_run_id"), "competitor_id", F.when(key % 12 != 0, F.lit("broken")).alias("message"))
-    after, _ = S.fail_scans(runs, customers(spark, sf).limit(0), failures, now())
+    after, _ = S.fail_scans(runs, customers(spark, sf), failures, now())
     return after.select("id", "status", "total_url_count", "error_summary")

@@ -75,13 +75,13 @@ def strip_tracking(spark, sf):
 
 @query("sort_params", f"""
 WITH {I.VARIANTS_SQL}
-SELECT page_id, variant, array_to_string(list_sort(list_filter(
-  string_split('c=3&b=' || CAST(variant AS VARCHAR) || '&' || regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS query
-FROM v WHERE NOT contains(url, 'UTM_')""")
+SELECT page_id, variant, array_to_string(list_transform(list_sort(list_transform(list_filter(
+  string_split('c=3&b=' || CAST(variant AS VARCHAR) || '&' || regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> ''),
+  lambda x: lower(x) || chr(1) || x)), lambda x: split_part(x, chr(1), 2)), '&') AS query
+FROM v""")
 def sort_params(spark, sf):
     text = F.concat(F.lit("c=3&b="), F.col("variant").cast("string"), F.lit("&"), F.regexp_extract("url", r"\?([^#]*)", 1))
-    rows = I.url_variants(spark, sf).filter(~F.contains("url", F.lit("UTM_")))
-    return rows.withColumn("params", U.query_params(text)).select(
+    return I.url_variants(spark, sf).withColumn("params", U.query_params(text)).select(
         "page_id", "variant", U.encode_params(U.sort_params("params")).alias("query"))
 
 

@@ -87,7 +87,7 @@ TABLES_DDL = {
 LANDED_DDL = {
     "responses": """
         competitor_id string, url string, status int, location string, content_type string,
-        content_length string, body string, error string""",
+        content_length string, body string, error string, landed_at timestamp""",
 }
 
 TABLES: dict[str, T.StructType] = {name: struct(ddl) for name, ddl in TABLES_DDL.items()}

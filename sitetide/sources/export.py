@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sitetide.functions.text import csv_cell
 from sitetide.functions.times import iso_utc
-from sitetide.operators.pages import MAX_PAGE_SIZE, cap
+from sitetide.operators.pages import list_order
 
+# Fixed value: the rows that the reporting page exports.
 EXPORT_LIMIT = 5_000
-FIRST_PAGE_LIMIT = MAX_PAGE_SIZE
 BOM = chr(0xFEFF)
 
 # Header cells and the list column behind each.
@@ -49,18 +49,18 @@ def csv_header() -> str:
     return ",".join(f'"{title}"' for title in EXPORT_COLUMNS)
 
 
-def export_lines(rows: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
-    """(line_no, line): the BOM-marked header, then the newest ``limit`` pages in list order."""
-    body = cap(rows, limit).select(
+def export_lines(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """(line_no, line): the BOM-marked header, then the pages in list order; the newest ``limit`` if one is given."""
+    ordered = rows.orderBy(*list_order())
+    body = (ordered if limit is None else ordered.limit(limit)).select(
         (F.monotonically_increasing_id() + 1).alias("line_no"), csv_line(rows).alias("line"))
     header = rows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"), F.lit(BOM + csv_header()).alias("line"))
     return header.unionByName(body)
 
 
-def export_pages(rows: DataFrame, path: str, limit: int = EXPORT_LIMIT) -> None:
-    """Write one CSV text file: UTF-8 with BOM, CRLF line breaks, every cell quoted.
-
-    A single file is safe because the export is capped.
-    """
-    lines = export_lines(rows, limit).coalesce(1).sortWithinPartitions("line_no").select("line")
-    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+def export_pages(rows: DataFrame, path: str, limit: int | None = None) -> None:
+    """Write CSV text: UTF-8 with BOM, CRLF line breaks, every cell quoted. One file with a limit; without one, files
+    whose names follow the order of the lines."""
+    lines = export_lines(rows, limit)
+    lines = lines.orderBy("line_no") if limit is None else lines.coalesce(1).sortWithinPartitions("line_no")
+    lines.select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)

@@ -39,11 +39,11 @@ def _text_of(raw: Column) -> Column:
 
 
 def _child_texts(node: Column, tag: str) -> Column:
-    """Raw inner text of every child ``tag``; a child with attributes shows up as null."""
-    pattern = rf"(?s)<{tag}(\s[^>]*)?(?<!/)>(.*?)</{tag}\s*>"
-    attrs = F.regexp_extract_all(node, F.lit(pattern), F.lit(1))
-    texts = F.regexp_extract_all(node, F.lit(pattern), F.lit(2))
-    return F.zip_with(attrs, texts, lambda a, t: F.when(F.length(trim_ws(a)) == 0, t))
+    """Raw inner text of every direct child ``tag``; a child with attributes shows up as null."""
+    pattern = F.lit(r"(?s)<([A-Za-z_][^\s/>]*)(\s[^>]*)?(?<!/)>(.*?)</\1\s*>")
+    parts = [F.regexp_extract_all(node, pattern, F.lit(i)) for i in (1, 2, 3)]
+    children = F.filter(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "nat", strict=True)]), lambda c: c["n"] == tag)
+    return F.transform(children, lambda c: F.when(F.length(trim_ws(c["a"])) == 0, c["t"]))
 
 
 def _string_value(texts: Column) -> Column:

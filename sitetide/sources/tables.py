@@ -30,18 +30,21 @@ def read_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
             F.lit(None).cast("string").alias("content_length"),
             F.col("value").alias("body"),
             F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("timestamp").alias("landed_at"),
         )
     return spark.read.schema(LANDED["responses"]).format(fmt).load(path)
 
 
-def too_large(body: Column | str, declared: Column | str, max_bytes: int) -> Column:
-    """True when the declared length, or else the actual byte count, passes the limit."""
+def too_large(body: Column | str, declared: Column | str, max_bytes: int | None) -> Column:
+    """True when the declared length, or else the actual byte count, passes the limit; never without one."""
+    if max_bytes is None:
+        return F.lit(False)
     declared_bytes = F.trim(as_col(declared)).try_cast("double")
     return (F.coalesce(declared_bytes > max_bytes, F.lit(False))
             | F.coalesce(F.octet_length(as_col(body)) > max_bytes, F.lit(False)))
 
 
-def size_error(max_bytes: int) -> str:
+def size_error(max_bytes: int | None) -> str:
     return f"Response exceeds {max_bytes} bytes"
 
 

@@ -239,7 +239,7 @@ def test_validation(spark, change, violations):
     ("nope", 200, None, A.BAD_JSON),
 ])
 def test_response_reading(spark, body, status, content, error):
-    row = one(spark, A.analysis_content(F.lit(body), F.lit(status)))
+    row = one(spark, A.analysis_content(F.lit(body), F.lit(status), A.RESPONSE_MAX_BYTES))
     assert (row["content"], row["error"]) == (content, error)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitetide.operators.redirects import resolve_redirects
-from sitetide.operators.traversal import Limits, expand_sitemaps, scan_complete
+from sitetide.operators.traversal import CRAWLER_LIMITS, Limits, expand_sitemaps, scan_complete
 from sitetide.sources import sitemaps as S
 
 DOMAIN = "example.com"
@@ -115,17 +115,18 @@ def test_redirects(spark):
     assert out["ok"]["body"] == "ok" and out["gone"]["error_code"] == "NOT_LANDED"
 
 
-def test_collects_and_deduplicates(spark):
+def test_overlapping_sets_count_a_page_once(spark):
     docs = {
-        f"{BASE}/sitemap.xml": (200, index(f"{BASE}/products.xml", f"{BASE}/blog.xml")),
-        f"{BASE}/products.xml": (200, urlset(f"{BASE}/a?utm_source=test", f"{BASE}/b")),
-        f"{BASE}/blog.xml": (200, urlset(f"{BASE}/a", f"{BASE}/c", "https://evil.example/", "zzz")),
+        f"{BASE}/main.xml": (200, index(f"{BASE}/spring.xml", f"{BASE}/autumn.xml", f"{BASE}/spring.xml")),
+        f"{BASE}/spring.xml": (200, urlset(f"{BASE}/tulip?gclid=7", f"{BASE}/crocus", f"{BASE}/tulip")),
+        f"{BASE}/autumn.xml": (200, urlset("https://evil.example/aster", f"{BASE}/crocus/", f"{BASE}/dahlia", ":")),
     }
-    out = expand_sitemaps(seeds_frame(spark, [f"{BASE}/sitemap.xml"]), docs_frame(spark, docs))
-    assert sorted(r["normalized_url"] for r in out.entries.collect()) == [f"{BASE}/{x}" for x in "abc"]
-    assert out.children.count() == 2
+    out = expand_sitemaps(seeds_frame(spark, [f"{BASE}/main.xml"]), docs_frame(spark, docs))
+    found = {r["normalized_url"]: r["source_url"] for r in out.entries.collect()}
+    assert found == {f"{BASE}/tulip": f"{BASE}/spring.xml", f"{BASE}/crocus": f"{BASE}/spring.xml", f"{BASE}/dahlia": f"{BASE}/autumn.xml"}
+    assert out.children.count() == 3
     visits = out.visits.orderBy("path").collect()
-    assert [(v["status"], v["url_count"]) for v in visits] == [("success", 0), ("success", 2), ("success", 1)]
+    assert [(v["status"], v["url_count"]) for v in visits] == [("success", 0), ("success", 2), ("success", 1), ("skipped", 0)]
     assert scan_complete(out.visits, ["competitor_id"]).first()["is_complete"]
 
 
@@ -140,48 +141,38 @@ def test_failures_make_the_scan_incomplete(spark):
 
 
 def walk(seeds, docs, limits):
-    """Plain restatement of the walk rules for small graphs."""
-    visited, entries, processed = set(), {}, []
-
-    def visit(url, depth):
-        if depth > limits.max_depth:
-            processed.append((url, "SITEMAP_DEPTH_LIMIT"))
-            return
-        if len(visited) >= limits.max_sitemaps:
-            processed.append((url, "SITEMAP_COUNT_LIMIT"))
-            return
-        if not url.startswith(BASE):
-            processed.append((url, "SITEMAP_URL_REJECTED"))
-            return
-        if url in visited:
-            processed.append((url, "skipped"))
-            return
-        visited.add(url)
-        if url not in docs:
-            processed.append((url, "SITEMAP_FETCH_FAILED"))
-            return
-        kind, items = docs[url]
-        if kind == "index":
-            processed.append((url, 0))
-            for child in items:
-                visit(child, depth + 1)
-            return
-        added = 0
-        for item in items:
-            if len(entries) >= limits.max_urls:
-                processed.append((url, "SITEMAP_URL_LIMIT"))
-                return
-            if item.startswith(BASE) and item not in entries:
-                entries[item] = url
-                added += 1
-        processed.append((url, added))
-
-    for seed in seeds:
-        visit(seed, 0)
-    return processed, entries
-
-
-@pytest.mark.parametrize("limits", [Limits(), Limits(2, 100, 10_000), Limits(3, 6, 5)])
+    """The walk's rules on small graphs, with a stack of (url, depth) still to be met."""
+    within = lambda n, bound: bound is None or n < bound
+    met, seen, owner = [], set(), {}
+    ahead = [(url, 0) for url in reversed(seeds)]
+    while ahead:
+        url, depth = ahead.pop()
+        rules = [
+            ("SITEMAP_DEPTH_LIMIT", not within(depth - 1, limits.max_depth)),
+            ("SITEMAP_COUNT_LIMIT", not within(len(seen), limits.max_sitemaps)),
+            ("SITEMAP_URL_REJECTED", not url.startswith(BASE)),
+            ("skipped", url in seen),
+        ]
+        broken = next((name for name, holds in rules if holds), None)
+        if broken is None:
+            seen.add(url)
+            kind, items = docs.get(url, ("none", []))
+            if kind == "index":
+                ahead += [(child, depth + 1) for child in reversed(items)]
+            new = [i for n, i in enumerate(items) if kind == "urls" and i.startswith(BASE) and i not in owner and i not in items[:n]]
+            room = len(new) if limits.max_urls is None else limits.max_urls - len(owner)
+            # the cap is noticed when an item follows the one that filled it
+            filled = limits.max_urls is not None and kind == "urls" and len(new) >= room
+            last_read = items.index(new[room - 1]) if filled and room else -1
+            owner |= dict.fromkeys(new[:max(room, 0)], url)
+            broken = "SITEMAP_FETCH_FAILED" if kind == "none" else "SITEMAP_URL_LIMIT" if filled and len(items) > last_read + 1 else None
+            met.append((url, broken or len(new[:max(room, 0)])))
+        else:
+            met.append((url, broken))
+    return met, owner
+
+
+@pytest.mark.parametrize("limits", [Limits(), CRAWLER_LIMITS, Limits(2, 100, 10_000), Limits(3, 6, 5)])
 def test_random_graphs_match_the_walk(spark, limits):
     rng = random.Random(repr(limits))
     all_seeds, all_docs, expected = [], [], {}
