@@ -79,7 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 17), base, dtype=np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(steps)
     return have[:n]
@@ -119,7 +119,7 @@ def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(value + (end - begin).astype(np.uint64))
 
 
-def batch_slices(starts: np.ndarray, most: int = 1 << 22) -> list[tuple[int, int]]:
+def batch_slices(starts: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, so that work arrays stay small; one text may be longer."""
     out, at = [], 0
     while at < len(starts) - 1:

@@ -31,7 +31,7 @@ WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0
 #: Words whose encodings a worker remembers; the oldest half is forgotten beyond that.
 REMEMBERED = 200_000
 #: Bytes of text that are handled at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 NEVER = 1 << 60
 
 
@@ -131,7 +131,7 @@ class Encoder:
         key = a * self.span + b
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
             known = self._pairs[key] = not self._crossed(self.right[a], self.left[b])
         return known
@@ -242,6 +242,11 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> str:
         return decode(self.names, ids)
 
+    def forget(self) -> None:
+        """Free what was remembered: a worker process outlives the task."""
+        self._pairs.clear()
+        self._young, self._old = dict(self._alone), {}
+
 
 _ENCODERS: dict[int, Encoder] = {}
 
@@ -281,6 +286,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
                 part = batch.slice(a, b - a)
                 more = [pa.array([coder.decode(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], schema.names)
+        coder.forget()
 
     return docs.mapInArrow(run, schema)
 
