@@ -259,7 +259,7 @@ STREAM_SQL = history_sql("(day(ts) - 1) // 6", "s % 4 <> 1")
 SELECT c AS competitor_id, u AS url, status AS lifecycle_status, CAST(streak AS BIGINT) AS missing_streak
 FROM walk w WHERE status IS NOT NULL AND n = (SELECT max(n) FROM numbered m WHERE m.c = w.c)""")
 def stream_lifecycle(spark, sf):
-    """Six-day scans of the event history, landed as files and applied by the stream."""
+    """Six-day scans of the event history, landed as files that each hold a part of every scan, and applied by the stream."""
     number = F.expr("(dayofmonth(ts) - 1) DIV 6")
     events = I.read(spark, sf, "events").select(
         F.col("event_type").alias("competitor_id"), F.col("user_id").cast("string").alias("url"), number.alias("scan_no")).distinct()
@@ -268,9 +268,11 @@ def stream_lifecycle(spark, sf):
         F.concat("competitor_id", F.lit("-"), F.col("scan_no").cast("string")).alias("scan_run_id"), "competitor_id",
         F.timestamp_seconds(F.lit(1704067200) + F.col("scan_no") * 86400).alias("scanned_at"), (F.col("scan_no") % 4 != 1).alias("is_complete"),
         "url", F.col("url").alias("normalized_url"), none.alias("lastmod"), none.alias("source_url"))
+    sizes = rows.groupBy("scan_run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = rows.join(sizes, "scan_run_id").repartition(4, "url")
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/landed")
-    source = spark.readStream.schema(SCAN_SCHEMA).parquet(f"{root}/landed")
+    source = spark.readStream.schema(SCAN_SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"{root}/landed")
     start_lifecycle_stream(source, f"{root}/state", f"{root}/progress").awaitTermination()
     pages = read_lifecycle_state(spark, f"{root}/state")["pages"]
     return pages.select(

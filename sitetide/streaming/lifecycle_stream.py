@@ -2,6 +2,10 @@
 
 State is kept as versioned Parquet snapshots, one folder per micro-batch. A batch that is retried writes
 the same folder again from the same predecessor, and scans that were applied before are skipped by id.
+Events are only added: a folder holds those of its batch, and the log is all folders together.
+
+The rows of a scan may be spread over micro-batches. Each row says how many rows its scan has; until all have
+arrived, they wait in the snapshot, and so do later scans of the same competitor.
 """
 
 from __future__ import annotations
@@ -15,16 +19,19 @@ from sitetide.operators.lifecycle import diff_events, new_events, new_page_rows,
 from sitetide.schemas import TABLES, struct
 from sitetide.session import cut_lineage
 
-# One row per sitemap entry; a scan without entries is one row with a null URL.
+# One row per sitemap entry; a scan without entries is one row with a null URL. Without n_rows, what a batch has of a
+# scan is the whole scan.
 SCAN_SCHEMA = struct(
     "scan_run_id string, competitor_id string, scanned_at timestamp, is_complete boolean, url string, "
-    "normalized_url string, lastmod string, source_url string")
+    "normalized_url string, lastmod string, source_url string, n_rows bigint")
 
 STATE_TABLES = {
     "pages": TABLES["pages"],
     "page_events": TABLES["page_events"],
     "applied_scans": struct("scan_run_id string, competitor_id string, is_complete boolean"),
+    "pending": SCAN_SCHEMA,
 }
+LOG = "page_events"
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
@@ -48,7 +55,7 @@ def read_lifecycle_state(spark: SparkSession, root: str, before: int | None = No
     if not versions:
         return {name: spark.createDataFrame([], schema) for name, schema in STATE_TABLES.items()}
     return {
-        name: spark.read.schema(schema).parquet(f"{root}/batch={versions[-1]}/{name}")
+        name: spark.read.schema(schema).parquet(*[f"{root}/batch={v}/{name}" for v in (versions if name == LOG else versions[-1:])])
         for name, schema in STATE_TABLES.items()
     }
 
@@ -74,6 +81,7 @@ def apply_round(state: dict[str, DataFrame], scans: DataFrame, entries: DataFram
         "page_events": state["page_events"].unionByName(diff_events(classified, as_of)).unionByName(added),
         "applied_scans": state["applied_scans"].unionByName(
             scans.select("scan_run_id", "competitor_id", "is_complete")),
+        "pending": state["pending"],
     }
 
 
@@ -81,11 +89,18 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """Fold a micro-batch into the next snapshot; several scans of a competitor go in time order."""
     spark = batch.sparkSession
     state = read_lifecycle_state(spark, root, before=batch_id)
-    rows = batch.join(state["applied_scans"].select("scan_run_id"), "scan_run_id", "left_anti")
+    arrived = batch.select(*[F.col(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCAN_SCHEMA])
+    rows = cut_lineage(arrived.unionByName(state["pending"]).join(
+        state["applied_scans"].select("scan_run_id"), "scan_run_id", "left_anti").select(*SCAN_SCHEMA.names))
     scans = rows.groupBy("scan_run_id", "competitor_id").agg(
-        F.min("scanned_at").alias("scanned_at"), F.bool_and("is_complete").alias("is_complete"))
+        F.min("scanned_at").alias("scanned_at"), F.bool_and("is_complete").alias("is_complete"),
+        (F.count(F.lit(1)) < F.coalesce(F.max("n_rows"), F.lit(0))).alias("waits"))
     in_time = Window.partitionBy("competitor_id").orderBy("scanned_at", "scan_run_id")
-    turns = cut_lineage(scans.withColumn("turn", F.row_number().over(in_time)))
+    held = F.max("waits").over(in_time)
+    ready = scans.withColumn("waits", held).filter(~F.col("waits")).drop("waits")
+    turns = cut_lineage(ready.withColumn("turn", F.row_number().over(in_time)))
+    state["pending"] = rows.join(turns.select("scan_run_id"), "scan_run_id", "left_anti").select(*SCAN_SCHEMA.names)
+    state[LOG] = spark.createDataFrame([], STATE_TABLES[LOG])
     last_turn = turns.agg(F.coalesce(F.max("turn"), F.lit(0)).alias("n")).first()["n"]
     entries = rows.filter(F.col("normalized_url").isNotNull()).groupBy("scan_run_id", *D.KEY).agg(
         F.min_by(F.struct("url", "lastmod", "source_url"), "url").alias("entry"))

@@ -13,6 +13,7 @@ from sitetide.operators.redirects import resolve_redirects
 from sitetide.operators.traversal import expand_sitemaps
 from sitetide.schemas import TABLES, empty_table
 from sitetide.sources.sitemaps import parse_sitemaps
+from sitetide.streaming.lifecycle_stream import SCAN_SCHEMA, apply_batch, read_lifecycle_state
 
 
 def landed(spark, rows):
@@ -104,3 +105,24 @@ def test_large_sites_come_out_whole(spark):
     out = expand_sitemaps(seeds, docs)
     assert out.entries.count() == 9 * 14 * 90 > 10_000
     assert out.visits.filter("status = 'success'").count() == 10 + 9 * 14
+
+
+def test_a_scan_waits_for_its_last_row(spark, tmp_path):
+    def rows(scan, day, urls, n):
+        return [(scan, "c", day, True, f"https://a.org/{u}", f"https://a.org/{u}", None, None, n) for u in urls]
+
+    def batch(parts):
+        frame = spark.createDataFrame(parts, SCAN_SCHEMA.simpleString().removeprefix("struct<").removesuffix(">").replace("scanned_at:timestamp", "scanned_at:string"))
+        return frame.withColumn("scanned_at", F.col("scanned_at").cast("timestamp")).select(*SCAN_SCHEMA.names)
+
+    root = str(tmp_path / "state")
+    apply_batch(batch(rows("s1", "2024-01-01", "ab", 2) + rows("s2", "2024-01-02", "a", 3)), 0, root)
+    pages = lambda: {r.normalized_url[-1]: (r.lifecycle_status, r.missing_streak) for r in read_lifecycle_state(spark, root)["pages"].collect()}
+    assert pages() == {"a": ("baseline", 0), "b": ("baseline", 0)}
+    apply_batch(batch(rows("s3", "2024-01-03", "abc", 3)), 1, root)  # later, and whole: it waits for s2
+    assert pages() == {"a": ("baseline", 0), "b": ("baseline", 0)}
+    apply_batch(batch(rows("s2", "2024-01-02", "bc", 3)), 2, root)
+    assert pages() == {"a": ("active", 0), "b": ("active", 0), "c": ("active", 0)}
+    state = read_lifecycle_state(spark, root)
+    assert state["pending"].count() == 0 and state["applied_scans"].count() == 3
+    assert sorted(r.event_type for r in state["page_events"].collect()) == ["baseline_added", "baseline_added", "discovered"]
