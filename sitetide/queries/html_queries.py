@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitetide.functions import html as H
 from sitetide.operators import fetches as P
-from sitetide.operators.redirects import resolve_redirects
+from sitetide.operators.redirects import latest_responses, resolve_redirects
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 
@@ -230,3 +230,18 @@ def redirect_chain(spark, sf):
         key.alias("order_key"), F.concat(page, key.cast("string")).alias("url"), F.lit("example.com").alias("domain"))
     return resolve_redirects(requests, responses).select(
         "order_key", "final_url", F.size("redirect_chain").cast("bigint").alias("redirects"), "error_code")
+
+
+@query("landed_latest", """
+WITH landed AS (
+  SELECT page_id, url, n % 2 AS owner, 200 + n AS status, (page_id * 7 + n * 13) % 29 AS moment FROM pages, range(5) r(n))
+SELECT 'c' || owner AS competitor_id, url, status::BIGINT AS status FROM landed
+QUALIFY row_number() OVER (PARTITION BY owner, url ORDER BY moment DESC, status) = 1""")
+def landed_latest(spark, sf):
+    """Every page landed five times, by two competitors in turns and out of order; the newest response of each counts."""
+    n, pid = F.col("n"), F.col("page_id")
+    rows = I.read(spark, sf, "pages").select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")).select(
+        F.concat(F.lit("c"), (n % 2).cast("string")).alias("competitor_id"), "url", (n + 200).alias("status"), F.col("html").alias("body"),
+        F.timestamp_seconds((pid * 7 + n * 13) % 29).alias("landed_at"))
+    latest = latest_responses(rows, ["competitor_id", "url"])
+    return latest.select("competitor_id", "url", F.col("status").cast("bigint").alias("status"))
