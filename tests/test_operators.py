@@ -131,6 +131,7 @@ def test_replay_matches_state_machine(spark):
 # --- small functions -------------------------------------------------------------------------------
 
 
+# Inputs and results that define the cell rule and the business day.
 @pytest.mark.parametrize("value,expected", [
     ('=HYPERLINK("https://attacker.example")', '"\'=HYPERLINK(""https://attacker.example"")"'),
     ("  +SUM(1,1)", '"\'  +SUM(1,1)"'), ('SEO "keyword"', '"SEO ""keyword"""'), ("a-b", '"a-b"'), ("", '""'),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from sitetide.functions import urls as U
 
+# The first three pairs are fixed values: they define the normal form.
 NORMALIZED = [
     ("HTTPS://Example.COM:443/products/item/?utm_source=x&b=2&a=1#details", "https://example.com/products/item?a=1&b=2"),
     ("https://example.com/search?size=large&q=mixer&size=small", "https://example.com/search?q=mixer&size=large&size=small"),
