@@ -2,16 +2,17 @@
 
 A count c is held as the level 1 + floor(log2 c): the n-gram is put into the filter once for each level up to its own, and
 probing level after level until one is missing gives the level back. The filter consists of chunks; an n-gram's hash names
-its chunk, so each chunk is built in one task from the counts of its n-grams. The filter is broadcast; its size is
-proportional to the training tokens up to ``max_bits``, the bound of what is sent.
+its chunk, so each chunk is built in one task from the counts of its n-grams. The filter's size is proportional to the
+training tokens, without a bound: no process holds all of it, n-grams go to their chunk to be looked up.
 
-Tokens are 64-bit hashes of lower-cased words. They travel in blocks, one array per block and hash range, in which a token
-occurs once: the most frequent word costs a range no more than any other.
+Tokens are 64-bit hashes of lower-cased words. A block of texts keeps its tokens and sends one array of distinct keys to each
+chunk: an n-gram costs its chunk one key a block, the most frequent one no more than any other.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetide.llm.common import batch_slices, mix, text_buffer, word_bounds, word_hashes
+from sitetide.llm.common import batch_slices, mix, staged, text_buffer, word_bounds, word_hashes
 from sitetide.session import ship_package
 
 #: Stand for the end of a text, a token of its own, and for what precedes its first token.
@@ -32,6 +33,8 @@ PROBES = 3
 #: Bytes of hashes in a block, and tokens for which there is one more hash range.
 BLOCK, RANGE_TOKENS = 8 << 20, 1 << 20
 FINGERPRINT = np.uint64((1 << 40) - 1)
+#: Bytes of a key that travel; a chunk and 40 bits tell bigrams apart.
+WORD_BYTES, PAIR_BYTES = 8, 5
 
 
 def tokens_of(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +69,21 @@ def unigram_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def bigram_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + tokens)
+    return pair_keys(unigram_keys(before), unigram_keys(tokens))
+
+
+def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Bigrams' keys from their tokens' keys."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next: high bytes, mostly zero, stand together and compress."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def range_bounds(n: int) -> np.ndarray:
@@ -87,7 +104,9 @@ def summed(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
 
 @dataclass
 class Model:
-    bits: np.ndarray
+    """What ``fit`` learnt. chunks: (chunk, bits, words, counts), the filter and the exact counts of words by hash range."""
+
+    chunks: DataFrame
     n_chunks: int
     chunk_bits: int
     train_tokens: int
@@ -95,32 +114,33 @@ class Model:
     weight: float = 0.7
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Middle of the count range of each key's level, 0 for keys that the filter doesn't hold."""
-        chunk = np.searchsorted(range_bounds(self.n_chunks), keys, side="right").astype(np.uint64) - np.uint64(1)
-        base = chunk * np.uint64(self.chunk_bits)
-        out = np.zeros(len(keys))
-        alive, level = np.arange(len(keys)), 0
-        while len(alive):
-            level += 1
-            for probe in range(PROBES):
-                at = position(keys[alive], level, probe, self.chunk_bits) + base[alive]
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive = alive[hit]
-            out[alive] = (2.0 ** (level - 1) + 2.0 ** level - 1) / 2
-        return out
-
-    def log10(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: bigrams interpolated with smoothed unigrams."""
-        before = histories(tokens, starts)
-        known, code = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        single = self.counts(unigram_keys(known))[code]
-        pairs, pair = np.unique(bigram_keys(before, tokens), return_inverse=True)
-        both = self.counts(pairs)[pair]
-        word, history = single[:len(tokens)], single[len(tokens):]
-        one = (word + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1))
-        weight = np.where(history > 0, self.weight, 0.0)
-        p = weight * np.minimum(1.0, both / np.maximum(history, 1.0)) + (1 - weight) * one
-        return np.add.reduceat(np.log10(p), starts[:-1])
+        """``middle`` of each key's level, for a few keys that the driver asks for."""
+        chunk = np.searchsorted(range_bounds(self.n_chunks), keys, side="right") - 1
+        bits = {r["chunk"]: np.frombuffer(r["bits"], np.uint8) for r in self.chunks.filter(F.col("chunk").isin(np.unique(chunk).tolist())).collect()}
+        out = np.zeros(len(keys), np.uint8)
+        for i in bits:
+            out[chunk == i] = held_levels(bits[i], keys[chunk == i], self.chunk_bits)
+        return middle(out)
+
+
+def middle(levels: np.ndarray) -> np.ndarray:
+    """Middle of the count range of each level, 0 for keys that the filter doesn't hold."""
+    power = 2.0 ** levels
+    return np.where(levels > 0, (power / 2 + power - 1) / 2, 0.0)
+
+
+def held_levels(bits: np.ndarray, keys: np.ndarray, chunk_bits: int) -> np.ndarray:
+    """Level of each key in the chunk that all of them belong to, 0 for keys that it doesn't hold."""
+    out = np.zeros(len(keys), np.uint8)
+    alive, level = np.arange(len(keys)), 0
+    while len(alive) and level < 255:
+        level += 1
+        for probe in range(PROBES):
+            at = position(keys[alive], level, probe, chunk_bits)
+            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive = alive[hit]
+        out[alive] = level
+    return out
 
 
 def position(keys: np.ndarray, level: int, probe: int, chunk_bits: int) -> np.ndarray:
@@ -154,7 +174,7 @@ def _ngram_blocks(train: DataFrame, text: str, n_chunks: int) -> DataFrame:
         for order, parts in enumerate(held, 1):
             keys, n = summed(np.concatenate(parts))
             cut = [*np.searchsorted(keys, range_bounds(n_chunks)).tolist(), len(keys)]
-            width = 8 if order == 1 else 5  # a chunk and 40 bits tell bigrams apart
+            width = WORD_BYTES if order == 1 else PAIR_BYTES
             packed = keys.view(np.uint8).reshape(-1, 8)[:, :width]
             rows += [(i, order, packed[a:b].tobytes(), n[a:b].astype(np.uint32).tobytes())
                      for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
@@ -164,39 +184,40 @@ def _ngram_blocks(train: DataFrame, text: str, n_chunks: int) -> DataFrame:
     return train.select(text).mapInArrow(run, "chunk int, n_order int, keys binary, counts binary")
 
 
-def _chunk_bits(blocks: DataFrame, chunk_bits: int) -> DataFrame:
-    """(chunk, bits, distinct): the filter's chunks, and the number of distinct tokens in each."""
+def unpacked(parts: list[bytes], width: int) -> np.ndarray:
+    """Keys of which the lowest ``width`` bytes were kept."""
+    packed = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(packed), 8), np.uint8)
+    wide[:, :width] = packed
+    return wide.view(np.uint64).ravel()
+
+
+def _chunks(blocks: DataFrame, chunk_bits: int) -> DataFrame:
+    """(chunk, bits, words, counts, distinct): the filter's chunks, keys and exact counts of the words in each, and the number of its tokens."""
     def build(table: pa.Table) -> pa.Table:
         bits = np.zeros(chunk_bits, dtype=bool)
-        distinct = 0
-        for order in (1, 2):
+        distinct, words, word_counts = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for order, width in ((1, WORD_BYTES), (2, PAIR_BYTES)):
             rows = table.filter(pa.compute.equal(table["n_order"], order))
-            width = 8 if order == 1 else 5
-            parts = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in rows["keys"].to_pylist()]
-            if not parts:
+            if not len(rows):
                 continue
-            packed = np.concatenate(parts)
-            wide = np.zeros((len(packed), 8), np.uint8)
-            wide[:, :width] = packed
             counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"].to_pylist()]).astype(np.int64)
-            keys, n = summed(wide.view(np.uint64).ravel(), counts)
+            keys, n = summed(unpacked(rows["keys"].to_pylist(), width), counts)
             if order == 1:
+                words, word_counts = keys, n
                 distinct = len(keys) - int((keys == unigram_keys(np.array([START]))[0]).sum())
             levels = np.frexp(n.astype(np.float64))[1]  # 1 + floor(log2 n)
             for level in range(1, int(levels.max()) + 1):
                 for probe in range(PROBES):
                     bits[position(keys[levels >= level], level, probe, chunk_bits)] = True
         packed_bits = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([packed_bits], pa.binary()), "distinct": pa.array([distinct], pa.int64())})
+        return pa.table({"chunk": table["chunk"][:1], **{name: pa.array([x], pa.binary()) for name, x in (
+            ("bits", packed_bits), ("words", words.tobytes()), ("counts", word_counts.tobytes()))}, "distinct": pa.array([distinct], pa.int64())})
 
-    return blocks.groupBy("chunk").applyInArrow(build, "chunk int, bits binary, distinct long")
+    return blocks.groupBy("chunk").applyInArrow(build, "chunk int, bits binary, words binary, counts binary, distinct long")
 
 
-def fit(train: DataFrame, text: str = "text", bits_per_token: int = 6, max_bits: int = 1 << 31) -> Model:
-    """Learn from all texts. The filter has ``bits_per_token`` bits for each token, ``max_bits`` at most; beyond that every
-    n-gram is still put in, and false positives rise: with d bits for each held level they are about (1 - exp(-3 / d)) ** 3."""
-    ship_package(train.sparkSession)
-
+def token_count(rows: DataFrame, text: str) -> int:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
@@ -204,119 +225,121 @@ def fit(train: DataFrame, text: str = "text", bits_per_token: int = 6, max_bits:
             total += sum(len(word_bounds(raw[starts[a]:starts[b]], starts[a:b + 1] - starts[a])[0]) + b - a for a, b in batch_slices(starts))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
-    n = train.select(text).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    n_chunks = max(1, math.ceil(n / RANGE_TOKENS))
-    chunk_bits = max(64, math.ceil(min(max_bits, n * bits_per_token) / n_chunks / 8) * 8)
-    bits, distinct = np.zeros(n_chunks * chunk_bits // 8, np.uint8), 0
-    for row in _chunk_bits(_ngram_blocks(train, text, n_chunks), chunk_bits).toLocalIterator():
-        at = row["chunk"] * (chunk_bits // 8)
-        bits[at:at + chunk_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-        distinct += row["distinct"]
-    return Model(bits, n_chunks, chunk_bits, n, distinct)
+    return rows.select(text).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def fit(train: DataFrame, text: str = "text", bits_per_token: int = 6, probed: int = 0) -> Model:
+    """Learn from all texts. The filter has ``bits_per_token`` bits for each token, whatever their number: with d bits for each
+    held level, false positives are about (1 - exp(-3 / d)) ** 3. It is cut into chunks for ``RANGE_TOKENS`` tokens, of those
+    learnt from or of the ``probed`` ones if they are more; the chunks stay in a table."""
+    ship_package(train.sparkSession)
+    n = token_count(train, text)
+    n_chunks = max(1, math.ceil(max(n, probed) / RANGE_TOKENS))
+    chunk_bits = max(64, math.ceil(n * bits_per_token / n_chunks / 8) * 8)
+    chunks = staged(_chunks(_ngram_blocks(train, text, n_chunks), chunk_bits))
+    distinct = chunks.agg(F.sum("distinct")).first()[0] or 0
+    return Model(chunks.drop("distinct"), n_chunks, chunk_bits, n, distinct)
 
 
 # --- scoring ------------------------------------------------------------------------------------------
 
-_PARTS = "part int, block string, ids array<long>, n_tokens array<long>, score array<double>, keys binary, train binary, docs binary, tf binary, pairs binary"
-
-
-def _block_rows(block: str, ids: list, train: list, tokens: list, lengths: list, scores: list, bounds: np.ndarray) -> Iterator[tuple]:
-    doc = np.repeat(np.arange(sum(map(len, lengths)), dtype=np.int64), np.concatenate(lengths))
-    flat = np.concatenate(tokens)
-    learns = np.concatenate(train)
-    order = np.argsort(flat, kind="stable")
-    key, doc = flat[order], doc[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    pair = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]]))
-    first = np.flatnonzero(new)
-    tf = np.diff(np.append(pair, len(key)))
-    learned = np.add.reduceat(learns[doc].astype(np.int64), first)
-    first_pair = np.append(np.searchsorted(pair, first), len(pair))
-    keys, pair_doc = key[first], doc[pair]
-    cut = [*np.searchsorted(keys, bounds).tolist(), len(keys)]
-    yield (0, block, [i for x in ids for i in x], np.concatenate(lengths).tolist(), np.concatenate(scores).tolist(), *[None] * 5)
-    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if b > a:
-            p, q = first_pair[a], first_pair[b]
-            yield (i, block, None, None, None, keys[a:b].tobytes(), learned[a:b].astype(np.uint32).tobytes(), pair_doc[p:q].astype(np.uint32).tobytes(),
-                   tf[p:q].astype(np.uint32).tobytes(), np.diff(first_pair[a:b + 1]).astype(np.uint32).tobytes())
-
-
-def score_documents(docs: DataFrame, train: Column, text: str = "text", **limits: int) -> DataFrame:
+_BLOCKS = "block string, ids array<long>, n_tokens array<long>, codes binary, chunk int, asked_words binary, asked_pairs binary"
+_ANSWERS = "block string, ids array<long>, n_tokens array<long>, codes binary, chunk int, asked_words binary, counts binary, word_levels binary, pair_levels binary"
+
+
+def _block_rows(block: str, ids: list, tokens: list, lengths: list, bounds: np.ndarray) -> Iterator[tuple]:
+    """What the block keeps, which passes one of the chunks, and what it asks of each chunk."""
+    flat, length = np.concatenate(tokens), np.concatenate(lengths)
+    keys, start = unigram_keys(flat), unigram_keys(np.array([START]))
+    named, codes = np.unique(np.append(keys, start), return_inverse=True)
+    pairs = np.unique(pair_keys(unigram_keys(histories(flat, np.concatenate([[0], np.cumsum(length)]))), keys))
+    yield (block, [i for x in ids for i in x], length.tolist(), planes(codes.astype(np.uint32)), zlib.crc32(block.encode()) % len(bounds), None, None)
+    cuts = [[*np.searchsorted(x, bounds).tolist(), len(x)] for x in (named, pairs)]
+    packed = pairs.view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]
+    for i in range(len(bounds)):
+        (a, b), (c, d) = (cut[i:i + 2] for cut in cuts)
+        if b > a or d > c:
+            yield (block, None, None, None, i, named[a:b].tobytes(), packed[c:d].tobytes())
+
+
+def score_documents(docs: DataFrame, train: Column, text: str = "text", bits_per_token: int = 6) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score; learns from the rows where ``train`` holds.
 
     Null texts are empty: their one token is the end. Repeated rows and ids are texts of their own, null ids stay null, other
     columns are ignored, an empty table gives no rows. Where no row is learned from, all tokens are unknown.
 
-    The counts behind base_score are exact: a block's distinct tokens meet the other blocks' in their hash range, where the
-    training counts are summed and each text's share is computed; shares and texts meet again by block. Two of n distinct words
-    have the same hash with a probability of n * n / 2**65.
+    A block of texts asks each chunk once for every distinct word and bigram that it has there, and gets back the words' exact
+    counts and the levels that the filter holds; the texts are scored where these meet the block's tokens. Two of n distinct
+    words have the same hash with a probability of n * n / 2**65.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), text)
-    model = fit(rows.filter("train"), text, **limits)
-    sent = spark.sparkContext.broadcast(model)
-    n_ranges = max(1, model.n_chunks)
+    model = fit(rows.filter("train"), text, bits_per_token, probed=token_count(rows, text))
+    n_chunks, chunk_bits, block_bytes = model.n_chunks, model.chunk_bits, BLOCK
+    size_of_model, history_weight = model.train_tokens + 0.5 * (model.distinct + 1), model.weight
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds, task, n = range_bounds(n_ranges), TaskContext.get().partitionId(), 0
-        held: tuple[list, ...] = ([], [], [], [], [])
+        bounds, task, n = range_bounds(n_chunks), TaskContext.get().partitionId(), 0
+        held: tuple[list, ...] = ([], [], [])
         size = 0
-        types = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), *[pa.binary()] * 5]
-        names = ["part", "block", "ids", "n_tokens", "score", "keys", "train", "docs", "tf", "pairs"]
+        types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["block", "ids", "n_tokens", "codes", "chunk", "asked_words", "asked_pairs"]
 
         def flush() -> pa.RecordBatch:
             made = zip(*_block_rows(f"{task}-{n}", *held, bounds), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types, strict=True)], names)
 
         for batch in batches:
-            learns = batch.column("train").to_numpy(zero_copy_only=False)
             for a, b, tokens, starts in batch_tokens(batch.column(text)):
-                values = (batch.column("doc_id").slice(a, b - a).to_pylist(), learns[a:b], tokens, np.diff(starts), sent.value.log10(tokens, starts))
-                for kept, value in zip(held, values, strict=True):
+                for kept, value in zip(held, (batch.column("doc_id").slice(a, b - a).to_pylist(), tokens, np.diff(starts)), strict=True):
                     kept.append(value)
                 size += 8 * len(tokens)
-                if size > BLOCK:
+                if size > block_bytes:
                     yield flush()
-                    held, size, n = ([], [], [], [], []), 0, n + 1
+                    held, size, n = ([], [], []), 0, n + 1
         if size:
             yield flush()
 
-    def shares(table: pa.Table) -> pa.Table:
-        heads = table.filter(pa.compute.is_valid(table["ids"]))
-        parts = table.filter(pa.compute.is_valid(table["keys"]))
-        column = lambda name, kind: [np.frombuffer(x, kind) for x in parts[name].to_pylist()]
-        keys, train_counts, texts, tf, pairs = column("keys", np.uint64), column("train", np.uint32), column("docs", np.uint32), column("tf", np.uint32), column("pairs", np.uint32)
-        sums, known = [], []
-        if keys:
-            _, code = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(code, np.concatenate(train_counts))
-            at = 0
-            for k, d, f, p in zip(keys, texts, tf, pairs, strict=True):
-                c = np.repeat(count[code[at:at + len(k)]], p)
-                at += len(k)
-                sums.append(np.bincount(d, f * np.log10(c + 0.5)).tobytes())
-                known.append(np.bincount(d, f * (c > 0)).tobytes())
-        one = pa.table({"block": parts["block"], "sums": pa.array(sums, pa.binary()), "known": pa.array(known, pa.binary())})
-        return pa.concat_tables([heads.select(["block", "ids", "n_tokens", "score"]), one], promote_options="default")
+    def answers(asked: pa.Table, chunk: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.frombuffer(chunk[name][0].as_py() if len(chunk) else b"", kind)
+        bits, words, counts = read("bits", np.uint8), np.append(read("words", np.uint64), np.uint64(0)), np.append(read("counts", np.int64), 0)
+        levels = lambda keys: held_levels(bits, keys, chunk_bits) if len(bits) else np.zeros(len(keys), np.uint8)
+        out: list[list[bytes]] = [[], [], []]
+        heads, asked = (asked.filter(pa.compute.is_valid(asked[name])) for name in ("codes", "asked_words"))
+        for asked_words, asked_pairs in zip(asked["asked_words"].to_pylist(), asked["asked_pairs"].to_pylist(), strict=True):
+            keys = np.frombuffer(asked_words, np.uint64)
+            at = np.searchsorted(words[:-1], keys)
+            out[0].append(planes(np.where(words[at] == keys, counts[at], 0)))
+            out[1].append(levels(keys).tobytes())
+            out[2].append(levels(unpacked([asked_pairs], PAIR_BYTES)).tobytes())
+        told = pa.table({"block": asked["block"], "chunk": asked["chunk"], "asked_words": asked["asked_words"], **{
+            name: pa.array(x, pa.binary()) for name, x in zip(("counts", "word_levels", "pair_levels"), out, strict=True)}})
+        return pa.concat_tables([heads.select(["block", "ids", "n_tokens", "codes", "chunk"]), told], promote_options="default")
 
     def whole(table: pa.Table) -> pa.Table:
-        head = table.filter(pa.compute.is_valid(table["ids"]))
-        ids, n_tokens, score = (head[c].combine_chunks().flatten() for c in ("ids", "n_tokens", "score"))
-        total = np.zeros((2, len(ids)))
-        for row, name in enumerate(("sums", "known")):
-            for part in table[name].to_pylist():
-                if part is not None:
-                    values = np.frombuffer(part)
-                    total[row, :len(values)] += values
-        base = total[0] - n_tokens.to_numpy() * math.log10(model_size)
-        return pa.table({"doc_id": ids, "n_tokens": n_tokens, "n_known": pa.array(total[1].round().astype(np.int64)), "base_score": pa.array(base), "score": score})
-
-    model_size = model.train_tokens + 0.5 * (model.distinct + 1)
-    given = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(blocks, _PARTS)
-    shared = given.groupBy("part").applyInArrow(
-        shares, "block string, ids array<long>, n_tokens array<long>, score array<double>, sums binary, known binary")
+        head = table.filter(pa.compute.is_valid(table["codes"]))
+        parts = table.filter(pa.compute.is_valid(table["counts"])).sort_by("chunk")
+        ids, n_tokens = (head[c].combine_chunks().flatten() for c in ("ids", "n_tokens"))
+        starts = np.concatenate([[0], np.cumsum(n_tokens.to_numpy())])
+        joined = lambda name, kind: np.frombuffer(b"".join(parts[name].to_pylist()), kind)
+        codes = from_planes(head["codes"][0].as_py(), np.uint32)
+        codes, before = codes[:-1], np.concatenate([codes[-1:], codes[:-2]])  # the last is START's
+        before[starts[:-1]] = before[0]
+        named = joined("asked_words", np.uint64)
+        _, pair = np.unique(pair_keys(named[before], named[codes]), return_inverse=True)
+        exact = np.concatenate([from_planes(x, np.int64) for x in parts["counts"].to_pylist()])
+        single, both = middle(joined("word_levels", np.uint8)), middle(joined("pair_levels", np.uint8))[pair]
+        word, history = single[codes], single[before]
+        one = np.minimum(1.0, (word + 0.5) / size_of_model)
+        weight = np.where(history > 0, history_weight, 0.0)
+        p = weight * np.minimum(1.0, both / np.maximum(history, 1.0)) + (1 - weight) * one
+        base = np.log10((exact + 0.5) / size_of_model)[codes]
+        over = lambda values: pa.array(np.add.reduceat(values, starts[:-1]))
+        return pa.table({"doc_id": ids, "n_tokens": n_tokens, "n_known": over((exact > 0)[codes].astype(np.int64)), "base_score": over(base), "score": over(np.log10(p))})
+
+    given = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(blocks, _BLOCKS)
+    answered = given.groupBy("chunk").cogroup(model.chunks.groupBy("chunk")).applyInArrow(answers, _ANSWERS)
     out = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")],
                         *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
-    return shared.groupBy("block").applyInArrow(whole, out).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    return answered.groupBy("block").applyInArrow(whole, out).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))

@@ -53,6 +53,38 @@ def test_filter_holds_quantised_counts(spark):
     assert model.distinct == 53 + 1 and model.train_tokens == 50 * 13
 
 
+def test_scores_need_no_whole_filter(spark, monkeypatch):
+    # the filter is looked up chunk by chunk: neither sent to all tasks nor bounded, and the scores are those of quantised counts
+    monkeypatch.setattr(bloom_lm, "BLOCK", 2000)
+    monkeypatch.setattr(bloom_lm, "RANGE_TOKENS", 150)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the filter was broadcast"))
+    rows = [(i, " ".join(f"v{(i * k) % 37}" for k in range(i))) for i in range(60)]
+    got = bloom_lm.score_documents(documents(spark, rows), F.col("doc_id") > 5, bits_per_token=64).collect()
+    single, both = Counter(), Counter()
+    for i, t in rows:
+        if i > 5:
+            words = ["START", *lm_words(t)]
+            single.update(words)
+            both.update(zip(words, words[1:]))
+    n, v = sum(single.values()) - single["START"], len(single) - 1
+    held = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0
+    for r in got:
+        words, want = ["START", *lm_words(rows[r.doc_id][1])], 0
+        for a, b in zip(words, words[1:]):
+            w = 0.7 if single[a] else 0
+            want += math.log10(w * min(1, held(both[a, b]) / max(held(single[a]), 1)) + (1 - w) * min(1, (held(single[b]) + 0.5) / (n + 0.5 * (v + 1))))
+        assert abs(r.score - want) < 1e-6
+    fits = [bloom_lm.fit(documents(spark, rows[:k])) for k in (15, 60)]
+    assert fits[1].n_chunks > fits[0].n_chunks
+    assert all(m.n_chunks * m.chunk_bits >= 6 * m.train_tokens for m in fits)
+
+
+def test_probabilities_are_at_most_one(spark):
+    # four ends: the middle of their level is 5.5 of 4
+    got = bloom_lm.score_documents(documents(spark, [(i, "") for i in range(4)]), F.lit(True)).collect()
+    assert all(r.score <= 0 for r in got)
+
+
 def test_learnt_word_order_scores_higher(spark):
     rng = random.Random(1)
     grammar = {f"w{i}": [f"w{rng.randrange(60)}" for _ in range(3)] for i in range(60)}
