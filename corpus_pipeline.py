@@ -16,6 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document with a smaller score goes. A kept document costs less than a lost one, so it is below the classifier's 0.7.
 REJECTED_BELOW = 0.5
+#: Similarity from which the stage takes documents for near duplicates, in hundredths; op4's own contract is 85.
+NEAR_DUPLICATES_FROM = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
-    return tensor_minhash.drop_near_duplicates(docs.select(COLUMNS))
+    return tensor_minhash.drop_near_duplicates(docs.select(COLUMNS), NEAR_DUPLICATES_FROM)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

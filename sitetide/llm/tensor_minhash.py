@@ -2,7 +2,7 @@
 
 Two collections of ``SIDE`` sub-signatures of ``HASHES`` minhashes each are computed for a document. A table's key is a pair
 of one sub-signature from either collection: SIDE * SIDE tables from 2 * SIDE * HASHES minhashes. A pair of similarity s
-misses all tables with a probability of about 2 * (1 - s ** HASHES) ** SIDE: 5e-7 for 0.85, less above.
+misses all tables with a probability of about 2 * (1 - s ** HASHES) ** SIDE: 2e-5 for 0.80, 5e-7 for 0.85, less above.
 
 Documents with equal shingle sets are one class and take part once. Pair after pair of a bucket would be quadratic, so links are
 found in steps that stay exact: all members are compared with one leader; what that leaves in different components is

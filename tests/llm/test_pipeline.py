@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sitetide.llm import mixing, queries, quality_rff
 
-from .helpers import near_groups, shingles
+from . import helpers
+from .helpers import documents, near_groups, shingles
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = ["documents", "embeddings", "conversations"]
@@ -66,6 +67,24 @@ def test_pipeline_equals_its_stages(spark):
     assert got == want
 
 
+def test_near_copies_from_four_fifths_go(spark):
+    # 104 words have 100 shingles: k new words at the end leave 100 - k of 100 + k; 10 and 11 are in [0.80, 0.85), 12 is below
+    rows = []
+    for k in (8, 10, 11, 12):
+        words = [f"c{k}w{i}" for i in range(104)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:104 - k], *(f"new{k}x{i}" for i in range(k))]))]
+    sets = {i: shingles(t) for i, t in rows}
+    similarity = {k: len(sets[10 * k] & sets[10 * k + 1]) / len(sets[10 * k] | sets[10 * k + 1]) for k in (8, 10, 11, 12)}
+    assert similarity[8] >= 0.85 > similarity[10] > similarity[11] >= 0.80 > similarity[12]
+    left = corpus_pipeline.near_duplicates(spark, documents(spark, rows), SMALL)
+    assert sorted(r.doc_id for r in left.collect()) == [80, 100, 110, 120, 121]
+
+
+def test_pipeline_equals_its_stages_from_four_fifths(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "near_groups", lambda sets: helpers.near_groups(sets, threshold=80))
+    test_pipeline_equals_its_stages(spark)
+
+
 def test_stages_keep_the_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "source_mixing", "bpe_encoding"]
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
