@@ -79,6 +79,15 @@ def test_scores_need_no_whole_filter(spark, monkeypatch):
     assert all(m.n_chunks * m.chunk_bits >= 6 * m.train_tokens for m in fits)
 
 
+def test_what_a_chunk_gets_does_not_grow_with_documents():
+    # END is in each text: its chunk gets one key, and what blocks keep isn't all in one chunk
+    bounds = bloom_lm.range_bounds(4)
+    make = lambda block, n: list(bloom_lm._block_rows(block, [list(range(n))], [np.full(n, bloom_lm.END)], [np.ones(n, int)], bounds))
+    asked = [sum(len(r[5] or b"") + len(r[6] or b"") for r in make("0-0", n)) for n in (10, 10_000)]
+    assert asked[0] == asked[1] == 2 * 8 + 5
+    assert {make(f"{task}-0", 3)[0][4] for task in range(40)} == {0, 1, 2, 3}
+
+
 def test_probabilities_are_at_most_one(spark):
     # four ends: the middle of their level is 5.5 of 4
     got = bloom_lm.score_documents(documents(spark, [(i, "") for i in range(4)]), F.lit(True)).collect()
