@@ -124,8 +124,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("conv_id", "r.turn", "r.role", F.lit(HARD_TEXT).alias("text"))
     chats = chat_format.format_conversations(given.unionByName(hard))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned = F.filter("turns", lambda t: t["role"] == chat_format.LEARNED_ROLE)
-    loss = F.array_join(F.transform(learned, lambda t: t["text"]), "")
+    cut = lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: chat_format.unescape(cut(s))), "")
     return chats.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),

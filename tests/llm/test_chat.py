@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitetide.llm import chat_format
+from sitetide.llm import chat_format, queries
 from sitetide.llm.queries import HARD_TEXT
 
 PARTS = ["\\", "\\\\", "\\e", "\\h", "\\c", "</turn>", "</turn>\n", "### ", "#", "##", " ", ": ", ":", "\n", "user", "e", "h", "</tur", "n>", "é", "😀", "<"]
@@ -76,3 +76,11 @@ def test_a_broken_text_has_no_turns(spark):
 @pytest.mark.parametrize("part", ["\\\\e", "\\", "### ### ", "</turn></turn>", "\\\\\\h"])
 def test_escapes_reverse(spark, part):
     assert spark.range(1).select(chat_format.unescape(chat_format.escape(F.lit(part), role=True)).alias("x")).first().x == part
+
+
+def test_the_query_reads_the_loss_mask(spark, monkeypatch):
+    rows = [(r.conv_id, r.loss_chars) for r in queries.op10_chat_format(spark, "/root/testdata/sf0.001").collect()]
+    assert sum(n for _, n in rows) > 0
+    made = chat_format.format_conversations
+    monkeypatch.setattr(chat_format, "format_conversations", lambda turns: made(turns).withColumn("loss_spans", F.slice("loss_spans", 1, 0)))
+    assert all(r.loss_chars == 0 for r in queries.op10_chat_format(spark, "/root/testdata/sf0.001").collect())
