@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,11 +24,27 @@ def staged(df: DataFrame) -> DataFrame:
     Cuts the lineage: a lost executor repeats one task, not what came before. The folder goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
+    goes_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def goes_at_end(spark: SparkSession, path: str) -> None:
+    """The written path is deleted when the driver ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete what was written to a scratch path and is read no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, mixing, quality_rff, separator_scan, sharding, tensor_minhash, trie_bpe
+from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, member_lloyd, mixing, quality_rff, separator_scan, sharding, tensor_minhash, trie_bpe
+from sitetide.llm.common import lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -251,3 +253,56 @@ def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, which = separator_scan.write_token_files(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
     counts = separator_scan.document_counts(blocks, END_OF_DOCUMENT)
     return counts.join(which, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "first_token", "n_tokens", "closed")
+
+
+# --- 12: codes of vectors --------------------------------------------------------------------------------
+
+
+@query
+def op12_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = member_lloyd.compress(read(spark, sf_dir, "embeddings"), keep=("vec_id", "label"))
+    numbers = ",".join(str(n) for book in packed.codebooks for n in book.ravel().tolist())
+    by_label = packed.codes.groupBy("label").agg(F.sum("error").alias("label_error"))
+    sums = lookup(by_label.withColumnRenamed("label", "of"), by_label.count())
+    code = F.array_join(F.transform("entries", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "")
+    return packed.codes.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+def _lloyd_sql() -> str:
+    """One pair of steps a round: the nearest entries (n), then the new codebook (c)."""
+    apart = "CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    steps = ["""RECURSIVE kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(0, 4)) AS p)
+),
+c0 AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id, v) - 1 AS INTEGER) AS e, x FROM parts JOIN kept USING (r)
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id, v) <= 256
+)"""]
+    for i in range(member_lloyd.ROUNDS + 1):
+        steps.append(f"""n{i} AS MATERIALIZED (
+  SELECT r, p.p, min((d, e)) AS best FROM (SELECT p.r, p.p, c.e, {apart} AS d FROM parts p JOIN c{i} c ON c.p = p.p) p GROUP BY r, p.p
+)""")
+        if i < member_lloyd.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM (
+      SELECT p, best[2] AS e, j, sum(x[j])::BIGINT AS s, count(*) AS n
+      FROM (SELECT n.p, n.best, t.x, unnest(range(1, len(t.x) + 1)) AS j FROM n{i} n JOIN parts t ON t.r = n.r AND t.p = n.p) GROUP BY p, best[2], j
+    ) GROUP BY p, e) m ON m.p = c.p AND m.e = c.e
+)""")
+    last = member_lloyd.ROUNDS
+    return f"""WITH {(","  + chr(10)).join(steps)},
+coded AS (
+  SELECT r, string_agg(lower(format('{{:02x}}', best[2])), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM n{last} GROUP BY r
+),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), books"""
+
+
+ORACLES["op12_member_lloyd"] = _lloyd_sql()
