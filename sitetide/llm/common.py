@@ -73,8 +73,9 @@ def lookup(df: DataFrame, rows: int) -> DataFrame:
 
 # --- words of whole Arrow batches ---------------------------------------------------------------------
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
+#: Each byte with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -110,10 +111,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, first) : byte bounds of all words, and the number of words before each text (one more at the end)."""
+def word_bounds(raw: np.ndarray, starts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, first) : byte bounds of all words, and the number of words before each text (one more at the end).
+
+    ``between`` says of each of the 256 bytes whether it parts words."""
     gap = np.ones(len(raw) + 2, dtype=bool)
-    gap[1:-1] = _SPACE[raw]
+    gap[1:-1] = between[raw]
     cut = np.zeros(len(raw) + 1, dtype=bool)  # a text begins here
     cut[starts[:-1]] = True
     cut[len(raw)] = True
@@ -128,7 +131,7 @@ def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
     """64-bit hashes of the words with A-Z in lower case, alike in every process."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    terms = _VALUES[_LOWER[raw]] * _powers(_BASE, len(raw))
+    terms = _VALUES[LOWER[raw]] * _powers(_BASE, len(raw))
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(terms, out=sums[1:])
     value = (sums[end] - sums[begin]) * _powers(_BASE_INVERSE, len(raw))[begin]

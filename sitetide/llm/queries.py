@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, member_lloyd, mixing, quality_rff, separator_scan, sharding, tensor_minhash, trie_bpe
+from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, hard_negatives, license_scan, member_lloyd, mixing, quality_rff, separator_scan, sharding, tensor_minhash, trie_bpe
 from sitetide.llm.common import lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,3 +306,90 @@ FROM coded JOIN kept USING (r), books"""
 
 
 ORACLES["op12_member_lloyd"] = _lloyd_sql()
+
+
+# --- 11: licences ----------------------------------------------------------------------------------------
+
+#: The base phrases and their labels.
+LICENSE_PHRASES = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
+#: A label's evidence is n words that stand there exactly; the score is n / (n + this) for the largest n.
+SCORE_HALF = 4
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(read(spark, sf_dir, "documents"), LICENSE_PHRASES, license_scan.TEMPLATES)
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(places["label"])), ",")
+    base, every = F.col("phrases"), F.concat("phrases", "templates")
+    evidence = F.coalesce(F.array_max(every["words"]), F.lit(0))
+    return scanned.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["start"]).alias("first_word"),
+        F.array_max(base["start"]).alias("last_word"), labels(base).alias("base_labels"), labels(every).alias("labels"),
+        (evidence / (evidence + SCORE_HALF)).alias("score"))
+
+
+def _license_sql() -> str:
+    """Places of the phrases by list positions, templates as regular expressions over the words."""
+    starts = [" AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(phrase.split(), 1)) for phrase in LICENSE_PHRASES.values()]
+    base = ",\n    ".join(f"list_filter(range(len(w)), lambda i: {test}) AS at{n}" for n, test in enumerate(starts))
+
+    def found(test: str, label: str, n: int) -> str:
+        return f"CASE WHEN {test} THEN {{'label': '{label}', 'n': {n}}} END"
+
+    def known(parts: list[str]) -> str:
+        return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+    def joined(parts: list[str]) -> str:
+        return f"array_to_string(list_sort(list_transform({known(parts)}, lambda x: x.label)), ',')"
+
+    phrases = [found(f"len(at{n}) > 0", label, len(phrase.split())) for n, (label, phrase) in enumerate(LICENSE_PHRASES.items())]
+    regions = {label: license_scan.parse(template) for label, template in license_scan.TEMPLATES.items()}
+    whole = [found(f"regexp_matches(line, ' {license_scan.pattern(nodes)}')", label, license_scan.mandatory_words(nodes)) for label, nodes in regions.items()]
+    every = f"list_concat({', '.join(f'at{n}' for n in range(len(starts)))})"
+    upper, lower = ("".join(chr(c) for c in range(first, first + 26)) for first in (65, 97))
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{license_scan.WORD}') AS w FROM documents),
+b AS (
+  SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS line,
+    {base}
+  FROM d
+),
+e AS (SELECT *, list_max(list_transform({known(phrases + whole)}, lambda x: x.n)) AS n FROM b)
+SELECT doc_id, n_words, CAST(len({every}) AS BIGINT) AS n_base, list_min({every}) AS first_word, list_max({every}) AS last_word,
+  {joined(phrases)} AS base_labels, {joined(phrases + whole)} AS labels, coalesce(n, 0) / (coalesce(n, 0) + {SCORE_HALF}.0) AS score
+FROM e
+"""
+
+
+ORACLES["op11_license_scan"] = _license_sql()
+
+
+# --- 13: hard negatives ----------------------------------------------------------------------------------
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0).drop("positive_rank")
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM w a JOIN w c ON c.r <> a.r AND len(c.v) = len(a.v) WHERE a.vec_id % 100 = 0
+),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.a, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
