@@ -27,7 +27,7 @@ from sitetide.session import ship_package
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024.0
 #: Members of one owner, on average, if all parts of a position had one entry.
-MEMBERS = 1 << 12
+MEMBERS = 1 << 9
 #: Components from this magnitude count as non-finite: squared distances of whole numbers must fit 64 bits.
 LARGEST = 1 << 16
 #: Rows whose distances to a codebook are computed at once.
