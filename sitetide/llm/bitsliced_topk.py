@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sitetide.llm.blocks import fits, meet, scaled, whole_numbers
+from sitetide.llm.common import lookup, staged
 from sitetide.session import ship_package
 
-#: Vectors and queries that meet in one task, and the leading bits of a component that are sliced.
-VECTORS, QUERIES, PLANES = 16384, 256, 5
+#: Vectors of a block, and the leading bits of a component that are sliced.
+VECTORS, PLANES = 16384, 5
 SCALE = 256.0
-#: With larger numbers in a block all its rows are scored exactly; scores are 64-bit numbers in any case.
+#: With larger numbers in a block all its rows are scored exactly.
 SLICED_BELOW = 1 << 24
 
 
@@ -113,48 +115,42 @@ class SlicedBlock:
         return self.ids[rows][order], scores[order]
 
 
-def whole_numbers(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy().astype(np.float64)
-    size = len(column)
-    return np.floor(SCALE * flat).astype(np.int64).reshape(size, len(flat) // size if size else 0)
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors by the inner product of whole numbers floor(256 x).
 
     Only vectors of the query's length with another vec_id count; ties go to the smaller vec_id; repeated rows count each, a
     repeated query id asks once (with its smallest vector). Rows with a null id, a null vector, or a null or non-finite
-    component take no part; other columns are ignored; empty tables give no rows; fewer than k vectors are all returned.
+    component or one so large that scores might not fit 64 bits (``blocks.fits``) take no part; other columns are ignored; empty tables give no rows; fewer
+    than k vectors are all returned.
 
-    Queries and vectors meet block by block: every block of queries with every block of vectors, each pair of blocks in a group
-    of bounded size, which returns k rows a query.
+    Vectors are dealt into blocks by numbers that are written down first, so a repeated task deals them alike. They move
+    once; a block's slices are built once, and all queries stream past it, a batch at a time. A block returns k rows a query.
     """
     ship_package(vectors.sparkSession)
-    finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-
     def proper(df: DataFrame) -> DataFrame:
-        return df.select("vec_id", vector).filter(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & finite)
-
-    asked = proper(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(vector).alias("query"))
-    given = proper(vectors)
-    n_vectors, n_queries = given.count(), asked.count()
-    v_blocks, q_blocks = max(1, math.ceil(n_vectors / VECTORS)), max(1, math.ceil(n_queries / QUERIES))
-    keys = ["v_block", "q_block", "size"]
-    deal = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = given.withColumns({"v_block": deal(F.monotonically_increasing_id(), v_blocks), "size": F.size(vector)}).withColumn("q_block", every(q_blocks))
-    right = asked.withColumns({"q_block": deal(F.col("query_id"), q_blocks), "size": F.size("query")}).withColumn("v_block", every(v_blocks))
-
-    def search(block: pa.Table, asks: pa.Table) -> pa.Table:
+        given = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).alias("x")).filter(F.col("vec_id").isNotNull() & fits("x", SCALE))
+        return given.select("vec_id", scaled("x", SCALE).alias("x")).withColumn("size", F.size("x"))
+
+    given = staged(proper(vectors).withColumn("row", F.monotonically_increasing_id()))
+    asked = proper(queries).groupBy("vec_id").agg(F.min(F.struct("x", "size")).alias("q")).select("vec_id", "q.x", "q.size")
+    counted = given.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = staged(counted.select(F.col("size"), F.ceil(F.col("n") / VECTORS).alias("parts")))
+    few = lookup(sizes, sizes.count())
+    blocks = given.join(few, "size").select(F.col("size").alias("cell"), F.pmod(F.xxhash64("row"), F.col("parts")).alias("part"), "vec_id", "x")
+    asks = asked.join(few, "size").select(
+        F.col("size").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "vec_id", "x")
+
+    def build(rows: pa.Table) -> SlicedBlock:
+        return SlicedBlock(rows["vec_id"].to_numpy(), whole_numbers(rows["x"]))
+
+    def search(index: SlicedBlock, batch: pa.RecordBatch) -> pa.RecordBatch:
         found: list[list] = [[], [], []]
-        if len(block) and len(asks):
-            index = SlicedBlock(block["vec_id"].to_numpy(), whole_numbers(block[vector]))
-            for query_id, query in zip(asks["query_id"].to_numpy(), whole_numbers(asks["query"]), strict=True):
-                ids, scores = index.top(query_id, query, k)
-                for to, values in zip(found, ([query_id] * len(ids), ids, scores), strict=True):
-                    to.extend(values)
-        return pa.table([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
-
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+        for query_id, query in zip(batch.column("vec_id").to_numpy(), whole_numbers(batch.column("x")), strict=True):
+            ids, scores = index.top(query_id, query, k)
+            for to, values in zip(found, ([query_id] * len(ids), ids, scores), strict=True):
+                to.extend(values)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+
+    best = meet(blocks, asks, build, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,16 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sitetide.llm.blocks import fits, meet, scaled, whole_numbers
 from sitetide.llm.common import LOOKUP_ROWS, staged
-from sitetide.operators.joins import join_dimension
+from sitetide.operators.joins import join_hot
 from sitetide.session import ship_package
 
 SCALE = 256.0
-#: Components from this magnitude count as non-finite: scores must fit 64 bits.
-LARGEST = 1 << 16
 #: Numbers of a bucket (its vectors times their components), and the ratio of the lengths that share a bucket.
 NUMBERS, RATIO = 1 << 20, 1.2
 #: Focus coordinates of an anchor, and vectors that are scored to begin with for each one that is wanted.
@@ -35,6 +33,8 @@ FOCUS, SEEDS = 4, 8
 #: Kept between what floating point finds and the exact bounds.
 _SLACK = 1e-7
 
+Answer = Callable[["Bucket", dict], Iterator[tuple]]
+
 
 class Bucket:
     """Vectors of similar length as sorted lists of their directions' coordinates."""
@@ -43,9 +43,7 @@ class Bucket:
         self.rows, self.ids = rows, ids
         self.codes = {label: i for i, label in enumerate(dict.fromkeys(labels))}
         self.labels = np.array([self.codes[x] for x in labels], np.int64)
-        most = int(np.abs(numbers).max(initial=0))
-        self.most = most
-        self.numbers = numbers
+        self.most, self.numbers = int(np.abs(numbers).max(initial=0)), numbers
         length = np.sqrt((numbers.astype(np.float64) ** 2).sum(axis=1))
         self.longest, self.shortest = length.max(initial=0), length.min(initial=np.inf)
         self.unit = numbers / np.where(length > 0, length, 1)[:, None]
@@ -119,48 +117,27 @@ class Bucket:
         return which[order], scores[order]
 
 
-Answer = Callable[[Bucket, dict], Iterator[tuple]]
 _ASK = "array<struct<rank:int,id:bigint,score:bigint>>"
 
 
-def _numbers(column: pa.ListArray) -> np.ndarray:
-    flat = column.flatten().to_numpy()
-    return flat.astype(np.int64).reshape(len(column), len(flat) // len(column) if len(column) else 0)
-
-
 def searched(vectors: DataFrame, asks: DataFrame, answer: Answer, names: list[str], schema: str) -> DataFrame:
-    """What ``answer`` gives for each ask and its bucket. Both sides: cell, part (their bucket), row, vec_id, label, x; asks also
-    ``positives``. A bucket's vectors come first, so its index is built once and all asks stream past it."""
-    columns = ["cell", "part", "kind", "row", "vec_id", "label", "x", "positives"]
-    both = vectors.withColumns({"kind": F.lit(0), "positives": F.lit(None).cast(_ASK)}).select(columns).union(
-        asks.withColumn("kind", F.lit(1)).select(columns))
-    met = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "kind", "row")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, bucket = None, [], None
-        for batch in batches:
-            cell, part, kind = (batch.column(c).to_numpy() for c in columns[:3])
-            new = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
-            for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
-                if a == b:
-                    continue
-                piece = batch.slice(a, b - a)
-                if (cell[a], part[a]) != key:
-                    key, held, bucket = (cell[a], part[a]), [], None
-                values = (piece.column("row").to_numpy(), piece.column("vec_id").to_numpy(), piece.column("label").to_pylist(), _numbers(piece.column("x")))
-                if kind[a] == 0:
-                    held.append(values)
-                elif held:
-                    if bucket is None:
-                        bucket = Bucket(*(np.concatenate(x) if i != 2 else sum(x, []) for i, x in enumerate(zip(*held, strict=True))))
-                    out: list[tuple] = []
-                    for row, vec_id, label, x, positives in zip(*values, piece.column("positives").to_pylist(), strict=True):
-                        out += answer(bucket, {"row": int(row), "vec_id": int(vec_id), "label": label, "x": x, "positives": positives})
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), arrow, strict=True)], names)
-
+    """What ``answer`` gives for each ask and bucket. Both sides: cell, part (the bucket), row, vec_id, label, x; asks also
+    ``positives``."""
+    columns = ["cell", "part", "row", "vec_id", "label", "x", "positives"]
     kinds = {"int": pa.int32(), "long": pa.int64()}
     arrow = [kinds[field.split()[1]] for field in schema.split(", ")]
-    return met.mapInArrow(run, schema)
+
+    def build(rows: pa.Table) -> Bucket:
+        return Bucket(rows["row"].to_numpy(), rows["vec_id"].to_numpy(), rows["label"].to_pylist(), whole_numbers(rows["x"]))
+
+    def replies(bucket: Bucket, batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        plain = (batch.column(c).to_pylist() for c in ("row", "vec_id", "label", "positives"))
+        for row, vec_id, label, positives, x in zip(*plain, whole_numbers(batch.column("x")), strict=True):
+            out += answer(bucket, {"row": row, "vec_id": vec_id, "label": label, "x": x, "positives": positives})
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), arrow, strict=True)], names)
+
+    return meet(vectors.withColumn("positives", F.lit(None).cast(_ASK)).select(columns), asks.select(columns), build, replies, schema)
 
 
 def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -172,7 +149,7 @@ def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _joined(rows: DataFrame, cells: DataFrame, keys: list[str], n_cells: int) -> DataFrame:
     """Few cells go to all workers; beyond that a hot key's rows are salted."""
-    return rows.join(F.broadcast(cells), keys) if n_cells <= LOOKUP_ROWS else join_dimension(rows, cells, keys, ["row"])
+    return rows.join(F.broadcast(cells), keys) if n_cells <= LOOKUP_ROWS else join_hot(rows, cells, keys, ["row"])
 
 
 def mine(vectors: DataFrame, anchors: Column, label: str = "label", vector: str = "embedding", n_positives: int = 5, n_negatives: int = 5,
@@ -184,18 +161,17 @@ def mine(vectors: DataFrame, anchors: Column, label: str = "label", vector: str
     other labels with a score of ``lowest`` to ``highest`` hundredths of the positive's. Higher scores come first, then smaller
     ids. Positives without negatives, as all with a negative score are, give no rows.
 
-    Rows with a null id, label or vector, or with null or non-finite components or some of magnitude LARGEST or more, take no
-    part; vectors are compared with those of their length; repeated rows count each, as anchors, positives and negatives, and
+    Rows with a null id, label or vector, or with null or non-finite components or some so large that scores might not fit
+    64 bits (``blocks.fits``), take no part; vectors are compared with those of their length; repeated rows count each, as anchors, positives and negatives, and
     are other rows to each other; further columns are ignored; an empty table gives no rows.
     """
     ship_package(vectors.sparkSession)
-    fits = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LARGEST))
-    whole = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("int"))
     square = F.aggregate("x", F.lit(0).cast("long"), lambda total, n: total + n.cast("long") * n.cast("long"))
     length_class = F.when(F.col("square") > 0, F.floor(F.log(F.col("square").cast("double")) / F.lit(2 * np.log(RATIO)))).otherwise(-1)
     given = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col(label).alias("label"),
                            F.col(vector).alias("v"), F.coalesce(anchors, F.lit(False)).alias("anchor"))
-    sized = given.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fits).select("row", "vec_id", "label", "anchor", whole.alias("x"))
+    sized = given.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fits("v", scale)).select(
+        "row", "vec_id", "label", "anchor", scaled("v", scale).alias("x"))
     rows = staged(sized.withColumns({"square": square, "size": F.size("x")}).withColumn("class", length_class))
     asking = rows.filter("anchor").drop("anchor", "class")
 

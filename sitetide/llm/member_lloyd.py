@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitetide.llm.blocks import fits, scaled
 from sitetide.llm.common import delete_path, goes_at_end, scratch_path, staged
 from sitetide.session import ship_package
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024.0
 #: Members of one owner, on average, if all parts of a position had one entry.
 MEMBERS = 1 << 9
-#: Components from this magnitude count as non-finite: squared distances of whole numbers must fit 64 bits.
-LARGEST = 1 << 16
+#: Sums of products of two vectors' whole numbers stay below this, so squared distances fit 64 bits.
+MOST = 2.0 ** 60
 #: Rows whose distances to a codebook are computed at once.
 _ROWS = 4096
 
@@ -160,8 +161,8 @@ def compress(vectors: DataFrame, keep: Sequence[str] = ("vec_id",), vector: str
     entry (ties to the lower index) and replaces each entry by floor(sum / count) of its parts; unused entries stay. The
     codes are of a last assignment.
 
-    Left out are rows whose vector is null or holds null or non-finite components or some of magnitude LARGEST or more, and
-    vectors of another length than the most frequent one (ties: the longest). A length that isn't a multiple of ``n_parts``
+    Left out are rows whose vector is null or holds null or non-finite components or some so large that distances might not
+    fit 64 bits (``blocks.fits``), and vectors of another length than the most frequent one (ties: the longest). A length that isn't a multiple of ``n_parts``
     gives parts that differ by one component; empty vectors have empty parts, entry 0 and error 0. Null ids are rows like
     others; repeated rows count each; only the columns in ``keep`` are returned, whatever others there are; an empty table
     gives no codes and codebooks without entries.
@@ -170,10 +171,8 @@ def compress(vectors: DataFrame, keep: Sequence[str] = ("vec_id",), vector: str
     ship_package(spark)
     given = vectors.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("given"), F.col(vector).alias("v"),
                            (F.col("vec_id") if order is None else order).alias("place"))
-    fits = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < LARGEST))
-    whole = F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("int"))
     # the row numbers are written down: later steps meet the same ones, whichever task is repeated
-    rows = staged(given.filter(fits).select(F.monotonically_increasing_id().alias("row"), "given", "place", whole.alias("x")))
+    rows = staged(given.filter(fits("v", scale, MOST)).select(F.monotonically_increasing_id().alias("row"), "given", "place", scaled("v", scale).alias("x")))
     lengths = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
     size, n_rows = (lengths["n"], lengths["count"]) if lengths else (0, 0)
     rows = rows.filter(F.size("x") == size)

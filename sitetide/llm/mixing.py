@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitetide.llm.common import text_or_empty
+from sitetide.llm.common import lookup, text_or_empty
 
 #: Name of the pool of all sources without a weight of their own.
 OTHERS = None
@@ -15,6 +15,8 @@ OTHERS = None
 LARGEST_MEAN = 8.0
 #: Draws are whole numbers below this.
 DRAWS = 1 << 52
+#: Copies of one document that one task makes.
+CHUNK = 1 << 10
 
 
 def hashed(seed: int, *columns: Column, digits: int = 13) -> Column:
@@ -23,25 +25,27 @@ def hashed(seed: int, *columns: Column, digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, digits), 16, 10).cast("long")
 
 
+def _pooled(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """docs with _pool: the source if it has a weight, else null."""
+    known = docs.sparkSession.createDataFrame([(k,) for k in weights], "_pool string")
+    return docs.join(lookup(known, len(weights)), docs["source"] == known["_pool"], "left")
+
+
 def repetition_rates(docs: DataFrame, weights: dict[str, float], other_weight: float, epochs: float) -> dict[str | None, float]:
     """Mean repetitions by source (None: all sources without a weight), so that output bytes follow the weights.
 
-    ``weights`` is a parameter of at most some thousand entries: one sum for each of them reaches the driver. Weights of
-    sources without bytes go to the others in proportion; documents of a source without any bytes repeat ``epochs`` times.
+    ``weights`` is a parameter: one sum for each of its entries reaches the driver. Weights of sources without bytes go to
+    the others in proportion; documents of a source without any bytes repeat ``epochs`` times.
     """
-    pool = _pool(weights)
-    sums = docs.groupBy(pool.alias("pool")).agg(F.sum(F.octet_length(text_or_empty()).cast("long")).alias("n")).collect()
-    size = {row["pool"]: row["n"] or 0 for row in sums}
+    n_bytes = docs.select("source", F.octet_length(text_or_empty()).cast("long").alias("_n"))
+    sums = _pooled(n_bytes, weights).groupBy("_pool").agg(F.sum("_n").alias("n")).collect()
+    size = {row["_pool"]: row["n"] or 0 for row in sums}
     wanted = {k: (other_weight if k is OTHERS else weights[k]) for k in size}
     share = sum(w for k, w in wanted.items() if size[k]) or 1.0
     total = sum(size.values())
     return {k: epochs * wanted[k] / share * total / size[k] if size[k] else epochs for k in size}
 
 
-def _pool(weights: dict[str, float]) -> Column:
-    return F.when(F.col("source").isin(*weights), F.col("source")) if weights else F.lit(None).cast("string")
-
-
 def poisson_table(mean: float) -> list[int]:
     """Upper bounds of the draws that give 0, 1, 2, ... : the distribution function times DRAWS."""
     out, term, total, k = [], math.exp(-mean), 0.0, 0
@@ -54,29 +58,42 @@ def poisson_table(mean: float) -> list[int]:
             return out
 
 
-def _drawn(bounds: Column, seed: int, part: Column) -> Column:
-    at = hashed(seed, F.col("doc_id"), part)
-    return F.size(F.filter(bounds, lambda bound: bound <= at)).cast("long")
+def drawn(seed: int) -> Column:
+    """How often a document occurs, from _parts and _bounds: an inverted Poisson distribution at a hash of seed and doc_id.
+
+    A large mean is drawn in _parts equal parts, each by its own hash."""
+
+    def one(part: Column) -> Column:
+        at = hashed(seed, F.col("doc_id"), part)
+        return F.size(F.filter("_bounds", lambda bound: bound <= at)).cast("long")
 
+    several = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), F.lit(0).cast("long"), lambda total, part: total + one(part))
+    return F.when(F.col("_parts") == 1, one(F.lit(0))).otherwise(several)
 
-def _drawn_in_parts(bounds: Column, seed: int, parts: int) -> Column:
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    return F.aggregate(every, F.lit(0).cast("long"), lambda total, part: total + _drawn(bounds, seed, part))
 
+def counted(docs: DataFrame, rates: dict[str | None, float], weights: dict[str, float], seed: int) -> DataFrame:
+    """docs with n_copies, without those that have none. A source's draws are a row of a table, so any number of sources
+    makes the same expression; documents meet their row by a join."""
+    rows = []
+    for pool, rate in rates.items():
+        if rate > 0:
+            parts = max(1, math.ceil(rate / LARGEST_MEAN))
+            rows.append((pool, parts, poisson_table(rate / parts)))
+    table = docs.sparkSession.createDataFrame(rows, "_of string, _parts long, _bounds array<long>")
+    pooled = _pooled(docs, weights)
+    met = pooled.join(lookup(table, len(rows)), pooled["_pool"].eqNullSafe(table["_of"]))
+    return met.withColumn("n_copies", drawn(seed)).filter(F.col("n_copies") > 0).drop("_pool", "_of", "_parts", "_bounds")
 
-def copies(rates: dict[str | None, float], weights: dict[str, float], seed: int) -> Column:
-    """How often a document occurs in the output: an inverted Poisson distribution at a hash of seed and doc_id."""
-    count = F.lit(0).cast("long")
-    for source, rate in rates.items():
-        if rate <= 0:
-            continue
-        parts = max(1, math.ceil(rate / LARGEST_MEAN))
-        bounds = F.array(*[F.lit(b) for b in poisson_table(rate / parts)])
 
-        own = _drawn(bounds, seed, F.lit(0)) if parts == 1 else _drawn_in_parts(bounds, seed, parts)
-        is_source = _pool(weights).isNull() if source is OTHERS else F.col("source") == source
-        count = F.when(is_source, own).otherwise(count)
-    return count
+def repeated(docs: DataFrame) -> DataFrame:
+    """A row with copy (from 1) for each of the n_copies; what occurs very often is first dealt out in chunks of copies."""
+    number = F.sequence(F.lit(1).cast("long"), F.col("n_copies"))
+    often = docs.filter(F.col("n_copies") > CHUNK).withColumn(
+        "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1, F.lit(CHUNK).cast("long"))))
+    dealt = often.repartition("doc_id", "_first")
+    some = F.sequence(F.col("_first") + 1, F.least(F.col("_first") + CHUNK, F.col("n_copies")))
+    return docs.filter(F.col("n_copies") <= CHUNK).withColumn("copy", F.explode(number)).unionByName(
+        dealt.withColumn("copy", F.explode(some)).drop("_first"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float], other_weight: float = 0.0, epochs: float = 1.0, seed: int = 29) -> DataFrame:
@@ -89,9 +106,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], other_weight: float
     The global shuffle deals the rows by shuffle_key, a hash of doc_id and copy, and sorts each partition by it: a third of all
     rows in one source spreads evenly, nothing is sampled and no task sees more than its share.
     """
-    docs = docs.drop("n_copies", "copy", "shuffle_key")
+    docs = docs.drop("n_copies", "copy", "shuffle_key", "_pool", "_of", "_parts", "_bounds", "_first")
     rates = repetition_rates(docs, weights, other_weight, epochs)
-    counted = docs.withColumn("n_copies", copies(rates, weights, seed)).filter(F.col("n_copies") > 0)
-    repeated = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    keyed = repeated.withColumn("shuffle_key", hashed(seed + 1, F.col("doc_id"), F.col("copy"), digits=15))
+    keyed = repeated(counted(docs, rates, weights, seed)).withColumn("shuffle_key", hashed(seed + 1, F.col("doc_id"), F.col("copy"), digits=15))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")

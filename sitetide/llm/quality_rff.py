@@ -21,7 +21,7 @@ from sitetide.session import ship_package
 
 N_STATISTICS = 18
 FOLDS = 3
-#: Sums of at most so many subtrees reach the driver.
+#: Partial sums that one task of a level adds up; the last level's, at most so many, reach the driver.
 SUBTREES = 16
 #: Bins of raw scores that calibration pools, over [-1, 2).
 BINS = 3072
@@ -101,7 +101,7 @@ class Model:
 
 
 def tree_sum(df: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum of ``terms`` (``size`` numbers a batch) over all rows: within partitions, then over SUBTREES groups of partitions."""
+    """The sum of ``terms`` (``size`` numbers a batch) over all rows: within partitions, then level by level over SUBTREES of them."""
     schema = "part binary"
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,11 @@ def tree_sum(df: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray], size:
                 total += np.frombuffer(part)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = df.mapInArrow(within, schema).repartition(SUBTREES).mapInArrow(across, schema)
+    parts = staged(df.mapInArrow(within, schema))
+    n = parts.count()
+    while n > SUBTREES:
+        n = -(-n // SUBTREES)
+        parts = staged(parts.repartition(n).mapInArrow(across, schema))
     return sum((np.frombuffer(row["part"]) for row in parts.collect()), np.zeros(size))
 
 
@@ -160,16 +164,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, N_STATISTICS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, n_features: int = 128, bandwidth: float = 4.0, ridge: float = 1e-3,
-        seed: int = 41) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, **given) -> Model:
+    """``fit_statistics`` of the texts of ``docs``. The texts don't move: their statistics are joined with the labels."""
+    return fit_statistics(document_statistics(docs), labels, train, **given)
+
+
+def fit_statistics(stats: DataFrame, labels: DataFrame, train: Column, n_features: int = 128, bandwidth: float = 4.0, ridge: float = 1e-3,
+                   seed: int = 41) -> Model:
     """Learn ``labels.quality`` of the rows where ``train`` (of doc_id) holds; all of them, streamed, none sampled.
 
-    Rows without a label or with a null one, and labels without a document, take no part; a label given twice counts twice.
-    Without any training row the score is 0.5 for all. The texts don't move: statistics are joined with the labels.
+    Rows without a label or with a null one, and labels without a document, take no part; a label given twice, or for an id
+    that several documents have, counts for each pair. Without any training row the score is 0.5 for all.
     """
     wanted = labels.filter(F.col("quality").isNotNull() & train).select("doc_id", F.col("quality").cast("double").alias("label"))
     fold = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(FOLDS)).cast("int")
-    rows = staged(document_statistics(docs).join(wanted, "doc_id").select("stats", "label", fold.alias("fold")))
+    rows = staged(stats.join(wanted, "doc_id").select("stats", "label", fold.alias("fold")))
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         x = _matrix(batch.column("stats"))
@@ -212,6 +221,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, n_features: int = 128
     return model
 
 
+def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of the rows of ``document_statistics``."""
+    sent = stats.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.clip(sent.value.score(_matrix(batch.column("stats"))), 0.0, 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "score"])
+
+    return stats.select("doc_id", "stats").mapInArrow(run, schema)
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """The columns of ``docs`` and the score (0 to 1, higher: label 1 likelier) of the whole text; null is scored as empty.
 

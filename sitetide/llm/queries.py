@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetide.llm import bitsliced_topk, bloom_lm, chat_format, exact_dedup, hard_negatives, license_scan, member_lloyd, mixing, quality_rff, separator_scan, sharding, tensor_minhash, trie_bpe
-from sitetide.llm.common import lookup
+from sitetide.llm.common import lookup, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,10 +191,10 @@ def id_part(parts: int) -> Column:
 
 @query
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = staged(quality_rff.document_statistics(read(spark, sf_dir, "documents")))
     held_out = F.coalesce(id_part(4) == HELD_OUT_PART, F.lit(False))
-    model = quality_rff.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
-    scored = quality_rff.score_documents(docs, model)
+    model = quality_rff.fit_statistics(stats, read(spark, sf_dir, "labels"), ~held_out)
+    scored = quality_rff.score_statistics(stats, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -250,8 +250,8 @@ END_OF_DOCUMENT = 50256
 @query
 def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    blocks, which = separator_scan.write_token_files(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
-    counts = separator_scan.document_counts(blocks, END_OF_DOCUMENT)
+    ranges, which = separator_scan.write_token_files(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    counts = separator_scan.document_counts(ranges, END_OF_DOCUMENT)
     return counts.join(which, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "first_token", "n_tokens", "closed")
 
 

@@ -1,55 +1,80 @@
 """Token counts of documents in flat token files that have no index.
 
-A token file is a row of fixed-width token ids; an end-of-document id closes each document. Blocks are cut anywhere. A block
-is searched at once; documents inside it are complete. What is open at its edges is stitched: a prefix scan over the blocks'
-separator counts numbers the documents, and pieces with one number add up, over as many blocks as a document has.
+A token file is a row of fixed-width token ids and nothing else; an end-of-document id closes each document. Files are cut into
+byte ranges anywhere; a task seeks to its range and reads it, whatever the file's size. A block is searched at once; documents
+inside it are complete. What is open at its edges is stitched: a prefix scan over the blocks' separator counts numbers the
+documents, and pieces with one number add up, over as many blocks as a document has.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitetide.llm.common import batch_slices, running_offsets, staged
+from sitetide.llm.common import batch_slices, goes_at_end, running_offsets, scratch_path, staged
 from sitetide.session import ship_package
 
-#: Token ids are little-endian 16-bit numbers; tokens of a block.
-TOKEN, BLOCK_TOKENS = "<u2", 1 << 18
+#: Bytes of a token id (a little-endian number), and tokens of a block.
+TOKEN_BYTES, BLOCK_TOKENS = 2, 1 << 18
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, data) of flat files, such as ``*.bin``. Spark's reader takes a file as one value, so 2 GB each at most."""
-    width = np.dtype(TOKEN).itemsize * block_tokens
-    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / width))
-    files = spark.read.format("binaryFile").load(path).filter("length > 0")
-    return files.select(F.col("path").alias("file"), "content", F.explode(blocks).alias("block")).select(
-        "file", "block", F.substring("content", (F.col("block") * width + 1).cast("int"), F.lit(width)).alias("data"))
+def _opened(place: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system that a path or address is in, and its path there."""
+    return pyarrow.fs.FileSystem.from_uri(place)
 
 
-def document_counts(blocks: DataFrame, separator: int) -> DataFrame:
-    """(file, ordinal, first_token, n_tokens, closed): one row per document of each file, from (file, block, data).
+def byte_ranges(files: DataFrame, block_tokens: int = BLOCK_TOKENS, token_bytes: int = TOKEN_BYTES) -> DataFrame:
+    """(file, block, start, size) of files (file, length): whole tokens; bytes after a file's last whole token are none."""
+    tokens = F.floor(F.col("length") / token_bytes)
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((tokens - 1) / block_tokens))
+    cut = files.filter(tokens > 0).select("file", tokens.alias("tokens"), F.explode(blocks).alias("block"))
+    size = F.least(F.lit(block_tokens).cast("long"), F.col("tokens") - F.col("block") * block_tokens)
+    return cut.select("file", "block", (F.col("block") * block_tokens * token_bytes).alias("start"), (size * token_bytes).alias("size"))
 
-    Blocks are numbered from 0 in each file; all but the last have the same length, which is read off the table. The
-    separator isn't counted. Tokens after a file's last separator are a document that isn't closed; nothing after it is none.
+
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, token_bytes: int = TOKEN_BYTES) -> DataFrame:
+    """The byte ranges of flat files, such as ``*.bin``; of any size, as only names and lengths are read here."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    return byte_ranges(files, block_tokens, token_bytes)
+
+
+def document_counts(blocks: DataFrame, separator: int, token_bytes: int = TOKEN_BYTES) -> DataFrame:
+    """(file, ordinal, first_token, n_tokens, closed): one row per document of each file, from byte ranges (file, block, start,
+    size), which the tasks read, or from their content (file, block, data).
+
+    Blocks are numbered from 0 in each file and hold whole tokens of ``token_bytes`` bytes; what is left over at the end of a
+    block's content is no token. The separator isn't counted. Tokens after a file's last separator are a document that isn't closed; nothing after it is none.
     Null or empty data has no tokens; a repeated block counts once; rows without file or block are left out; other columns
     are ignored; an empty table gives no rows. What is shuffled is numbers, no tokens.
     """
     ship_package(blocks.sparkSession)
-    given = blocks.filter(F.col("file").isNotNull() & F.col("block").isNotNull()).select("file", F.col("block").cast("long").alias("block"), "data")
+    kind, columns = np.dtype(f"<u{token_bytes}"), ["data"] if "data" in blocks.columns else ["start", "size"]
+    given = blocks.filter(F.col("file").isNotNull() & F.col("block").isNotNull()).select("file", F.col("block").cast("long").alias("block"), *columns)
+
+    def contents(batch: pa.RecordBatch) -> Iterator[bytes]:
+        if "data" in columns:
+            yield from (data.as_py() or b"" for data in batch.column("data"))
+            return
+        for file, start, length in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "size")), strict=True):
+            system, path = _opened(file)
+            with system.open_input_file(path) as source:
+                yield source.read_at(length, start)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = []
             size = np.zeros(batch.num_rows, np.int64)
-            for i, data in enumerate(batch.column("data")):
-                tokens = np.frombuffer(data.as_py() or b"", TOKEN)
+            for i, data in enumerate(contents(batch)):
+                tokens = np.frombuffer(data[:len(data) // kind.itemsize * kind.itemsize], kind)
                 at.append(np.flatnonzero(tokens == separator))
                 size[i] = len(tokens)
             n = np.array([len(x) for x in at], np.int64)
@@ -82,46 +107,61 @@ def document_counts(blocks: DataFrame, separator: int) -> DataFrame:
         F.col("d.counts").alias("n_tokens"), F.lit(True).alias("closed")))
 
 
-def write_token_files(docs: DataFrame, ranks: str, pattern: str, separator: int, text: str = "text",
-                      block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Token files of all texts, one per input partition, in blocks: (file, block, data); and (file, ordinal, doc_id), which
-    document is which. ``ranks``: path of a rank file on the driver. Null texts are empty; each text ends with the separator."""
+def write_token_files(docs: DataFrame, ranks: str, pattern: str, separator: int, text: str = "text", block_tokens: int = BLOCK_TOKENS,
+                      token_bytes: int = TOKEN_BYTES, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Flat token files of all texts in ``folder`` (by default one in the shared folder that goes when the driver ends), one for
+    each input partition that has rows: their byte ranges, and (file, ordinal, doc_id), which document is which.
+
+    ``ranks``: path of a rank file on the driver. Null and empty texts are documents without tokens; each text ends with the
+    separator; repeated rows and ids are documents of their own; other columns are ignored; an empty table writes no file.
+    A repeated task writes a file of another name; only the files of tasks that finished are in the result.
+    """
     spark = docs.sparkSession
     ship_package(spark)
+    kind = np.dtype(f"<u{token_bytes}")
     sent = spark.sparkContext.broadcast(Path(ranks).read_text(encoding="ascii"))
-    width = np.dtype(TOKEN).itemsize * block_tokens
-    names = ["file", "block", "data", "first", "ids"]
+    if max([separator, *(int(line.split()[1]) for line in sent.value.splitlines())]) > np.iinfo(kind).max:
+        raise ValueError(f"ids do not fit {token_bytes} bytes")
+    place = folder or scratch_path(spark) + "-tokens"
+    names = ["file", "length", "first", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         table = {base64.b64decode(t): int(i) for t, i in map(str.split, sent.value.splitlines())}
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        file, held, block, ordinal = f"part-{TaskContext.get().partitionId():06d}", bytearray(), 0, 0
+        task = TaskContext.get()
+        file = f"{place}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bin"
 
-        def rows(numbers: list, parts: list, first: int | None, ids: list | None) -> pa.RecordBatch:
-            n = len(numbers)
+        def row(length: int | None, first: int | None, ids: list | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
-                pa.array([file] * n), pa.array(numbers, pa.int64()), pa.array(parts, pa.binary()), pa.array([first] * n, pa.int64()),
-                pa.array([ids] * n, pa.list_(pa.int64()))], names)
-
-        for batch in batches:
-            texts = batch.column(text)
-            starts = np.concatenate([[0], np.cumsum([len(x or "") for x in texts.to_pylist()])])
-            for a, b in batch_slices(starts):
-                for x in texts.slice(a, b - a).to_pylist():
-                    held += np.array([*encode(x or ""), separator], TOKEN).tobytes()
-                ready = len(held) // width
-                parts = [bytes(held[i * width:(i + 1) * width]) for i in range(ready)]
-                del held[:ready * width]
-                yield rows([None], [None], ordinal, batch.column("doc_id").slice(a, b - a).to_pylist())
-                if ready:
-                    yield rows(list(range(block, block + ready)), parts, None, None)
-                block, ordinal = block + ready, ordinal + b - a
-        if held:
-            yield rows([block], [bytes(held)], None, None)
-
-    made = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(
-        run, "file string, block long, data binary, first long, ids array<long>"))
+                pa.array([file]), pa.array([length], pa.int64()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names)
+
+        out, length, ordinal = None, 0, 0
+        try:
+            for batch in batches:
+                texts = batch.column(text)
+                starts = np.concatenate([[0], np.cumsum([len(x or "") for x in texts.to_pylist()])])
+                for a, b in batch_slices(starts):
+                    if out is None:
+                        system, path = _opened(place)
+                        system.create_dir(path, recursive=True)
+                        out = system.open_output_stream(f"{path}/{file.rsplit('/', 1)[1]}")
+                    for x in texts.slice(a, b - a).to_pylist():
+                        data = np.array([*encode(x or ""), separator], kind).tobytes()
+                        out.write(data)
+                        length += len(data)
+                    yield row(None, ordinal, batch.column("doc_id").slice(a, b - a).to_pylist())
+                    ordinal += b - a
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            yield row(length, None, None)
+
+    made = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "file string, length long, first long, ids array<long>"))
+    if folder is None:
+        goes_at_end(spark, place)
     which = made.filter("ids IS NOT NULL").select("file", "first", F.posexplode("ids").alias("i", "doc_id"))
-    return made.filter("data IS NOT NULL").select("file", "block", "data"), which.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
+    ranges = byte_ranges(made.filter("length IS NOT NULL").select("file", "length"), block_tokens, token_bytes)
+    return ranges, which.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")

@@ -9,10 +9,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sitetide.llm.common import lookup, running_offsets, staged, text_or_empty
+from sitetide.llm.common import LOOKUP_ROWS, lookup, running_offsets, staged, text_or_empty
 
 BUCKET, RANK = "_bucket", "_rank"
+#: Equal rows that stay together in a bucket, and buckets that a task shuffles one after the other.
+COPIES, TASK_BUCKETS = 64, 4
 
 
 def record_size(column: str = "text") -> Column:
@@ -20,24 +23,37 @@ def record_size(column: str = "text") -> Column:
     return (F.octet_length(text_or_empty(column)) + 16).cast("long")
 
 
+def _plain(columns: list[str], kinds: dict[str, T.DataType]) -> Column:
+    """The row as a struct that can be hashed and ordered: maps as their entries in order."""
+    return F.struct(*[(F.array_sort(F.map_entries(f"`{c}`")) if isinstance(kinds[c], T.MapType) else F.col(f"`{c}`")).alias(f"c{i}")
+                      for i, c in enumerate(columns)])
+
+
 def shuffle_buckets(rows: DataFrame, seed: int, bucket_bytes: int, text: str = "text") -> tuple[DataFrame, int]:
     """The rows with the bucket they were scattered to and their place in its shuffled order; the number of buckets.
 
-    First pass: a seeded hash of the row's number deals the rows out, so repeated rows part and buckets have about
-    ``bucket_bytes`` bytes (a single larger record makes its bucket as large). Second pass: each bucket is one array, put in
-    a fixed order and then shuffled (Fisher-Yates) with the seed. The result is staged: each bucket comes whole from one
-    task, so a repeated task can't mix two orders.
+    First pass: a seeded hash of the row's content and, for a row that occurs very often, the number of its copy deals the rows
+    out, so buckets have about ``bucket_bytes`` bytes (a single larger record makes its bucket as large). Equal rows can stand
+    for one another, so those copies are counted and made anew from one of them. Second pass: each bucket is one array, put in
+    order and then shuffled (Fisher-Yates) with the seed. Nothing depends on how the input is split into files or tasks.
+    The result is staged: each bucket comes whole from one task, so a repeated task can't mix two orders.
     """
-    total = rows.select(record_size(text).alias("n")).agg(F.sum("n")).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
-    columns = rows.columns
-    numbered = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("_row"),
-                           F.monotonically_increasing_id().alias("_number"))
-    scattered = numbered.withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), "_number"), F.lit(n_buckets)))
-    order = F.sort_array(F.collect_list(F.struct("_number", "_row")))
-    arrays = scattered.repartition(BUCKET).groupBy(BUCKET).agg(order.alias("_rows"))
+    columns, kinds = rows.columns, {f.name: f.dataType for f in rows.schema}
+    total = rows.select(record_size(text).alias("n")).agg(F.sum("n"), F.count(F.lit(1))).first()
+    n_buckets = max(1, math.ceil((total[0] or 0) / bucket_bytes))
+    named = rows.select(_plain(columns, kinds).alias("_row")).select(
+        F.xxhash64(F.lit(seed), "_row").alias("_a"), F.xxhash64(F.lit(~seed), "_row").alias("_b"), "_row")
+    most = max(COPIES, -(-total[1] // LOOKUP_ROWS))  # so that at most LOOKUP_ROWS rows occur more often
+    often = staged(named.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most))
+    single = named.join(F.broadcast(often.drop("_n")), ["_a", "_b"], "left_anti").withColumn("_copy", F.lit(0).cast("long"))
+    kept = named.join(F.broadcast(often), ["_a", "_b"]).groupBy("_a", "_b", "_n").agg(F.first("_row").alias("_row"))
+    made = kept.select("_a", "_b", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
+    scattered = single.unionByName(made).withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), "_a", "_b", "_copy"), F.lit(n_buckets)))
+    order = F.sort_array(F.collect_list(F.struct("_a", "_b", "_copy", "_row")))
+    arrays = scattered.repartition(-(-n_buckets // TASK_BUCKETS), BUCKET).groupBy(BUCKET).agg(order.alias("_rows")).sortWithinPartitions(BUCKET)
     shuffled = arrays.select(BUCKET, F.posexplode(F.shuffle("_rows", F.lit(seed))).alias(RANK, "_item"))
-    plain = shuffled.select(*[F.col(f"_item._row.c{i}").alias(c) for i, c in enumerate(columns)], BUCKET, RANK)
+    back = {c: F.col(f"_item._row.c{i}") for i, c in enumerate(columns)}
+    plain = shuffled.select(*[(F.map_from_entries(x) if isinstance(kinds[c], T.MapType) else x).alias(c) for c, x in back.items()], BUCKET, RANK)
     return staged(plain), n_buckets
 
 

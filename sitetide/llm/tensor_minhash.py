@@ -6,12 +6,14 @@ misses all tables with a probability of about 2 * (1 - s ** HASHES) ** SIDE: 2e-
 
 Documents with equal shingle sets are one class and take part once. Pair after pair of a bucket would be quadratic, so links are
 found in steps that stay exact: all members are compared with one leader; what that leaves in different components is
-compared with a second leader; the rest, in the buckets of one collection alone, in blocks of bounded size. Pairs that are
-already connected need no comparison, as components don't change by it.
+compared with a second leader, and further ones while they halve the rows that are left; the rest, in the buckets of one
+collection alone, in blocks of bounded size. Pairs that are already connected need no comparison, as components don't change
+by it. What reaches the blocks is quadratic in the members of a bucket that neither leader is similar to.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,16 @@ from pyspark.sql import types as T
 
 from sitetide.llm.common import batch_slices, mix, staged, text_buffer, word_bounds, word_hashes
 from sitetide.llm.components import components
+from sitetide.operators.joins import join_hot
 from sitetide.session import ship_package
 
 SHINGLE = 5
 SIDE, HASHES = 16, 3
 #: Similarity from which documents are linked, in hundredths.
 THRESHOLD = 85
-#: Documents of a block when what leaders left is compared, and rounds of leaders before that.
-BLOCK, LEADERS = 512, 2
+#: Documents of a block when what leaders left is compared, rounds of leaders before that, and the share of rows that a
+#: further round must leave at most.
+BLOCK, LEADERS, SHRINKS = 512, 2, 0.5
 
 _RANDOM = np.random.default_rng(73)
 _MULTIPLIERS = _RANDOM.integers(0, 1 << 64, 2 * SIDE * HASHES, dtype=np.uint64) | np.uint64(1)
@@ -73,7 +77,7 @@ def sub_signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits that name the set; null if empty), subs (sub-signatures; null if empty)."""
+    """doc_id, n_shingles, set_a and set_b (a 128-bit digest of the set; null if empty), subs (sub-signatures; null if empty)."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +90,8 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                 first = np.append(at[:-1][full], len(sets))
                 names, subs = np.zeros((2, len(n)), np.uint64), np.zeros((0, 2 * SIDE), np.uint64)
                 if len(full):
-                    for row, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                        names[row, full] = np.add.reduceat(mix(sets + np.uint64(salt)), first[:-1])
+                    digests = [hashlib.blake2b(sets[i:j], digest_size=16).digest() for i, j in zip(first[:-1], first[1:], strict=True)]
+                    names[:, full] = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
                     subs = sub_signatures(sets, first)
                 none = n == 0
                 sizes = np.concatenate([[0], np.cumsum((n > 0) * 2 * SIDE)]).astype(np.int32)
@@ -116,10 +120,11 @@ def tensor_buckets(reps: DataFrame) -> DataFrame:
 
 
 def shared(rows: DataFrame, column: str) -> DataFrame:
-    """The rows of keys that hold two different values of the column. Hot keys are combined before the shuffle; adaptive
-    execution splits them in the join, where their other side is one row."""
-    kept = rows.groupBy("key").agg(F.min(column).alias("low"), F.max(column).alias("high")).filter("low < high").select("key")
-    return rows.join(kept, "key")
+    """The rows (a written table) of keys that hold two different values of the column. Keys are combined before the shuffle, and
+    hot ones split in the join."""
+    ends = rows.groupBy("key").agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(F.lit(1)).alias("n"))
+    kept = staged(ends.filter("low < high").select("key", "n"))
+    return join_hot(rows, kept.select("key"), ["key"], ["rep"], counts=kept)
 
 
 def one_side(reps: DataFrame, rest: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def one_side(reps: DataFrame, rest: DataFrame) -> DataFrame:
     are left in SIDE * SIDE, in far fewer rows."""
     left = rest.select("rep", "component").distinct()
     single = reps.join(left, "rep").select("rep", "component", F.posexplode("subs").alias("place", "sub")).filter(F.col("place") < SIDE)
-    return shared(single.select(F.xxhash64("place", "sub").alias("key"), "rep", "component"), "component")
+    return shared(staged(single.select(F.xxhash64("place", "sub").alias("key"), "rep", "component")), "component")
 
 
 def similar(shared_: np.ndarray | int, n_a: np.ndarray | int, n_b: np.ndarray | int, threshold: int) -> np.ndarray | bool:
@@ -253,17 +258,19 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, text: str = "te
     texts = staged(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi"))
     rest = buckets.withColumn("component", F.col("rep"))
     labels = None
-    for _ in range(LEADERS):
+    before, n_rest = None, buckets.count()
+    while n_rest and (before is None or len(found) <= LEADERS or n_rest <= SHRINKS * before):
         leaders = rest.groupBy("key").agg(F.min(F.struct("rep", "component")).alias("leader"))
-        led = rest.join(leaders, "key")
+        led = staged(join_hot(rest, leaders, ["key"], ["rep"]))
         pairs = led.filter("component <> leader.component").select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
         found.append(staged(confirm(pairs, texts, threshold)))
         labels = components(_union(found))
         left = led.filter("rep <> leader.rep").select("key", "rep")
-        rest = staged(shared(_labelled(left, labels, "rep"), "component").select("key", "rep", "component"))
-        if rest.isEmpty():
-            break
-    else:
+        rest = staged(shared(staged(_labelled(left, labels, "rep")), "component").select("key", "rep", "component"))
+        before, n_rest = n_rest, rest.count()
+    if before is None:
+        labels = components(found[0])
+    if n_rest:
         found.append(staged(block_links(staged(one_side(reps, rest)), texts, threshold)))
         labels = components(_union(found))
     by_rep = _labelled(classed.select("doc_id", "n_shingles", "rep"), labels, "rep")

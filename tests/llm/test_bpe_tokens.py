@@ -109,6 +109,45 @@ def test_flat_files_are_read_in_blocks(spark, tmp_path):
     assert sorted((r.ordinal, r.first_token, r.n_tokens) for r in got) == [(0, 0, 2), (1, 3, 1), (2, 5, 0), (3, 6, 4)]
 
 
+@pytest.mark.parametrize("width,extra", [(2, b"\x07"), (4, b"\x01\x02\x03")])
+def test_bytes_after_the_last_token_are_none(spark, tmp_path, width, extra):
+    ids = [1, 2, 0, 3, 70_000 if width == 4 else 9, 0, 5]
+    (tmp_path / "x.bin").write_bytes(np.array(ids, f"<u{width}").tobytes() + extra)
+    (tmp_path / "y.bin").write_bytes(extra)
+    (tmp_path / "z.bin").write_bytes(b"")
+    for size in (2, 100):
+        ranges = separator_scan.read_token_files(spark, str(tmp_path / "*.bin"), block_tokens=size, token_bytes=width)
+        got = separator_scan.document_counts(ranges, 0, token_bytes=width).collect()
+        assert sorted((r.ordinal, r.first_token, r.n_tokens, r.closed) for r in got) == [(0, 0, 2, True), (1, 3, 2, True), (2, 6, 1, False)]
+    data = spark.createDataFrame([("a", 0, bytearray(b"\1\0\0\0\5"))], "file string, block long, data binary")
+    assert [(r.n_tokens, r.closed) for r in separator_scan.document_counts(data, 0).collect()] == [(1, True)]
+
+
+def test_a_file_of_any_size_is_cut_into_ranges(spark, tmp_path):
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((5 << 30) + 1)  # sparse
+    ranges = separator_scan.read_token_files(spark, str(tmp_path / "large.bin"), block_tokens=1 << 28)
+    assert sorted((r.block, r.start, r.size) for r in ranges.collect()) == [(i, i << 29, 1 << 29) for i in range(10)]
+
+
+def test_ids_must_fit_the_width(spark):
+    with pytest.raises(ValueError):
+        separator_scan.write_token_files(documents(spark, ODD_ROWS), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT, token_bytes=1)
+
+
+def test_files_stay_in_a_given_folder(spark, tmp_path):
+    docs = documents(spark, ODD_ROWS)
+    for width in (2, 4):
+        folder = tmp_path / f"w{width}"
+        args = (tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+        ranges, _ = separator_scan.write_token_files(docs, *args, token_bytes=width, folder=str(folder))
+        again = separator_scan.read_token_files(spark, f"{folder}/*.bin", token_bytes=width)
+        counts = [sorted(r.n_tokens for r in separator_scan.document_counts(x, END_OF_DOCUMENT, token_bytes=width).collect()) for x in (ranges, again)]
+        assert counts[0] == counts[1] and len(counts[0]) == len(ODD_ROWS)
+    empty = separator_scan.write_token_files(spark.createDataFrame([], DOCUMENTS), *args)
+    assert [x.count() for x in empty] == [0, 0]
+
+
 def test_written_token_files(spark):
     docs = documents(spark, ODD_ROWS)
     path = tokenizer_path("byte_bpe_50k.tiktoken")

@@ -74,6 +74,21 @@ def test_shuffled_order_depends_on_the_seed_alone(spark):
     assert moved > 60  # a random permutation moves by a third of the length
 
 
+@pytest.mark.parametrize("copies", [sharding.COPIES, 4000])
+def test_shards_do_not_depend_on_splits(spark, copies):
+    rows = [(i, str(i)) for i in range(300)] + [(5000, "again")] * copies + [(None, None)] * 3
+    docs = documents(spark, rows)
+    place = lambda df: sorted((r.doc_id or -1, r.shard, r.slot) for r in sharding.shard(df, 5, bucket_bytes=500).collect())
+    first = place(docs.coalesce(1))
+    assert place(docs.repartition(3)) == first and place(docs.orderBy(F.rand(1)).repartition(7)) == first
+
+
+def test_shards_of_rows_with_maps(spark):
+    rows = spark.createDataFrame([(i, "t", {"b": i, "a": None}, [{"x": 1}] if i else None) for i in range(9)], "doc_id long, text string, m map<string,int>, l array<map<string,int>>")
+    got = sharding.shard(rows.drop("l"), 2)
+    assert sorted((r.doc_id, sorted(r.m)) for r in got.collect()) == [(i, ["a", "b"]) for i in range(9)]
+
+
 def test_written_shards_read_back(spark, tmp_path):
     docs = documents(spark, [(i, str(i)) for i in range(90)])
     sharding.write_shards(sharding.shard(docs, 4).select("doc_id", "shard", "slot"), str(tmp_path / "s"), 6)
@@ -107,6 +122,26 @@ def test_sources_reach_their_weights(spark):
     assert all(r.n == r.rows == r.copies for r in per)
 
 
+def test_thousands_of_sources(spark):
+    weights = {f"s{i}": 1 + i % 3 for i in range(5000)}
+    rows = [(i, "x" * 50, f"s{i % 5000}") for i in range(10_000)] + [(20_000, "y", "other"), (20_001, "y", None)]
+    got = mixing.mix_sources(documents(spark, rows), weights, 10.0, epochs=3).groupBy("source").count().collect()
+    n = Counter()
+    for r in got:
+        n[weights.get(r.source, 0)] += r["count"]
+    assert abs(n[3] / n[1] - 3) < 0.3 and abs(n[2] / n[1] - 2) < 0.25
+
+
+def test_many_copies_of_one_document(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(i, "x" * 90, "large") for i in range(50)] + [(99, "y" * 90, "tiny"), (99, "y" * 90, "tiny")]
+    got = mixing.mix_sources(documents(spark, rows), {"large": 0.5, "tiny": 0.5}).collect()
+    copies = sorted(r.copy for r in got if r.doc_id == 99)
+    n = {r.n_copies for r in got if r.doc_id == 99}
+    assert len(n) == 1 and copies == sorted([*range(1, n.copy().pop() + 1)] * 2) and 10 < len(copies)
+    assert all(r.copy <= r.n_copies for r in got)
+
+
 def test_odd_rows_are_mixed(spark):
     docs = documents(spark, ODD_ROWS)
     got = mixing.mix_sources(docs, {"src0": 0.7, "nowhere": 0.1}, 0.2, epochs=20)

@@ -172,6 +172,47 @@ def test_scores_use_the_text_alone(spark):
     assert all(abs(again[i] - min(by_text[t])) < 1e-8 for i, t in rows[:20])
 
 
+def test_fit_equals_plain_algebra(spark, monkeypatch):
+    monkeypatch.setattr(quality_rff, "SUBTREES", 2)  # several levels of sums
+    rows, labels = quality_rows(240)
+    rows.append((7, "Another text of a known id"))
+    labels.append((9, 0, "x"))  # a second label
+    docs, marks = documents(spark, rows).repartition(9), spark.createDataFrame(labels, "doc_id long, quality int, text string")
+    model = quality_rff.fit(docs, marks, F.col("doc_id") % 5 != 0)
+    got = {r.doc_id: r.score for r in quality_rff.score_documents(docs, model).collect() if r.doc_id != 7}
+
+    def numbers(text):
+        return quality_rff.statistics(*text_buffer(pa.array([text])))[0]
+
+    fold = {r.doc_id: r.k for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(3)).alias("k")).distinct().collect()}
+    train = [(numbers(t), q, fold[i]) for i, t in rows for j, q, _ in labels if i == j and i % 5 != 0]
+    x, y, k = np.array([a for a, _, _ in train]), np.array([b for _, b, _ in train], float), np.array([c for _, _, c in train])
+    mean, deviation = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-8))
+    random_ = np.random.default_rng(41)
+    frequencies, phases = random_.normal(size=(18, 128)) / 4.0, random_.uniform(0, 2 * np.pi, 128)
+
+    def features(v):
+        z = np.clip((v - mean) / deviation, -6, 6) @ frequencies + phases
+        return np.column_stack([np.cos(z) * np.sqrt(2 / 128), np.ones(len(v))])
+
+    def ridge(rows_):
+        z = features(x[rows_])
+        return np.linalg.solve(z.T @ z + 1e-3 * len(x) / 129 * np.eye(129), z.T @ y[rows_])
+
+    everything = np.arange(len(x))
+    assert np.allclose(model.weights, ridge(everything), atol=1e-6)
+    left_out = np.array([features(x[[i]])[0] @ w for i, w in zip(everything, [{f: ridge(everything[k != f]) for f in range(3)}[c] for c in k])])
+    bins = {}
+    for s, label in zip(left_out, y):
+        bins.setdefault(int(np.clip((s + 1) / 3 * 3072, 0, 3071)), []).append((s, label))
+    pooled = [(np.mean([s for s, _ in b]), np.mean([q for _, q in b]), len(b)) for _, b in sorted(bins.items())]
+    knots, levels = quality_rff.isotonic(*(np.array(c, float) for c in zip(*pooled)))
+    for i, t in rows[:-1]:
+        if i != 7:
+            want = np.interp(features(numbers(t)[None])[0] @ ridge(everything), knots, levels)
+            assert abs(got[i] - np.clip(want, 0, 1)) < 1e-4
+
+
 def test_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_rff.fit(documents(spark, ODD_ROWS), none, F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitetide.llm import bitsliced_topk, tensor_minhash
 from sitetide.llm.components import components
+from sitetide.operators import joins
 
 from .helpers import DOCUMENTS, ODD_ROWS, PROSE, documents, near_groups, shingles
 
@@ -79,6 +80,28 @@ def test_blocks_lose_no_link(spark, block):
                 assert top(i) == top(j)
 
 
+def test_unlike_words_have_unlike_hashes(spark):
+    # a sum of powers modulo 2 ** 64 takes these two words for one
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = tensor_minhash.near_duplicates(documents(spark, [(1, f"{word} w x y z"), (2, f"{other} w x y z"), (3, f"{word.upper()} w x y z")]))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_hot_buckets_are_split(spark, monkeypatch, threshold):
+    monkeypatch.setattr(joins, "HOT_ROWS", 8)
+    monkeypatch.setattr(joins.join_hot, "__defaults__", (*joins.join_hot.__defaults__[:-1], 8))
+    rng = random.Random(threshold)
+    base = [[f"b{k}x{i}" for i in range(150)] for k in range(4)]
+    rows = [(i, changed(base[i % 4], rng.randint(0, 8), i)) for i in range(120)]
+    got = tensor_minhash.near_duplicates(documents(spark, rows), threshold).collect()
+    want = near_groups({i: shingles(t) for i, t in rows}, threshold)
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_odd_documents(spark):
     got = tensor_minhash.near_duplicates(documents(spark, ODD_ROWS)).collect()
     assert len(got) == len(ODD_ROWS)
@@ -129,7 +152,6 @@ def whole(v):
 @pytest.mark.parametrize("scale", [0.1, 1.0, 3e5])
 def test_random_vectors_and_ties(spark, monkeypatch, scale):
     monkeypatch.setattr(bitsliced_topk, "VECTORS", 150)
-    monkeypatch.setattr(bitsliced_topk, "QUERIES", 4)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in (rng.normal(size=9) * scale if i % 4 else np.round(rng.normal(size=9)))], 1) for i in range(400)]
     rows += [(1000 + i, rows[1][1], 1) for i in range(60)]  # many ties
