@@ -22,11 +22,13 @@ def scaled(vector: str, scale: float) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
 
 
-def meet(rows: DataFrame, asks: DataFrame, build: Callable[[pa.Table], Any], answer: Callable[[Any, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def meet(rows: DataFrame, asks: DataFrame, build: Callable[[pa.Table], Any], answer: Callable[[Any, pa.RecordBatch], pa.RecordBatch], schema: str,
+         empty: bool = False) -> DataFrame:
     """What ``answer`` gives for the index that ``build`` makes of a block's rows and each batch of the block's queries.
 
     Both sides have the same columns; (cell, part) names the block. Rows are moved to their block once. A block's rows are
-    sorted before its queries, so its index is built once and the queries stream past, however many there are.
+    sorted before its queries, so its index is built once and the queries stream past, however many there are. Queries of a
+    block without rows are passed over, or with ``empty`` meet the index of none.
     """
     both = rows.withColumn("_asks", F.lit(0)).unionByName(asks.withColumn("_asks", F.lit(1)))
     met = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "_asks")
@@ -44,9 +46,9 @@ def meet(rows: DataFrame, asks: DataFrame, build: Callable[[pa.Table], Any], ans
                 piece = batch.slice(a, b - a)
                 if kind[a] == 0:
                     held.append(piece)
-                elif held:
+                elif held or empty:
                     if index is None:
-                        index = build(pa.Table.from_batches(held))
+                        index = build(pa.Table.from_batches(held, piece.schema))
                     yield answer(index, piece)
 
     return met.mapInArrow(run, schema)

@@ -59,7 +59,7 @@ def test_scores_need_no_whole_filter(spark, monkeypatch):
     monkeypatch.setattr(bloom_lm, "RANGE_TOKENS", 150)
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("the filter was broadcast"))
     rows = [(i, " ".join(f"v{(i * k) % 37}" for k in range(i))) for i in range(60)]
-    got = bloom_lm.score_documents(documents(spark, rows), F.col("doc_id") > 5, bits_per_token=64).collect()
+    got = bloom_lm.score_documents(documents(spark, rows), F.col("doc_id") > 5, bits_per_token=1024).collect()
     single, both = Counter(), Counter()
     for i, t in rows:
         if i > 5:
@@ -72,7 +72,7 @@ def test_scores_need_no_whole_filter(spark, monkeypatch):
         words, want = ["START", *lm_words(rows[r.doc_id][1])], 0
         for a, b in zip(words, words[1:]):
             w = 0.7 if single[a] else 0
-            want += math.log10(w * min(1, held(both[a, b]) / max(held(single[a]), 1)) + (1 - w) * min(1, (held(single[b]) + 0.5) / (n + 0.5 * (v + 1))))
+            want += math.log10(w * min(1, max(held(both[a, b]) - 0.75, 0) / max(held(single[a]), 1)) + (1 - w) * min(1, (held(single[b]) + 0.5) / (n + 0.5 * (v + 1))))
         assert abs(r.score - want) < 1e-6
     fits = [bloom_lm.fit(documents(spark, rows[:k])) for k in (15, 60)]
     assert fits[1].n_chunks > fits[0].n_chunks
@@ -84,7 +84,46 @@ def test_what_a_chunk_gets_does_not_grow_with_documents():
     bounds = bloom_lm.range_bounds(4)
     make = lambda block, n: list(bloom_lm._block_rows(block, [list(range(n))], [np.full(n, bloom_lm.END)], [np.ones(n, int)], bounds))
     asked = [sum(len(r[5] or b"") + len(r[6] or b"") for r in make("0-0", n)) for n in (10, 10_000)]
-    assert asked[0] == asked[1] == 2 * 8 + 5
+    assert asked[0] == asked[1] == 2 * bloom_lm.WORD_BYTES + bloom_lm.PAIR_BYTES
+
+
+def test_rows_of_a_block_do_not_grow_with_chunks():
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    for n_chunks in (100, 1_000_000):  # the latter is some terabytes of text
+        bounds = bloom_lm.range_bounds(n_chunks)
+        rows = list(bloom_lm._block_rows("0-0", [[1]], [tokens], [np.array([len(tokens)])], bounds))
+        assert len(rows) <= 1 + min(n_chunks, bloom_lm.MOST_PARTS)
+        asked = [r for r in rows if r[5] is not None]
+        assert sum(len(r[5]) for r in asked) == 8 * (len(np.unique(tokens)) + 1)
+        first = bloom_lm.first_chunks(n_chunks)
+        for r in asked[:50]:
+            assert len(r[7]) == len(r[8]) == 4 * (first[r[4] + 1] - first[r[4]]) or b"" in (r[7], r[8])
+            assert np.frombuffer(r[7], np.uint32).sum() * 8 == len(r[5]) and np.frombuffer(r[8], np.uint32).sum() * 4 == len(r[6])
+
+
+@pytest.mark.parametrize("n_chunks", [1, 7, 8192, 8193, 100_000])
+def test_parts_are_ranges_of_chunks(spark, n_chunks):
+    first = bloom_lm.first_chunks(n_chunks)
+    chunks = np.unique(np.linspace(0, n_chunks - 1, 300).astype(int)).tolist()
+    got = spark.createDataFrame([(c,) for c in chunks], "chunk int").select("chunk", bloom_lm.part_of(F.col("chunk"), n_chunks).alias("p")).collect()
+    assert all(first[r.p] <= r.chunk < first[r.p + 1] for r in got)
+
+
+def test_parts_of_several_chunks_give_the_same_scores(spark, monkeypatch):
+    rows = [(i, " ".join(f"v{(i * k) % 37}" for k in range(i))) for i in range(60)]
+    score = lambda: {r.doc_id: (round(r.base_score, 8), round(r.score, 8), r.n_known) for r in bloom_lm.score_documents(documents(spark, rows), F.col("doc_id") > 5, bits_per_token=1024).collect()}
+    monkeypatch.setattr(bloom_lm, "BLOCK", 2000)
+    monkeypatch.setattr(bloom_lm, "RANGE_TOKENS", 50)
+    one = score()
+    monkeypatch.setattr(bloom_lm, "MOST_PARTS", 3)
+    monkeypatch.setattr(bloom_lm, "HELD_BACK", 40)
+    assert score() == one
+
+
+def test_what_blocks_keep_is_spread():
+    bounds = bloom_lm.range_bounds(4)
+    make = lambda block, n: list(bloom_lm._block_rows(block, [list(range(n))], [np.full(n, bloom_lm.END)], [np.ones(n, int)], bounds))
     assert {make(f"{task}-0", 3)[0][4] for task in range(40)} == {0, 1, 2, 3}
 
 
