@@ -183,7 +183,7 @@ def visible_text(html: Column | str) -> Column:
     return normalize_text(raw_visible_text(html))
 
 
-def content_excerpt(html: Column | str, max_chars: int = EXCERPT_CHARS) -> Column:
+def content_excerpt(html: Column | str, max_chars: int | None = None) -> Column:
     return blank_to_null(clip(visible_text(html), max_chars))
 
 
@@ -203,10 +203,13 @@ def extract_seo(
     pages: DataFrame,
     html: str = "html",
     url: str = "url",
-    max_chars: int = EXCERPT_CHARS,
+    max_chars: int | None = None,
+    max_h2: int | None = None,
 ) -> DataFrame:
     """Append the SEO fields and ``seo_error`` (null when every field could be read).
 
+    With ``max_chars`` and ``max_h2`` only so many characters of the text and so many headings are kept.
+
     Three row-local projections: find the raw pieces, check and clean them, settle the outcome.
     A character reference nobody can decode or a canonical link that cannot be resolved fails the
     whole page, as one error per page.
@@ -271,7 +274,7 @@ def extract_seo(
         {
             "title": F.get(_tidy(F.col("_titles")), F.lit(0)),
             "h1": F.get(_tidy(F.col("_h1s")), F.lit(0)),
-            "h2": array_top(_tidy(F.col("_h2s")), H2_STORED),
+            "h2": array_top(_tidy(F.col("_h2s")), max_h2),
             "meta_description": _decoded(F.col("_description")),
             "robots_meta": _decoded(F.col("_robots")),
             "canonical_url": F.when(F.col("_href").isNotNull(), resolve_url("_href", url)),

@@ -65,12 +65,14 @@ def empty_to_null(col: Column | str) -> Column:
     return blank_to_null(trim_ws(col))
 
 
-def clip(col: Column | str, n: int) -> Column:
-    return F.substring(as_col(col), 1, n)
+def clip(col: Column | str, n: int | None) -> Column:
+    """The first ``n`` characters; all without a number."""
+    return as_col(col) if n is None else F.substring(as_col(col), 1, n)
 
 
-def array_top(col: Column | str, n: int) -> Column:
-    return F.slice(as_col(col), 1, n)
+def array_top(col: Column | str, n: int | None) -> Column:
+    """The first ``n`` items; all without a number."""
+    return as_col(col) if n is None else F.slice(as_col(col), 1, n)
 
 
 def content_hash(col: Column | str) -> Column:

@@ -151,10 +151,84 @@ def _ipv6(text: str) -> str:
     return sql_let(plain, "six", f"CASE WHEN {_matches('six', _V6_SHAPE)} THEN {sql_let(expanded, 'whole', compressed)} END")
 
 
+def _punycode(label: str) -> str:
+    """A label of at least one non-ASCII character in the bootstring encoding of RFC 3492 (base 36, bias 72, first code 128)."""
+    codes = f"transform(sequence(1, length({label})), i -> CAST(ascii(substring({label}, i, 1)) AS BIGINT))"
+    digit = "substring('abcdefghijklmnopqrstuvwxyz0123456789', CAST({0} AS INT) + 1, 1)"
+    number = (  # delta in digits whose range depends on the bias
+        "aggregate(sequence(1L, 8L), named_struct('q', s.delta, 'out', '', 'open', true), (v, k) -> CASE WHEN NOT v.open THEN v ELSE "
+        + sql_let(
+            "greatest(1L, least(26L, 36 * k - s.bias))", "t",
+            f"CASE WHEN v.q < t THEN named_struct('q', v.q, 'out', concat(v.out, {digit.format('v.q')}), 'open', false) "
+            f"ELSE named_struct('q', (v.q - t) DIV (36 - t), 'out', concat(v.out, {digit.format('(t + (v.q - t) % (36 - t))')}), 'open', true) END")
+        + " END, v -> v.out)"
+    )
+    share = "(CASE WHEN s.done = basic THEN s.delta DIV 700 ELSE s.delta DIV 2 END)"
+    bias = (
+        f"aggregate(sequence(1, 6), named_struct('d', {share} + {share} DIV (s.done + 1), 'k', 0L), "
+        "(b, i) -> CASE WHEN b.d > 455 THEN named_struct('d', b.d DIV 35, 'k', b.k + 36) ELSE b END, b -> b.k + 36 * b.d DIV (b.d + 38))"
+    )
+
+    def state(delta: str, bias: str, done: str, out: str) -> str:
+        return f"named_struct('delta', {delta}, 'bias', {bias}, 'done', {done}, 'out', {out})"
+
+    read = (  # one code of the label, while all codes below ``m`` are written
+        f"(s, c) -> CASE WHEN c < m THEN {state('s.delta + 1', 's.bias', 's.done', 's.out')} "
+        f"WHEN c = m THEN {state('0L', bias, 's.done + 1', f'concat(s.out, {number})')} ELSE s END"
+    )
+    write = (
+        "(r, m) -> aggregate(codes, "
+        + state("r.s.delta + (m - r.n) * (r.s.done + 1)", "r.s.bias", "r.s.done", "r.s.out")
+        + f", {read}, s -> named_struct('s', {state('s.delta + 1', 's.bias', 's.done', 's.out')}, 'n', m + 1))"
+    )
+    head = "concat(array_join(transform(filter(codes, c -> c < 128), c -> char(c)), ''), CASE WHEN basic > 0 THEN '-' ELSE '' END)"
+    run = f"aggregate(array_sort(array_distinct(filter(codes, c -> c >= 128))), named_struct('s', {state('0L', '72L', 'basic', head)}, 'n', 128L), {write}, r -> r.s.out)"
+    return sql_let(codes, "codes", sql_let("CAST(size(filter(codes, c -> c < 128)) AS BIGINT)", "basic", run))
+
+
+# The characters that the newer rules for host names keep and the older ones map away, the signs after
+# which a joiner may stand, and the letters between which the non-joiner may.
+_KEPT_LETTERS = "\u00DF\u03C2"
+_NON_JOINER, _JOINER = "\u200C", "\u200D"
+_VIRAMAS = (
+    "\u094D\u09CD\u0A4D\u0ACD\u0B4D\u0BCD\u0C4D\u0CCD\u0D3B\u0D3C\u0D4D\u0DCA\u0E3A\u0EBA\u0F84\u1039\u103A\u1714\u1734\u17D2"
+    "\u1A60\u1B44\u1BAA\u1BAB\u1BF2\u1BF3\u2D7F\uA806\uA8C4\uA953\uA9C0\uAAF6\uABED"
+)
+_JOINS_ON = "\u0620\u0626\u0628\u062A-\u062E\u0633-\u063F\u0641-\u0647\u0649\u064A\u066E\u066F\u0678-\u0687\u069A-\u06BF\u06C1\u06C2\u06CC\u06CE\u06D0\u06D1\u06FA-\u06FC\u06FF"
+_DEVIATES = f"[{_KEPT_LETTERS}{_NON_JOINER}{_JOINER}]"
+_STRAY_JOINER = (
+    f"(?<![{_VIRAMAS}]){_JOINER}|(?<![{_VIRAMAS}{_JOINS_ON}]){_NON_JOINER}"
+    f"|(?<=[{_JOINS_ON}]){_NON_JOINER}(?!\\p{{IsArabic}})"
+)
+
+
+def _international(named: str) -> str:
+    """The ASCII form of a host; null when there is none.
+
+    ``java.net.IDN`` knows the older rules, which map four characters away that browsers keep. A label with one of them is
+    mapped piece by piece between them and encoded here; a joiner out of place is an error.
+    """
+    known = "lower(try_reflect('java.net.IDN', 'toASCII', {0}))"
+    mapped = "CASE WHEN {0} rlike '[^ -~]' THEN try_reflect('java.net.IDN', 'toUnicode', " + known + ") ELSE lower({0}) END"
+    pieces = f"regexp_extract_all(label, {sql_text(f'{_DEVIATES}|[^{_DEVIATES[1:-1]}]+')}, 0)"
+    kept = f"transform({pieces}, piece -> CASE WHEN {_matches('piece', f'^{_DEVIATES}$')} THEN piece ELSE {mapped.format('piece')} END)"
+    joined, encoded = "array_join(pieces, '')", f"concat('xn--', {_punycode('text')})"
+    whole = sql_let(kept, "pieces", f"CASE WHEN NOT exists(pieces, x -> x IS NULL) THEN {sql_let(joined, 'text', encoded)} END")
+    label = (
+        f"CASE WHEN {_matches('label', _STRAY_JOINER)} THEN NULL WHEN {_matches('label', _DEVIATES)} THEN {whole} "
+        f"WHEN {_matches('label', '[^ -~]')} THEN {known.format('label')} ELSE lower(label) END"
+    )
+    dots = "[.\u3002\uFF0E\uFF61]"
+    labels = sql_let(
+        f"transform(split({named}, {sql_text(dots)}, -1), label -> {label})", "labels",
+        "CASE WHEN NOT exists(labels, x -> x IS NULL) THEN array_join(labels, '.') END")
+    return f"CASE WHEN {_matches(named, _DEVIATES)} THEN {labels} ELSE {known.format(named)} END"
+
+
 def _canonical_host(raw: str) -> str:
     decoded = f"CASE WHEN contains({raw}, '%') THEN {_percent_decode(f'replace({raw}, {sql_text(chr(43))}, {sql_text(chr(37) + str(2) + chr(66))})')} ELSE {raw} END"
     ascii_form = (
-        f"CASE WHEN {_matches('named', '[^ -~]')} THEN lower(try_reflect('java.net.IDN', 'toASCII', named)) ELSE lower(named) END"
+        f"CASE WHEN {_matches('named', '[^ -~]')} THEN {_international('named')} ELSE lower(named) END"
     )
     checked = (
         f"CASE WHEN length(host) = 0 OR {_matches('host', _FORBIDDEN_HOST)} THEN NULL "

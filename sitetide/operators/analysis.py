@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from sitetide.functions.jsons import safe_json, string_items
 from sitetide.functions.text import (
     ANALYSIS_ERROR_CHARS,
-    EXCERPT_CHARS,
     RAW_RESPONSE_CHARS,
     array_top,
     as_col,
@@ -25,6 +24,7 @@ from sitetide.operators.lifecycle import append_events, new_events
 from sitetide.schemas import conform
 from sitetide.sources.tables import size_error
 
+# Fixed value: the headings that a paid analyzer is sent.
 H2_SENT = 20
 RESPONSE_MAX_BYTES = 256_000
 # Messages stored with failed or skipped analyses.
@@ -54,8 +54,11 @@ def analyzable(seo: DataFrame) -> DataFrame:
     return seo.filter(F.col("fetch_status") == "success")
 
 
-def analysis_input(pages: DataFrame, seo: DataFrame, retry_number: int = 0) -> DataFrame:
-    """(page_id, payload): what an analyzer gets to see of every successfully fetched page."""
+def analysis_input(
+    pages: DataFrame, seo: DataFrame, retry_number: int = 0, max_h2: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """(page_id, payload): what an analyzer gets to see of every successfully fetched page; with ``max_h2`` and ``max_chars``
+    only so many headings and characters of the content."""
     left = pages.select(F.col("id").alias("page_id"), F.col("current_url").alias("url"))
     right = analyzable(seo).select(
         "page_id", "title", "meta_description", "h1", "h2", "page_language", "content_excerpt")
@@ -65,9 +68,9 @@ def analysis_input(pages: DataFrame, seo: DataFrame, retry_number: int = 0) -> D
         title=F.col("title"),
         metaDescription=F.col("meta_description"),
         h1=F.col("h1"),
-        h2=F.coalesce(array_top("h2", H2_SENT), F.array().cast("array<string>")),
+        h2=F.coalesce(array_top("h2", max_h2), F.array().cast("array<string>")),
         pageLanguage=F.col("page_language"),
-        contentExcerpt=clip("content_excerpt", EXCERPT_CHARS),
+        contentExcerpt=clip("content_excerpt", max_chars),
     )
     return left.join(right, "page_id").select("page_id", payload.alias("payload"))
 

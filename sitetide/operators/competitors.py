@@ -19,6 +19,7 @@ INVALID_DOMAIN = "COMPETITOR_DOMAIN_INVALID"
 NOT_FOUND = "COMPETITOR_NOT_FOUND"
 FROZEN_DOMAIN = "COMPETITOR_DOMAIN_FROZEN"
 RUNNING = "COMPETITOR_SCAN_RUNNING"
+REPEATED = "COMPETITOR_ASKED_TWICE"
 
 State = dict[str, DataFrame]
 
@@ -107,30 +108,38 @@ def update_competitors(state: State, changes: DataFrame, as_of: Column) -> Chang
     """Change name, domain, switch and sitemap list (id, name, domain, is_enabled, sitemap_urls).
 
     The domain is frozen once a baseline exists. A changed domain disables all sources, otherwise only the
-    manual ones go; the listed URLs come back as enabled manual sources.
+    manual ones go; the listed URLs come back as enabled manual sources. Of several asks for one id the first in the
+    order of their values counts, and equal asks are one; a new domain goes to the smallest id that asks for it and could
+    have it. The others are refused.
     """
     active = not_deleted(state["competitors"]).select(
         "id", F.col("domain").alias("_domain"), F.col("baseline_established").alias("_frozen"))
-    asked = changes.select(
-        "id", trim_ws("name").alias("name"), normalize_domain("domain").alias("domain"), "is_enabled", "sitemap_urls"
-    ).join(active, "id", "left")
+    asks = changes.select(
+        "id", trim_ws("name").alias("name"), normalize_domain("domain").alias("domain"), "is_enabled", "sitemap_urls").distinct()
+    of_id = Window.partitionBy("id").orderBy(F.col("domain").asc_nulls_last(), "name", "is_enabled", "sitemap_urls")
+    asked = asks.withColumn("_ask", F.row_number().over(of_id)).join(active, "id", "left")
     changed = F.col("domain") != F.col("_domain")
     conflicts = domain_conflicts(asked.filter(changed).select("id", "domain"), state["competitors"]).select(
         "id", F.lit(True).alias("_conflict"))
-    checked = asked.join(conflicts, "id", "left").withColumn(
+    alone = asked.join(conflicts, "id", "left").withColumn(
         "code",
         F.when(F.col("_domain").isNull(), F.lit(NOT_FOUND))
+        .when(F.col("_ask") > 1, F.lit(REPEATED))
         .when(F.col("domain").isNull(), F.lit(INVALID_DOMAIN))
         .when(changed & F.col("_frozen"), F.lit(FROZEN_DOMAIN))
-        .when(F.col("_conflict"), F.lit(CONFLICT)),
+        .when(F.col("_conflict") & changed, F.lit(CONFLICT)),
     )
+    # who asks for a domain that somebody else gets in this call, or has already
+    wins = alone.filter(F.col("code").isNull() & changed).groupBy("domain").agg(F.min("id").alias("_winner"))
+    checked = alone.join(wins, "domain", "left").withColumn(
+        "code", F.coalesce("code", F.when(changed & (F.col("id") != F.col("_winner")), F.lit(CONFLICT)))).drop("_winner", "_ask")
     accepted = checked.filter(F.col("code").isNull()).withColumn("_changed", changed)
     competitors = merge_by_key(
         state["competitors"], accepted.select("id", "name", "domain", "is_enabled"), ["id"], insert=False,
         matched={n: take(n) for n in ("name", "domain", "is_enabled")} | {"updated_at": lambda o, n: as_of})
 
     touched = accepted.select(F.col("id").alias("competitor_id"), F.col("_changed"))
-    sources = state["sitemap_sources"].join(touched, "competitor_id", "left")
+    sources = join_dimension(state["sitemap_sources"], touched, ["competitor_id"], ["id"], "left")
     off = F.coalesce(F.col("_changed") | (F.col("_changed").isNotNull() & (F.col("source_type") == "manual")), F.lit(False))
     sources = sources.withColumns(
         {

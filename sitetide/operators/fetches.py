@@ -66,7 +66,7 @@ def fetch_outcome(responses: DataFrame, max_bytes: int | None = None) -> DataFra
 
 
 def fetch_results(
-    fetched: DataFrame, max_bytes: int | None = None, max_excerpt_chars: int = EXCERPT_CHARS
+    fetched: DataFrame, max_bytes: int | None = None, max_excerpt_chars: int | None = None, max_h2: int | None = None
 ) -> DataFrame:
     """Full result rows: outcome, SEO fields on success, blanks otherwise.
 
@@ -74,7 +74,7 @@ def fetch_results(
     """
     outcome = fetch_outcome(fetched, max_bytes)
     body = F.when(F.col("fetch_status") == "success", F.col("body"))
-    seo = extract_seo(outcome.withColumn("body", body), "body", "final_url", max_excerpt_chars).drop("body")
+    seo = extract_seo(outcome.withColumn("body", body), "body", "final_url", max_excerpt_chars, max_h2).drop("body")
     broken = (F.col("fetch_status") == "success") & F.col("seo_error").isNotNull()
     settled = seo.withColumns(
         {

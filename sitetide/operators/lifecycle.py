@@ -11,9 +11,10 @@ from sitetide.functions.jsons import safe_json
 from sitetide.functions.text import make_id
 from sitetide.functions.urls import safe_normalize
 from sitetide.operators import diff as D
-from sitetide.operators.joins import join_dimension
+from sitetide.operators.joins import join_dimension, join_hot
 from sitetide.operators.merge import insert_or_ignore, merge_by_key, take
 from sitetide.schemas import TABLES, conform
+from sitetide.session import cut_lineage
 
 State = dict[str, DataFrame]
 
@@ -77,12 +78,20 @@ def new_page_rows(rows: DataFrame, status: str, as_of: Column) -> DataFrame:
     )
 
 
-def attach_source_id(rows: DataFrame, sources: DataFrame, url: str = "source_url", explicit: str | None = None) -> DataFrame:
-    """``sitemap_source_id`` by normalized source URL; an explicit id goes first."""
-    lookup = sources.select("competitor_id", F.col("normalized_url").alias("_source_key"), F.col("id").alias("_found"))
-    joined = rows.withColumn("_source_key", safe_normalize(url)).join(lookup, ["competitor_id", "_source_key"], "left")
+def attach_source_id(
+    rows: DataFrame, sources: DataFrame, url: str = "source_url", explicit: str | None = None, spread: str = "normalized_url"
+) -> DataFrame:
+    """``sitemap_source_id`` by normalized source URL; an explicit id goes first.
+
+    Each source URL is normalized once, however many rows name it; rows of a source with very many are split by ``spread``.
+    """
+    known = sources.select("competitor_id", F.col("normalized_url").alias("_source_key"), F.col("id").alias("_found"))
+    counts = cut_lineage(rows.filter(F.col(url).isNotNull() & F.col("competitor_id").isNotNull()).groupBy("competitor_id", url).agg(
+        F.count(F.lit(1)).alias("n")))
+    named = counts.withColumn("_source_key", safe_normalize(url)).join(known, ["competitor_id", "_source_key"]).select("competitor_id", url, "_found")
+    joined = join_hot(rows, named, ["competitor_id", url], [spread], "left", counts=counts)
     found = F.coalesce(F.col(explicit), F.col("_found")) if explicit else F.col("_found")
-    return joined.withColumn("sitemap_source_id", found).drop("_source_key", "_found")
+    return joined.withColumn("sitemap_source_id", found).drop("_found")
 
 
 def upsert_links(links: DataFrame, sightings: DataFrame, as_of: Column) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import contains_pattern, effective
@@ -14,7 +15,6 @@ from sitetide.operators.reviews import review_defaults
 from sitetide.operators.windows import latest_analysis, timeline
 
 DEFAULT_PAGE_SIZE = 20
-MAX_PAGE_SIZE = 100
 
 LIST_COLUMNS = [
     "id", "competitor_id", "competitor_name", "url", "title", "first_seen_at", "lifecycle_status", "fetch_status",
@@ -107,9 +107,45 @@ def list_order() -> list[Column]:
     return [F.col("first_seen_at").desc(), F.col("id").desc()]
 
 
+class Cursor(NamedTuple):
+    """Where a page of the list ends: its last row's place in the order."""
+
+    first_seen_at: datetime
+    id: str
+
+
+def next_page(rows: DataFrame, after: Cursor | None = None, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """The first ``page_size`` rows behind a cursor; every page costs the same.
+
+    The time bound stands alone as well, so that it reaches the scan of the pages.
+    """
+    if after is not None:
+        at, key = F.lit(after.first_seen_at), F.lit(after.id)
+        rows = rows.filter(F.col("first_seen_at") <= at).filter((F.col("first_seen_at") < at) | (F.col("id") < key))
+    return rows.orderBy(*list_order()).limit(page_size)
+
+
+def cursor_of(page: DataFrame) -> Cursor | None:
+    """The cursor of a page's end, None for an empty page."""
+    last = page.agg(F.min(F.struct("first_seen_at", "id")).alias("last")).first()["last"]
+    return last and Cursor(last["first_seen_at"], last["id"])
+
+
 def paginate(rows: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    size = min(MAX_PAGE_SIZE, max(1, page_size))
-    return rows.orderBy(*list_order()).offset((max(1, page) - 1) * size).limit(size)
+    """A page by its number. Days that lie before it are counted, and only the days that it touches are put in order."""
+    skip = (max(1, page) - 1) * page_size
+    if not skip:
+        return next_page(rows, None, page_size)
+    day = F.date_trunc("day", "first_seen_at")
+    later = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+    touched = days.filter((F.col("_before") < skip + page_size) & (F.col("_before") + F.col("_n") > skip)).agg(
+        F.min("_day").alias("low"), F.max("_day").alias("high"), F.min("_before").alias("before")).first()
+    if touched["low"] is None:
+        return rows.limit(0)
+    end = F.lit(touched["high"]) + F.expr("INTERVAL 1 DAY")
+    listed = rows.filter((F.col("first_seen_at") >= F.lit(touched["low"])) & (F.col("first_seen_at") < end))
+    return listed.orderBy(*list_order()).offset(skip - touched["before"]).limit(page_size)
 
 
 def count_pages(rows: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import trim_ws
 from sitetide.functions.urls import canonical_url, same_host
+from sitetide.operators.joins import join_hot
 from sitetide.schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, TABLES, UNIQUE_KEYS
+from sitetide.session import cut_lineage
 
 Rules = dict[str, Column]
 
@@ -36,36 +36,47 @@ def check_inputs(df: DataFrame, rules: Rules, key: Column) -> DataFrame:
     return df.select(key.cast("string").alias("key"), F.explode(broken).alias("rule")).select("rule", "key")
 
 
-def check_unique(df: DataFrame, keys: list[str], condition: str | None = None) -> DataFrame:
-    rows = df.filter(condition) if condition else df
-    name = "unique:" + ",".join(keys)
-    return (
-        rows.groupBy(*keys).count().filter(F.col("count") > 1)
-        .select(F.lit(name).alias("rule"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"))
-    )
+def _facts(tables: dict[str, DataFrame], name: str) -> Column:
+    """What one row has to say: broken row rules, its unique keys, what it refers to and, if others refer to the table, its id."""
+    kind = "struct<kind:string,rule:string,target:string,value:array<string>>"
 
+    def fact(kind_: str, rule: Column, target: str | None, values: list[Column], when: Column | None = None) -> Column:
+        text = F.array(*[v.cast("string") for v in values]).cast("array<string>")
+        out = F.struct(F.lit(kind_).alias("kind"), rule.alias("rule"), F.lit(target).alias("target"), text.alias("value")).cast(kind)
+        return out if when is None else F.when(when, out)
 
-def check_reference(df: DataFrame, column: str, parent: DataFrame, key: Column) -> DataFrame:
-    known = parent.select(F.col("id").alias("_ref"))
-    return (
-        df.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("_ref"), "left_anti")
-        .select(F.lit(f"foreign_key:{column}").alias("rule"), key.cast("string").alias("key"))
-    )
+    facts = [fact("row", F.lit(rule), None, [], ~F.coalesce(ok, F.lit(False))) for rule, ok in row_rules(name).items()]
+    for keys, condition in [(PRIMARY_KEYS[name], None), *UNIQUE_KEYS.get(name, [])]:
+        facts.append(fact("unique", F.lit("unique:" + ",".join(keys)), None, [F.col(k) for k in keys], F.expr(condition) if condition else None))
+    for (owner, column), parent in FOREIGN_KEYS.items():
+        if owner == name and parent in tables:
+            facts.append(fact("reference", F.lit(f"foreign_key:{column}"), parent, [F.col(column)], F.col(column).isNotNull()))
+    if any(parent == name and owner in tables for (owner, _), parent in FOREIGN_KEYS.items()):
+        facts.append(fact("id", F.lit(None).cast("string"), name, [F.col("id")], F.col("id").isNotNull()))
+    return F.filter(F.array(*facts), lambda x: x.isNotNull())
 
 
 def check_schema(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, rule, key) of all violations of the declared schema in the given tables."""
-    found = []
+    """(table, rule, key) of all violations of the declared schema in the given tables.
+
+    Each table is read once, for all its rules together; what its rows have to say is written down. Unique keys of all
+    tables are one grouping. Of the references only the distinct ones meet the ids: a parent that a third of all rows
+    name is one row by then. Those that are missing find their rows again, hot ones split.
+    """
+    said = None
     for name, df in tables.items():
         key = F.concat_ws("|", *[F.col(k) for k in PRIMARY_KEYS[name]])
-        parts = [check_inputs(df, row_rules(name), key), check_unique(df, PRIMARY_KEYS[name])]
-        parts += [check_unique(df, keys, condition) for keys, condition in UNIQUE_KEYS.get(name, [])]
-        parts += [
-            check_reference(df, column, tables[parent], key)
-            for (owner, column), parent in FOREIGN_KEYS.items() if owner == name and parent in tables
-        ]
-        found += [part.select(F.lit(name).alias("table"), "rule", "key") for part in parts]
-    return reduce(DataFrame.unionByName, found)
+        rows = df.select(F.lit(name).alias("table"), key.alias("key"), F.explode(_facts(tables, name)).alias("fact")).select("table", "key", "fact.*")
+        said = rows if said is None else said.unionByName(rows)
+    said = cut_lineage(said)
+    broken = said.filter("kind = 'row'").select("table", "rule", "key")
+    repeated = said.filter("kind = 'unique'").groupBy("table", "rule", "value").count().filter("count > 1").select(
+        "table", "rule", F.concat_ws("|", "value").alias("key"))
+    references, place = said.filter("kind = 'reference'"), ["target", "value"]
+    ids = said.filter("kind = 'id'").select(*place).distinct()
+    missing = cut_lineage(references.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).join(ids, place, "left_anti"))
+    lost = join_hot(references, missing.drop("n"), place, ["key"], counts=missing).select("table", "rule", "key")
+    return broken.unionByName(repeated).unionByName(lost)
 
 
 def _length(column: str, low: int, high: int) -> Column:

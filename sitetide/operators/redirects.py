@@ -46,10 +46,49 @@ def redirect_steps(responses: DataFrame) -> DataFrame:
     )
     return checked.select(
         "_owner", "_key", "_hop_status", "_next", F.col("_target.reason").alias("_never"), F.col("_target.host").alias("_host"),
-        F.lit(True).alias("_moves"),
     )
 
 
+def redirect_chains(steps: DataFrame, length: int) -> DataFrame:
+    """(_owner, _key, _chain): up to ``length`` hops from every redirecting URL, by doubling.
+
+    Each round appends to a chain the chain of the URL that it ends at, so hops double; only redirecting URLs take part.
+    """
+    hop = F.struct(F.col("_hop_status").alias("status"), F.col("_next").alias("next"), F.col("_never").alias("never"), F.col("_host").alias("host"))
+    chains = cut_lineage(steps.select("_owner", "_key", F.array(hop).alias("_chain")))
+    reach = length if chains.isEmpty() else 1
+    while reach < length:
+        further = chains.select("_owner", F.col("_key").alias("_end"), F.col("_chain").alias("_more"))
+        joined = chains.withColumn("_end", F.element_at("_chain", -1)["next"]).join(further, ["_owner", "_end"], "left")
+        whole = F.when(F.col("_more").isNull(), F.col("_chain")).otherwise(F.concat("_chain", "_more"))
+        chains = joined.select("_owner", "_key", F.slice(whole, 1, length).alias("_chain"))
+        reach *= 2
+        if reach < length:
+            chains = cut_lineage(chains)
+    return chains
+
+
+def _walked(max_redirects: int) -> Column:
+    """struct(at, chain, limit_status, error): how far a request gets along _chain; the guard is asked at every hop."""
+    kind = "struct<at:string,chain:array<string>,limit_status:int,error:string,open:boolean>"
+
+    def state(at: Column, chain: Column, limit_status: Column, error: Column, is_open: Column) -> Column:
+        return F.struct(at.alias("at"), chain.alias("chain"), limit_status.alias("limit_status"), error.alias("error"), is_open.alias("open")).cast(kind)
+
+    def step(s: Column, hop: Column) -> Column:
+        refused = F.coalesce(hop["never"], F.when(~host_within(hop["host"], "domain"), outside_reason(hop["host"], "domain")))
+        limit = state(s["at"], s["chain"], hop["status"], F.lit(f"More than {max_redirects} redirects"), F.lit(False))
+        stopped = state(s["at"], s["chain"], s["limit_status"], refused, F.lit(False))
+        moved = state(hop["next"], F.array_append(s["chain"], hop["next"]), s["limit_status"], s["error"], F.lit(True))
+        return (
+            F.when(~s["open"], s).when(F.size(s["chain"]) >= max_redirects, limit).when(refused.isNotNull(), stopped).otherwise(moved)
+        )
+
+    none = F.lit(None)
+    start = state(F.col("_current"), F.array(), none, none, F.lit(True))
+    return F.aggregate("_chain", start, step)
+
+
 def latest_responses(responses: DataFrame, keys: list[str]) -> DataFrame:
     """One response per key, the one that landed last; without times or at equal ones the smallest of the other columns."""
     landed = [F.col("landed_at").desc_nulls_last()] if "landed_at" in responses.columns else []
@@ -69,9 +108,9 @@ def resolve_redirects(
 
     Adds ``final_url``, ``redirect_chain``, ``error_code``, ``error`` and, from the last response,
     ``status``, ``content_type``, ``content_length`` and ``body``. A chain that fails keeps its request URL
-    and an empty chain. Hops join only the slim set of redirecting responses (no bodies, written once
-    because every hop reads it); the landed table itself is joined once, at the end. Requests already at rest get a
-    key of their own, so they spread over all partitions and find no partner.
+    and an empty chain. The chains are found first, from the slim set of redirecting responses alone; a request then meets its
+    whole chain in one join, and the landed table in another. Refused requests get a key of their own, so they spread
+    over all partitions and find no partner.
 
     A request gets one response: the newest that landed for its URL, whoever asked for it, or with ``by_competitor`` the
     newest of those that landed for the request's competitor. Bodies move only for URLs that a chain ends at.
@@ -79,48 +118,15 @@ def resolve_redirects(
     keys = keys or [c for c in requests.columns if c not in ("url", "domain")]
     owner = F.coalesce("competitor_id", F.lit("")) if by_competitor else F.lit("")
     responses = responses.withColumn("_owner", owner)
-    hops = cut_lineage(redirect_steps(responses))
-    state = requests.select(
-        *keys,
-        owner.alias("_owner"),
-        "url",
-        "domain",
-        canonical_url("url").alias("_current"),
-        F.array().cast("array<string>").alias("redirect_chain"),
-        F.lit(None).cast("int").alias("_limit_status"),
-        _refusal("url", "domain").alias("error"),
-        F.lit(False).alias("_rest"),
-    ).withColumn("_rest", F.col("error").isNotNull())
+    chains = redirect_chains(redirect_steps(responses), max_redirects + 1)
+    first = requests.select(
+        *keys, owner.alias("_owner"), "url", "domain", canonical_url("url").alias("_current"), _refusal("url", "domain").alias("error"))
     resting = F.concat(F.lit("-"), F.xxhash64("url", *keys).cast("string"))
-    rounds = 0 if hops.isEmpty() else max_redirects + 1
-    for hop in range(rounds):
-        state = state.withColumn("_key", F.when(F.col("_rest"), resting).otherwise(F.col("_current")))
-        joined = state.join(hops, ["_owner", "_key"], "left")
-        moves = F.coalesce("_moves", F.lit(False))
-        if hop == max_redirects:
-            state = joined.withColumns(
-                {
-                    "_limit_status": F.col("_hop_status"),
-                    "error": F.when(moves, F.lit(f"More than {max_redirects} redirects")).otherwise(F.col("error")),
-                }
-            )
-        else:
-            refused = F.coalesce(
-                F.col("_never"),
-                F.when(~host_within(F.col("_host"), "domain"), outside_reason(F.col("_host"), "domain")))
-            goes_on = F.col("_goes_on")
-            state = joined.withColumn("_refused", F.when(moves, refused)).withColumn(
-                "_goes_on", moves & F.col("_refused").isNull()
-            ).withColumns(
-                {
-                    "redirect_chain": F.when(goes_on, F.array_append("redirect_chain", F.col("_next"))).otherwise(
-                        F.col("redirect_chain")),
-                    "_current": F.when(goes_on, F.col("_next")).otherwise(F.col("_current")),
-                    "error": F.coalesce("_refused", "error"),
-                    "_rest": ~goes_on,
-                }
-            )
-        state = state.select(*keys, "_owner", "url", "domain", "_current", "redirect_chain", "_limit_status", "error", "_rest")
+    first = first.withColumn("_key", F.when(F.col("error").isNotNull(), resting).otherwise(F.col("_current")))
+    state = first.join(chains, ["_owner", "_key"], "left").withColumn("_walk", _walked(max_redirects)).select(
+        *keys, "_owner", "url", "domain", F.coalesce("_walk.at", "_current").alias("_current"),
+        F.coalesce("_walk.chain", F.array().cast("array<string>")).alias("redirect_chain"), F.col("_walk.limit_status").alias("_limit_status"),
+        F.coalesce("error", "_walk.error").alias("error"))
 
     failed = F.col("error").isNotNull()
     settled = state.select(

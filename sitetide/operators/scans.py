@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitetide.functions.text import ERROR_SUMMARY_CHARS, clip, error_line, make_id
+from sitetide.functions.text import clip, error_line, make_id
 from sitetide.functions.times import STALE_AFTER, ago
 from sitetide.operators.merge import merge_by_key, take
 from sitetide.operators.traversal import first_lines
@@ -96,13 +96,14 @@ def fail_superseded(scan_runs: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def error_summary(processed: DataFrame, keys: list[str], max_chars: int = ERROR_SUMMARY_CHARS) -> DataFrame:
-    """Newline-joined error lines of the failed sitemaps in walk order, clipped.
+def error_summary(processed: DataFrame, keys: list[str], max_chars: int | None = None) -> DataFrame:
+    """Newline-joined error lines of the failed sitemaps in walk order, one text a scan; clipped with ``max_chars``.
 
-    Every line takes at least five characters, so the first max_chars / 5 lines decide the clipped text and
+    Every line takes at least five characters, so the first max_chars / 5 lines decide a clipped text and
     no more are gathered per scan.
     """
-    lines = first_lines(processed, keys, -(-max_chars // _SHORTEST_LINE)).select(
+    n = None if max_chars is None else -(-max_chars // _SHORTEST_LINE)
+    lines = first_lines(processed, keys, n).select(
         *keys, "path", error_line("url", "error_message", "error_code").alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("path", "line")))
     joined = F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
@@ -126,11 +127,12 @@ CLOSING = [
 def close_scans(
     scan_runs: DataFrame, competitors: DataFrame, results: DataFrame, as_of: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """Write results (scan_run_id, competitor_id and the closing columns) to both tables."""
+    """Write results (scan_run_id, competitor_id and the closing columns) to both tables; of several runs of one competitor the
+    one with the largest id gives the competitor's last status."""
     rules = {name: take(name) for name in CLOSING} | {"finished_at": lambda o, n: as_of}
     changes = results.select(F.col("scan_run_id").alias("id"), *CLOSING)
     runs = merge_by_key(scan_runs, changes, ["id"], matched=rules, insert=False)
-    touched = results.select(F.col("competitor_id").alias("id"), "status")
+    touched = results.groupBy(F.col("competitor_id").alias("id")).agg(F.max_by("status", "scan_run_id").alias("status"))
     sites = merge_by_key(
         competitors, touched, ["id"], insert=False,
         matched={

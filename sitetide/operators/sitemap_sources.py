@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from sitetide.functions.text import make_id
 from sitetide.functions.urls import normalize_url
 from sitetide.operators.joins import join_dimension
-from sitetide.operators.lifecycle import attach_source_id, running_count
+from sitetide.operators.lifecycle import attach_source_id
 from sitetide.operators.merge import insert_or_ignore
-from sitetide.operators.windows import first_wins
+from sitetide.operators.windows import first_wins, placed
 from sitetide.schemas import conform
 
 KEY = ["competitor_id", "normalized_url"]
@@ -33,13 +33,12 @@ def manual_urls(sources: DataFrame) -> DataFrame:
 def seed_order(sources: DataFrame) -> DataFrame:
     """Enabled sources with their 0-based traversal position (source type, creation time, id).
 
-    Positions are counted per day of creation and added up, so a site with very many sources is not sorted
-    in one task.
+    All sources are put in one order by sampled bounds, in which a site's sources follow each other; a site with very many
+    spans several partitions, even if all of them were created at one moment.
     """
-    ordered = enabled(sources).withColumn("_order", F.struct("source_type", "created_at", "id"))
-    day = F.struct("source_type", F.date_trunc("day", "created_at"))
-    ranked = running_count(ordered, ["competitor_id"], "_order", F.lit(True), day, "_rank")
-    return ranked.withColumn("seed_order", F.col("_rank") - 1).drop("_order", "_rank")
+    ordered = placed(enabled(sources).orderBy("competitor_id", "source_type", "created_at", "id"), "_place")
+    first = ordered.groupBy("competitor_id").agg(F.min("_place").alias("_first"))
+    return join_dimension(ordered, first, ["competitor_id"], ["id"]).withColumn("seed_order", F.col("_place") - F.col("_first")).drop("_place", "_first")
 
 
 def sources_of_scan(scans: DataFrame, sources: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def add_root_sources(sources: DataFrame, roots: DataFrame, as_of: Column) -> Dat
 def record_processed(processed: DataFrame, sources: DataFrame, scans: DataFrame, as_of: Column) -> DataFrame:
     """Sitemap log rows of the processed documents; ``scans`` gives scan_run_id per competitor."""
     rows = join_dimension(processed, scans.select("competitor_id", "scan_run_id"), ["competitor_id"], ["path"])
-    rows = attach_source_id(rows, sources, url="url", explicit="source_id")
+    rows = attach_source_id(rows, sources, url="url", explicit="source_id", spread="path")
     return conform(
         rows.select(
             make_id("ssm", "scan_run_id", "path").alias("id"),

@@ -17,7 +17,6 @@ of the deepest level are over the depth limit. No competitor is ever gathered in
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +32,8 @@ from sitetide.sources.sitemaps import exploded_nodes, parse_documents
 from sitetide.sources.tables import size_error, too_large
 
 STEP = 8
+#: Levels of a walk that one job computes.
+LEVELS = 4
 ALREADY_PROCESSED = "Already processed in this scan"
 NOT_LANDED = "No landed response"
 
@@ -136,34 +137,85 @@ def index_edges(documents: DataFrame) -> DataFrame:
     )
 
 
-def _relax(seeds: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
-    """Smallest path per (competitor_id, document) over all chains (of at most ``max_depth`` steps).
+def _extended(frontier: DataFrame, steps: DataFrame) -> DataFrame:
+    """One level further: the smallest path to each child, never back to a document of the path itself."""
+    reached = frontier.join(steps, ["competitor_id", "document"]).filter(~F.array_contains("above", F.col("child")))
+    return reached.groupBy("competitor_id", F.col("child").alias("document")).agg(
+        F.min(F.struct(F.concat("path", "_step").alias("path"), F.array_append("above", F.col("child")).alias("above"))).alias("p")
+    ).select("competitor_id", "document", "p.path", "p.above")
 
-    A cycle never improves a path, so it ends without a bound as well: when no path of the last length was improved.
+
+def index_paths(starts: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """Smallest path per (competitor_id, document) of the documents that have children, over all chains (of at most
+    ``max_depth`` steps).
+
+    Only these documents can lead further, so the relaxation runs on the edges between them, few beside all that are listed.
+    Each turn takes the paths found last LEVELS levels further in one job; what it improves is added to a log, and the improved
+    paths of the last level are the next frontier. Paths through a document twice never improve anything, so it ends
+    without a bound as well.
     """
-    steps = edges.filter(F.col("child").isNotNull()).select(
-        "competitor_id", F.col("parent").alias("document"), "child", ordinal(F.col("ordinal")).alias("_step"))
+    parents = edges.select("competitor_id", F.col("parent").alias("document")).distinct()
+    steps = cut_lineage(edges.select(
+        "competitor_id", F.col("parent").alias("document"), "child", ordinal(F.col("ordinal")).alias("_step")).join(
+        parents.withColumnRenamed("document", "child"), ["competitor_id", "child"], "left_semi"))
     smallest = F.min("path").alias("path")
-    best = cut_lineage(
-        seeds.filter(F.col("document").isNotNull()).groupBy("competitor_id", "document").agg(smallest))
-    for level in count(1) if max_depth is None else range(1, max_depth + 1):
-        frontier = best.filter(F.length("path") == level * STEP)
-        reached = frontier.join(steps, ["competitor_id", "document"]).select(
-            "competitor_id", F.col("child").alias("document"), F.concat("path", "_step").alias("path"))
-        if reached.isEmpty():
+    best = starts.select("competitor_id", "document", "path").join(parents, ["competitor_id", "document"], "left_semi").groupBy(
+        "competitor_id", "document").agg(smallest)
+    best = cut_lineage(best)
+    frontier, level = best.withColumn("above", F.array("document")), 0
+    while max_depth is None or level < max_depth:
+        levels = LEVELS if max_depth is None else min(LEVELS, max_depth - level)
+        reached = None
+        for _ in range(levels):
+            frontier = _extended(frontier, steps)
+            reached = frontier if reached is None else reached.unionByName(frontier)
+        level += levels
+        known = best.withColumnRenamed("path", "_known")
+        found = reached.groupBy("competitor_id", "document").agg(F.min(F.struct("path", "above")).alias("p")).select(
+            "competitor_id", "document", "p.path", "p.above")
+        improved = cut_lineage(found.join(known, ["competitor_id", "document"], "left").filter(
+            F.col("_known").isNull() | (F.col("path") < F.col("_known"))).drop("_known"))
+        if improved.isEmpty():
             break
-        best = cut_lineage(best.unionByName(reached).groupBy("competitor_id", "document").agg(smallest))
+        best = cut_lineage(best.unionByName(improved.drop("above")).groupBy("competitor_id", "document").agg(smallest))
+        frontier = improved.filter(F.length("path") == (level + 1) * STEP)
     return best
 
 
-def _dead_ends(best: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
+def _met(starts: DataFrame, edges: DataFrame, best: DataFrame, max_depth: int | None) -> DataFrame:
+    """Every encounter of the walk that starts or is listed by a document with children; deeper ones than the walk goes too."""
+    listing = best.select("competitor_id", F.col("document").alias("parent"), F.col("path").alias("_parent_path"))
+    if max_depth is not None:
+        listing = listing.filter(F.length("_parent_path") <= (max_depth + 1) * STEP)
+    below = join_dimension(edges, listing, ["competitor_id", "parent"], ["ordinal"]).select(
+        "competitor_id",
+        F.lit(None).cast("string").alias("source_id"),
+        "url",
+        F.concat("_parent_path", ordinal(F.col("ordinal"))).alias("path"),
+        F.col("child").alias("document"),
+        "reason",
+        "_parent_path",
+    )
+    return starts.withColumn("_parent_path", F.lit(None).cast("string")).unionByName(below)
+
+
+def _first_met(met: DataFrame, max_depth: int | None) -> DataFrame:
+    """(competitor_id, document, path): where the walk first meets each document, as deep as it goes."""
+    within = met.filter(F.col("document").isNotNull())
+    if max_depth is not None:
+        within = within.filter(F.length("path") <= (max_depth + 1) * STEP)
+    return within.groupBy("competitor_id", "document").agg(F.min("path").alias("path"))
+
+
+def _dead_ends(starts: DataFrame, edges: DataFrame, best: DataFrame, limits: Limits) -> DataFrame:
     """Settled documents at the deepest level that have children and could still be visited."""
-    deepest = (limits.max_depth + 1) * STEP
-    window = Window.partitionBy("competitor_id").orderBy("path")
-    reachable = best if limits.max_sitemaps is None else best.withColumn("_rank", F.row_number().over(window)).filter(
-        F.col("_rank") <= limits.max_sitemaps)
-    parents = edges.select("competitor_id", F.col("parent").alias("document")).distinct()
-    hits = reachable.filter(F.length("path") == deepest).join(parents, ["competitor_id", "document"], "left_semi")
+    hits = best.filter(F.length("path") == (limits.max_depth + 1) * STEP)
+    if limits.max_sitemaps is not None:
+        window = Window.partitionBy("competitor_id").orderBy("path")
+        met = _met(starts, edges, best.filter(F.length("path") <= limits.max_depth * STEP), limits.max_depth)
+        reachable = _first_met(met, limits.max_depth).withColumn("_rank", F.row_number().over(window)).filter(
+            F.col("_rank") <= limits.max_sitemaps)
+        hits = hits.join(reachable.select("competitor_id", "path"), ["competitor_id", "path"], "left_semi")
     prefixes = hits.select(
         "competitor_id",
         "document",
@@ -180,21 +232,27 @@ def _dead_ends(best: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
     return settled.select("competitor_id", "document")
 
 
-def first_visits(seeds: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
-    """(competitor_id, document, path, visit): the documents a limited walk visits, in order."""
+def encounters_of(starts: DataFrame, edges: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """(encounters, first visits in order) of a limited walk; an encounter listed by a document that isn't visited is none."""
     open_edges = edges
-    if limits.max_depth is None:
-        return _visits(_relax(seeds, edges, None), limits)
-    while True:
-        best = _relax(seeds, open_edges, limits.max_depth)
-        if best.filter(F.length("path") == (limits.max_depth + 1) * STEP).isEmpty():
+    best = index_paths(starts, edges, limits.max_depth)
+    while limits.max_depth is not None:
+        deepest = best.filter(F.length("path") == (limits.max_depth + 1) * STEP)
+        if deepest.isEmpty():
             break
-        dead_ends = cut_lineage(_dead_ends(best, open_edges, limits))
+        dead_ends = cut_lineage(_dead_ends(starts, open_edges, best, limits))
         if dead_ends.isEmpty():
             break
         open_edges = cut_lineage(open_edges.join(
             dead_ends.withColumnRenamed("document", "parent"), ["competitor_id", "parent"], "left_anti"))
-    return _visits(best, limits)
+        best = index_paths(starts, open_edges, limits.max_depth)
+    if limits.max_depth is None:
+        met = cut_lineage(_met(starts, edges, best, None))
+        return met, _visits(_first_met(met, None), limits)
+    # the children of a document at the deepest level are met, but too deep: their listing documents are the first met ones
+    shallow = best.filter(F.length("path") <= limits.max_depth * STEP)
+    visited = cut_lineage(_visits(_first_met(_met(starts, open_edges, shallow, limits.max_depth), limits.max_depth), limits))
+    return cut_lineage(_met(starts, edges, visited, limits.max_depth)), visited
 
 
 def _visits(best: DataFrame, limits: Limits) -> DataFrame:
@@ -250,35 +308,21 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, limits: Limits = Limits()
     """
     documents = cut_lineage(prepare_documents(docs, limits.max_bytes))
     edges = cut_lineage(index_edges(documents))
-    starts = cut_lineage(
-        seeds.withColumn("_seen", inspect_url("url", "domain")).select(
-            "competitor_id",
-            "source_id",
-            "url",
-            ordinal(F.col("seed_order")).alias("path"),
-            F.when(F.col("_seen.reason").isNull(), F.col("_seen.normalized_url")).alias("document"),
-            F.col("_seen.reason").alias("reason"),
-        )
-    )
-    visited = cut_lineage(first_visits(starts.select("competitor_id", "document", "path"), edges, limits))
-
-    below = (
-        edges.join(
-            visited.select("competitor_id", F.col("document").alias("parent"), F.col("path").alias("_parent_path")),
-            ["competitor_id", "parent"],
-        )
-        .select(
-            "competitor_id",
-            F.lit(None).cast("string").alias("source_id"),
-            "url",
-            F.concat("_parent_path", ordinal(F.col("ordinal"))).alias("path"),
-            F.col("child").alias("document"),
-            "reason",
-            "_parent_path",
-        )
+    starts = seeds.withColumn("_seen", inspect_url("url", "domain")).select(
+        "competitor_id",
+        "source_id",
+        "url",
+        ordinal(F.col("seed_order")).alias("path"),
+        F.when(F.col("_seen.reason").isNull(), F.col("_seen.normalized_url")).alias("document"),
+        F.col("_seen.reason").alias("reason"),
     )
-    encounters = starts.withColumn("_parent_path", F.lit(None).cast("string")).unionByName(below)
-    encounters = encounters.join(
+    met, visited = encounters_of(starts, edges, limits)
+    if limits.max_depth is None and limits.max_sitemaps is not None:
+        # what a document past the last visit lists is never met
+        visited = cut_lineage(visited)
+        met = met.join(visited.select("competitor_id", F.col("path").alias("_parent_path")), ["competitor_id", "_parent_path"], "left_semi").select(
+            *met.columns).unionByName(met.filter(F.col("_parent_path").isNull()))
+    encounters = met.join(
         visited.select("competitor_id", "path", F.lit(True).alias("_first")), ["competitor_id", "path"], "left")
     too_many = F.lit(False)
     if limits.max_sitemaps is not None:
@@ -387,6 +431,7 @@ def scan_complete(processed: DataFrame, keys: list[str]) -> DataFrame:
     return processed.groupBy(*keys).agg(F.bool_and(F.col("status") != "failed").alias("is_complete"))
 
 
-def first_lines(processed: DataFrame, keys: list[str], n: int) -> DataFrame:
+def first_lines(processed: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+    """The failed documents; with ``n`` the first ones of each key in the order of the walk."""
     failed = processed.filter(F.col("status") == "failed")
-    return top_rows(failed, keys, [F.col("path").asc()], n)
+    return failed if n is None else top_rows(failed, keys, [F.col("path").asc()], n)

@@ -9,6 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitetide.session import cut_lineage
+
+
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """An ordered frame with each row's place in its order, from 0: partition sizes are summed up, no task sees all rows."""
+    numbered = cut_lineage(ordered.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id()}))
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_in").alias("_low"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return numbered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_in") - F.col("_low")).drop(
+        "_part", "_in", "_low", "_offset")
+
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)

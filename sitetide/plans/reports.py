@@ -39,10 +39,11 @@ def listed_pages(state: State, **filters) -> DataFrame:
     return P.filter_pages(rows, **filters)
 
 
-def list_pages(state: State, page: int = 1, page_size: int = P.DEFAULT_PAGE_SIZE, **filters) -> PageList:
-    """One page of the filtered list and the total of the whole list."""
+def list_pages(state: State, page: int = 1, page_size: int = P.DEFAULT_PAGE_SIZE, after: P.Cursor | None = None, **filters) -> PageList:
+    """One page of the filtered list, by its number or behind the cursor of the page before it, and the total of the whole list."""
     rows = listed_pages(state, **filters)
-    return PageList(P.paginate(rows, page, page_size), P.count_pages(rows))
+    items = P.paginate(rows, page, page_size) if after is None else P.next_page(rows, after, page_size)
+    return PageList(items, P.count_pages(rows))
 
 
 def export_pages(state: State, path: str, limit: int | None = None, **filters) -> None:

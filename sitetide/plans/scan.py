@@ -20,6 +20,7 @@ from sitetide.operators.analysis import (
 )
 from sitetide.operators.competitors import not_deleted
 from sitetide.operators.fetches import fetch_results, fetch_targets, save_fetches
+from sitetide.operators.joins import join_dimension
 from sitetide.operators.lifecycle import apply_diff, establish_baseline, page_id
 from sitetide.operators.redirects import resolve_redirects
 from sitetide.operators.scans import (
@@ -54,17 +55,20 @@ class ScanResult(NamedTuple):
     rejects: DataFrame
 
 
-def discover_roots(competitors: DataFrame, sources: DataFrame, landed_roots: DataFrame) -> DataFrame:
+def discover_roots(
+    competitors: DataFrame, sources: DataFrame, landed_roots: DataFrame, robots_bytes: int | None = None,
+    preview_bytes: int | None = None,
+) -> DataFrame:
     """Sitemap roots (competitor_id, normalized_url, url, source_type, root_order) of competitors without an
-    enabled source, from their robots.txt and the common paths."""
+    enabled source, from their robots.txt and the common paths; larger responses are passed over where a size is given."""
     known = enabled(sources).select(F.col("competitor_id").alias("id"))
     bare = competitors.join(known, "id", "left_anti").select(F.col("id").alias("competitor_id"), "domain")
     paths = F.array(F.lit("/robots.txt"), *[F.lit(p) for p in COMMON_PATHS])
     requests = bare.select("competitor_id", "domain", F.explode(paths).alias("path")).select(
         "competitor_id", "domain", F.concat(F.lit("https://"), "domain", "path").alias("url"))
     fetched = resolve_redirects(requests, landed_roots)
-    robots = parse_robots(fetched.filter(F.endswith("url", F.lit("/robots.txt"))))
-    return root_candidates(robots, probe_common_paths(bare, fetched))
+    robots = parse_robots(fetched.filter(F.endswith("url", F.lit("/robots.txt"))), robots_bytes)
+    return root_candidates(robots, probe_common_paths(bare, fetched, preview_bytes))
 
 
 def process_new_pages(
@@ -132,10 +136,10 @@ def run_scans(
         opened.select(F.col("id").alias("scan_run_id"), "competitor_id").join(
             ready.select(F.col("id").alias("competitor_id"), "domain", "baseline_established"), "competitor_id"))
 
-    seeds = seed_order(sources.join(scans.select("competitor_id", "domain"), "competitor_id")).select(
+    seeds = seed_order(join_dimension(sources, scans.select("competitor_id", "domain"), ["competitor_id"], ["id"])).select(
         "competitor_id", "domain", F.col("id").alias("source_id"), "url", "seed_order")
-    sitemap_requests = landed["sitemaps"].select("competitor_id", "url").distinct().join(
-        scans.select("competitor_id", "domain"), "competitor_id")
+    sitemap_requests = join_dimension(
+        landed["sitemaps"].select("competitor_id", "url").distinct(), scans.select("competitor_id", "domain"), ["competitor_id"], ["url"])
     docs = resolve_redirects(sitemap_requests, landed["sitemaps"], by_competitor=True).withColumnRenamed("error_code", "error_source")
     expansion = expand_sitemaps(seeds, docs, limits)
     visits, entries = cut_lineage(expansion.visits), expansion.entries

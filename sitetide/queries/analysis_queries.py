@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitetide.functions.jsons import safe_json
+from sitetide.functions.text import EXCERPT_CHARS
 from sitetide.operators import analysis as A
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
@@ -27,11 +28,20 @@ def doc_pages(spark, sf):
     return pages, seo
 
 
+@query("analysis_payload", """
+SELECT CAST(doc_id AS VARCHAR) AS page_id, (doc_id % 40)::BIGINT AS h2_count, md5(text) AS excerpt_md5 FROM documents WHERE doc_id % 10 <> 0""")
+def analysis_payload(spark, sf):
+    """The payload without limits: all headings and the whole text."""
+    read = F.from_json("payload", "h2 array<string>, contentExcerpt string")
+    return A.analysis_input(*doc_pages(spark, sf)).withColumn("p", read).select(
+        "page_id", F.size("p.h2").cast("bigint").alias("h2_count"), F.md5("p.contentExcerpt").alias("excerpt_md5"))
+
+
 @query("analysis_input", """
 SELECT CAST(doc_id AS VARCHAR) AS page_id, 'https://docs.example.com/' || source || '/' || doc_id AS url, 'Doc ' || doc_id AS title, NULL::VARCHAR AS h1,
   least(doc_id % 40, 20)::BIGINT AS h2_count, lang AS page_language, md5(substr(text, 1, 8000)) AS excerpt_md5 FROM documents WHERE doc_id % 10 <> 0""")
 def analysis_input(spark, sf):
-    inputs = A.analysis_input(*doc_pages(spark, sf))
+    inputs = A.analysis_input(*doc_pages(spark, sf), max_h2=A.H2_SENT, max_chars=EXCERPT_CHARS)
     read = F.from_json("payload", "url string, title string, h1 string, h2 array<string>, pageLanguage string, contentExcerpt string")
     return inputs.withColumn("p", read).select(
         "page_id", F.col("p.url").alias("url"), F.col("p.title").alias("title"), F.col("p.h1").alias("h1"), F.size("p.h2").cast("bigint").alias("h2_count"),

@@ -18,7 +18,7 @@ def html_pages(spark, sf):
         F.lit("</title><meta name='Description' content=\"About &lt;"), pid, F.lit("&gt;\"><META NAME=robots CONTENT="),
         F.when(F.col("page_id") % 2 == 0, F.lit("noindex")).otherwise(F.lit("''")),
         F.lit("><link rel='alternate CANONICAL' href='/c/"), pid, F.lit("?x=1'><h2>Part <i>"), pid, F.lit("</i></h2><h2> </h2><h2>End</h2>"))
-    return I.spread(I.read(spark, sf, "pages")).withColumn("html", F.replace("html", F.lit("</title>"), extra))
+    return I.read(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("</title>"), extra))
 
 
 HTML_SQL = """
@@ -67,7 +67,7 @@ def seo_lang(spark, sf):
 @query("seo_visible_text", f"""
 SELECT page_id, md5({TEXT_SQL}) AS text_md5, length({TEXT_SQL}) AS chars FROM pages""")
 def seo_visible_text(spark, sf):
-    text = I.spread(I.read(spark, sf, "pages")).select("page_id", H.visible_text("html").alias("text"))
+    text = I.read(spark, sf, "pages").select("page_id", H.visible_text("html").alias("text"))
     return text.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
 
 
@@ -85,7 +85,7 @@ WITH {HTML_SQL}
 SELECT page_id, {TITLE_SQL} AS title, {H1_SQL} AS h1, 'Part ' || page_id || '|End' AS h2, 'About <' || page_id || '>' AS meta_description,
   CASE WHEN page_id % 2 = 0 THEN 'noindex' END AS robots_meta,
   regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/c/' || page_id || '?x=1' AS canonical_url, {LANG_SQL} AS page_language,
-  md5(substr({TEXT_SQL}, 1, 8000)) AS excerpt_md5
+  md5({TEXT_SQL}) AS excerpt_md5
 FROM html_pages""")
 def seo_page(spark, sf):
     return H.extract_seo(html_pages(spark, sf)).select(
@@ -93,10 +93,18 @@ def seo_page(spark, sf):
         "page_language", F.md5("content_excerpt").alias("excerpt_md5"))
 
 
+@query("seo_excerpt", f"""
+SELECT page_id, md5(substr({TEXT_SQL}, 1, 200)) AS excerpt_md5, length(substr({TEXT_SQL}, 1, 200)) AS chars FROM pages""")
+def seo_excerpt(spark, sf):
+    """The first 200 characters of the visible text."""
+    excerpt = I.read(spark, sf, "pages").select("page_id", H.content_excerpt("html", 200).alias("e"))
+    return excerpt.select("page_id", F.md5("e").alias("excerpt_md5"), F.length("e").cast("bigint").alias("chars"))
+
+
 def landed_pages(spark, sf):
     """Landed responses of all driver pages; status, type and size problems follow from the page id."""
     pid = F.col("page_id")
-    return I.spread(I.read(spark, sf, "pages")).select(
+    return I.read(spark, sf, "pages").select(
         pid.cast("string").alias("page_id"),
         F.concat(F.lit("scan_"), (pid % 3).cast("string")).alias("scan_run_id"),
         F.col("url"),
@@ -137,7 +145,7 @@ def fetch_outcome(spark, sf):
 @query("fetch_results", f"""
 WITH {OUTCOME_SQL}
 SELECT page_id, fetch_status, CASE WHEN fetch_status = 'success' THEN {TITLE_SQL} END AS title,
-  CASE WHEN fetch_status = 'success' THEN md5(substr({TEXT_SQL}, 1, 8000)) END AS excerpt_md5, 0::BIGINT AS h2_count,
+  CASE WHEN fetch_status = 'success' THEN md5({TEXT_SQL}) END AS excerpt_md5, 0::BIGINT AS h2_count,
   CASE WHEN fetch_status = 'success' THEN 'Text/HTML; charset=utf-8' WHEN pid % 12 = 3 THEN 'application/pdf' END AS content_type
 FROM fetched""")
 def fetch_results(spark, sf):
@@ -220,7 +228,7 @@ def redirect_chain(spark, sf):
     page = F.lit("https://shop.example.com/o/")
     moves = key % 8 < 6
     none = F.lit(None).cast("string")
-    orders = I.spread(I.read(spark, sf, "orders").select("o_orderkey"))
+    orders = I.read(spark, sf, "orders").select("o_orderkey")
     responses = orders.select(
         F.concat(page, key.cast("string")).alias("url"),
         F.when(moves, F.lit(301)).otherwise(F.lit(200)).alias("status"),

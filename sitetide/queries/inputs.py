@@ -16,12 +16,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for CPU-bound row work, only when the source has fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def host(url: str = "url") -> Column:
     return F.regexp_extract(F.col(url), "^https?://([^/?#]+)", 1)
 
@@ -66,7 +60,7 @@ def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.startswith(url, F.lit("https")), F.regexp_replace("url", "^(https://[^/]+)", "$1:443"))
         .otherwise(F.regexp_replace("url", "^(http://[^/]+)", "$1:80")),
     )
-    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url"))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return pages.select("page_id", F.posexplode(variants).alias("variant", "url")).withColumn(
         "variant", F.col("variant").cast("bigint"))
 
@@ -328,7 +322,7 @@ def page_seo(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sitetide.functions.html import first_tag_text
 
     pid = F.col("page_id")
-    pages = spread(read(spark, sf_dir, "pages")).filter(pid % 3 != 0)
+    pages = read(spark, sf_dir, "pages").filter(pid % 3 != 0)
     status = F.when(pid % 8 == 1, F.lit("failed")).otherwise(F.lit("success"))
     t = F.lit("2024-01-06T00:00:00Z").cast("timestamp")
     strings = F.lit(None).cast("string")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitetide.operators import metrics as M
 from sitetide.operators import pages as P
 from sitetide.operators import windows as W
 from sitetide.operators.competitors import competitor_config, count_competitors, list_competitors
+from sitetide.operators.fetches import apply_redirects
+from sitetide.operators.joins import join_dimension
+from sitetide.operators.windows import placed
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 from sitetide.schemas import conform
-from sitetide.sources.export import EXPORT_LIMIT, csv_header, export_lines
-
+from sitetide.session import shared_dir
+from sitetide.sources.export import EXPORT_LIMIT, csv_header, export_lines, export_pages, read_export
+from sitetide.sources.state_store import stored_tables, write_changes, write_state
 
 
 def now():
@@ -93,6 +100,13 @@ def page_list_second_page(spark, sf):
     return shown(P.paginate(listed(spark, sf), page=2, page_size=10))
 
 
+@query("page_list_next", f"{LIST_SQL} SELECT {LIST_COLS} FROM listed ORDER BY listed.first_seen_at DESC, id DESC LIMIT 150 OFFSET 14")
+def page_list_next(spark, sf):
+    """Behind the last row of the second page of seven; more rows than a page of the site shows."""
+    rows = listed(spark, sf)
+    return shown(P.next_page(rows, P.cursor_of(P.paginate(rows, page=2, page_size=7)), 150))
+
+
 @query("list_by_competitor", f"""{LIST_SQL} SELECT competitor_id, count(*) AS pages, count(*) FILTER (is_worth_following) AS worth FROM listed GROUP BY 1""")
 def list_by_competitor(spark, sf):
     return listed(spark, sf).groupBy("competitor_id").agg(
@@ -153,9 +167,12 @@ def metrics_review(spark, sf):
     return every.unionByName(active.select(F.lit("active").alias("scope"), "*"))
 
 
-@query("competitor_list", f"""WITH {I.COMPETITORS_SQL} SELECT id, name, domain, is_enabled FROM competitors WHERE NOT is_deleted AND is_enabled""")
+@query("competitor_list", f"""WITH {I.COMPETITORS_SQL} SELECT id, name, domain, is_enabled, row_number() OVER (ORDER BY name, id) - 1 AS place
+FROM competitors WHERE NOT is_deleted AND is_enabled""")
 def competitor_list(spark, sf):
-    return list_competitors(I.competitors(spark, sf), enabled_only=True).select("id", "name", "domain", "is_enabled")
+    """The order as well: the ordered rows lie in partitions that follow each other."""
+    rows = list_competitors(I.competitors(spark, sf), enabled_only=True)
+    return placed(rows).select("id", "name", "domain", "is_enabled", "place")
 
 
 @query("competitor_count", f"WITH {I.COMPETITORS_SQL} SELECT count(*) AS competitors FROM competitors WHERE NOT is_deleted")
@@ -202,3 +219,46 @@ newest AS (SELECT * FROM all_pages ORDER BY first_seen_at DESC, id DESC LIMIT 50
 SELECT chr(65279) || '{csv_header()}' AS line UNION ALL SELECT {" || ',' || ".join(_cell(v) for v in CSV_VALUES)} FROM newest""")
 def csv_export(spark, sf):
     return export_lines(listed(spark, sf, discovered=False), EXPORT_LIMIT).select("line")
+
+
+@query("csv_first_page", f"""{LIST_SQL},
+newest AS (SELECT *, row_number() OVER (ORDER BY first_seen_at DESC, id DESC) AS line_no FROM listed)
+SELECT 0 AS line_no, chr(65279) || '{csv_header()}' AS line UNION ALL SELECT line_no, {" || ',' || ".join(_cell(v) for v in CSV_VALUES)} FROM newest WHERE line_no <= 20""")
+def csv_first_page(spark, sf):
+    """The newest twenty lines with their numbers."""
+    return export_lines(listed(spark, sf), 20)
+
+
+@query("csv_written", f"""{LIST_SQL},
+lines AS (SELECT 0 AS n, chr(65279) || '{csv_header()}' AS line UNION ALL
+  SELECT row_number() OVER (ORDER BY first_seen_at DESC, id DESC), {" || ',' || ".join(_cell(v) for v in CSV_VALUES)} FROM all_pages)
+SELECT n + 1 AS n, line, (SELECT sum(strlen(line) + 2) FROM lines)::BIGINT AS file_bytes FROM lines""")
+def csv_written(spark, sf):
+    """Export all pages, then read the files' bytes back: lines with their place, and the bytes that were written."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    export_pages(listed(spark, sf, discovered=False), path)
+    files = read_export(spark, path)
+    size = files.agg(F.sum(F.length("content"))).first()[0]
+    lines = files.select("file", F.posexplode(F.split(F.col("content").cast("string"), "\r\n", -1)).alias("at", "line")).filter("line <> ''")
+    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file").agg(F.count(F.lit(1)).alias("m")).select("file", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(before), "file").select(
+        (F.col("before") + F.col("at") + 1).alias("n"), "line", F.lit(size).cast("bigint").alias("file_bytes"))
+
+
+@query("state_written", f"""WITH {I.COMPETITORS_SQL}, {I.state_pages_sql(None)}
+SELECT id, CASE WHEN page_id < 10 THEN 'moved' ELSE current_url END AS current_url, lifecycle_status, competitor_id IN (SELECT id FROM competitors WHERE is_deleted) AS gone FROM state_pages""")
+def state_written(spark, sf):
+    """Write the state, read it back, apply ten redirects, write what they change, and read the pages again."""
+    root = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    write_state({name: conform(df, name) for name, df in state(spark, sf).items()}, root, buckets=16)
+    stored = stored_tables(spark, root)
+    ten = stored["pages"].filter(F.col("id").cast("bigint") < 10)
+    results = ten.select(F.col("id").alias("page_id"), F.lit("success").alias("fetch_status"), F.lit("moved").alias("final_url"),
+                         F.array("current_url").alias("redirect_chain"))
+    moved, _ = apply_redirects(ten, results, now())
+    write_changes({"pages": moved}, root)
+    after = stored_tables(spark, root)
+    gone = after["competitors"].filter("deleted_at IS NOT NULL").select(F.col("id").alias("competitor_id"), F.lit(True).alias("gone"))
+    return join_dimension(after["pages"], gone, ["competitor_id"], ["id"], "left").select(
+        "id", "current_url", "lifecycle_status", F.coalesce("gone", F.lit(False)).alias("gone"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitetide.operators.analysis import rule_provider
+from sitetide.operators.windows import first_wins
 from sitetide.plans.reports import dashboard, list_pages
 from sitetide.plans.scan import discover_roots, run_scans
 from sitetide.queries import inputs as I
@@ -15,42 +16,64 @@ from sitetide.queries.registry import query
 from sitetide.schemas import TABLES, conform, empty_table
 
 
+def _kind():
+    """A number from 0 to 15 for each site. Four kinds have no enabled source: 1 and 9 declare one in robots.txt (that of 9 is stored
+    already, switched off), 5 answers at a common path, 13 does neither."""
+    return F.conv(F.substring(F.md5("domain"), 1, 1), 16, 10).cast("int")
+
+
+def _no_source():
+    return _kind() % 4 == 1
+
+
 def site_state(spark, sf):
-    """One competitor per site with its sitemap.xml as source and four of five pages already known."""
+    """One competitor per host, most with their sitemap.xml as source, and four of five pages already known."""
     t = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
     sites = SQ.seeds(spark, sf)
     competitors = conform(sites.select(
         F.col("competitor_id").alias("id"), F.col("competitor_id").alias("name"), "domain", F.lit(True).alias("is_enabled"),
         (F.length("domain") % 3 != 0).alias("baseline_established"), t.alias("created_at"), t.alias("updated_at")), "competitors")
-    sources = conform(sites.select(
+    sources = conform(sites.filter(~_no_source() | (_kind() == 9)).select(
         F.col("source_id").alias("id"), "competitor_id", "url", F.col("url").alias("normalized_url"), F.lit("manual").alias("source_type"),
-        F.lit(True).alias("is_enabled"), F.lit(False).alias("is_discovered"), t.alias("created_at"), t.alias("updated_at")), "sitemap_sources")
-    site = F.concat("competitor_id", F.lit("/b"), F.expr(f"CAST(CAST(id AS BIGINT) DIV {SQ.BLOCK} AS STRING)"))
-    pages = I.state_pages(spark, sf).filter("deleted_at IS NULL").withColumn("competitor_id", site)
-    pages = pages.filter(F.length(F.split("competitor_id", "/")[0]) % 3 != 0).dropDuplicates(["competitor_id", "normalized_url"])
+        (~_no_source()).alias("is_enabled"), F.lit(False).alias("is_discovered"), t.alias("created_at"), t.alias("updated_at")), "sitemap_sources")
+    pages = I.state_pages(spark, sf).filter("deleted_at IS NULL").filter(F.length("competitor_id") % 3 != 0)
+    pages = first_wins(pages, ["competitor_id", "normalized_url"], [F.col("id").cast("bigint").asc()])
     return {name: empty_table(spark, name) for name in TABLES} | {
         "competitors": competitors, "sitemap_sources": sources, "pages": pages}
 
 
 def landed(spark, sf):
     none = F.lit(None).cast("string")
+    rest = [none.alias("location"), none.alias("content_type")]
     sitemaps = SQ.sitemap_docs(spark, sf).select(
-        "competitor_id", "url", "status", none.alias("location"), none.alias("content_type"), "content_length", "body", "error")
+        "competitor_id", "url", "status", *rest, "content_length", "body", "error")
+    base = F.concat(F.lit("https://"), "domain")
+    declares, answers = _kind().isin(1, 9), _kind() == 5
+    files = F.array(
+        F.struct(F.concat(base, F.lit("/robots.txt")).alias("url"), F.when(declares, 200).otherwise(404).alias("status"),
+                 F.concat(F.lit("User-agent: *\nSitemap: "), base, F.lit("/sitemap.xml\n")).alias("body")),
+        F.struct(F.concat(base, F.lit("/sitemap.xml")).alias("url"), F.when(answers, 200).otherwise(410).alias("status"),
+                 F.rpad(F.lit("<sitemapindex>"), 5000, " ").alias("body")))
+    roots = SQ.seeds(spark, sf).filter(_no_source()).select("competitor_id", F.inline(files)).select(
+        "competitor_id", "url", "status", *rest, none.alias("content_length"), "body", none.alias("error"))
     pid = F.col("page_id")
-    pages = I.spread(I.read(spark, sf, "pages")).select(
+    pages = I.read(spark, sf, "pages").select(
         I.host().alias("competitor_id"), F.col("url"), F.when(pid % 10 == 5, F.lit(404)).otherwise(F.lit(200)).alias("status"), none.alias("location"),
         F.lit("text/html").alias("content_type"), none.alias("content_length"), F.col("html").alias("body"), none.alias("error"))
-    return {"sitemaps": sitemaps, "pages": pages, "roots": sitemaps.filter(F.endswith("url", F.lit("/robots.txt")))}
+    return {"sitemaps": sitemaps, "pages": pages, "roots": roots}
 
 
 def scanned(spark, sf):
     return run_scans(site_state(spark, sf), landed(spark, sf), I.AS_OF, provider=rule_provider, model="rules")
 
 
-SCAN_SQL = f"""{SQ.VISITS_SQL}, done AS (SELECT v.host, h.h, bool_and(error_code IS NULL) AS is_complete, length(h.h) % 3 <> 0 AS based, count(*) AS sitemap_count
-  FROM v JOIN hosts h USING (host) GROUP BY 1, 2),
-existing AS (SELECT host, normalized_url, any_value(lifecycle_status) AS status, any_value(streak) AS streak FROM (
-  SELECT {I.HOST_SQL} || '/b' || page_id // {SQ.BLOCK} AS host, {I.norm_sql('url')} AS normalized_url,
+KIND_SQL = "(strpos('0123456789abcdef', substr(md5(host), 1, 1)) - 1)"
+
+# Sites of kinds 9 and 13 have no enabled source, and none is found: they are not scanned.
+SCAN_SQL = f"""{SQ.VISITS_SQL}, done AS (SELECT host, bool_and(error_code IS NULL) AS is_complete, length(host) % 3 <> 0 AS based, count(*) AS sitemap_count
+  FROM v WHERE {KIND_SQL} NOT IN (9, 13) GROUP BY 1),
+existing AS (SELECT host, normalized_url, arg_min(lifecycle_status, page_id) AS status, arg_min(streak, page_id) AS streak FROM (
+  SELECT {I.HOST_SQL} AS host, {I.norm_sql('url')} AS normalized_url, page_id,
     CASE page_id % 4 WHEN 0 THEN 'baseline' WHEN 1 THEN 'active' WHEN 2 THEN 'new' ELSE 'missing' END AS lifecycle_status,
     CASE WHEN page_id % 4 = 3 THEN 2 ELSE page_id % 2 END AS streak
   FROM pages WHERE page_id % 5 <> 0 AND page_id % 11 <> 0 AND length({I.HOST_SQL}) % 3 <> 0) GROUP BY 1, 2),
@@ -86,11 +109,29 @@ SELECT lifecycle_status, count(*) AS pages FROM (
   SELECT CASE WHEN NOT based THEN 'baseline' WHEN change = 'new' THEN 'new' WHEN change = 'reappeared' THEN 'reappeared' WHEN change = 'gone' THEN 'missing'
     WHEN c.url IS NOT NULL AND e.host IS NOT NULL THEN 'active' ELSE e.status END AS lifecycle_status
   FROM class c LEFT JOIN existing e ON e.host = c.host AND e.normalized_url = c.normalized_url
-  WHERE e.host IS NOT NULL OR change = 'new' OR (NOT based AND is_complete)) GROUP BY 1""")
+  WHERE e.host IS NOT NULL OR change = 'new' OR (NOT based AND is_complete)
+  UNION ALL SELECT status FROM existing WHERE host NOT IN (SELECT host FROM done)) GROUP BY 1""")
 def run_scan_pages(spark, sf):
     return scanned(spark, sf).state["pages"].groupBy("lifecycle_status").agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query("run_scan_rejects", f"""WITH {SQ.PARTS_SQL}
+SELECT host AS competitor_id, 'NO_SITEMAP' AS code FROM hosts WHERE {KIND_SQL} IN (9, 13)""")
+def run_scan_rejects(spark, sf):
+    return scanned(spark, sf).rejects
+
+
+@query("run_scan_sources", f"""WITH {SQ.PARTS_SQL}, root AS (
+  SELECT host, 'https://' || host || '/sitemap.xml' AS url,
+    CASE WHEN {KIND_SQL} % 4 <> 1 OR {KIND_SQL} = 9 THEN 'manual' WHEN {KIND_SQL} = 1 THEN 'robots' WHEN {KIND_SQL} = 5 THEN 'common_path' END AS kind FROM hosts)
+SELECT host AS competitor_id, url AS normalized_url, kind AS source_type, {KIND_SQL} <> 9 AS is_enabled FROM root WHERE kind IS NOT NULL
+UNION ALL SELECT host, url, 'sitemap_index_child', TRUE FROM docs WHERE parent IS NOT NULL AND {KIND_SQL} NOT IN (9, 13)""")
+def run_scan_sources(spark, sf):
+    """Stored sources after a scan: found roots and listed children come in; a switched-off source stays as it is."""
+    sources = scanned(spark, sf).state["sitemap_sources"]
+    return sources.select("competitor_id", "normalized_url", "source_type", "is_enabled")
+
+
 @query("discover_roots", f"""WITH {SQ.ROBOTS_SQL}
 SELECT host AS competitor_id, 'https://' || host || '/map-' || n || '.xml' AS normalized_url, 'robots' AS source_type FROM robots WHERE n % 3 <> 0 AND n % 2 = 0
 UNION ALL SELECT host, 'https://' || host || '/sitemap.xml', 'common_path' FROM robots WHERE n % 3 <> 0""")

@@ -12,6 +12,7 @@ from sitetide.operators.fetches import fetch_targets
 from sitetide.operators.lifecycle import append_events, without_event
 from sitetide.operators.sitemap_sources import manual_urls
 from sitetide.operators.sitemap_sources import sources_of_scan as sources_for
+from sitetide.operators.windows import placed
 from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 from sitetide.schemas import conform, empty_table
@@ -252,14 +253,18 @@ def create_competitors(spark, sf):
         rejects.select(F.col("code").alias("kind"), "name", "domain")).unionByName(sources)
 
 
-UPDATE_SQL = f"""WITH {RUNS_SQL}, asked AS (
-  SELECT CAST(c_custkey + 1 AS VARCHAR) AS id, c_custkey + 1 AS k, CASE c_custkey % 4 WHEN 0 THEN 'n' || c_custkey || '.example.org' WHEN 1 THEN 'c' || c_custkey + 1 || '.example.com'
-    WHEN 2 THEN 'c' || c_custkey + 3 || '.example.com' ELSE '' END AS domain FROM customer),
-checked AS (SELECT a.*, CASE WHEN c.id IS NULL OR c.is_deleted THEN 'COMPETITOR_NOT_FOUND' WHEN a.domain = '' THEN 'COMPETITOR_DOMAIN_INVALID'
-    WHEN a.domain <> 'c' || a.k || '.example.com' AND a.k % 3 = 0 THEN 'COMPETITOR_DOMAIN_FROZEN'
-    WHEN a.domain <> 'c' || a.k || '.example.com' AND a.domain IN (SELECT 'c' || k || '.example.com' FROM cust WHERE NOT is_deleted) THEN 'COMPETITOR_DOMAIN_CONFLICT' END AS code
-  FROM asked a LEFT JOIN cust c ON c.id = a.id),
-ok AS (SELECT *, domain <> 'c' || k || '.example.com' AS changed FROM checked WHERE code IS NULL)"""
+UPDATE_SQL = f"""WITH {RUNS_SQL}, one AS (
+  SELECT c_custkey AS c, c_custkey + 1 AS k, CASE WHEN c_custkey % 20 IN (0, 4, 8) THEN 'n' || c_custkey // 20 || '.example.net' ELSE
+    CASE c_custkey % 4 WHEN 0 THEN 'n' || c_custkey || '.example.org' WHEN 1 THEN 'c' || c_custkey + 1 || '.example.com' WHEN 2 THEN 'c' || c_custkey + 3 || '.example.com' ELSE '' END END AS domain FROM customer),
+asked AS (SELECT k, CAST(k AS VARCHAR) AS id, domain FROM one UNION SELECT k, CAST(k AS VARCHAR), 'zz' || k // 100 || '.example.org' FROM one WHERE c % 10 = 5),
+ranked AS (SELECT *, domain <> 'c' || k || '.example.com' AS changed, row_number() OVER (PARTITION BY id ORDER BY nullif(domain, '') NULLS LAST) AS ask FROM asked),
+alone AS (SELECT a.*, CASE WHEN c.id IS NULL OR c.is_deleted THEN 'COMPETITOR_NOT_FOUND' WHEN ask > 1 THEN 'COMPETITOR_ASKED_TWICE' WHEN a.domain = '' THEN 'COMPETITOR_DOMAIN_INVALID'
+    WHEN changed AND a.k % 3 = 0 THEN 'COMPETITOR_DOMAIN_FROZEN'
+    WHEN changed AND a.domain IN (SELECT 'c' || k || '.example.com' FROM cust WHERE NOT is_deleted) THEN 'COMPETITOR_DOMAIN_CONFLICT' END AS own
+  FROM ranked a LEFT JOIN cust c ON c.id = a.id),
+wins AS (SELECT domain, min(id) AS winner FROM alone WHERE own IS NULL AND changed GROUP BY 1),
+checked AS (SELECT a.id, a.k, a.domain, a.changed, coalesce(own, CASE WHEN changed AND a.id <> winner THEN 'COMPETITOR_DOMAIN_CONFLICT' END) AS code FROM alone a LEFT JOIN wins USING (domain)),
+ok AS (SELECT * FROM checked WHERE code IS NULL)"""
 
 
 @query("update_competitors", f"""{UPDATE_SQL}
@@ -268,15 +273,21 @@ UNION ALL SELECT 'reject', id, code FROM checked WHERE code IS NOT NULL
 UNION ALL SELECT 'source', r.id, CASE WHEN ok.id IS NULL OR NOT ok.changed AND r.k % 2 = 1 THEN 'on' ELSE 'off' END FROM runs r LEFT JOIN ok ON ok.id = r.competitor_id
 UNION ALL SELECT 'added', ok.id, 'https://' || domain || '/new.xml' FROM ok""")
 def update_competitors(spark, sf):
+    """Every customer asks for another one; some ask twice, some for a domain that others ask for as well, some the same again."""
     key = F.col("id").cast("bigint")
     text = key.cast("string")
     domain = (
-        F.when(key % 4 == 0, F.concat(F.lit("n"), text, F.lit(".example.org")))
+        F.when((key % 20).isin(0, 4, 8), F.concat(F.lit("n"), F.expr("CAST(CAST(id AS BIGINT) DIV 20 AS STRING)"), F.lit(".example.net")))
+        .when(key % 4 == 0, F.concat(F.lit("n"), text, F.lit(".example.org")))
         .when(key % 4 == 1, F.concat(F.lit("c"), (key + 1).cast("string"), F.lit(".example.com")))
         .when(key % 4 == 2, F.concat(F.lit("c"), (key + 3).cast("string"), F.lit(".example.com"))).otherwise(F.lit(""))
     )
-    changes = customers(spark, sf).select(
-        (key + 1).cast("string").alias("id"), F.lit(" New ").alias("name"), domain.alias("domain"), F.lit(True).alias("is_enabled")
+    rows = customers(spark, sf)
+    second = F.concat(F.lit("zz"), F.expr("CAST((CAST(id AS BIGINT) + 1) DIV 100 AS STRING)"), F.lit(".example.org"))
+    asks = rows.withColumn("domain", domain)
+    asks = asks.unionByName(asks.filter(key % 7 == 0)).unionByName(rows.filter(key % 10 == 5).withColumn("domain", second))
+    changes = asks.select(
+        (key + 1).cast("string").alias("id"), F.lit(" New ").alias("name"), "domain", F.lit(True).alias("is_enabled")
     ).withColumn("sitemap_urls", F.array(F.concat(F.lit("https://"), "domain", F.lit("/new.xml"))))
     after, rejects = C.update_competitors(customer_state(spark, sf), changes, now())
     sources = after["sitemap_sources"]
@@ -381,9 +392,10 @@ def sources_of_scan(spark, sf):
 
 
 @query("manual_urls", """
-SELECT CAST(o_custkey AS VARCHAR) AS competitor_id, 'https://c' || o_custkey || '.example.com/s' || o_orderkey || '.xml' AS url FROM orders WHERE o_orderkey % 2 = 0""")
+SELECT CAST(o_custkey AS VARCHAR) AS competitor_id, 'https://c' || o_custkey || '.example.com/s' || o_orderkey || '.xml' AS url,
+  row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR), o_orderdate, 's' || o_orderkey || '.xml') - 1 AS place FROM orders WHERE o_orderkey % 2 = 0""")
 def manual_sitemaps(spark, sf):
-    return manual_urls(supplier_sources(spark, sf)).select("competitor_id", "url")
+    return placed(manual_urls(supplier_sources(spark, sf))).select("competitor_id", "url", "place")
 
 
 @query("fetch_targets", """
@@ -424,7 +436,9 @@ def pipeline_count_write(spark, sf):
 
 
 @query("fail_scans", """
-SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'running' WHEN o_orderstatus = 'O' THEN 'success' ELSE 'partial_success' END AS status,
+SELECT 'site' AS kind, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 6 = 0) THEN 'failed' END AS status,
+  CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 6 = 0) THEN 1 ELSE 0 END::BIGINT AS total_url_count, NULL AS error_summary FROM customer
+UNION ALL SELECT 'run', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 6 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'running' WHEN o_orderstatus = 'O' THEN 'success' ELSE 'partial_success' END AS status,
   CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_orderkey % 1000 END AS total_url_count,
   CASE WHEN o_orderkey % 12 = 0 THEN 'Unknown scan error' WHEN o_orderkey % 6 = 0 THEN 'broken' WHEN o_orderkey % 10 = 0 THEN 'kept' END AS error_summary FROM orders""")
 def fail_scans(spark, sf):
@@ -432,5 +446,8 @@ def fail_scans(spark, sf):
     key = F.col("id").cast("bigint")
     failures = runs.filter(key % 6 == 0).select(
         F.col("id").alias("scan_run_id"), "competitor_id", F.when(key % 12 != 0, F.lit("broken")).alias("message"))
-    after, _ = S.fail_scans(runs, customers(spark, sf), failures, now())
-    return after.select("id", "status", "total_url_count", "error_summary")
+    after, sites = S.fail_scans(runs, customers(spark, sf), failures, now())
+    at_now = F.coalesce(F.col("last_scanned_at") == now(), F.lit(False)).cast("bigint")
+    return after.select(F.lit("run").alias("kind"), "id", "status", "total_url_count", "error_summary").unionByName(sites.select(
+        F.lit("site").alias("kind"), "id", F.col("last_scan_status").alias("status"), at_now.alias("total_url_count"),
+        F.lit(None).cast("string").alias("error_summary")))

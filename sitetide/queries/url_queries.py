@@ -12,9 +12,21 @@ from sitetide.queries import inputs as I
 from sitetide.queries.registry import query
 
 
-@query("normalize_url", f"WITH {I.VARIANTS_SQL} SELECT page_id, variant, {I.norm_sql('url')} AS normalized_url FROM v")
+# Labels that the newer rules for international hosts keep or refuse, and their ASCII form.
+LABELS = [("stra\u00dfe", "xn--strae-oqa"), ("\u03b2\u03cc\u03bb\u03bf\u03c2", "xn--nxasmm1c"), ("M\u00dcNCHEN", "xn--mnchen-3ya"),
+          ("\u0dc1\u0dca\u200d\u0dbb\u0dd3", "xn--10cl1a0b660p"), ("\u0646\u0627\u0645\u0647\u200c\u0627\u06cc", "xn--mgba3gch31f060k"), ("a\u200cb", None)]
+
+
+@query("normalize_url", f"""WITH {I.VARIANTS_SQL}
+SELECT page_id, variant, {I.norm_sql('url')} AS normalized_url FROM v
+{" ".join(f"UNION ALL SELECT page_id, {i}, " + ("NULL" if to is None else f"replace({I.norm_sql('url')}, '://', '://{to}.')") + " FROM pages" for i, (_, to) in enumerate(LABELS, 5))}""")
 def normalize_url(spark, sf):
-    return I.url_variants(spark, sf).select("page_id", "variant", U.normalize_url("url").alias("normalized_url"))
+    """Every page URL in five spellings, and below six international labels."""
+    pages = I.read(spark, sf, "pages")
+    below = F.array(*[F.replace("url", F.lit("://"), F.lit(f"://{label}.")) for label, _ in LABELS])
+    international = pages.select("page_id", F.posexplode(below).alias("at", "url")).select("page_id", (F.col("at") + 5).cast("bigint").alias("variant"), "url")
+    rows = I.url_variants(spark, sf).select("page_id", "variant", "url").unionByName(international)
+    return rows.select("page_id", "variant", U.normalize_url("url").alias("normalized_url"))
 
 
 @query("normalize_domain", f"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import csv_cell
 from sitetide.functions.times import iso_utc
 from sitetide.operators.pages import list_order
+from sitetide.operators.windows import placed
 
 # Fixed value: the rows that the reporting page exports.
 EXPORT_LIMIT = 5_000
@@ -49,18 +50,31 @@ def csv_header() -> str:
     return ",".join(f'"{title}"' for title in EXPORT_COLUMNS)
 
 
+def _ordered_lines(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The lines in their order: the header is a row of the one sort that orders the pages."""
+    listed = rows if limit is None else rows.orderBy(*list_order()).limit(limit)
+    none = F.lit(None)
+    header = rows.sparkSession.range(1).select(
+        F.lit(True).alias("_head"), none.cast(rows.schema["first_seen_at"].dataType).alias("first_seen_at"), none.cast("string").alias("id"),
+        F.lit(BOM + csv_header()).alias("line"))
+    body = listed.select(F.lit(False).alias("_head"), "first_seen_at", "id", csv_line(rows).alias("line"))
+    return header.unionByName(body).orderBy(F.col("_head").desc(), *list_order())
+
+
 def export_lines(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """(line_no, line): the BOM-marked header, then the pages in list order; the newest ``limit`` if one is given."""
-    ordered = rows.orderBy(*list_order())
-    body = (ordered if limit is None else ordered.limit(limit)).select(
-        (F.monotonically_increasing_id() + 1).alias("line_no"), csv_line(rows).alias("line"))
-    header = rows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"), F.lit(BOM + csv_header()).alias("line"))
-    return header.unionByName(body)
+    return placed(_ordered_lines(rows, limit), "line_no").select("line_no", "line")
 
 
 def export_pages(rows: DataFrame, path: str, limit: int | None = None) -> None:
-    """Write CSV text: UTF-8 with BOM, CRLF line breaks, every cell quoted. One file with a limit; without one, files
-    whose names follow the order of the lines."""
-    lines = export_lines(rows, limit)
-    lines = lines.orderBy("line_no") if limit is None else lines.coalesce(1).sortWithinPartitions("line_no")
-    lines.select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    """Write CSV text: UTF-8 with BOM, CRLF line breaks, every cell quoted.
+
+    The lines are ordered once, by ranges; each range is a file, and the files' names follow the order. The first one
+    begins with the header. A file counts when Spark's committer has moved it into the folder.
+    """
+    _ordered_lines(rows, limit).select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of a written export: the bytes of its files, whose order is that of their names."""
+    return spark.read.format("binaryFile").load(f"{path}/part-*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")

@@ -13,6 +13,7 @@ from sitetide.functions.urls import canonical_url, inspect_url
 from sitetide.sources.tables import too_large
 
 UNSUPPORTED_XML = "Unsupported Sitemap XML: expected urlset or sitemapindex"
+# The sizes that a live crawler reads of a robots.txt and of a response at a common path.
 ROBOTS_MAX_BYTES = 250_000
 PREVIEW_MAX_BYTES = 4_096
 
@@ -115,15 +116,15 @@ def parse_sitemaps(
     return ParsedSitemaps(exploded_nodes(parsed, "urlset", keys), exploded_nodes(parsed, "sitemapindex", keys), status)
 
 
-def parse_robots(robots: DataFrame) -> DataFrame:
+def parse_robots(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(competitor_id, domain, url, normalized_url, source_type, line) of usable Sitemap declarations.
 
-    Input: competitor_id, domain, status, body, content_length, error. Failed or oversized files give
-    nothing; malformed or off-domain declarations are ignored.
+    Input: competitor_id, domain, status, body, content_length, error. Failed files, and with ``max_bytes`` larger ones,
+    give nothing; malformed or off-domain declarations are ignored.
     """
     usable = robots.filter(
         F.col("status").between(200, 299) & F.col("error").isNull()
-        & ~too_large("body", "content_length", ROBOTS_MAX_BYTES)
+        & ~too_large("body", "content_length", max_bytes)
     )
     lines = usable.select("competitor_id", "domain", F.posexplode(F.split("body", "\r?\n", -1)).alias("line", "text"))
     declared = rf"(?i)^[{WHITESPACE}]*Sitemap[{WHITESPACE}]*:[{WHITESPACE}]*([^{WHITESPACE}]+)[{WHITESPACE}]*$"
@@ -143,10 +144,10 @@ def parse_robots(robots: DataFrame) -> DataFrame:
     )
 
 
-def probe_common_paths(domains: DataFrame, landed: DataFrame) -> DataFrame:
+def probe_common_paths(domains: DataFrame, landed: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Common sitemap locations of each domain whose landed response looks like a sitemap.
 
-    The preview is limited to 4,096 bytes; a longer body counts as a failed probe.
+    With ``max_bytes`` a longer body counts as a failed probe.
     """
     candidates = domains.select(
         "competitor_id",
@@ -157,7 +158,7 @@ def probe_common_paths(domains: DataFrame, landed: DataFrame) -> DataFrame:
     hits = landed.filter(
         F.col("status").between(200, 299)
         & F.col("error").isNull()
-        & ~too_large("body", "content_length", PREVIEW_MAX_BYTES)
+        & ~too_large("body", "content_length", max_bytes)
         & F.col("body").rlike("(?i)<(?:urlset|sitemapindex)(?![A-Za-z0-9_])")
     ).select("competitor_id", canonical_url("url").alias("_key")).distinct()
     return (

@@ -15,6 +15,7 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
 
 
 def read_state(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Plain tables, one folder each; ``state_store`` reads and writes versioned ones."""
     return {name: read_table(spark, name, f"{root}/{name}", fmt) for name in TABLES}
 
 

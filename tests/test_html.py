@@ -60,7 +60,8 @@ def test_decode_entities(spark, text, expected):
 
 def test_excerpt_limits(spark):
     html = "<html><body>" + "a" * 8200 + "</body></html>"
-    assert len(one(spark, H.content_excerpt("html"), html)) == 8000
+    assert len(one(spark, H.content_excerpt("html"), html)) == 8200
+    assert len(one(spark, H.content_excerpt("html", 8000), html)) == 8000
     assert len(one(spark, H.content_excerpt("html", 100), html)) == 100
     assert one(spark, H.content_excerpt("html"), "<p> </p>") is None
 

@@ -206,8 +206,9 @@ def test_running_scan_blocks_and_stale_one_is_recovered(spark):
 def test_error_summary_is_ordered_and_clipped(spark):
     rows = [("c", f"{i:08X}", f"u{i}", "failed", "m" * 40, None) for i in range(500)] + [("c", "0", "ok", "success", None, None)]
     df = spark.createDataFrame(rows, "competitor_id string, path string, url string, status string, error_message string, error_code string")
-    text = S.error_summary(df, ["competitor_id"]).first()["error_summary"]
-    assert text == "\n".join(f"u{i}: " + "m" * 40 for i in range(500))[:4000]
+    lines = "\n".join(f"u{i}: " + "m" * 40 for i in range(500))
+    for n in (4000, None):
+        assert S.error_summary(df, ["competitor_id"], n).first()["error_summary"] == lines[:n]
 
 
 # --- analysis --------------------------------------------------------------------------------------
@@ -247,7 +248,9 @@ def test_response_reading(spark, body, status, content, error):
 def test_payload_limits(spark):
     pages = frame(spark, "pages", {"id": "p", "current_url": "https://e.com/"})
     seo = frame(spark, "page_seo_data", {"page_id": "p", "fetch_status": "success", "title": "T", "h2": ["h"] * 25, "content_excerpt": "x" * 8500})
-    payload = json.loads(A.analysis_input(pages, seo).first()["payload"])
+    whole = json.loads(A.analysis_input(pages, seo).first()["payload"])
+    assert (len(whole["h2"]), len(whole["contentExcerpt"])) == (25, 8500)
+    payload = json.loads(A.analysis_input(pages, seo, max_h2=20, max_chars=8000).first()["payload"])
     assert list(payload) == ["retryNumber", "url", "title", "metaDescription", "h1", "h2", "pageLanguage", "contentExcerpt"]
     assert (len(payload["h2"]), len(payload["contentExcerpt"]), payload["h1"]) == (20, 8000, None)
 

@@ -76,12 +76,12 @@ def test_robots_and_roots(spark):
     robots = S.parse_robots(spark.createDataFrame(
         [("c1", DOMAIN, 200, body, None, None), ("c2", "other.example", 404, "Sitemap: https://other.example/a.xml", None, None),
          ("c3", "big.example", 200, "Sitemap: https://big.example/a.xml\n" + "x" * 250_000, None, None)],
-        "competitor_id string, domain string, status int, body string, content_length string, error string"))
+        "competitor_id string, domain string, status int, body string, content_length string, error string"), S.ROBOTS_MAX_BYTES)
     landed = spark.createDataFrame(
         [("c1", f"{BASE}/sitemap.xml", 200, None, "<URLSET x>", None), ("c1", f"{BASE}/wp-sitemap.xml", 200, None, "<sitemapindex>", None),
          ("c1", f"{BASE}/sitemap_index.xml", 200, None, "<urlset>" + " " * 4096, None)],
         "competitor_id string, url string, status int, content_length string, body string, error string")
-    common = S.probe_common_paths(spark.createDataFrame([("c1", DOMAIN)], "competitor_id string, domain string"), landed)
+    common = S.probe_common_paths(spark.createDataFrame([("c1", DOMAIN)], "competitor_id string, domain string"), landed, S.PREVIEW_MAX_BYTES)
     roots = S.root_candidates(robots, common).orderBy("root_order").collect()
     assert [(r["normalized_url"], r["url"], r["source_type"]) for r in roots] == [
         (f"{BASE}/b.xml", f"{BASE}/b.xml", "robots"),
@@ -131,12 +131,14 @@ def test_overlapping_sets_count_a_page_once(spark):
 
 
 def test_failures_make_the_scan_incomplete(spark):
-    docs = {f"{BASE}/sitemap.xml": (200, index(f"{BASE}/missing.xml", "not-a-url")), f"{BASE}/missing.xml": (503, "missing")}
-    out = expand_sitemaps(seeds_frame(spark, [f"{BASE}/sitemap.xml"]), docs_frame(spark, docs))
+    docs = {f"{BASE}/all.xml": (200, index("::", f"{BASE}/roses.xml", f"{BASE}/herbs.xml", f"{BASE}/gone.xml")),
+            f"{BASE}/roses.xml": (429, "slow down"), f"{BASE}/herbs.xml": (200, "<html>")}
+    out = expand_sitemaps(seeds_frame(spark, [f"{BASE}/all.xml"]), docs_frame(spark, docs))
     visits = out.visits.orderBy("path").collect()
     assert [(v["error_code"], v["error_message"], v["http_status"]) for v in visits] == [
-        (None, None, 200), ("SITEMAP_HTTP_ERROR", "HTTP 503", 503), ("SITEMAP_URL_REJECTED", "Invalid URL", None)]
-    assert [c["url"] for c in out.children.collect()] == [f"{BASE}/missing.xml"]
+        (None, None, 200), ("SITEMAP_URL_REJECTED", "Invalid URL", None), ("SITEMAP_HTTP_ERROR", "HTTP 429", 429),
+        ("SITEMAP_FETCH_FAILED", S.UNSUPPORTED_XML, None), ("SITEMAP_FETCH_FAILED", "No landed response", None)]
+    assert [c["url"] for c in out.children.orderBy("path").collect()] == [f"{BASE}/{n}.xml" for n in ("roses", "herbs", "gone")]
     assert not scan_complete(out.visits, ["competitor_id"]).first()["is_complete"]
 
 
