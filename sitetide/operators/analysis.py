@@ -283,7 +283,7 @@ Provider = Callable[[DataFrame], DataFrame]
 def batched(ask: Callable[[pd.Series], pd.Series]) -> Provider:
     """A provider from a function over Arrow batches: payload JSON texts to chat-response JSON texts.
 
-    What a batch raises becomes an error response for each of its rows.
+    If a batch raises, its rows are asked for one by one; what then raises becomes the error response of that row alone.
     """
 
     def provider(inputs: DataFrame) -> DataFrame:
@@ -291,12 +291,17 @@ def batched(ask: Callable[[pd.Series], pd.Series]) -> Provider:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             import json
 
+            def one(payload: str) -> tuple[int, str]:
+                try:
+                    return 200, ask(pd.Series([payload])).iloc[0]
+                except Exception as error:
+                    return 500, json.dumps({"error": {"message": str(error)}})
+
             for payloads in batches:
                 try:
                     yield pd.DataFrame({"http_status": 200, "body": ask(payloads).to_numpy()})
-                except Exception as error:
-                    body = json.dumps({"error": {"message": str(error)}})
-                    yield pd.DataFrame({"http_status": [500] * len(payloads), "body": [body] * len(payloads)})
+                except Exception:
+                    yield pd.DataFrame([one(p) for p in payloads], columns=["http_status", "body"])
 
         return inputs.select("page_id", run("payload").alias("r")).select("page_id", "r.http_status", "r.body")
 

@@ -13,6 +13,7 @@ from sitetide.operators.joins import join_dimension
 from sitetide.operators.merge import merge_by_key, take
 from sitetide.operators.windows import first_wins
 from sitetide.schemas import conform
+from sitetide.session import cut_lineage
 
 CONFLICT = "COMPETITOR_DOMAIN_CONFLICT"
 INVALID_DOMAIN = "COMPETITOR_DOMAIN_INVALID"
@@ -121,18 +122,18 @@ def update_competitors(state: State, changes: DataFrame, as_of: Column) -> Chang
     changed = F.col("domain") != F.col("_domain")
     conflicts = domain_conflicts(asked.filter(changed).select("id", "domain"), state["competitors"]).select(
         "id", F.lit(True).alias("_conflict"))
-    alone = asked.join(conflicts, "id", "left").withColumn(
+    alone = cut_lineage(asked.join(conflicts, "id", "left").withColumn(
         "code",
         F.when(F.col("_domain").isNull(), F.lit(NOT_FOUND))
         .when(F.col("_ask") > 1, F.lit(REPEATED))
         .when(F.col("domain").isNull(), F.lit(INVALID_DOMAIN))
         .when(changed & F.col("_frozen"), F.lit(FROZEN_DOMAIN))
         .when(F.col("_conflict") & changed, F.lit(CONFLICT)),
-    )
+    ))
     # who asks for a domain that somebody else gets in this call, or has already
     wins = alone.filter(F.col("code").isNull() & changed).groupBy("domain").agg(F.min("id").alias("_winner"))
-    checked = alone.join(wins, "domain", "left").withColumn(
-        "code", F.coalesce("code", F.when(changed & (F.col("id") != F.col("_winner")), F.lit(CONFLICT)))).drop("_winner", "_ask")
+    checked = cut_lineage(alone.join(wins, "domain", "left").withColumn(
+        "code", F.coalesce("code", F.when(changed & (F.col("id") != F.col("_winner")), F.lit(CONFLICT)))).drop("_winner", "_ask"))
     accepted = checked.filter(F.col("code").isNull()).withColumn("_changed", changed)
     competitors = merge_by_key(
         state["competitors"], accepted.select("id", "name", "domain", "is_enabled"), ["id"], insert=False,

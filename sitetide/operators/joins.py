@@ -34,10 +34,11 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", hot_rows: int = H
     ``counts`` has one row a key, its number of rows in ``n``. The bound rises with the sum of the numbers where needed, so that
     there are never more than HOT_KEYS such keys: the table is small at every size.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    total, most = counts.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     bound = max(hot_rows, -(-total // HOT_KEYS))
-    hot = cut_lineage(counts.filter(F.col(n) > bound).select(*keys, F.ceil(F.col(n) / bound).alias("_salts")))
-    return None if hot.isEmpty() else hot
+    if most <= bound:
+        return None
+    return cut_lineage(counts.filter(F.col(n) > bound).select(*keys, F.ceil(F.col(n) / bound).alias("_salts")))
 
 
 def join_hot(

@@ -114,8 +114,8 @@ def establish_baseline(state: State, entries: DataFrame, scans: DataFrame, as_of
     rows = join_dimension(
         entries, scans.select("competitor_id", "scan_run_id"), ["competitor_id"], ["normalized_url"])
     pages = insert_or_ignore(state["pages"], new_page_rows(rows, "baseline", as_of), D.KEY)
-    listed = rows.select(*D.KEY, "scan_run_id", "lastmod", "source_url").join(
-        pages.select(*D.KEY, F.col("id").alias("page_id")), D.KEY)
+    listed = cut_lineage(rows.select(*D.KEY, "scan_run_id", "lastmod", "source_url").join(
+        pages.select(*D.KEY, F.col("id").alias("page_id")), D.KEY))
     missing = without_event(listed, state["page_events"], "baseline_added")
     events = new_events(missing, F.col("page_id"), F.col("scan_run_id"), F.lit("baseline_added"), as_of)
     links = upsert_links(

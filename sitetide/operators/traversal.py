@@ -33,7 +33,7 @@ from sitetide.sources.tables import size_error, too_large
 
 STEP = 8
 #: Levels of a walk that one job computes.
-LEVELS = 4
+LEVELS = 3
 ALREADY_PROCESSED = "Already processed in this scan"
 NOT_LANDED = "No landed response"
 
@@ -159,10 +159,10 @@ def index_paths(starts: DataFrame, edges: DataFrame, max_depth: int | None) -> D
         "competitor_id", F.col("parent").alias("document"), "child", ordinal(F.col("ordinal")).alias("_step")).join(
         parents.withColumnRenamed("document", "child"), ["competitor_id", "child"], "left_semi"))
     smallest = F.min("path").alias("path")
-    best = starts.select("competitor_id", "document", "path").join(parents, ["competitor_id", "document"], "left_semi").groupBy(
+    first = starts.select("competitor_id", "document", "path").join(parents, ["competitor_id", "document"], "left_semi").groupBy(
         "competitor_id", "document").agg(smallest)
-    best = cut_lineage(best)
-    frontier, level = best.withColumn("above", F.array("document")), 0
+    log = cut_lineage(first)  # every path that was the smallest for a time; the smallest of a document counts
+    frontier, level = log.withColumn("above", F.array("document")), 0
     while max_depth is None or level < max_depth:
         levels = LEVELS if max_depth is None else min(LEVELS, max_depth - level)
         reached = None
@@ -170,16 +170,16 @@ def index_paths(starts: DataFrame, edges: DataFrame, max_depth: int | None) -> D
             frontier = _extended(frontier, steps)
             reached = frontier if reached is None else reached.unionByName(frontier)
         level += levels
-        known = best.withColumnRenamed("path", "_known")
+        known = log.groupBy("competitor_id", "document").agg(F.min("path").alias("_known"))
         found = reached.groupBy("competitor_id", "document").agg(F.min(F.struct("path", "above")).alias("p")).select(
             "competitor_id", "document", "p.path", "p.above")
         improved = cut_lineage(found.join(known, ["competitor_id", "document"], "left").filter(
             F.col("_known").isNull() | (F.col("path") < F.col("_known"))).drop("_known"))
-        if improved.isEmpty():
-            break
-        best = cut_lineage(best.unionByName(improved.drop("above")).groupBy("competitor_id", "document").agg(smallest))
+        log = log.unionByName(improved.drop("above"))
         frontier = improved.filter(F.length("path") == (level + 1) * STEP)
-    return best
+        if frontier.isEmpty():
+            break
+    return log.groupBy("competitor_id", "document").agg(smallest)
 
 
 def _met(starts: DataFrame, edges: DataFrame, best: DataFrame, max_depth: int | None) -> DataFrame:

@@ -39,7 +39,7 @@ STATE_TABLES = {
 #: Tables of which all folders together are the state; of ``pending`` the last one is.
 LOGS = ("page_events", "applied_scans")
 #: Parts of the page rows, and batches after which all pages are written together.
-PARTS, COMPACT = 64, 64
+PARTS, COMPACT = 16, 64
 WHOLE = "all_pages"
 
 
@@ -97,7 +97,7 @@ def apply_round(pages: DataFrame, based: DataFrame, scans: DataFrame, entries: D
 
     pages: those of these competitors; based: competitors that had a complete scan before.
     """
-    later = join_dimension(scans, based.withColumn("_based", F.lit(True)), ["competitor_id"], ["scan_run_id"], "left")
+    later = join_dimension(scans, based.distinct().withColumn("_based", F.lit(True)), ["competitor_id"], ["scan_run_id"], "left")
     first = later.filter(F.col("_based").isNull() & F.col("is_complete")).drop("_based")
     later = later.filter("_based").drop("_based")
     as_of = F.col("scanned_at")
@@ -146,16 +146,16 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         rows_, events_ = apply_round(_latest([pages, *changed]) if changed else pages, based, current, listed)
         changed.append(cut_lineage(rows_))
         events = events.unionByName(events_)
-        based = cut_lineage(based.unionByName(current.filter("is_complete").select("competitor_id")).distinct())
+        based = based.unionByName(current.filter("is_complete").select("competitor_id"))
     folder = f"{root}/batch={batch_id}"
     newest = _latest(changed) if changed else pages.limit(0)
-    newest.select(STATE_TABLES["pages"].names).withColumn("part", _part()).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/pages")
+    newest.select(STATE_TABLES["pages"].names).withColumn("part", _part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/pages")
     events.write.mode("overwrite").parquet(f"{folder}/page_events")
     rows.join(turns.select("scan_run_id"), "scan_run_id", "left_anti").select(*SCAN_SCHEMA.names).write.mode("overwrite").parquet(f"{folder}/pending")
     if batch_id % COMPACT == COMPACT - 1:
         own = spark.read.schema(STATE_TABLES["pages"]).parquet(f"{folder}/pages").select(STATE_TABLES["pages"].names)
         every = _latest([*_page_layers(spark, root, versions), own])
-        every.withColumn("part", _part()).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{WHOLE}")
+        every.withColumn("part", _part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{WHOLE}")
     # last, as a batch counts from here on
     turns.select("scan_run_id", "competitor_id", "is_complete").write.mode("overwrite").parquet(f"{folder}/applied_scans")
 

@@ -255,6 +255,18 @@ def test_payload_limits(spark):
     assert (len(payload["h2"]), len(payload["contentExcerpt"]), payload["h1"]) == (20, 8000, None)
 
 
+def test_one_bad_payload_fails_alone(spark):
+    def ask(payloads):
+        if any("bad" in p for p in payloads):
+            raise ValueError("no answer")
+        return payloads.str.upper()
+
+    inputs = spark.createDataFrame([(str(i), "bad" if i == 7 else f"p{i}") for i in range(20)], "page_id string, payload string").coalesce(1)
+    got = {r.page_id: (r.http_status, r.body) for r in A.analyze(inputs, A.batched(ask)).collect()}
+    assert got.pop("7") == (500, '{"error": {"message": "no answer"}}')
+    assert got == {str(i): (200, f"P{i}") for i in range(20) if i != 7}
+
+
 # --- fetches ---------------------------------------------------------------------------------------
 
 

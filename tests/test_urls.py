@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,27 @@ def test_outbound_guard(spark):
     assert [(g["ok"], g["reason"]) for g in got] == [(r is None, r) for _, _, r in GUARD]
 
 
+INTERNATIONAL = [
+    ("https://stra\u00dfe.de/a", "https://xn--strae-oqa.de/a"), ("https://STRA\u00dfE.Example.de", "https://xn--strae-oqa.example.de/"),
+    ("https://\u03b2\u03cc\u03bb\u03bf\u03c2.com", "https://xn--nxasmm1c.com/"), ("https://\u0392\u038c\u039b\u039f\u03a3.com", "https://xn--nxasmq6b.com/"),
+    ("https://fa\u00df\u3002example.com", "https://xn--fa-hia.example.com/"), ("https://a\u200cb.com", None),
+    ("https://\u0dc1\u0dca\u200d\u0dbb\u0dd3.com", "https://xn--10cl1a0b660p.com/"), ("https://xn--strae-oqa.de", "https://xn--strae-oqa.de/"),
+]
+
+
+def test_international_hosts(spark):
+    assert run(spark, [u for u, _ in INTERNATIONAL], U.normalize_url) == [n for _, n in INTERNATIONAL]
+
+
+def test_labels_are_encoded_like_the_codec(spark):
+    rng = random.Random(8)
+    letters = "abz09-\u00df\u03c2\u00fc\u00e9\u4e2d\u6587\u0431\U00020000"
+    labels = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    labels = [x for x in labels if ("\u00df" in x or "\u03c2" in x) and not x.isascii()]
+    got = run(spark, [f"https://{x}.com/" for x in labels], U.normalize_url)
+    assert got == [f"https://xn--{x.encode('punycode').decode()}.com/" for x in labels]
+
+
 RESOLVED = [
     ("/new.xml", "https://example.com/a/old.xml?x=1", "https://example.com/new.xml"),
     ("new.xml", "https://example.com/a/old.xml", "https://example.com/a/new.xml"),
