@@ -1,4 +1,9 @@
-"""From raw documents to encoded training rows: the stages, in order, each over all that the one before kept."""
+"""From raw documents to encoded training rows: the stages, in order, each over all that the one before kept.
+
+All stages take the columns of documents by name, whatever others there are, and an empty table gives an empty one. Null and
+empty texts are documents with an empty text; null ids are documents of their own; repeated rows are repeated documents
+until the exact duplicates go. Whole texts are read, of any length.
+"""
 
 from __future__ import annotations
 
@@ -21,29 +26,37 @@ NEAR_DUPLICATES_FROM = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from all labels of these documents, does not reject; all if none is labelled."""
+    """Documents that the classifier, learnt from all labels of these documents, does not reject; all if none is labelled.
+
+    A null label teaches nothing; empty texts are scored like others; each of several equal rows is decided alike."""
     docs = docs.select(COLUMNS)
     model = quality_rff.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
     return quality_rff.score_documents(docs, model, score="_score").filter(F.col("_score") >= REJECTED_BELOW).select(COLUMNS)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest doc_id."""
+    """One document of each group of equal texts, the one with the smallest doc_id.
+
+    Null and empty texts are one group; a null id stays only where its group has no other; of repeated rows one stays."""
     return exact_dedup.drop_duplicates(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id.
+
+    Texts without words and rows without id are near to nothing and stay."""
     return tensor_minhash.drop_near_duplicates(docs.select(COLUMNS), NEAR_DUPLICATES_FROM)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, shuffled."""
+    """Documents repeated to the target weights of their sources, shuffled.
+
+    A null source is one of those without a weight of their own; null ids draw as one id; empty texts repeat like the rest of their source."""
     return mixing.mix_sources(docs.select(COLUMNS), MIX_WEIGHTS, MIX_OTHERS, seed=MIX_SEED).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training rows: doc_id, lang, source, n_tokens, ids, and the digest of what the ids decode to."""
+    """Training rows: doc_id, lang, source, n_tokens, ids, and the digest of what the ids decode to; an empty text has no ids."""
     coded = trie_bpe.encode_documents(docs.select(COLUMNS), tokenizer_path(), decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
