@@ -179,11 +179,12 @@ def block_links(rest: DataFrame, texts: DataFrame, threshold: int, block: int =
     A bucket's rows are dealt into blocks of about ``block``: a large component fills blocks of its own, smaller ones share.
     Every two blocks that hold different components meet in one group of at most two blocks; no group grows with the bucket.
     """
-    size = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    size = staged(rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")))
     small = F.col("n") < block
-    totals = size.groupBy("key").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("n_small"))
+    totals = staged(size.groupBy("key").agg(F.sum(F.when(small, F.col("n")).otherwise(0)).alias("n_small"), F.sum("n").alias("n")))
     own_blocks, small_blocks = F.ceil(F.col("n") / block), F.greatest(F.ceil(F.col("n_small") / block), F.lit(1))
-    placed = rest.join(size, ["key", "component"]).join(totals, "key").select(
+    sized = join_hot(rest, size, ["key", "component"], ["rep"], counts=size)
+    placed = join_hot(sized, totals.drop("n"), ["key"], ["rep"], counts=totals).select(
         "key", "rep", "component",
         F.when(small, F.lit(None).cast("long")).otherwise(F.col("component")).alias("owner"),
         F.when(small, F.pmod(F.xxhash64("rep"), small_blocks)).otherwise(F.pmod(F.xxhash64("rep"), own_blocks)).alias("part"))
