@@ -15,7 +15,8 @@ TABLES = (
 QUICK = [
     "normalize_url", "outbound_guard", "resolve_url", "seo_page", "fetch_upsert", "redirect_chain", "scan_diff", "apply_diff",
     "baseline_events", "replay_events", "sitemap_visits", "root_candidates", "page_list", "page_detail", "csv_export",
-    "metrics_review", "soft_delete", "create_competitors", "quality_rules", "analysis_validate",
+    "metrics_review", "soft_delete", "create_competitors", "quality_rules", "analysis_validate", "sitemap_expand", "sitemap_depth_limit",
+    "run_scan_sources", "stream_lifecycle", "state_written", "csv_written", "update_competitors", "page_list_next", "competitor_list",
 ]
 NAMES = sorted(catalog.QUERIES) if os.environ.get("QUERIES") == "all" else QUICK
 
