@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from sitetide.llm.common import LOOKUP_ROWS, lookup, running_offsets, staged, text_or_empty
 
 BUCKET, RANK = "_bucket", "_rank"
-#: Equal rows that stay together in a bucket, and buckets that a task shuffles one after the other.
-COPIES, TASK_BUCKETS = 64, 4
+#: Equal rows that stay together in a bucket.
+COPIES = 64
 
 
 def record_size(column: str = "text") -> Column:
@@ -50,7 +50,7 @@ def shuffle_buckets(rows: DataFrame, seed: int, bucket_bytes: int, text: str = "
     made = kept.select("_a", "_b", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_copy"))
     scattered = single.unionByName(made).withColumn(BUCKET, F.pmod(F.xxhash64(F.lit(seed), "_a", "_b", "_copy"), F.lit(n_buckets)))
     order = F.sort_array(F.collect_list(F.struct("_a", "_b", "_copy", "_row")))
-    arrays = scattered.repartition(-(-n_buckets // TASK_BUCKETS), BUCKET).groupBy(BUCKET).agg(order.alias("_rows")).sortWithinPartitions(BUCKET)
+    arrays = scattered.repartition(n_buckets, BUCKET).groupBy(BUCKET).agg(order.alias("_rows")).sortWithinPartitions(BUCKET)
     shuffled = arrays.select(BUCKET, F.posexplode(F.shuffle("_rows", F.lit(seed))).alias(RANK, "_item"))
     back = {c: F.col(f"_item._row.c{i}") for i, c in enumerate(columns)}
     plain = shuffled.select(*[(F.map_from_entries(x) if isinstance(kinds[c], T.MapType) else x).alias(c) for c, x in back.items()], BUCKET, RANK)
