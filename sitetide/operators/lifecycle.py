@@ -105,6 +105,15 @@ def upsert_links(links: DataFrame, sightings: DataFrame, as_of: Column) -> DataF
     return merge_by_key(links, changes, ["page_id", "sitemap_source_id"], matched=moved)
 
 
+def listed_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows (competitor_id, normalized_url, ...) with the ``page_id`` they have: that of the known pages, else the one they get.
+
+    A URL that is listed in two spellings stays two rows, whether its page is known or new.
+    """
+    known = pages.select(*D.KEY, F.col("id").alias("_known"))
+    return rows.dropna(subset=D.KEY).join(known, D.KEY, "left").withColumn("page_id", F.coalesce("_known", page_id())).drop("_known")
+
+
 def establish_baseline(state: State, entries: DataFrame, scans: DataFrame, as_of: Column) -> State:
     """First complete scan of a competitor: its entries become baseline pages.
 
@@ -114,8 +123,7 @@ def establish_baseline(state: State, entries: DataFrame, scans: DataFrame, as_of
     rows = join_dimension(
         entries, scans.select("competitor_id", "scan_run_id"), ["competitor_id"], ["normalized_url"])
     pages = insert_or_ignore(state["pages"], new_page_rows(rows, "baseline", as_of), D.KEY)
-    listed = cut_lineage(rows.select(*D.KEY, "scan_run_id", "lastmod", "source_url").join(
-        pages.select(*D.KEY, F.col("id").alias("page_id")), D.KEY))
+    listed = cut_lineage(listed_pages(rows.select(*D.KEY, "scan_run_id", "lastmod", "source_url"), state["pages"]))
     missing = without_event(listed, state["page_events"], "baseline_added")
     events = new_events(missing, F.col("page_id"), F.col("scan_run_id"), F.lit("baseline_added"), as_of)
     links = upsert_links(
