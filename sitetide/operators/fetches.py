@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from sitetide.functions.html import SEO_FIELDS, blank_seo, extract_seo
 from sitetide.functions.jsons import safe_json
 from sitetide.functions.text import EXCERPT_CHARS, clip, make_id
-from sitetide.operators.joins import join_dimension
+from sitetide.operators.joins import join_hot
 from sitetide.operators.lifecycle import append_events, new_events
 from sitetide.operators.merge import merge_by_key, take
 from sitetide.operators.redirects import LIMIT_CODE
 from sitetide.schemas import conform
+from sitetide.session import cut_lineage
 from sitetide.sources.tables import size_error, too_large
 
 # Fixed value: the page size that a live crawler accepts.
@@ -154,11 +155,11 @@ def fetch_log(results: DataFrame, as_of: Column) -> DataFrame:
 
 
 def fetch_targets(ids: DataFrame, pages: DataFrame, competitors: DataFrame) -> DataFrame:
-    """(page_id, competitor_id, url, domain) of the pages to fetch."""
-    wanted = pages.select(F.col("id").alias("page_id"), "competitor_id", F.col("current_url").alias("url")).join(
-        ids.select("page_id"), "page_id", "left_semi")
+    """(page_id, competitor_id, url, domain) of the pages to fetch; there may be as many competitors as pages."""
+    wanted = cut_lineage(pages.select(F.col("id").alias("page_id"), "competitor_id", F.col("current_url").alias("url")).join(
+        ids.select("page_id"), "page_id", "left_semi"))
     domains = competitors.select(F.col("id").alias("competitor_id"), "domain")
-    return join_dimension(wanted, domains, ["competitor_id"], ["page_id"])
+    return join_hot(wanted, domains, ["competitor_id"], ["page_id"])
 
 
 def save_fetches(state: dict[str, DataFrame], results: DataFrame, as_of: Column) -> dict[str, DataFrame]:

@@ -20,11 +20,12 @@ def join_dimension(
     """Join on ``keys`` where one key may hold a large share of ``rows``.
 
     Rows of one key are spread over ``salts`` partitions by a hash of ``spread``; the dimension, which has few
-    rows per key, is repeated once per salt. When Spark finds the dimension small enough to broadcast it
-    does so and the salt costs nothing.
+    rows per key, is repeated once per salt. When Spark finds the repeated dimension small enough to broadcast it
+    does so and the salt costs nothing. It is repeated by a cross join, whose size Spark multiplies: an exploded list
+    counts as one row and sends a large dimension, many times over, through the driver.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    repeated = dimension.crossJoin(F.broadcast(dimension.sparkSession.range(salts).withColumnRenamed("id", "_salt")))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from sitetide.operators.joins import join_dimension
 
 
 def differing(spark, folder, name):
@@ -36,3 +37,15 @@ def twice_listed(spark, tmp_path_factory):
 def test_url_listed_in_two_spellings(spark, twice_listed, name):
     got, want = differing(spark, twice_listed, name)
     assert got == want
+
+
+def test_repeated_dimension_counts_its_rows(spark, tmp_path):
+    """What Spark takes the repeated dimension for is no less than its rows: it must not send a large one through the driver."""
+    spark.range(1 << 16).select("id", F.sha2(F.col("id").cast("string"), 256).alias("name")).write.parquet(str(tmp_path / "d"))
+    dimension = spark.read.parquet(str(tmp_path / "d"))
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    joined = join_dimension(spark.range(1 << 16), dimension, ["id"], ["id"])
+    repeated = joined._jdf.queryExecution().optimizedPlan()
+    while str(repeated.nodeName()) != "Join":
+        repeated = repeated.children().head()
+    assert int(str(repeated.right().stats().sizeInBytes())) >= 16 * size(dimension)
