@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitetide.functions.text import trim_ws
 from sitetide.functions.urls import canonical_url, same_host
-from sitetide.operators.joins import join_hot
+from sitetide.operators.joins import HOT_KEYS, join_hot
 from sitetide.schemas import ENUMS, FOREIGN_KEYS, PRIMARY_KEYS, TABLES, UNIQUE_KEYS
 from sitetide.session import cut_lineage
 
@@ -36,47 +38,49 @@ def check_inputs(df: DataFrame, rules: Rules, key: Column) -> DataFrame:
     return df.select(key.cast("string").alias("key"), F.explode(broken).alias("rule")).select("rule", "key")
 
 
-def _facts(tables: dict[str, DataFrame], name: str) -> Column:
-    """What one row has to say: broken row rules, its unique keys, what it refers to and, if others refer to the table, its id."""
-    kind = "struct<kind:string,rule:string,target:string,value:array<string>>"
+def _broken_rows(df: DataFrame, rules: Rules) -> DataFrame:
+    """(rule, the columns of df) of every broken rule; rows that keep all rules are left out before anything is built from them."""
+    breaks = {name: ~F.coalesce(ok, F.lit(False)) for name, ok in rules.items()}
+    names = F.filter(F.array(*[F.when(broken, F.lit(name)) for name, broken in breaks.items()]), lambda v: v.isNotNull())
+    return df.filter(reduce(lambda x, y: x | y, breaks.values())).select("*", F.explode(names).alias("rule"))
 
-    def fact(kind_: str, rule: Column, target: str | None, values: list[Column], when: Column | None = None) -> Column:
-        text = F.array(*[v.cast("string") for v in values]).cast("array<string>")
-        out = F.struct(F.lit(kind_).alias("kind"), rule.alias("rule"), F.lit(target).alias("target"), text.alias("value")).cast(kind)
-        return out if when is None else F.when(when, out)
 
-    facts = [fact("row", F.lit(rule), None, [], ~F.coalesce(ok, F.lit(False))) for rule, ok in row_rules(name).items()]
-    for keys, condition in [(PRIMARY_KEYS[name], None), *UNIQUE_KEYS.get(name, [])]:
-        facts.append(fact("unique", F.lit("unique:" + ",".join(keys)), None, [F.col(k) for k in keys], F.expr(condition) if condition else None))
-    for (owner, column), parent in FOREIGN_KEYS.items():
-        if owner == name and parent in tables:
-            facts.append(fact("reference", F.lit(f"foreign_key:{column}"), parent, [F.col(column)], F.col(column).isNotNull()))
-    if any(parent == name and owner in tables for (owner, _), parent in FOREIGN_KEYS.items()):
-        facts.append(fact("id", F.lit(None).cast("string"), name, [F.col("id")], F.col("id").isNotNull()))
-    return F.filter(F.array(*facts), lambda x: x.isNotNull())
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def check_schema(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rule, key) of all violations of the declared schema in the given tables.
 
-    Each table is read once, for all its rules together; what its rows have to say is written down. Unique keys of all
-    tables are one grouping. Of the references only the distinct ones meet the ids: a parent that a third of all rows
-    name is one row by then. Those that are missing find their rows again, hot ones split.
+    No row is written down: the row rules are a filter, and each key and each reference is counted from its own columns, summed
+    up before they move. Of the references only the distinct ones meet the ids: a parent that a third of all rows name is
+    one row by then. Those that are missing find their rows again; few are sent to all rows, with many the hot ones are split.
+    Each table is read for the row rules, for every key and for every reference, so it should be a stored one.
     """
-    said = None
+    found, counted, references, ids, place = [], [], [], [], ["target", "value"]
+    parents = {parent for (owner, _), parent in FOREIGN_KEYS.items() if owner in tables}
     for name, df in tables.items():
-        key = F.concat_ws("|", *[F.col(k) for k in PRIMARY_KEYS[name]])
-        rows = df.select(F.lit(name).alias("table"), key.alias("key"), F.explode(_facts(tables, name)).alias("fact")).select("table", "key", "fact.*")
-        said = rows if said is None else said.unionByName(rows)
-    said = cut_lineage(said)
-    broken = said.filter("kind = 'row'").select("table", "rule", "key")
-    repeated = said.filter("kind = 'unique'").groupBy("table", "rule", "value").count().filter("count > 1").select(
-        "table", "rule", F.concat_ws("|", "value").alias("key"))
-    references, place = said.filter("kind = 'reference'"), ["target", "value"]
-    ids = said.filter("kind = 'id'").select(*place).distinct()
-    missing = cut_lineage(references.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).join(ids, place, "left_anti"))
-    lost = join_hot(references, missing.drop("n"), place, ["key"], counts=missing).select("table", "rule", "key")
-    return broken.unionByName(repeated).unionByName(lost)
+        table, key = F.lit(name).alias("table"), F.concat_ws("|", *[F.col(k) for k in PRIMARY_KEYS[name]]).alias("key")
+        found.append(_broken_rows(df, row_rules(name)).select(table, "rule", key))
+        for keys, condition in [(PRIMARY_KEYS[name], None), *UNIQUE_KEYS.get(name, [])]:
+            repeated = (df.filter(condition) if condition else df).groupBy(*keys).count().filter("count > 1")
+            found.append(repeated.select(table, F.lit("unique:" + ",".join(keys)).alias("rule"), F.concat_ws("|", *keys).alias("key")))
+        if name in parents:
+            ids.append(df.select(F.lit(name).alias("target"), F.col("id").alias("value")))
+        for (owner, column), parent in FOREIGN_KEYS.items():
+            if owner == name and parent in tables:
+                named = df.filter(F.col(column).isNotNull())
+                to = [F.lit(parent).alias("target"), F.col(column).alias("value")]
+                counted.append(named.groupBy(column).agg(F.count(F.lit(1)).alias("n")).select(*to, "n"))
+                references.append(named.select(table, F.lit(f"foreign_key:{column}").alias("rule"), key, *to))
+    if references:
+        missing = cut_lineage(_union(counted).groupBy(*place).agg(F.sum("n").alias("n")).join(_union(ids), place, "left_anti"))
+        if missing.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+            lost = _union(references).join(F.broadcast(missing.drop("n")), place)
+        else:
+            lost = join_hot(_union(references), missing.drop("n"), place, ["key"], counts=missing)
+        found.append(lost.select("table", "rule", "key"))
+    return _union(found)
 
 
 def _length(column: str, low: int, high: int) -> Column:

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from sitetide.operators import quality
 from sitetide.operators.joins import join_dimension
+from sitetide.schemas import conform
+from sitetide.session import cut_lineage
 
 
 def differing(spark, folder, name):
@@ -49,3 +52,26 @@ def test_repeated_dimension_counts_its_rows(spark, tmp_path):
     while str(repeated.nodeName()) != "Join":
         repeated = repeated.children().head()
     assert int(str(repeated.right().stats().sizeInBytes())) >= 16 * size(dimension)
+
+
+@pytest.mark.parametrize("few", [1 << 16, 1])
+def test_schema_rules_write_no_rows(spark, monkeypatch, few):
+    """Only distinct orphaned references are written, however many rows there are; few or many of them find the same rows."""
+    t = F.lit("2024-01-01T00:00:00Z").cast("timestamp")
+    competitors = conform(spark.range(20).select(
+        F.col("id").cast("string"), F.lit("n").alias("name"), F.concat(F.lit("d"), (F.col("id") / 2).cast("int").cast("string")).alias("domain"),
+        F.lit(True).alias("is_enabled"), F.lit(False).alias("baseline_established"), t.alias("created_at"), t.alias("updated_at")), "competitors")
+    n = F.col("id")
+    url = F.concat(F.lit("u"), F.when(n == 7, 8).otherwise(n).cast("string"))
+    pages = conform(spark.range(3000).select(
+        F.when(n == 9, 10).otherwise(n).cast("string").alias("id"), F.when(n % 2 == 0, F.lit("gone")).otherwise((n % 21).cast("string")).alias("competitor_id"),
+        url.alias("original_url"), url.alias("normalized_url"), url.alias("current_url"), F.when(n == 5, F.lit("lost")).otherwise(F.lit("new")).alias("lifecycle_status"),
+        F.when(n != 6, F.lit(0)).alias("missing_streak"), t.alias("first_seen_at"), t.alias("last_seen_at"), t.alias("created_at"), t.alias("updated_at")), "pages")
+    written = []
+    monkeypatch.setattr(quality, "cut_lineage", lambda df: (written.append(df.count()), cut_lineage(df))[1])
+    monkeypatch.setattr(quality, "HOT_KEYS", few, raising=False)
+    found = quality.check_schema({"competitors": competitors, "pages": pages}).groupBy("table", "rule").count().collect()
+    assert {(r["table"], r["rule"]): r["count"] for r in found} == {
+        ("competitors", "unique:domain"): 10, ("pages", "enum:lifecycle_status"): 1, ("pages", "not_null:missing_streak"): 1,
+        ("pages", "unique:id"): 1, ("pages", "foreign_key:competitor_id"): 1500 + sum(k % 21 == 20 for k in range(1, 3000, 2))}
+    assert written == [2]
