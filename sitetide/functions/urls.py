@@ -31,6 +31,9 @@ _PLAIN_SERIALIZED = (
     _PLAIN_HEAD + r"/[A-Za-z0-9*\-._~%!$&'()+,/:;=@|\[\]]*(?:\?[A-Za-z0-9*\-._~%!$&()+,/:;=?@|\[\]]*)?"
     r"(?:#[A-Za-z0-9*\-._~%!$&'()+,/:;=?@|\[\]]*)?$"
 )
+# The origin of such a URL, and paths from the root that stay as they are.
+_PLAIN_ORIGIN = r"^(https?://(?:[a-z0-9\-]+\.)+[a-z][a-z0-9\-]*)(?:[/?#]|\z)"
+_ROOTED = r"^(?!.*(?:/\.|%2[eE]))/(?!/)[A-Za-z0-9*\-._~%!$&'()+,/:;=@|\[\]]*\z"
 _AUTHORITY = r"(?s)^(?:(.*)@)?(\[[^\]]*\]|[^:@\[\]]*)(?::([0-9]*))?$"
 _FORBIDDEN_HOST = r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7F]"
 _DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
@@ -451,14 +454,19 @@ _JOINER = _joiner()
 
 
 def resolve_url(href: Column | str, base: Column | str) -> Column:
-    """Absolute form of ``href`` seen from ``base``; null when either cannot be parsed."""
+    """Absolute form of ``href`` seen from ``base``; null when either cannot be parsed.
+
+    A path from the root that needs no canonicalization only takes the origin of a base that needs none.
+    """
+    head = F.regexp_extract(as_col(base), _PLAIN_ORIGIN, 1)
+    rooted = as_col(href).rlike(_ROOTED) & (F.length(head) > 0)
     both = F.struct(parse_http_url(base).alias("base"), as_col(href).alias("ref"))
 
     def finish(target: Column) -> Column:
         other = target.rlike(_SCHEME) & ~target.rlike("(?i)^https?:")
         return F.when(other, target).otherwise(canonical_url(target))
 
-    return let(apply_sql(both, _JOINER), finish)
+    return F.when(rooted, F.concat(head, as_col(href))).otherwise(let(apply_sql(both, _JOINER), finish))
 
 
 # --- domains and the outbound guard --------------------------------------------------------------

@@ -109,7 +109,8 @@ def resolve_redirects(
     Adds ``final_url``, ``redirect_chain``, ``error_code``, ``error`` and, from the last response,
     ``status``, ``content_type``, ``content_length`` and ``body``. A chain that fails keeps its request URL
     and an empty chain. The chains are found first, from the slim set of redirecting responses alone; a request then meets its
-    whole chain in one join, and the landed table in another. Refused requests get a key of their own, so they spread
+    whole chain in one join, and the landed table in another. Where it ends is written down, as it is asked for twice: which
+    responses to read, and which one is its own. Refused requests get a key of their own, so they spread
     over all partitions and find no partner.
 
     A request gets one response: the newest that landed for its URL, whoever asked for it, or with ``by_competitor`` the
@@ -129,7 +130,7 @@ def resolve_redirects(
         F.coalesce("error", "_walk.error").alias("error"))
 
     failed = F.col("error").isNotNull()
-    settled = state.select(
+    settled = cut_lineage(state.select(
         *keys,
         "_owner",
         "url",
@@ -142,7 +143,7 @@ def resolve_redirects(
         F.col("error").alias("_chain_error"),
         "_limit_status",
         F.when(failed, resting).otherwise(F.col("_current")).alias("_key"),
-    )
+    ))
     place = ["_owner", "_key"]
     asked = settled.select(*place).distinct()
     answers = responses.withColumn("_key", canonical_url("url")).filter(F.col("_key").isNotNull()).join(asked, place, "left_semi")

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from sitetide.operators import quality
+from sitetide.functions import urls
+from sitetide.operators import quality, redirects
 from sitetide.operators.joins import join_dimension
 from sitetide.schemas import conform
 from sitetide.session import cut_lineage
@@ -75,3 +76,32 @@ def test_schema_rules_write_no_rows(spark, monkeypatch, few):
         ("competitors", "unique:domain"): 10, ("pages", "enum:lifecycle_status"): 1, ("pages", "not_null:missing_streak"): 1,
         ("pages", "unique:id"): 1, ("pages", "foreign_key:competitor_id"): 1500 + sum(k % 21 == 20 for k in range(1, 3000, 2))}
     assert written == [2]
+
+
+def test_redirects_write_where_requests_end(spark, monkeypatch):
+    """Where requests end is asked for twice and found once: it is written before the landed table is read for it."""
+    written = []
+    monkeypatch.setattr(redirects, "cut_lineage", lambda df: (written.append(df.columns), cut_lineage(df))[1])
+    url = F.concat(F.lit("https://a.example.com/"), F.col("id").cast("string"))
+    none = F.lit(None).cast("string")
+    responses = spark.range(10).select(
+        url.alias("url"), F.when(F.col("id") < 3, 301).otherwise(200).alias("status"), F.when(F.col("id") < 3, F.concat(F.lit("/"), (F.col("id") + 1).cast("string"))).alias("location"),
+        none.alias("content_type"), none.alias("content_length"), F.col("id").cast("string").alias("body"), none.alias("error"))
+    requests = spark.range(12).select("id", url.alias("url"), F.lit("example.com").alias("domain"))
+    out = {r["id"]: r["body"] for r in redirects.resolve_redirects(requests, responses).collect()}
+    assert out == {k: str(max(k, 3)) if k < 10 else None for k in range(12)}
+    assert any("final_url" in columns for columns in written)
+
+
+def test_rooted_references_resolve_alike(spark):
+    """The short way for plain root paths gives what the whole parser gives, and leaves all else to it."""
+    bases = ["https://a.example.com/x/y?q#f", "http://a.example.com", "https://A.example.com/x", "https://u:p@a.example.com/x", "https://a.example.com:8443/x",
+             "https://1.2.3.4/x", " https://a.example.com/x", "https://a.example.com\\x", "https://a.example.com?x", "nonsense", "https://a.example.com\n"]
+    hrefs = ["/", "/o/1", "/o/../1", "/%2e/1", "/a b", "//b.example.com/1", "/\\b", "/o?x=1", "/o#f", "/o\n", "/\u00e9", "o/1", "", "/.", "/a/.b", "/%41'|[]"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    both = F.struct(urls.parse_http_url("base").alias("base"), F.col("href").alias("ref"))
+    target = urls.apply_sql(both, urls._JOINER)
+    other = target.rlike(urls._SCHEME) & ~target.rlike("(?i)^https?:")
+    whole = F.when(other, target).otherwise(urls.canonical_url(target))
+    wrong = df.select("base", "href", urls.resolve_url("href", "base").alias("got"), whole.alias("want")).filter(~F.expr("got <=> want")).collect()
+    assert wrong == []
