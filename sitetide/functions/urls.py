@@ -34,6 +34,8 @@ _PLAIN_SERIALIZED = (
 # The origin of such a URL, and paths from the root that stay as they are.
 _PLAIN_ORIGIN = r"^(https?://(?:[a-z0-9\-]+\.)+[a-z][a-z0-9\-]*)(?:[/?#]|\z)"
 _ROOTED = r"^(?!.*(?:/\.|%2[eE]))/(?!/)[A-Za-z0-9*\-._~%!$&'()+,/:;=@|\[\]]*\z"
+# URLs that are in normal form already: such an origin, and segments without query and fragment or the root.
+_NORMAL = _PLAIN_HEAD + r"(?:/|(?:/[A-Za-z0-9*\-._~%!$&'()+,:;=@|\[\]]+)+)\z"
 _AUTHORITY = r"(?s)^(?:(.*)@)?(\[[^\]]*\]|[^:@\[\]]*)(?::([0-9]*))?$"
 _FORBIDDEN_HOST = r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7F]"
 _DOT_SEGMENT = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
@@ -408,7 +410,9 @@ def normalize_parts(parts: Column) -> Column:
 
 
 def normalize_url(col: Column | str) -> Column:
-    return normalize_parts(parse_http_url(col))
+    """Comparable form of a URL, null when it is none; one that has this form already is not parsed."""
+    raw = as_col(col)
+    return F.when(raw.rlike(_NORMAL), raw).otherwise(normalize_parts(parse_http_url(raw)))
 
 
 def safe_normalize(col: Column | str) -> Column:
@@ -541,12 +545,19 @@ def outbound_guard(url: Column | str, domain: Column | str) -> Column:
 
 
 def inspect_url(url: Column | str, domain: Column | str) -> Column:
-    """struct(normalized_url, reason): guard and normalization from one parse."""
+    """struct(normalized_url, reason): guard and normalization from one parse.
+
+    A URL in normal form with a host of the domain is not parsed: its host is a name, without login or port.
+    """
     raw = as_col(url)
-    return let(
+    host = F.regexp_extract(raw, _PLAIN_HEAD, 2)
+    local = host.isin("localhost.localdomain") | F.endswith(host, F.lit(".localhost"))
+    whole = let(
         parse_http_url(raw),
         lambda p: F.struct(
             normalize_parts(p).alias("normalized_url"),
             guard_parts(p, raw, domain).alias("reason"),
         ),
     )
+    allowed = F.struct(raw.alias("normalized_url"), F.lit(None).cast("string").alias("reason"))
+    return F.when(raw.rlike(_NORMAL) & ~local & host_within(host, domain), allowed).otherwise(whole)

@@ -10,6 +10,7 @@ from sitetide.functions.urls import (
     canonical_url,
     guard_parts,
     host_within,
+    inspect_url,
     outside_reason,
     parse_http_url,
     resolve_url,
@@ -25,7 +26,11 @@ NOT_LANDED_CODE = "NOT_LANDED"
 
 
 def _refusal(url: str, domain: str) -> Column:
-    return let(parse_http_url(url), lambda p: guard_parts(p, F.col(url), domain))
+    return inspect_url(url, domain)["reason"]
+
+
+def _redirects() -> Column:
+    return F.col("status").isin(REDIRECT_STATUSES) & (F.length("location") > 0)
 
 
 def redirect_steps(responses: DataFrame) -> DataFrame:
@@ -35,8 +40,7 @@ def redirect_steps(responses: DataFrame) -> DataFrame:
     only compares a host with a domain.
     """
     slim = responses.select("_owner", canonical_url("url").alias("_key"), "status", "location", *[c for c in ("landed_at",) if c in responses.columns])
-    moving = latest_responses(slim.filter(F.col("_key").isNotNull()), ["_owner", "_key"]).filter(
-        F.col("status").isin(REDIRECT_STATUSES) & (F.length("location") > 0)).select(
+    moving = latest_responses(slim.filter(F.col("_key").isNotNull()), ["_owner", "_key"]).filter(_redirects()).select(
         "_owner", "_key", F.col("status").alias("_hop_status"), "location")
     resolved = moving.withColumn("_next", resolve_url("location", "_key"))
     checked = resolved.withColumn(
@@ -109,9 +113,9 @@ def resolve_redirects(
     Adds ``final_url``, ``redirect_chain``, ``error_code``, ``error`` and, from the last response,
     ``status``, ``content_type``, ``content_length`` and ``body``. A chain that fails keeps its request URL
     and an empty chain. The chains are found first, from the slim set of redirecting responses alone; a request then meets its
-    whole chain in one join, and the landed table in another. Where it ends is written down, as it is asked for twice: which
-    responses to read, and which one is its own. Refused requests get a key of their own, so they spread
-    over all partitions and find no partner.
+    whole chain in one join, and the landed table in another; where no response redirects there are no
+    chains to meet. Where it ends is written down, as it is asked for twice: which responses to read, and which one is its own.
+    Refused requests get a key of their own, so they spread over all partitions and find no partner.
 
     A request gets one response: the newest that landed for its URL, whoever asked for it, or with ``by_competitor`` the
     newest of those that landed for the request's competitor. Bodies move only for URLs that a chain ends at.
@@ -119,15 +123,19 @@ def resolve_redirects(
     keys = keys or [c for c in requests.columns if c not in ("url", "domain")]
     owner = F.coalesce("competitor_id", F.lit("")) if by_competitor else F.lit("")
     responses = responses.withColumn("_owner", owner)
-    chains = redirect_chains(redirect_steps(responses), max_redirects + 1)
     first = requests.select(
         *keys, owner.alias("_owner"), "url", "domain", canonical_url("url").alias("_current"), _refusal("url", "domain").alias("error"))
     resting = F.concat(F.lit("-"), F.xxhash64("url", *keys).cast("string"))
     first = first.withColumn("_key", F.when(F.col("error").isNotNull(), resting).otherwise(F.col("_current")))
-    state = first.join(chains, ["_owner", "_key"], "left").withColumn("_walk", _walked(max_redirects)).select(
-        *keys, "_owner", "url", "domain", F.coalesce("_walk.at", "_current").alias("_current"),
-        F.coalesce("_walk.chain", F.array().cast("array<string>")).alias("redirect_chain"), F.col("_walk.limit_status").alias("_limit_status"),
-        F.coalesce("error", "_walk.error").alias("error"))
+    no_chain = F.array().cast("array<string>")
+    if responses.filter(_redirects()).isEmpty():
+        state = first.withColumns({"redirect_chain": no_chain, "_limit_status": F.lit(None).cast("int")})
+    else:
+        chains = redirect_chains(redirect_steps(responses), max_redirects + 1)
+        state = first.join(chains, ["_owner", "_key"], "left").withColumn("_walk", _walked(max_redirects)).select(
+            *keys, "_owner", "url", "domain", F.coalesce("_walk.at", "_current").alias("_current"),
+            F.coalesce("_walk.chain", no_chain).alias("redirect_chain"), F.col("_walk.limit_status").alias("_limit_status"),
+            F.coalesce("error", "_walk.error").alias("error"))
 
     failed = F.col("error").isNotNull()
     settled = cut_lineage(state.select(

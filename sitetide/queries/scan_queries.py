@@ -14,6 +14,7 @@ from sitetide.queries import sitemap_queries as SQ
 from sitetide.queries import state_queries as ST
 from sitetide.queries.registry import query
 from sitetide.schemas import TABLES, conform, empty_table
+from sitetide.session import cut_lineage
 
 
 def _kind():
@@ -64,7 +65,11 @@ def landed(spark, sf):
 
 
 def scanned(spark, sf):
-    return run_scans(site_state(spark, sf), landed(spark, sf), I.AS_OF, provider=rule_provider, model="rules")
+    """Tables that are derived here and read many times in a scan are written down first, as stored and landed ones are."""
+    state, arrived = site_state(spark, sf), landed(spark, sf)
+    state |= {name: cut_lineage(state[name]) for name in ("competitors", "sitemap_sources", "pages")}
+    arrived |= {name: cut_lineage(arrived[name]) for name in ("sitemaps", "roots")}
+    return run_scans(state, arrived, I.AS_OF, provider=rule_provider, model="rules")
 
 
 KIND_SQL = "(strpos('0123456789abcdef', substr(md5(host), 1, 1)) - 1)"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitetide.functions.html import decode_entities as decode_text_entities
-from sitetide.functions.text import WHITESPACE, blank_to_null, trim_ws
+from sitetide.functions.text import WHITESPACE, blank_to_null, let, trim_ws
 from sitetide.functions.urls import canonical_url, inspect_url
 from sitetide.sources.tables import too_large
 
@@ -22,6 +22,8 @@ COMMON_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml"]
 
 # Text an XML reader with value parsing turns into a number or boolean, i.e. not a string.
 _NOT_TEXT = r"^(?:true|false|[-+]?(?:0[xX][0-9a-fA-F]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?))$"
+# The inside of a node that has one plain location, and no more than one plain date beside it.
+_PLAIN_NODE = r"^\s*<loc>(https?://[!-;=-~]*)</loc>\s*(?:<lastmod>([0-9]{4}-[!-;=-~]*)</lastmod>\s*)?\z"
 _NAME_END = r"(?=[\s>/])"
 
 
@@ -39,37 +41,49 @@ def _text_of(raw: Column) -> Column:
     return trim_ws(F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
 
 
-def _child_texts(node: Column, tag: str) -> Column:
-    """Raw inner text of every direct child ``tag``; a child with attributes shows up as null."""
+def _children(node: Column) -> Column:
+    """array<struct<n, a, t>>: name, attributes and raw inner text of every direct child."""
     pattern = F.lit(r"(?s)<([A-Za-z_][^\s/>]*)(\s[^>]*)?(?<!/)>(.*?)</\1\s*>")
     parts = [F.regexp_extract_all(node, pattern, F.lit(i)) for i in (1, 2, 3)]
-    children = F.filter(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "nat", strict=True)]), lambda c: c["n"] == tag)
-    return F.transform(children, lambda c: F.when(F.length(trim_ws(c["a"])) == 0, c["t"]))
+    return F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "nat", strict=True)])
+
+
+def _child_texts(children: Column, tag: str) -> Column:
+    """Raw inner text of every direct child ``tag``; a child with attributes shows up as null."""
+    return F.transform(
+        F.filter(children, lambda c: c["n"] == tag), lambda c: F.when(F.length(trim_ws(c["a"])) == 0, c["t"]))
 
 
 def _string_value(texts: Column) -> Column:
     """The one plain-text child, or null when repeated, structured, blank or not a string."""
-    raw = F.get(texts, F.lit(0))
-    markup = F.regexp_replace(raw, r"(?s)<!\[CDATA\[.*?\]\]>", "").contains("<")
-    text = _text_of(raw)
-    return F.when((F.size(texts) == 1) & ~markup & ~text.rlike(_NOT_TEXT), blank_to_null(text))
+
+    def value(found: Column) -> Column:
+        raw = F.get(found, F.lit(0))
+        markup = F.regexp_replace(raw, r"(?s)<!\[CDATA\[.*?\]\]>", "").contains("<")
+        text = let(_text_of(raw), lambda text: F.when(~text.rlike(_NOT_TEXT), blank_to_null(text)))
+        return F.when((F.size(found) == 1) & ~markup, text)
+
+    return let(texts, value)
 
 
 def sitemap_nodes(xml: Column, tag: str, decode: bool = False) -> Column:
-    """array<struct<loc, lastmod>> of the usable ``tag`` nodes, in document order."""
+    """array<struct<loc, lastmod>> of the usable ``tag`` nodes, in document order.
+
+    Plain nodes are read by one pattern. The children of any other are found once: inside a lambda Spark evaluates an expression
+    anew wherever it stands.
+    """
 
-    def finish(value: Column) -> Column:
-        return decode_text_entities(value) if decode else value
+    def pair(loc: Column, lastmod: Column) -> Column:
+        loc, lastmod = (decode_text_entities(v) if decode else v for v in (loc, lastmod))
+        return F.struct(loc.alias("loc"), lastmod.alias("lastmod"))
+
+    def read(node: Column) -> Column:
+        plain = [F.regexp_extract(node, _PLAIN_NODE, i) for i in (1, 2)]
+        whole = let(_children(node), lambda children: pair(*[_string_value(_child_texts(children, n)) for n in ("loc", "lastmod")]))
+        return F.when(node.rlike(_PLAIN_NODE), pair(plain[0], blank_to_null(plain[1]))).otherwise(whole)
 
     inner = F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?(?<!/)>(.*?)</{tag}\s*>"), F.lit(1))
-    nodes = F.transform(
-        inner,
-        lambda node: F.struct(
-            finish(_string_value(_child_texts(node, "loc"))).alias("loc"),
-            finish(_string_value(_child_texts(node, "lastmod"))).alias("lastmod"),
-        ),
-    )
-    return F.filter(nodes, lambda node: node["loc"].isNotNull())
+    return F.filter(F.transform(inner, read), lambda node: node["loc"].isNotNull())
 
 
 def parse_documents(docs: DataFrame, body: str = "body", decode_entities: bool = False) -> DataFrame:

@@ -8,8 +8,10 @@ import __spark_entry__ as contract
 from sitetide.functions import urls
 from sitetide.operators import quality, redirects
 from sitetide.operators.joins import join_dimension
+from sitetide.queries import scan_queries
 from sitetide.schemas import conform
 from sitetide.session import cut_lineage
+from sitetide.sources import sitemaps
 
 
 def differing(spark, folder, name):
@@ -105,3 +107,61 @@ def test_rooted_references_resolve_alike(spark):
     whole = F.when(other, target).otherwise(urls.canonical_url(target))
     wrong = df.select("base", "href", urls.resolve_url("href", "base").alias("got"), whole.alias("want")).filter(~F.expr("got <=> want")).collect()
     assert wrong == []
+
+
+def test_urls_in_normal_form_are_inspected_alike(spark):
+    """The short way for URLs in normal form gives what the whole parser gives, and leaves all else to it."""
+    hosts = ["a.example.com", "example.com", "A.example.com", "www.example.com", "evil.example", "localhost", "x.localhost", "localhost.localdomain",
+             "1.2.3.4", "a.1", "u:p@a.example.com", "a.example.com:443", "a.example.com:8443", "a_b.example.com", "ä.example.com", "a.example.com.", ""]
+    tails = ["", "/", "/x", "/x/", "//x", "/x//y", "/x/../y", "/.x", "/%2e/x", "/%41'|[]", "/x?", "/x?b=2&a=1", "/x#f", "/a b", "/x\n", "/x\\y", "/é"]
+    texts = [f"{s}://{h}{t}" for s in ("http", "https", "HTTPS", "ftp") for h in hosts for t in tails] + ["", "x", "/x", " https://a.example.com/x", None]
+    df = spark.createDataFrame([(u, d) for u in texts for d in ("example.com", "a.example.com", "localhost", None)], "url string, domain string")
+    parsed = urls.parse_http_url("url")
+    whole = urls.let(parsed, lambda p: F.struct(urls.normalize_parts(p).alias("normalized_url"), urls.guard_parts(p, F.col("url"), "domain").alias("reason")))
+    both = df.select("url", "domain", urls.inspect_url("url", "domain").alias("got"), whole.alias("want"), urls.normalize_url("url").alias("normal"))
+    assert both.filter(~F.expr("got <=> want AND normal <=> want.normalized_url")).collect() == []
+    assert spark.range(1).select(F.lit("https://a.example.com/x/y").rlike(urls._NORMAL)).first()[0]
+
+
+def test_plain_nodes_are_read_alike(spark):
+    """The pattern for plain nodes gives what their children give, and these are found once a node."""
+    locs = ["https://a.example.com/x", "http://a/?x=1&amp;y=<b>", " https://a.example.com/x ", "https://a.example.com/é", "true", "12", "", "<![CDATA[https://a/x]]>", "https://a b"]
+    mods = ["", "<lastmod>2024-01-02</lastmod>", "<lastmod>2024</lastmod>", "<lastmod>2024-</lastmod>\n", "<lastmod>2024-1</lastmod><lastmod>2024-2</lastmod>",
+            "<lastmod a='1'>2024-01-02</lastmod>", "<lastmod></lastmod>", "<lastmod/>", "<loc>https://b/x</loc>", "<x>1</x>"]
+    nodes = [f"{head}{loc}</loc>{gap}{mod}" for head in ("<loc>", "\n <loc>", "<loc >", "<loc a='1'>") for loc in locs for gap in ("", "\n ", "t") for mod in mods]
+    df = spark.createDataFrame([(f"<urlset><url>{n}</url></urlset>",) for n in [*nodes, "", "<loc/>"]], "xml string")
+    for decode in (False, True):
+        got = df.select("xml", sitemaps.sitemap_nodes(F.col("xml"), "url", decode).alias("nodes"))
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(sitemaps, "_PLAIN_NODE", "a^")
+            want = df.select("xml", sitemaps.sitemap_nodes(F.col("xml"), "url", decode).alias("want"))
+        assert got.join(want, "xml").filter(~F.expr("nodes <=> want")).collect() == []
+    plan = str(df.select(sitemaps.sitemap_nodes(F.col("xml"), "url").alias("nodes"))._jdf.queryExecution().analyzed())
+    assert plan.count("regexp_extract_all") <= 4
+
+
+def test_scan_reads_written_tables(spark, monkeypatch):
+    """What a scan reads many times is not derived anew each time, and tables without rows take no part in its jobs."""
+    seen = []
+    monkeypatch.setattr(scan_queries, "run_scans", lambda state, landed, *args, **kw: seen.append((state, landed)))
+    scan_queries.scanned(spark, "/root/testdata/sf0.001")
+    state, landed = seen[0]
+    plan = lambda df: str(df._jdf.queryExecution().optimizedPlan())
+    for table in (state["competitors"], state["sitemap_sources"], state["pages"], landed["sitemaps"], landed["roots"]):
+        assert "Relation" not in plan(table)
+    assert plan(state["page_events"]).startswith("LocalRelation <empty>")
+
+
+def test_no_chains_without_redirects(spark, monkeypatch):
+    """Where no response redirects no chain is looked for; a redirect status without a location is none."""
+    written = []
+    monkeypatch.setattr(redirects, "cut_lineage", lambda df: (written.append(df.columns), cut_lineage(df))[1])
+    url = F.concat(F.lit("https://a.example.com/"), F.col("id").cast("string"))
+    none = F.lit(None).cast("string")
+    responses = spark.range(4).select(
+        url.alias("url"), F.when(F.col("id") == 1, 301).otherwise(200).alias("status"), none.alias("location"), none.alias("content_type"),
+        none.alias("content_length"), F.col("id").cast("string").alias("body"), none.alias("error"))
+    requests = spark.range(5).select("id", F.when(F.col("id") == 3, "https://b.example.net/").otherwise(url).alias("url"), F.lit("example.com").alias("domain"))
+    out = {r["id"]: (r["status"], r["body"], r["error_code"], r["redirect_chain"]) for r in redirects.resolve_redirects(requests, responses).collect()}
+    assert out == {0: (200, "0", None, []), 1: (301, "1", None, []), 2: (200, "2", None, []), 3: (None, None, "OUTBOUND_REFUSED", []), 4: (None, None, "NOT_LANDED", [])}
+    assert len(written) == 1 and "_chain" not in written[0]
