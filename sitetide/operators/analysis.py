@@ -261,6 +261,9 @@ def append_analyses(
     )
 
 
+PIPELINE_COUNTS = ["fetch_success_count", "fetch_failed_count", "analysis_success_count", "analysis_failed_count"]
+
+
 def pipeline_counters(fetches: DataFrame, analyses: DataFrame) -> DataFrame:
     """Per scan: fetch and analysis counts. Unsupported pages count as failed fetches; a fetched page without a
     successful analysis (no input, skipped, failed) counts as a failed analysis."""

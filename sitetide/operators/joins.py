@@ -12,6 +12,8 @@ from sitetide.session import cut_lineage
 SALTS = 16
 #: Rows of one key that stay in one task, and the most keys that are ever treated apart (one short row each).
 HOT_ROWS, HOT_KEYS = 1 << 10, 1 << 16
+#: Bytes of keys that are sent to all tasks, and what a key takes beside its text.
+SENT_BYTES, KEY_BYTES = 1 << 24, 64
 
 
 def join_dimension(
@@ -29,6 +31,18 @@ def join_dimension(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_asked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` whose text ``keys`` are in ``asked``, a written table.
+
+    Where the keys asked for are few they are sent to the rows, so only rows that are wanted move afterwards. Left to itself Spark
+    starts to shuffle both sides at once, wide rows included, before it knows how few keys there are.
+    """
+    text = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(k), F.lit(0)) for k in keys])
+    size = asked.agg(F.coalesce(F.sum(text.cast("bigint") + KEY_BYTES), F.lit(0))).first()[0]
+    wanted = asked.select(*keys).distinct()
+    return rows.join(F.broadcast(wanted) if size <= SENT_BYTES else wanted, keys, "left_semi")
+
+
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """(keys, _salts) of the keys with more than ``hot_rows`` rows: into how many parts each is split; None if there are none.
 

@@ -15,6 +15,7 @@ from sitetide.functions.urls import (
     parse_http_url,
     resolve_url,
 )
+from sitetide.operators.joins import join_asked
 from sitetide.session import cut_lineage
 
 # Statuses that carry a location to follow.
@@ -118,7 +119,7 @@ def resolve_redirects(
     Refused requests get a key of their own, so they spread over all partitions and find no partner.
 
     A request gets one response: the newest that landed for its URL, whoever asked for it, or with ``by_competitor`` the
-    newest of those that landed for the request's competitor. Bodies move only for URLs that a chain ends at.
+    newest of those that landed for the request's competitor. Where a few URLs are asked for only their bodies move.
     """
     keys = keys or [c for c in requests.columns if c not in ("url", "domain")]
     owner = F.coalesce("competitor_id", F.lit("")) if by_competitor else F.lit("")
@@ -153,8 +154,7 @@ def resolve_redirects(
         F.when(failed, resting).otherwise(F.col("_current")).alias("_key"),
     ))
     place = ["_owner", "_key"]
-    asked = settled.select(*place).distinct()
-    answers = responses.withColumn("_key", canonical_url("url")).filter(F.col("_key").isNotNull()).join(asked, place, "left_semi")
+    answers = join_asked(responses.withColumn("_key", canonical_url("url")).filter(F.col("_key").isNotNull()), settled, place)
     last = latest_responses(answers, place).select(
         *place, "status", "content_type", "content_length", "body", F.col("error").alias("_transport"), F.lit(True).alias("_landed"))
     out = settled.join(last, place, "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitetide.functions.times import moment
 from sitetide.operators import diff as D
 from sitetide.operators.analysis import (
+    PIPELINE_COUNTS,
     Provider,
     analysis_input,
     analysis_outcomes,
@@ -39,7 +40,7 @@ from sitetide.operators.sitemap_sources import (
     seed_order,
 )
 from sitetide.operators.traversal import Limits, expand_sitemaps, scan_complete
-from sitetide.session import cut_lineage
+from sitetide.session import cut_lineage, write_down
 from sitetide.sources.sitemaps import COMMON_PATHS, parse_robots, probe_common_paths, root_candidates
 
 State = dict[str, DataFrame]
@@ -81,10 +82,12 @@ def process_new_pages(
     model: str = "",
     prompt_version: str = "v1",
 ) -> tuple[State, DataFrame]:
-    """Fetch, extract and analyze new pages (page_id, scan_run_id): (state, counters per scan)."""
+    """Fetch, extract and analyze new pages (page_id, scan_run_id): (state, counters per scan). Without any nothing is read."""
+    if new_pages.isEmpty():
+        return state, new_pages.filter(F.lit(False)).select("scan_run_id", *[F.lit(0).cast("bigint").alias(c) for c in PIPELINE_COUNTS])
     targets = fetch_targets(new_pages, state["pages"], state["competitors"]).join(new_pages, "page_id")
     fetched = resolve_redirects(targets.drop("competitor_id"), landed_pages, keys=["page_id", "scan_run_id"])
-    results = cut_lineage(fetch_results(fetched))
+    results = write_down(fetch_results(fetched))
     state = save_fetches(state, results, as_of)
 
     fresh = results.filter(F.col("fetch_status") == "success").select("page_id", "scan_run_id")

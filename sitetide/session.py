@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -56,6 +57,13 @@ def ship_package(spark: SparkSession) -> None:
     context._sitetide_shipped = True
 
 
+def write_down(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as Parquet: for wide rows that later steps read a few columns of."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files every executor can reach.
 

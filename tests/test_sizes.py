@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from sitetide.functions import urls
-from sitetide.operators import quality, redirects
+from sitetide.operators import joins, quality, redirects
 from sitetide.operators.joins import join_dimension
+from sitetide.plans.scan import process_new_pages
 from sitetide.queries import scan_queries
-from sitetide.schemas import conform
+from sitetide.schemas import TABLES, conform, empty_table
 from sitetide.session import cut_lineage
 from sitetide.sources import sitemaps
 
@@ -165,3 +166,36 @@ def test_no_chains_without_redirects(spark, monkeypatch):
     out = {r["id"]: (r["status"], r["body"], r["error_code"], r["redirect_chain"]) for r in redirects.resolve_redirects(requests, responses).collect()}
     assert out == {0: (200, "0", None, []), 1: (301, "1", None, []), 2: (200, "2", None, []), 3: (None, None, "OUTBOUND_REFUSED", []), 4: (None, None, "NOT_LANDED", [])}
     assert len(written) == 1 and "_chain" not in written[0]
+
+
+@pytest.mark.parametrize("sent, join", [(1 << 24, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_bodies_that_nobody_asks_for_stay(spark, monkeypatch, sent, join):
+    """A few URLs that are asked for are sent to the landed table, whatever Spark takes both for; many meet it in a shuffle."""
+    monkeypatch.setattr(joins, "SENT_BYTES", sent, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        url = F.concat(F.lit("https://a.example.com/"), F.col("id").cast("string"))
+        none = F.lit(None).cast("string")
+        responses = spark.range(100).select(
+            url.alias("url"), F.lit(200).alias("status"), none.alias("location"), none.alias("content_type"), none.alias("content_length"),
+            F.repeat(F.col("id").cast("string"), 100).alias("body"), none.alias("error"))
+        requests = spark.range(98, 102).select("id", url.alias("url"), F.lit("example.com").alias("domain"))
+        out = redirects.resolve_redirects(requests, responses)
+        semi = [line for line in str(out._jdf.queryExecution().sparkPlan()).splitlines() if "LeftSemi" in line]
+        assert len(semi) == 1 and join in semi[0]
+        assert {r["id"]: r["body"] for r in out.collect()} == {98: "98" * 100, 99: "99" * 100, 100: None, 101: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_without_new_pages_no_landed_page_is_read(spark):
+    state = {name: empty_table(spark, name) for name in TABLES}
+    none = F.raise_error(F.lit("read")).cast("string")
+    landed = spark.range(3).select(none.alias("url"), none.cast("int").alias("status"), *[
+        none.alias(c) for c in ("location", "content_type", "content_length", "body", "error")])
+    new_pages = spark.createDataFrame([], "page_id string, scan_run_id string")
+    after, counters = process_new_pages(state, new_pages, landed, F.lit("2024-01-01T00:00:00Z").cast("timestamp"))
+    assert after == state and counters.collect() == []
+    assert counters.columns == [
+        "scan_run_id", "fetch_success_count", "fetch_failed_count", "analysis_success_count", "analysis_failed_count"]
