@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,20 @@ def lookup(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= LOOKUP_ROWS else df
 
 
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for ``mapInArrow``; after each batch and at the end, memory that Arrow holds unused goes back to the
+    system. A worker process outlives its task, and what it holds counts beside all later stages of its executor."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return tidy
+
+
 # --- words of whole Arrow batches ---------------------------------------------------------------------
 
 #: Each byte with A-Z in lower case.

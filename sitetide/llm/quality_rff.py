@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetide.llm.common import batch_slices, staged, text_buffer, word_bounds, word_hashes
+from sitetide.llm.common import batch_slices, handing_back, staged, text_buffer, word_bounds, word_hashes
 from sitetide.session import ship_package
 
 N_STATISTICS = 18
@@ -147,7 +147,7 @@ def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(_of_texts(batch.column(text)))], ["doc_id", "stats"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(handing_back(run), schema)
 
 
 def _of_texts(column: pa.Array) -> np.ndarray:
@@ -249,4 +249,4 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
             values = np.clip(sent.value.score(_of_texts(batch.column(text))), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(handing_back(run), schema)

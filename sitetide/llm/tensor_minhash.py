@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitetide.llm.common import batch_slices, mix, staged, text_buffer, word_bounds, word_hashes
+from sitetide.llm.common import batch_slices, handing_back, mix, staged, text_buffer, word_bounds, word_hashes
 from sitetide.llm.components import components
 from sitetide.operators.joins import join_hot
 from sitetide.session import ship_package
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "set_a", "set_b")],
                            T.StructField("subs", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(handing_back(run), schema)
 
 
 def tensor_buckets(reps: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                         links.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], ["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(handing_back(run), "a long, b long")
 
 
 def _sets(texts: pa.Array, ids: np.ndarray) -> list[np.ndarray]:

@@ -12,18 +12,19 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sitetide.llm.common import batch_slices
+from sitetide.llm.common import batch_slices, handing_back
 from sitetide.session import ship_package
 
 #: Fixed value: the white space of the Unicode standard, which the configuration's patterns mean by \s.
@@ -79,51 +80,50 @@ class Encoder:
 
         vocab = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(merges)}
+        self.span = max(self.names) + 1
+        self.rank = {vocab[a] * self.span + vocab[b]: i for i, (a, b) in enumerate(merges)}
         parts = {vocab[a + b]: (vocab[a], vocab[b], i) for i, (a, b) in enumerate(merges)}
-        # What stands at a token's right and left edge while it is built, and the rank of the merge that ends it.
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        self.size: dict[int, int] = {}
+        # A token's two parts, the rank of the merge that makes it and its length, by id; plain numbers, as every worker holds them.
+        self.first, self.second, self.made, self.size = (array("i", [fill]) * self.span for fill in (-1, -1, -1, 0))
         self.tokens: dict[str, int] = {}
         for token in sorted(vocab, key=lambda t: parts.get(vocab[t], (0, 0, -1))[2]):
             i = vocab[token]
             if all(c in codes for c in token.removesuffix(suffix)) and token != suffix:
-                made = parts.get(i)
-                self.right[i], self.left[i] = [(i, NEVER)], [(i, NEVER)]
+                made, form = parts.get(i), symbols(token)
                 if made:
                     a, b, rank = made
-                    if a not in self.right or b not in self.right or not self._joins(a, b, rank):
-                        del self.right[i], self.left[i]  # no encoding has it
-                        continue
-                    self.right[i] += [(b, rank), *self.right[b][1:]]
-                    self.left[i] += [(a, rank), *self.left[a][1:]]
-                form = symbols(token)
-                if not made and len(form) > 1:
-                    del self.right[i], self.left[i]
+                    if not self.size[a] or not self.size[b] or not self._joins(a, b, rank):
+                        continue  # no encoding has it
+                    self.first[i], self.second[i], self.made[i] = made
+                elif len(form) > 1:
                     continue
                 self.size[i] = len(form)
                 self.tokens[form] = i
         self.beginnings = {form[:n] for form in self.tokens for n in range(1, len(form) + 1)}
-        self.span = max(self.names) + 1
         self._forms, self._states, self._steps, self._found = [""], {"": 0}, [{}], [[]]
         self._pairs: dict[int, bool] = {}
-        self._alone = {i: (i,) for i in self.added.values()}
+        self._alone = {i: array("i", [i]).tobytes() for i in self.added.values()}
         self._young: dict = dict(self._alone)
         self._old: dict = {}
 
     def _joins(self, a: int, b: int, rank: int) -> bool:
         """Whether a and b side by side are built and then merged by the merge of this rank, and nothing crosses before."""
-        right = [(a, rank), *self.right[a][1:]]
-        left = [(b, rank), *self.left[b][1:]]
-        return not self._crossed(right, left, (a, b))
+        return not self._crossed(self._edge(a, self.second, rank), self._edge(b, self.first, rank), a * self.span + b)
+
+    def _edge(self, token: int, side: array, ends: int = NEVER) -> list[tuple[int, int]]:
+        """What stands at a token's right (side: second) or left edge (first) while it is built, and the rank of the merge that ends it."""
+        out = [(token, ends)]
+        while side[token] >= 0:
+            ends, token = self.made[token], side[token]
+            out.append((token, ends))
+        return out
 
-    def _crossed(self, right: list, left: list, but: tuple[int, int] | None = None) -> bool:
+    def _crossed(self, right: list, left: list, but: int | None = None) -> bool:
         # Of equal merges the one further left comes first: the one inside the left token, then the crossing one.
         for a, a_ends in right:
             for b, b_ends in left:
-                r = self.rank.get((a, b))
-                if r is not None and r < a_ends and r <= b_ends and (a, b) != but:
+                r = self.rank.get(a * self.span + b)
+                if r is not None and r < a_ends and r <= b_ends and a * self.span + b != but:
                     return True
         return False
 
@@ -133,7 +133,7 @@ class Encoder:
         if known is None:
             if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[key] = not self._crossed(self.right[a], self.left[b])
+            known = self._pairs[key] = not self._crossed(self._edge(a, self.second), self._edge(b, self.first))
         return known
 
     def _step(self, state: int, symbol: str) -> int:
@@ -151,8 +151,8 @@ class Encoder:
         self._steps[state][symbol] = to
         return to
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of distinct words. Sorted, they are the leaves of their trie in depth-first order; the stacks hold the
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Token ids of distinct words, four bytes each. Sorted, they are the leaves of their trie in depth-first order; the stacks hold the
         last tokens and states of all prefixes of the current word, and a word keeps those it shares with the one before."""
         forms = []
         for word in words:
@@ -190,7 +190,7 @@ class Encoder:
                 ids.append(token)
                 at -= size[token]
             ids.reverse()
-            out[word] = tuple(ids)
+            out[word] = array("i", ids).tobytes()
             before = form
         return out
 
@@ -230,8 +230,8 @@ class Encoder:
         known = [young[w] for w in index]
         if len(young) > REMEMBERED // 2:
             self._old, self._young = young, dict(self._alone)
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.int32)
         first = np.cumsum(lengths) - lengths
         code = np.asarray(codes, dtype=np.int64)
         each = lengths[code]
@@ -277,18 +277,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", ids: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(config.value)
-        for batch in batches:
-            texts = batch.column(text)
-            starts = np.concatenate([[0], np.cumsum([len(x or "") for x in texts.to_pylist()])])
-            for a, b in batch_slices(starts, SLICE):
-                flat, at = coder.encode([x or "" for x in texts.slice(a, b - a).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
-                part = batch.slice(a, b - a)
-                more = [pa.array([coder.decode(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], schema.names)
+        yield from coded(coder, batches, text, schema.names, decoded is not None)
         coder.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(handing_back(run), schema)
+
+
+def coded(coder: Encoder, batches: Iterator[pa.RecordBatch], text: str, names: list[str], with_decoded: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches with their ids and, if asked for, what these decode to. Only a slice's texts are Python strings at once."""
+    for batch in batches:
+        texts = batch.column(text)
+        starts = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        for a, b in batch_slices(starts, SLICE):
+            flat, at = coder.encode([x or "" for x in texts.slice(a, b - a).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+            part = batch.slice(a, b - a)
+            more = [pa.array([coder.decode(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.string())] if with_decoded else []
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -309,4 +314,4 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids: str = "ids", decod
                 texts = [decode(names, lists[i].values.to_numpy()) if lists[i].is_valid else "" for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, decoded])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(handing_back(run), schema)

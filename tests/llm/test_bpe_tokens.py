@@ -2,14 +2,17 @@
 
 import base64
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from sitetide.llm import separator_scan, trie_bpe
+from sitetide.llm.common import handing_back
 from sitetide.llm.queries import END_OF_DOCUMENT, tokenizer_path
 
 from .helpers import DOCUMENTS, ODD_ROWS, documents
@@ -50,6 +53,44 @@ def test_results_do_not_depend_on_what_is_remembered(own, library, monkeypatch):
     assert encoded(own, texts) == encoded(own, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def traced(make):
+    """What ``make`` returns, and the bytes that it keeps and that it had at most."""
+    tracemalloc.start()
+    try:
+        made = make()
+        return made, *tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_workers_tables_are_small():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        config = f.read()
+    assert traced(lambda: trie_bpe.Encoder(config))[1] < 36e6
+
+
+def test_only_a_slice_of_a_batch_is_in_python(own, library, monkeypatch):
+    monkeypatch.setattr(trie_bpe, "SLICE", 1 << 14)
+    texts = [f"text {i % 5} " + "word " * 2000 for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None])], ["text"])
+    list(trie_bpe.coded(own, iter([batch]), "text", ["text", "ids"], False))
+    lengths, _, most = traced(lambda: [n for out in trie_bpe.coded(own, iter([batch]), "text", ["text", "ids"], False) for n in out.column("ids").value_lengths().to_pylist()])
+    assert lengths == [len(e.ids) for e in library.encode_batch([*texts, ""], add_special_tokens=False)]
+    assert most < batch.nbytes / 3
+
+
+def test_unused_arrow_memory_is_handed_back(monkeypatch):
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append("back")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    assert list(handing_back(lambda batches: (calls.append(x) or x for x in batches))(iter([1, 2]))) == [1, 2]
+    assert calls == [1, "back", 2, "back", "back"]
+
+
 def test_tables_are_encoded_and_decoded(spark, library):
     docs = documents(spark, ODD_ROWS)
     at_once = trie_bpe.encode_documents(docs, tokenizer_path(), decoded="decoded")
